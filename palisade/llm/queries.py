@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import binary, packing, shingles
+from . import binary, decontaminate, packing, shingles
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_ngram_jaccard": shingles.op2_ngram_jaccard,
     "op8_packing": packing.op8_packing,
     "op10_binary": binary.op10_binary,
