@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, packing, shingles
+from . import binary, decontaminate, embeddings, packing, shingles
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_ngram_jaccard": shingles.op2_ngram_jaccard,
+    "op3_embedding_dedup": embeddings.op3_embedding_dedup,
     "op8_packing": packing.op8_packing,
     "op10_binary": binary.op10_binary,
 }
