@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, embeddings, packing, shingles
+from . import binary, decontaminate, embeddings, language, packing, shingles
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_ngram_jaccard": shingles.op2_ngram_jaccard,
     "op3_embedding_dedup": embeddings.op3_embedding_dedup,
+    "op7_language": language.op7_language,
     "op8_packing": packing.op8_packing,
     "op10_binary": binary.op10_binary,
 }
