@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import LOWER, Texts, chunks, mix
+from .textops import ALNUM, LOWER, Texts, chunks
 
 
 def bounded_sample(rows: DataFrame, label: Column, bound: int, key: str = "doc_id") -> DataFrame:
@@ -58,14 +58,33 @@ def letter_gram_counts(texts: Texts, dims: int, sizes: tuple[int, ...] = (1, 2,
     return np.sqrt(out / total)
 
 
-def word_features(texts: Texts, prefixes: tuple[int, ...] = (4, 5, 6)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, count) of the distinct words and word beginnings of each text."""
-    from .textops import ALNUM
+class Known:
+    """A sorted vocabulary of hashes, and a table of their leading 20 bits that settles most look-ups."""
 
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.leading = np.zeros(1 << 20, bool)
+        self.leading[hashes >> np.uint64(44)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``h`` are in the vocabulary, and where there."""
+        near = np.flatnonzero(self.leading[h >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
+        right = self.hashes[at] == h[near]
+        return near[right], at[right]
+
+
+def word_features(
+    texts: Texts, known: Known | None = None, prefixes: tuple[int, ...] = (4, 5, 6)
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, count) of the distinct words and word beginnings of each text; with ``known``, its place there."""
     words = texts.words(ALNUM)
-    rows, hashes = [words.row], [words.hashes()]
-    for size in prefixes:
-        which, h = words.prefix_hashes(size, size + 1)
+    rows, hashes = [], []
+    every = np.arange(len(words)), words.hashes()
+    for which, h in (every, *(words.prefix_hashes(size, size + 1) for size in prefixes)):
+        if known is not None:
+            right, h = known.find(h)
+            which = which[right]
         rows.append(words.row[which])
         hashes.append(h)
     row, h = np.concatenate(rows), np.concatenate(hashes)
@@ -98,5 +117,3 @@ def scored(docs: DataFrame, columns: list[str], schema: str, score) -> DataFrame
     kept.sort(key=lambda x: order[x.split("`")[1]])
     return docs.select(*columns, F.col("text")).mapInArrow(run, ", ".join([*kept, schema]))
 
-
-__all__ = ["bounded_sample", "has_letter", "letter_gram_counts", "mix", "scored", "word_features"]

@@ -14,14 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .features import bounded_sample, scored, word_features
+from .features import Known, bounded_sample, scored, word_features
 from .tables import held_out, table
+from .textops import Texts
 
 #: Labelled texts of each label that the model is fitted on, at most.
 FIT_ROWS = 2500
 #: Features kept, and the log odds (also in standard errors) that they need: words that are a
 #: little commoner in one label, as those of a topic or language, would add up in long texts.
-FEATURES, ODDS, EVIDENCE = 4096, 2.5, 4.0
+FEATURES, ODDS, EVIDENCE = 4096, 3.5, 4.0
 #: Grades: none, mild, serious, severe.
 GRADES = 4
 #: Expected severity from which a text counts as toxic.
@@ -34,12 +35,10 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def sums(self, row: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-        """w . x of each of n texts, from (row, hash, count) of its features."""
-        at = np.minimum(np.searchsorted(self.features, hashes), max(len(self.features) - 1, 0))
-        known = self.features[at] == hashes if len(self.features) else np.zeros(len(hashes), bool)
-        value = self.weights[at[known]] * np.log1p(counts[known])
-        return np.bincount(row[known], value, n)
+    def sums(self, texts: Texts, known: Known) -> np.ndarray:
+        """w . x of each text."""
+        row, at, counts = word_features(texts, known)
+        return np.bincount(row, self.weights[at] * np.log1p(counts), len(texts))
 
     def above(self, sums: np.ndarray) -> np.ndarray:
         """(texts, grades - 1): the probability of a grade above j."""
@@ -123,13 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grades: in
     h = kept["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     vocabulary, z = h[order], kept["z"].to_numpy()[order]
-    wanted = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    known = Known(vocabulary)
 
     def sparse(batch):
-        row, h, n = word_features(batch)
-        at = np.minimum(np.searchsorted(wanted.value, h), len(wanted.value) - 1)
-        known = wanted.value[at] == h
-        row, at, value = row[known], at[known], np.log1p(n[known])
+        row, at, n = word_features(batch, known)
+        value = np.log1p(n)
         low = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
         lists = [pa.array(at.astype(np.int32)), pa.array(value)]
         return [pa.ListArray.from_arrays(pa.array(low), x) for x in lists]
@@ -152,12 +149,13 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFra
     grade 0 and is not toxic.
     """
 
+    known = Known(model.features) if model else None
+
     def score(texts):
-        row, h, n = word_features(texts)
         if model is None:
             above = np.zeros((len(texts), GRADES - 1))
         else:
-            above = model.above(model.sums(row, h, n, len(texts)))
+            above = model.above(model.sums(texts, known))
             above[np.diff(texts.offsets) == 0] = 0
         exact = np.hstack([np.ones((len(texts), 1)), above]) - np.hstack([above, np.zeros((len(texts), 1))])
         severity = above.sum(axis=1)
