@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, embeddings, language, packing, quality, shingles, toxicity
+from . import binary, decontaminate, embeddings, language, licenses, packing, quality, shingles, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_ngram_jaccard": shingles.op2_ngram_jaccard,
     "op3_embedding_dedup": embeddings.op3_embedding_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_licenses": licenses.op5_licenses,
     "op7_language": language.op7_language,
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_binary": binary.op10_binary,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_licenses": licenses.ORACLE,
+}
