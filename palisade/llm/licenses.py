@@ -184,7 +184,7 @@ texts AS (
   SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents
 ),
 split AS (
-  SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '{SEPARATORS}'), x -> x <> '') AS w FROM texts
+  SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '{SEPARATORS}'), lambda x: x <> '') AS w FROM texts
 ),
 grams AS (
   SELECT doc_id, text, unnest(range(0, len(w) - {K - 1})) AS p, w FROM split

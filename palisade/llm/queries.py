@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, embeddings, language, licenses, packing, quality, shingles, toxicity
+from . import binary, decontaminate, embeddings, language, licenses, packing, pages, quality, shingles, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_embedding_dedup": embeddings.op3_embedding_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_licenses": licenses.op5_licenses,
+    "op6_html": pages.op6_html,
     "op7_language": language.op7_language,
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
