@@ -115,5 +115,6 @@ def scored(docs: DataFrame, columns: list[str], schema: str, score) -> DataFrame
 
     order = {name: i for i, name in enumerate(columns)}
     kept.sort(key=lambda x: order[x.split("`")[1]])
-    return docs.select(*columns, F.col("text")).mapInArrow(run, ", ".join([*kept, schema]))
+    more = [] if "text" in columns else ["text"]
+    return docs.select(*columns, *more).mapInArrow(run, ", ".join([*kept, schema]))
 

@@ -1,7 +1,7 @@
 """Quality scores by regularised quadratic discriminant analysis.
 
 Each text becomes a few transformed statistics. Spark sums them and their
-products for each class over all labelled rows; the class covariances are shrunk
+products for each class over the labelled rows; the class covariances are shrunk
 towards the pooled one and a multiple of the identity, and a score is the
 difference of the Mahalanobis log densities, from Cholesky factors made once.
 """
@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .features import scored
+from .features import bounded_sample, scored
 from .tables import held_out, table
 from .textops import WORD, Texts, chunks, grams
 
+#: Labelled texts of each class that the model is fitted on, at most: their ids are broadcast.
+FIT_ROWS = 20_000
 #: Weight of the pooled covariance, and of the identity, in each class's own.
 POOLED, IDENTITY = 0.1, 0.02
 #: Scores from here on are predicted as good quality.
@@ -152,15 +154,17 @@ def shrunk(cov: np.ndarray, pooled: np.ndarray, a: float = POOLED, b: float = ID
     return (1 - a - b) * cov + a * pooled + b * np.trace(pooled) / len(pooled) * np.eye(len(pooled)) + 1e-6 * np.eye(len(pooled))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model of all rows of ``labels`` (doc_id, quality) that are not held out; None if a class is missing.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
+    """A model of at most ``fit_rows`` rows of each value of ``labels.quality``; None if a class is missing.
 
-    Each task adds up its rows; only these sums, of a size that does not depend
-    on the data, reach the driver. A row labelled twice counts with its lower label.
+    Held-out rows are not learnt from. Each task adds up its rows; only these
+    sums, of a size that does not depend on the data, reach the driver. A row
+    labelled twice counts with its lower label.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    sample = bounded_sample(known, F.when(F.col("quality") > 0, 1).otherwise(0), fit_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "quality")), "doc_id")
     p = len(STATISTICS)
 
     def sums(batches):
