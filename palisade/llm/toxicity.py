@@ -20,9 +20,9 @@ from .textops import Texts
 
 #: Labelled texts of each label that the model is fitted on, at most.
 FIT_ROWS = 2500
-#: Features kept, and the log odds (also in standard errors) that they need: words that are a
+#: Features kept, and the log odds and log likelihood ratio that they need: words that are a
 #: little commoner in one label, as those of a topic or language, would add up in long texts.
-FEATURES, ODDS, EVIDENCE = 4096, 3.5, 4.0
+FEATURES, ODDS, EVIDENCE = 4096, 3.5, 20.0
 #: Grades: none, mild, serious, severe.
 GRADES = 4
 #: Expected severity from which a text counts as toxic.
@@ -114,9 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grades: in
     if not 0 < k < n:
         return None
     odds = F.log((F.col("k") + 0.5) / (k + 1)) - F.log((F.col("n") - F.col("k") + 0.5) / (n - k + 1))
-    error = F.sqrt(1 / (F.col("k") + 0.5) + 1 / (F.col("n") - F.col("k") + 0.5))
-    ranked = common.where(F.abs(odds) >= ODDS).select("h", (odds / error).alias("z")).where(F.abs("z") >= EVIDENCE)
-    kept = ranked.orderBy(F.desc(F.abs("z")), "h").limit(FEATURES).toPandas()
+    # Twice the log likelihood ratio of the feature's own share of toxic texts to that of all.
+    clean = F.col("n") - F.col("k")
+    part = lambda x, share: F.when(x > 0, x * F.log(x / F.col("n") / share)).otherwise(0.0)
+    evidence = 2 * (part(F.col("k"), k / n) + part(clean, (n - k) / n))
+    ranked = common.where((F.abs(odds) >= ODDS) & (evidence >= EVIDENCE)).select("h", odds.alias("z"), evidence.alias("e"))
+    kept = ranked.orderBy(F.desc("e"), "h").limit(FEATURES).toPandas()
     if not len(kept):
         return None
     h = kept["h"].to_numpy(np.int64).view(np.uint64)
@@ -145,18 +148,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grades: in
 def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
     """``columns`` with severity (expected grade), grade (the likeliest) and toxic.
 
-    A null or empty text, and any text where there is no model, has severity and
-    grade 0 and is not toxic.
+    A text without evidence for toxicity (a null or empty one, and any where there
+    is no model) has severity and grade 0 and is not toxic.
     """
 
     known = Known(model.features) if model else None
 
     def score(texts):
-        if model is None:
-            above = np.zeros((len(texts), GRADES - 1))
-        else:
-            above = model.above(model.sums(texts, known))
-            above[np.diff(texts.offsets) == 0] = 0
+        sums = np.zeros(len(texts)) if model is None else model.sums(texts, known)
+        above = np.zeros((len(texts), GRADES - 1)) if model is None else model.above(sums)
+        above[sums <= 0] = 0
         exact = np.hstack([np.ones((len(texts), 1)), above]) - np.hstack([above, np.zeros((len(texts), 1))])
         severity = above.sum(axis=1)
         return [pa.array(severity), pa.array(exact.argmax(axis=1).astype(np.int32)), pa.array(severity >= TOXIC_FROM)]
