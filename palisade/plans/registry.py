@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from . import relational
+
+MODULES = (relational,)
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
