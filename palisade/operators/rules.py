@@ -146,12 +146,14 @@ def hidden_points(texts: DataFrame, keys: list[str], in_name: Column | None = No
 
 def pattern_matches(texts: DataFrame, keys: list[str], patterns, ignore_case: bool = True) -> DataFrame:
     """One row per match of each (label, severity, pattern) in each text."""
-    found = []
-    for label, severity, pattern in patterns:
-        java = unicode_pattern(pattern, ignore_case)
-        matches = F.regexp_extract_all("text", F.lit(java), F.lit(0))
-        found.append(F.transform(matches, lambda m, a=label, b=severity: F.struct(F.lit(a).alias("label"), F.lit(b).alias("severity"), m.alias("matched"))))
-    every = F.explode(F.flatten(F.array(*found))).alias("m")
+
+    def matches(label: str, severity: str, pattern: str) -> Column:
+        found = F.regexp_extract_all("text", F.lit(unicode_pattern(pattern, ignore_case)), F.lit(0))
+        return F.transform(
+            found, lambda m: F.struct(F.lit(label).alias("label"), F.lit(severity).alias("severity"), m.alias("matched"))
+        )
+
+    every = F.explode(F.flatten(F.array(*[matches(*x) for x in patterns]))).alias("m")
     # One quick look for any of the patterns keeps most texts from being searched ten times over.
     any_of = "|".join(f"(?:{p})" for _, _, p in patterns)
     return texts.where(F.col("text").rlike(unicode_pattern(any_of, ignore_case))).select(*keys, every).select(*keys, "m.*")
@@ -182,10 +184,12 @@ def encoded_payloads(texts: DataFrame, keys: list[str]) -> DataFrame:
         return pd.Series([decoded(r, k) for r, k in zip(run, kind, strict=True)])
 
     runs = {"base64": r"[A-Za-z0-9+/]{40,}={0,2}", "hex": r"\b(?:[0-9a-fA-F]{2}){16,}\b"}
-    parts = [
-        F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m.alias("run")))
-        for k, p in runs.items()
-    ]
+
+    def part(kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("run")))
+
+    parts = [part(*x) for x in runs.items()]
     some = texts.where(F.col("text").rlike("|".join(runs.values())))
     found = some.select(*keys, F.explode(F.flatten(F.array(*parts))).alias("m")).select(*keys, "m.*")
     found = found.withColumn("readable", is_readable("run", "kind")).where((F.col("kind") == "base64") | F.col("readable"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import detections, relational
 
-MODULES = (relational,)
+MODULES = (relational, detections)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
