@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detections, relational
+from . import detections, exports, relational
 
-MODULES = (relational, detections)
+MODULES = (relational, detections, exports)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:

@@ -75,9 +75,9 @@ _DAILY = """daily AS (
 
 
 @query("ref104_daily_counts", f"""{with_views("findings", "scans")}, {_DAILY}
-SELECT day, scans, findings FROM daily""")
+SELECT CAST(day AS VARCHAR) AS day, scans, findings FROM daily""")
 def daily_counts(spark, d):
-    return stats.daily(A.scans(spark, d), A.findings(spark, d), SINCE, UNTIL)
+    return stats.daily(A.scans(spark, d), A.findings(spark, d), SINCE, UNTIL).withColumn("day", F.col("day").cast("string"))
 
 
 @query("ref105_audit_counts", f"""{with_views("audit")}
