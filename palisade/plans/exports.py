@@ -43,13 +43,13 @@ def _schemas(spark, d):
 @query("ref200_schema_properties", """WITH p AS (SELECT p_partkey AS tool, p_size FROM part)
 SELECT tool, 'path' AS path, true AS top FROM p UNION ALL SELECT tool, 'options', true FROM p
 UNION ALL SELECT tool, 'options.depth', false FROM p WHERE p_size % 4 = 0 UNION ALL SELECT tool, 'options.file', false FROM p WHERE p_size % 4 = 0
-UNION ALL SELECT tool, 'options[].mode', false FROM p WHERE p_size % 4 <> 0""")
+UNION ALL SELECT tool, 'options.items.mode', false FROM p WHERE p_size % 4 <> 0""")
 def properties(spark, d):
     return schema_properties(_schemas(spark, d), ["tool"]).select("tool", "path", "top")
 
 
 @query("ref167_command_injection", """SELECT p_partkey AS tool, 'path' AS path, 'dangerous default' AS issue, 'critical' AS severity FROM part WHERE p_size % 3 = 2
-UNION ALL SELECT p_partkey, 'options[].mode', 'command values', 'high' FROM part WHERE p_size % 4 <> 0""")
+UNION ALL SELECT p_partkey, 'options.items.mode', 'command values', 'high' FROM part WHERE p_size % 4 <> 0""")
 def command_injection(spark, d):
     return schemas.command_injection(schema_properties(_schemas(spark, d), ["tool"]), ["tool"])
 
