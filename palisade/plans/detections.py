@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import crossref, rules
+from ..operators import crossref, posture, rules
 from ..sources import adapters as A
 from ..sources.adapters import with_views
 
@@ -297,6 +297,75 @@ def risk_pairs(spark, d):
     return crossref.risk_pairs(found)
 
 
+_TLS = "CASE o_orderkey % 6 WHEN 0 THEN 'plain' WHEN 1 THEN 'error' WHEN 2 THEN 'TLSv1.1' WHEN 3 THEN 'TLSv1.2' WHEN 4 THEN 'TLSv1.3' END"
+
+
+def _transports(spark, d):
+    k = F.col("o_orderkey")
+    tls = F.when(k % 6 == 0, "plain").when(k % 6 == 1, "error").when(k % 6 == 2, "TLSv1.1").when(k % 6 == 3, "TLSv1.2").when(k % 6 == 4, "TLSv1.3")
+    return A.table(spark, d, "orders").select(
+        k.alias("scan_id"),
+        F.when(k % 5 == 0, "stdio").otherwise("http").alias("transport"),
+        tls.alias("tls_version"),
+        (F.col("o_custkey") % 2 == 0).alias("cert_valid"),
+        (F.col("o_custkey") % 3 == 0).alias("self_signed"),
+        (F.col("o_custkey") % 4 == 0).alias("hsts"),
+    )
+
+
+@query("ref171_transport", f"""WITH t AS (SELECT o_orderkey AS scan_id, {_TLS} AS tls, o_custkey AS k FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT scan_id, 'plain HTTP' AS issue, 'high' AS severity FROM t WHERE tls IS NULL OR tls = 'plain'
+UNION ALL SELECT scan_id, 'TLS error', 'high' FROM t WHERE tls = 'error'
+UNION ALL SELECT scan_id, 'outdated TLS', 'critical' FROM t WHERE tls = 'TLSv1.1'
+UNION ALL SELECT scan_id, 'invalid certificate', 'high' FROM t WHERE tls LIKE 'TLS%' AND k % 2 <> 0
+UNION ALL SELECT scan_id, 'self-signed certificate', 'medium' FROM t WHERE tls LIKE 'TLS%' AND k % 3 = 0
+UNION ALL SELECT scan_id, 'no HSTS', 'medium' FROM t WHERE tls LIKE 'TLS%' AND k % 4 <> 0""")
+def transport(spark, d):
+    return posture.transport_findings(_transports(spark, d), ["scan_id"])
+
+
+@query("ref172_auth", """WITH t AS (SELECT o_orderkey AS scan_id, o_orderkey % 3 AS a, o_custkey % 3 AS b FROM orders)
+SELECT scan_id, 'no PKCE' AS issue, 'high' AS severity FROM t WHERE a = 0
+UNION ALL SELECT scan_id, 'no issuer check', 'medium' FROM t WHERE b = 0 UNION ALL SELECT scan_id, 'no application type', 'low' FROM t WHERE a = 0 AND b = 0""")
+def auth(spark, d):
+    state = lambda c: F.when(F.col(c) % 3 == 0, False).when(F.col(c) % 3 == 1, True)
+    rows = A.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("scan_id"), state("o_orderkey").alias("pkce"), state("o_custkey").alias("iss"),
+        (state("o_orderkey") | state("o_custkey")).alias("app_type"),
+    )
+    return posture.auth_findings(rows, ["scan_id"])
+
+
+@query("ref110_fingerprint_drift", """WITH f AS (SELECT o_custkey AS server_id, o_orderkey AS seen, o_orderkey % 3 AS v, o_orderkey % 5 AS p, o_orderstatus AS h, o_orderkey % 2 AS t,
+  lag(o_orderkey % 3) OVER w AS ov, lag(o_orderkey % 5) OVER w AS op, lag(o_orderstatus) OVER w AS oh, lag(o_orderkey % 2) OVER w AS ot, row_number() OVER w AS nth
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+k AS (SELECT 'first scan' AS issue FROM f WHERE nth = 1 UNION ALL SELECT 'version rollback' FROM f WHERE v < ov UNION ALL SELECT 'major upgrade' FROM f WHERE v > ov
+  UNION ALL SELECT 'protocol changed' FROM f WHERE p <> op UNION ALL SELECT 'tool list changed' FROM f WHERE h <> oh UNION ALL SELECT 'TLS downgrade' FROM f WHERE t < ot)
+SELECT issue, count(*) AS n FROM k GROUP BY issue""")
+def fingerprint_drift(spark, d):
+    k = F.col("o_orderkey")
+    rows = A.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("server_id"), k.alias("seen"), F.concat((k % 3).cast("string"), F.lit(".0")).alias("server_version"),
+        (k % 5).cast("string").alias("protocol_version"), F.lit("http://x").alias("endpoint"), F.col("o_orderstatus").alias("tool_hash"),
+        F.when(k % 2 == 0, "TLSv1.2").otherwise("TLSv1.3").alias("tls_version"),
+    )
+    return posture.fingerprint_drift(rows).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+@query("ref189_triage", f"""{with_views("findings")} SELECT class, count(*) AS n FROM (SELECT CASE WHEN rule_id = 'R101' THEN 'needs_review' ELSE 'open' END AS class FROM findings) GROUP BY class""")
+def triage(spark, d):
+    return posture.triage(A.findings(spark, d)).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query("ref215_launched_packages", """SELECT p_partkey AS part, CASE p_partkey % 3 WHEN 0 THEN 'npm:@s/' || replace(p_name, ' ', '-') WHEN 1 THEN 'pip:' || replace(p_name, ' ', '-') END AS package,
+  CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' END AS kind FROM part""")
+def launched_packages(spark, d):
+    k, name = F.col("p_partkey"), F.regexp_replace("p_name", " ", "-")
+    target = F.when(k % 3 == 0, F.concat(F.lit("npx -y @s/"), name, F.lit("@1.2"))).when(k % 3 == 1, F.concat(F.lit("/usr/bin/uvx "), name, F.lit("@2"))).otherwise("node server.js")
+    rows = A.table(spark, d, "part").select(k.alias("part"), target.alias("target")).withColumn("package", posture.launched_package())
+    return rows.select("part", "package", posture.reference_kind("package").alias("kind"))
+
+
 def register_paths():
     @query("ref080_attack_paths")
     def attack_paths(spark, d):
