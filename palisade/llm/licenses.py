@@ -9,6 +9,7 @@ is covered within a length like the template's own.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -135,7 +136,9 @@ def scan(docs: DataFrame, phrases=BASE_PHRASES, templates=TEMPLATES) -> DataFram
     give one result; null ids are kept. An empty table gives no rows. Other
     columns are ignored.
     """
+    # Three branches below read the votes, some rows a text: they are made once.
     voted = votes(docs, template_table(docs.sparkSession, template_rows(phrases, templates)))
+    voted = voted.persist(StorageLevel.MEMORY_AND_DISK)
     text = ["doc_id", "text_hash", "n_words"]
     # A phrase stands wherever one diagonal has all of its k-grams; there it starts at the diagonal's own number.
     places = voted.where("base and size(places) = n_grams").select(
