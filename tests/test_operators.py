@@ -265,3 +265,27 @@ def test_audit_append_writes_each_event_once(spark, tmp_path):
     for _ in range(2):
         changes.append_audit(spark.readStream.schema(kind).parquet(source), out, check).awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+def test_source_files_and_packages(spark, tmp_path):
+    from palisade.operators import posture
+
+    for name in ("a.py", "b.ts", "c.txt", "node_modules/d.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\nsecond line")
+    got = readers.source_files(spark, str(tmp_path), ("py", "ts"), ("node_modules",)).collect()
+    assert [r["path"].rpartition("/")[2] for r in got] == ["a.py", "b.ts"] and "second line" in got[0]["content"]
+    targets = {"npx -y @a/b@1.0": "npm:@a/b", "uvx mcp-server-git": "pip:mcp-server-git", "node x.js": None, "": None}
+    rows = spark.createDataFrame([(t,) for t in targets], "target string").withColumn("p", posture.launched_package())
+    assert {r["target"]: r["p"] for r in rows.collect()} == targets
+
+
+def test_drift_and_unmade_checks(spark):
+    from palisade.operators import posture
+
+    kind = "server_id string, seen int, server_version string, protocol_version string, endpoint string, tool_hash string, tls_version string"
+    rows = spark.createDataFrame([("a", 1, "2.0", "p", "e", "h", "TLSv1.3"), ("a", 2, "1.0", "p", "e", "h", "TLSv1.2")], kind)
+    got = {(r["seen"], r["issue"]) for r in posture.fingerprint_drift(rows).collect()}
+    assert got == {(1, "first scan"), (2, "version rollback"), (2, "TLS downgrade")}
+    checks = spark.createDataFrame([(1, None, True, False)], "scan_id int, pkce boolean, iss boolean, app_type boolean")
+    assert [r["issue"] for r in posture.auth_findings(checks, ["scan_id"]).collect()] == ["no application type"]
