@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.schema import schema_properties, semantic_json
-from ..operators import schemas
+from ..functions.text import origin, slug
+from ..operators import diff, lists, schemas
 from ..sources import adapters as A
 from ..sources import readers, sinks
 from ..sources.adapters import with_views
@@ -203,3 +204,88 @@ def streaming_days(spark, d):
     stream = spark.readStream.schema(copy.schema).parquet(copy.inputFiles()[0].rpartition("/")[0])
     events = stream.select(F.col("ts").alias("timestamp"), "event_type")
     return changes.run_to_end(changes.daily_events(events), "complete").withColumn("day", F.col("day").cast("string"))
+
+
+@query("ref052_advisory_list", """SELECT 'CVE-' || CAST(p_partkey AS VARCHAR) AS cve_id, p_name AS description, CASE WHEN p_size % 2 = 0 THEN 'HIGH' ELSE 'low' END AS severity
+FROM part WHERE p_size % 2 = 0 AND contains(lower(p_name), 'red') ORDER BY cve_id LIMIT 20""")
+def advisory_list(spark, d):
+    rows = A.table(spark, d, "part").select(
+        F.concat(F.lit("CVE-"), F.col("p_partkey").cast("string")).alias("cve_id"),
+        F.col("p_name").alias("description"),
+        F.when(F.col("p_size") % 2 == 0, "HIGH").otherwise("low").alias("severity"),
+    )
+    return lists.advisory_list(rows, "high", "RED", 20)
+
+
+@query("ref053_registry_list", """SELECT p_partkey AS id FROM part WHERE contains(lower(p_type), 'eco') AND p_brand = 'Brand#2' AND p_size % 3 <> 0""")
+def registry_list(spark, d):
+    rows = A.table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.array("p_type").alias("categories"),
+        F.array("p_brand").alias("keywords"),
+        F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name")).alias("packages"),
+    )
+    return lists.registry_list(rows, "Eco", "brand#2", True).select("id")
+
+
+@query("ref088_popular_packages", """WITH e AS (SELECT DISTINCT l_suppkey AS name, p_name AS identifier FROM lineitem JOIN part ON l_partkey = p_partkey),
+p AS (SELECT p_name AS identifier, min(p_partkey) AS position FROM part WHERE p_size > 25 GROUP BY 1)
+SELECT name, min_by(identifier, (position, identifier)) AS identifier FROM e JOIN p USING (identifier) GROUP BY name""")
+def popular_packages(spark, d):
+    part = A.table(spark, d, "part")
+    entries = A.table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("name"))
+    popular = part.where("p_size > 25").groupBy(F.col("p_name").alias("identifier")).agg(F.min("p_partkey").alias("position"))
+    return lists.popular_packages(entries.agg(F.collect_set("p_name").alias("packages")), popular)
+
+
+@query("ref116_weakness_types", f"""{with_views("findings")} SELECT server, array_to_string(list_sort(list(DISTINCT CASE WHEN rule_id = 'R106' THEN 'secrets' ELSE 'tool metadata' END)), ',') AS types
+FROM findings GROUP BY server""")
+def weakness_types(spark, d):
+    rows = lists.weakness_types(A.findings(spark, d), "server", {"R106": "secrets"})
+    return rows.withColumn("types", F.array_join("types", ","))
+
+
+@query("ref139_best_matches", f"""{with_views("findings")} SELECT rule_id, server, scan_id, s AS score FROM (SELECT rule_id, server, scan_id, (ord * 7 + scan_id % 13)::DOUBLE AS s,
+  row_number() OVER (PARTITION BY rule_id, server ORDER BY (ord * 7 + scan_id % 13) DESC, scan_id) AS i FROM findings) WHERE i = 1""")
+def best_matches(spark, d):
+    score = (F.col("ord") * 7 + F.col("scan_id") % 13).cast("double")
+    rows = A.findings(spark, d).select("rule_id", "server", "scan_id", score.alias("score"))
+    return lists.best_matches(rows, ["rule_id", "server"], "score")
+
+
+@query("ref145_retire", """WITH r AS (SELECT c_custkey AS name, c_acctbal > 5000 AS trending FROM customer), t AS (SELECT c_custkey AS name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50)
+SELECT name, trending AND name IN (SELECT name FROM t) AS trending FROM r""")
+def retire(spark, d):
+    rows = A.table(spark, d, "customer").select(F.col("c_custkey").alias("name"), (F.col("c_acctbal") > 5000).alias("trending"), "c_acctbal")
+    return lists.retire(rows.select("name", "trending"), rows.orderBy(F.desc("c_acctbal"), "name").limit(50))
+
+
+@query("ref234_label_errors", f"""{with_views("findings")} SELECT DISTINCT server AS target_name, rule_id FROM findings WHERE rule_id NOT IN ('R101', 'R102', 'R103')""")
+def label_errors(spark, d):
+    labels = A.findings(spark, d).select(F.col("server").alias("target_name"), "rule_id").distinct()
+    catalog = spark.sql("SELECT * FROM VALUES ('R101'), ('R102'), ('R103') AS t(rule_id)")
+    return lists.label_errors(labels, catalog).select("target_name", "rule_id")
+
+
+@query("ref219_slugs", """SELECT c_custkey AS id, 'customer-' || regexp_extract(c_name, '([0-9]+)', 1) AS slug, 'https://h' || CAST(c_nationkey AS VARCHAR) || ':8080' AS origin FROM customer""")
+def slugs(spark, d):
+    url = F.concat(F.lit("https://H"), F.col("c_nationkey").cast("string"), F.lit(":8080/a?b=c"))
+    rows = A.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name", url.alias("url"))
+    return rows.select("id", slug("c_name").alias("slug"), origin("url").alias("origin"))
+
+
+@query("ref228_digests", """SELECT r_regionkey AS id, 'sha256:' || sha256(r_name) AS digest FROM region""")
+def digests(spark, d):
+    value = F.concat(F.lit("sha256-"), F.base64(F.unhex(F.sha2("r_name", 256))))
+    return A.table(spark, d, "region").select(F.col("r_regionkey").alias("id"), value.alias("integrity")).select("id", lists.hex_digest().alias("digest"))
+
+
+@query("ref231_surface_changes", """WITH s AS (SELECT o_custkey AS target, o_orderpriority AS surface, o_orderkey AS id, ['complete', 'partial', 'unavailable'][o_orderkey % 3 + 1] AS state FROM orders),
+a AS (SELECT target, surface, arg_min(state, id) AS old FROM s WHERE id % 2 = 0 GROUP BY 1, 2), b AS (SELECT target, surface, arg_max(state, id) AS new FROM s WHERE id % 2 = 1 GROUP BY 1, 2)
+SELECT target, surface, old, new, CASE WHEN new > old THEN 'security' ELSE 'cosmetic' END AS change_severity FROM a FULL JOIN b USING (target, surface) WHERE old IS DISTINCT FROM new""")
+def surface_changes(spark, d):
+    state = F.element_at(F.array(F.lit("complete"), F.lit("partial"), F.lit("unavailable")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = A.table(spark, d, "orders").select(F.col("o_custkey").alias("target"), F.col("o_orderpriority").alias("surface"), F.col("o_orderkey").alias("id"), state.alias("state"))
+    by = ["target", "surface"]
+    old = rows.where("id % 2 = 0").groupBy(*by).agg(F.min_by("state", "id").alias("state"))
+    return diff.surface_changes(old, rows.where("id % 2 = 1").groupBy(*by).agg(F.max_by("state", "id").alias("state")))
