@@ -1,6 +1,6 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
-An Arrow batch is cut into runs of rows of about ``CHUNK_BYTES`` bytes, so
+An Arrow batch is cut, without a copy, into runs of rows of about ``CHUNK_BYTES`` bytes, so
 that the memory of a task follows the longest text and not the batch. All
 hashes are plain 64-bit arithmetic on UTF-8 bytes: they are the same in every
 process, on every executor, and when a lost task is run again.
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -134,11 +134,13 @@ def chunks(column: pa.Array | pa.ChunkedArray, budget: int = CHUNK_BYTES) -> Ite
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_utf8())
-    column = pc.fill_null(column.cast(pa.large_utf8()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if not len(column):
         return
     _, at, data = column.buffers()
-    offsets = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(at, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     low = 0
     while low < len(column):
