@@ -116,6 +116,47 @@ def test_jaccard_tiles_lose_nothing(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_jaccard_keys_of_many_sets_are_tiled(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "TILE", 8)
+    most, searched, search = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), shingles.possible_pairs
+
+    def counted(ids, *rest):
+        searched.add(1)
+        if len(ids) > 50:  # a third of the copies; two tiles hold some 16
+            most.add(1)
+        yield from search(ids, *rest)
+
+    monkeypatch.setattr(shingles, "possible_pairs", counted)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words[:k], f"n{k}", *words[k + 1 :]]) for k in range(100, 250)]
+    texts += [" ".join(f"u{i}x{j}" for j in range(50)) for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingles.jaccard_components(docs, 3, "0.9").collect()}
+    assert got == {i: 0 if i < 150 else i for i in range(155)}
+    assert searched.value > 0 and most.value == 0
+
+
+def test_possible_pairs_connect_what_all_pairs_connect():
+    from fractions import Fraction
+
+    rng, t = np.random.default_rng(3), Fraction("0.8")
+    base = [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (40, 300, 500, 620, 900)]
+    sets = [np.unique(np.append(x[: int(len(x) * keep)], rng.integers(0, 1 << 62, 3).astype(np.uint64))) for x in base for keep in (1, 0.95, 0.9, 0.85)]
+    ids, sizes, raw = np.arange(len(sets)), np.array([len(x) for x in sets]), [shingles.packed_point(x) for x in sets]
+    linked = 0
+    for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        pairs = list(shingles.possible_pairs(ids, sizes, raw, side, t))
+        met = lambda a, b: not side.any() or side[a] != side[b]
+        assert all(met(a, b) for a, b in pairs)
+        found = components_of(ids, pairs)
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if met(a, b) and 10 * common >= 8 * (len(sets[a]) + len(sets[b]) - common):
+                linked += 1
+                assert found[a] == found[b]
+    assert linked > 30
+
+
 def test_count_tree_finds_all_that_a_scan_finds():
     from fractions import Fraction
 
