@@ -38,6 +38,8 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 CONTENT = frozenset(("article", "main"))
+#: Elements that their names never make noise.
+ROOTS = CONTENT | {"html", "body"}
 #: Elements that can be a site's template inside an article.
 PARTS = frozenset("aside div footer form header nav section".split())
 #: A start tag of one of these ends an open element of the set before it, up to the fence.
@@ -55,12 +57,20 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav "
     "ol pre section table ul".split()
 )
-#: Words of class, id or role names that mark what is not the article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|"
+#: Class, id or role names that mark what is not the article: whole names, made of such words and of those that say where
+#: or what it is. Others, as has-sidebar or share-enabled, speak of the page.
+NOISE_WORD = (
+    r"(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|"
     r"foot|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo\w*|related|"
     r"replies|search|share|sharing|sidebar|side|social|sponsor\w*|subscribe|subscription|tags|toc|toolbar|widget|"
-    r"complementary|contentinfo)(?:$|[\s_-])",
+    r"complementary|contentinfo)"
+)
+PLACE_WORD = (
+    r"(?:site|page|global|main|primary|secondary|left|right|top|bottom|upper|lower|post|article|entry|blog|box|block|"
+    r"list|item|area|bar|wrap|wrapper|container|inner|section|slot|unit|links?|buttons?|icons?|form|thread|posts|\d+)"
+)
+NOISE = re.compile(
+    rf"(?:^|\s)(?:{PLACE_WORD}[_-]+)*{NOISE_WORD}(?:[_-]+(?:{NOISE_WORD}|{PLACE_WORD}))*(?:$|\s)",
     re.I,
 )
 TAG = re.compile(
@@ -85,6 +95,8 @@ class Page:
         self.elements: list[list] = []
         self.stack: list[int] = []
         self.block = 0
+        #: For each element whether its names, and whether its kind or attributes, make it noise.
+        self.marks: list[tuple[bool, bool]] = []
         at = 0
         for m in TAG.finditer(source):
             if m.start() < at:
@@ -110,6 +122,7 @@ class Page:
         if at < len(source):
             self._text(source[at:])
         self._close(0)
+        self._settle()
 
     def _text(self, text: str) -> None:
         self.runs.append((self.block, html.unescape(text)))
@@ -133,14 +146,30 @@ class Page:
         names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)) if attributes else ""
         up = self.elements[parent] if parent >= 0 else None
         inside = tag in CONTENT or bool(up and up[5])
-        noise = bool(up and up[4]) or tag in BOILERPLATE or bool(names and NOISE.search(names))
-        noise = noise or bool(attributes and HIDDEN.search(attributes))
+        named = bool(names and tag not in ROOTS and NOISE.search(names))
+        hidden = bool(attributes and tag not in ("html", "body") and HIDDEN.search(attributes))
         # The article's own heading may stand in a <header>, its pictures in a <figure>.
-        if tag == "header" and up and up[5] and not up[4]:
-            noise = bool(names and NOISE.search(names))
-        self.elements.append([parent, tag, len(self.runs), None, noise, inside, names])
+        own = tag == "header" and bool(up and up[5])
+        self.marks.append((named, not own and (tag in BOILERPLATE or hidden)))
+        self.elements.append([parent, tag, len(self.runs), None, False, inside, names])
         self.stack.append(len(self.elements) - 1)
 
+    def _settle(self) -> None:
+        """Tell noise, which what is inside inherits; names do not make noise of an element that holds all articles."""
+        around: set[int] | None = None
+        barred: list[bool] = []
+        for (parent, tag, *_), (_, fixed) in zip(self.elements, self.marks, strict=True):
+            barred.append(fixed or parent >= 0 and barred[parent])
+            if tag in CONTENT and not barred[-1] and (parent < 0 or not self.elements[parent][5]):
+                up = set()
+                while parent >= 0:
+                    up.add(parent)
+                    parent = self.elements[parent][0]
+                around = up if around is None else around & up
+        for i, (element, (named, fixed)) in enumerate(zip(self.elements, self.marks, strict=True)):
+            up = element[0]
+            element[4] = up >= 0 and self.elements[up][4] or fixed or named and i not in (around or ())
+
     def _end(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.elements[self.stack[i]][1] == tag:

@@ -371,6 +371,23 @@ def test_main_text(spark):
     assert sorted(got) == sorted([(1, want, len(want)), (2, "", 0), (3, "", 0), (4, "plain page two", 14), (4, "a < b & c", 9)])
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        '<html class="no-share"><body class="has-sidebar"><p>own words</p></body></html>',
+        '<body class="sidebar"><p>own words</p></body>',
+        '<div id="page" class="no-sidebar"><p>own words</p><div class="site-footer">x</div></div>',
+        '<article class="post share-enabled"><p>own words</p><div class="post-comments">x</div></article>',
+        '<div class="widget"><main class="search"><p>own words</p></main></div><div class="cookie-notice">x</div>',
+        '<div><article>own words</article></div><div class="related"><article>x</article></div><aside><article>x</article></aside>',
+        '<main><article>own words</article><div id="comments"><article class="comment">x</article></div></main>',
+    ],
+)
+def test_names_of_the_page_are_no_noise(source):
+    page = pages.Page(source)
+    assert page.text([None] * len(page.elements), frozenset()) == "own words"
+
+
 def test_site_templates_go(spark):
     page = "<html><body><div><p>Welcome to our site</p></div><div><p>own words {}</p></div></body></html>"
     rows = [(i, f"http://h.example/{i}", page.format(f"n{i}")) for i in range(8)] + [(9, "http://other.example/", page.format("n9"))]
