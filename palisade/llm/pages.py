@@ -1,8 +1,8 @@
 """Main text of web pages: site template removal.
 
 Each task parses its pages to a list of elements and text blocks and hashes the
-subtree of every element. Spark counts, for each host, on how many pages a
-subtree recurs; those that recur on many pages of the host are its template and
+subtree of every element. Spark counts, for each host, on how many different
+pages a subtree recurs (copies of a page count once); those that recur on many pages of the host are its template and
 are deleted. What a site repeats with other words on each page (menus, adverts,
 comments) is known by its element or its class names.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .graph import checkpointed
 from .tables import table
 
-#: A subtree is template if it occurs on so many pages of the host and on this share of them at least.
+#: A subtree is template if it occurs on so many different pages of the host and on this share of them at least.
 MIN_PAGES, MIN_SHARE = 5, 0.3
 #: Template subtrees (16 bytes and a host number each) that may be broadcast; more are joined by shuffle.
 BROADCAST_SUBTREES = 500_000
@@ -238,8 +238,13 @@ def host(url: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
+def content(html: str = "html") -> Column:
+    """A hash that copies of a page share."""
+    return F.xxhash64(F.coalesce(F.col(html), F.lit("")))
+
+
 def subtree_counts(pages: DataFrame) -> DataFrame:
-    """host, subtree, n: on how many pages of a host a subtree recurs, from two on."""
+    """host, subtree, n: on how many different pages of a host a subtree recurs, from two on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,16 +253,18 @@ def subtree_counts(pages: DataFrame) -> DataFrame:
                 own = {x for x in Page(source or "").subtree_hashes() if x is not None}
                 hosts += [i] * len(own)
                 found += own
-            named = batch.column("host").take(pa.array(hosts, pa.int64()))
-            yield pa.RecordBatch.from_arrays([named, pa.array(found, pa.int64())], names=["host", "subtree"])
+            at = pa.array(hosts, pa.int64())
+            columns = [batch.column("host").take(at), batch.column("page").take(at), pa.array(found, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "subtree"])
 
-    found = pages.select(host().alias("host"), "html").mapInArrow(run, "host string, subtree long")
-    return found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where("n > 1")
+    found = pages.select(host().alias("host"), content().alias("page"), "html")
+    found = found.mapInArrow(run, "host string, page long, subtree long")
+    return found.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n")).where("n > 1")
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, subtree of the subtrees that recur on many pages of their host."""
-    sizes = pages.groupBy(host().alias("host")).agg(F.count("*").alias("pages"))
+    """host, subtree of the subtrees that recur on many different pages of their host."""
+    sizes = pages.groupBy(host().alias("host")).agg(F.count_distinct(content()).alias("pages"))
     often = F.col("n") >= F.greatest(F.lit(min_pages), F.col("pages") * min_share)
     return subtree_counts(pages).join(sizes, "host").where(often).select("host", "subtree")
 
@@ -269,8 +276,8 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     space, blocks are joined in page order by one space. Without an article or
     main element all that is not template or boilerplate counts. A page that is
     null, empty or has no main text gives "" and 0. Pages without a host form one
-    host. Repeated rows are kept, and count as pages of their host; an empty
-    table gives no rows; other columns are ignored.
+    host. Repeated rows are kept, but copies of a page count as one page of their host;
+    an empty table gives no rows; other columns are ignored.
     """
     templates = checkpointed(site_templates(pages, min_pages, min_share))
     small = templates.count() <= BROADCAST_SUBTREES

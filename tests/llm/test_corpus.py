@@ -395,6 +395,15 @@ def test_site_templates_go(spark):
     assert got[3] == "own words n3" and got[9] == "Welcome to our site own words n9"
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<html><body><p>menu of all</p><div><p>own words {0}</p></div></body></html>"
+    story = "<article><h1>t</h1><div><p>story {0}</p></div></article>"
+    rows = [(i, f"http://h.example/{i}", page.format(max(i, 6))) for i in range(15)]
+    rows += [(100 + i, "x", story.format(max(i, 6))) for i in range(15)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own words {max(i, 6)}" for i in range(15)} | {100 + i: f"t story {max(i, 6)}" for i in range(15)}
+
+
 def test_language(spark, sf_dir, docs):
     got = QUERIES["op7_language"](spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
