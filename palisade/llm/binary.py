@@ -1,7 +1,9 @@
 """Packed token-id matrices by best-fit-decreasing, ready for binary output.
 
 Each task tokenizes its rows and packs them in blocks of ``BLOCK_IDS`` ids, so
-ids are never shuffled and memory does not follow the input. A block's free
+ids are never shuffled and memory does not follow the input. Input partitions of
+less than ``TASK_BYTES`` of text are read by one task together, so that blocks
+are full ones however the table is split. A block's free
 capacities stand in a segment tree; the search for the best fit (the least
 capacity that takes the piece) and each update take logarithmic time.
 """
@@ -11,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from .tokens import BYTE_BPE, encode
 SEQUENCE = 2048
 #: Ids that a task holds before it packs them.
 BLOCK_IDS = 1 << 21
+#: Bytes of text that a task takes at least, on the average, where the table has them: some two blocks.
+TASK_BYTES = 16 << 20
 PAD_ID = 0
 
 SEQUENCES = (
@@ -99,7 +103,11 @@ def pack_block(pieces: list[tuple[int | None, int, np.ndarray]], size: int) -> I
 
 
 def packed_sequences(
-    docs: DataFrame, size: int = SEQUENCE, vocabulary: str = BYTE_BPE, block_ids: int = BLOCK_IDS
+    docs: DataFrame,
+    size: int = SEQUENCE,
+    vocabulary: str = BYTE_BPE,
+    block_ids: int = BLOCK_IDS,
+    task_bytes: int = TASK_BYTES,
 ) -> DataFrame:
     """One row per packed sequence of ``size`` ids, padded at its end.
 
@@ -111,33 +119,39 @@ def packed_sequences(
     id alone; repeated rows and null ids are packed like others; an empty table
     gives no rows.
     """
-    names = ["n_ids", "n_docs", "ids", "cu_seqlens", "position_ids", "doc_ids", "starts"]
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    names = [x.split()[0] for x in SEQUENCES.split(", ")]
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode(text, vocabulary)
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+            doc_ids, text = batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text")
+            for row, doc_id in enumerate(doc_ids):
+                ids = encode(text[row].as_py(), vocabulary)
                 held += [(doc_id, at, ids[at : at + size]) for at in range(0, len(ids), size)]
                 n += len(ids)
                 if n >= block_ids:
-                    yield from frames(held)
+                    yield from written(held)
                     held, n = [], 0
-        if held:
-            yield from frames(held)
+        yield from written(held)
 
-    def frames(held):
+    def written(held):
         rows = []
         for row in pack_block(held, size):
             rows.append(row)
             if len(rows) == 256:
-                yield pd.DataFrame(rows, columns=names)
+                yield as_batch(rows)
                 rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=names)
+            yield as_batch(rows)
 
-    return docs.select("doc_id", "text").mapInPandas(run, SEQUENCES)
+    def as_batch(rows):
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
+
+    rows = docs.select("doc_id", "text")
+    size_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return rows.coalesce(max(1, -(-size_bytes // task_bytes))).mapInArrow(run, SEQUENCES)
 
 
 def write_packed(docs: DataFrame, path: str, **options) -> None:

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,68 +56,89 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
 
 def tokenize_pieces(docs: DataFrame, length: int = SEQUENCE, vocabulary: str = BYTE_BPE) -> DataFrame:
     """The pieces of every document: where each starts, its length, and a checksum of its ids."""
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
-    def cut(batches):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {x: [] for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode(text, vocabulary)
+            text, out = batch.column("text"), []
+            for row in range(len(batch)):
+                ids = encode(text[row].as_py(), vocabulary)
                 for start in range(0, len(ids), length):
                     piece = ids[start : start + length]
-                    for name, value in zip(out, (doc_id, start, len(piece), zlib.crc32(piece), len(ids)), strict=True):
-                        out[name].append(value)
-            yield pd.DataFrame(out).astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+                    out.append((row, start, len(piece), zlib.crc32(piece), len(ids)))
+            row, *rest = np.array(out, np.int64).reshape(-1, 5).T
+            ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, rest)], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+
+
+class Slots:
+    """Where the nth piece of each length lies: sequence and offset, for the patterns of a packing."""
+
+    def __init__(self, patterns: list[tuple[int, list[int]]]):
+        lengths, firsts, sequences, numbers, starts, offsets = [], [], [], [], [0], []
+        rank, sequence = defaultdict(int), 0
+        for count, pattern in patterns:
+            at: dict[int, list[int]] = defaultdict(list)
+            offset = 0
+            for x in pattern:
+                at[x].append(offset)
+                offset += x
+            for x, found in at.items():
+                lengths.append(x)
+                firsts.append(rank[x])
+                sequences.append(sequence)
+                numbers.append(len(found))
+                offsets += found
+                starts.append(len(offsets))
+                rank[x] += count * len(found)
+            sequence += count
+        order = np.lexsort((firsts, lengths)) if lengths else np.empty(0, int)
+        columns = (lengths, firsts, sequences, numbers, starts[:-1])
+        self.lengths, self.firsts, self.sequences, self.numbers, self.starts = (np.array(x, np.int64)[order] for x in columns)
+        self.offsets = np.array(offsets, np.int64)
+
+    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """sequence and offset of the pieces of these lengths and ranks, by one sorted search for each length."""
+        at = np.empty(len(length), np.int64)
+        for x in np.unique(length):
+            low, high = np.searchsorted(self.lengths, [x, x + 1])
+            own = length == x
+            at[own] = low + np.searchsorted(self.firsts[low:high], rank[own], side="right") - 1
+        nth = rank - self.firsts[at]
+        return self.sequences[at] + nth // self.numbers[at], self.offsets[self.starts[at] + nth % self.numbers[at]]
 
 
 def pack(pieces: DataFrame, length: int = SEQUENCE, salts: int | None = None) -> DataFrame:
-    """Give each piece a ``sequence_id`` and its ``offset`` there.
+    """Give each of the ``pieces``, a checkpointed or written table, a ``sequence_id`` and its ``offset`` there.
 
     Full pieces and rests are ranked among those of equal length: ``salts``
     parts (by default two for each shuffle partition) of each length are numbered on their own, and begin where the counts
-    of the parts before them end, so that a length which very many documents
-    share is never numbered in one task. A rank says in which copy of which
-    pattern the piece lies.
+    of the parts before them end. A part is made of whole input partitions, so that neither a length that very many
+    documents share nor the rows that repeat one doc_id are numbered in one task. A rank says in which copy of which
+    pattern the piece lies; the patterns are bounded by the sequence length alone.
     """
     spark = pieces.sparkSession
     salts = salts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Equal rows of a document that occurs twice are told apart by their rank only.
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int")
-    pieces = pieces.withColumn("salt", salt)
+    pieces = pieces.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     counts = pieces.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-
-    slots, next_rank, sequence = [], defaultdict(int), 0
-    for count, lengths in shortest_pack_first(histogram, length):
-        at: dict[int, list[int]] = defaultdict(list)
-        offset = 0
-        for x in lengths:
-            at[x].append(offset)
-            offset += x
-        for x, offsets in at.items():
-            slots.append((x, next_rank[x], next_rank[x] + count * len(offsets), sequence, offsets))
-            next_rank[x] += count * len(offsets)
-        sequence += count
-    schema = "length long, low long, high long, sequence long, offsets array<long>"
-    slots = spark.createDataFrame(slots, schema)
+    slots = Slots(shortest_pack_first(histogram, length))
 
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.join(firsts, ["length", "salt"]).withColumn(
-        "rank", F.col("first") + F.row_number().over(within) - 1
-    )
-    # At most a pattern for each length and count change: the slots are bounded by the sequence length alone.
-    nth = F.col("rank") - F.col("low")
-    many = F.size("offsets")
-    return (
-        ranked.join(F.broadcast(slots), "length")
-        .where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-        .withColumn("sequence_id", F.col("sequence") + F.floor(nth / many).cast("long"))
-        .withColumn("offset", F.element_at("offsets", (F.pmod(nth, many) + 1).cast("int")))
-        .drop("salt", "first", "rank", "low", "high", "sequence", "offsets")
-    )
+    ranked = pieces.join(firsts, ["length", "salt"]).withColumn("rank", F.col("first") + F.row_number().over(within) - 1)
+    columns = [x.split()[0] for x in PIECES.split(", ")]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = slots.find(*(np.asarray(batch.column(x)) for x in ("length", "rank")))
+            kept = batch.select(columns)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, found)], names=[*columns, "sequence_id", "offset"])
+
+    return ranked.select(*columns, "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, length: int = SEQUENCE, vocabulary: str = BYTE_BPE) -> DataFrame:
@@ -130,4 +153,5 @@ def pack_documents(docs: DataFrame, length: int = SEQUENCE, vocabulary: str = BY
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 ids: see ``pack_documents``."""
     return pack_documents(table(spark, sf_dir, "documents"))

@@ -240,12 +240,11 @@ def test_decontamination_finds_every_benchmark_copy(spark, sf_dir, docs):
 
 def reference_ids(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
 
 
 def test_tokens_are_those_of_the_tokenizer(docs):
-    texts = [r["text"] for r in docs.collect()] + ["a  b", " a", "a\n b", "it's  's 3", "", None, "<|endoftext|>", "日本語 ñ"]
+    texts = [r["text"] for r in docs.collect()] + ["a  b", " a", "a\n b", "it's  's 3", "", None, "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext", "日本語 ñ", "^" * 300000, "\n" * 300000]
     assert [tokens.encode(t).tolist() for t in texts] == reference_ids(texts)
 
 
@@ -279,6 +278,30 @@ def test_packing(spark, sf_dir, docs):
     assert len(sequences) * 1024 <= total * 1.03 + 1024
 
 
+def test_large_ids_stand_beside_nulls(spark):
+    rows = [(1152921504606846977, "a <|endoftext|> b"), (None, "no id"), (2**62 + 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    pieces = packing.pack_documents(docs).collect()
+    assert {r["doc_id"]: r["length"] for r in pieces} == {i: len(x) for (i, _), x in zip(rows, reference_ids([t for _, t in rows]))}
+    (sequence,) = binary.packed_sequences(docs).collect()
+    assert sorted(sequence["doc_ids"], key=str) == sorted([i for i, _ in rows], key=str)
+
+
+def test_fill_does_not_follow_the_partitions(spark, docs):
+    fill = []
+    for parts in (1, 64):
+        n = binary.packed_sequences(docs.repartition(parts)).agg(F.sum("n_ids"), F.count("*")).first()
+        fill.append(n[0] / n[1] / binary.SEQUENCE)
+    assert min(fill) > 0.98 and abs(fill[0] - fill[1]) < 0.002
+
+
+def test_one_id_of_very_many_rows_is_packed_in_parts(spark):
+    docs = spark.range(0, 4000, 1, 16).selectExpr("cast(7 as bigint) doc_id", "'same text' text")
+    rows = packing.pack_documents(docs).collect()
+    placed = {(r["sequence_id"], r["offset"]) for r in rows}
+    assert len(rows) == len(placed) == 4000 and max(o + rows[0]["length"] for _, o in placed) <= 1024
+
+
 def test_shortest_pack_first():
     rng = np.random.default_rng(0)
     histogram = {int(n): int(c) for n, c in zip(rng.permutation(np.arange(1, 100))[:60], rng.integers(1, 50, 60))}
