@@ -108,32 +108,46 @@ def test_jaccard_equals_brute_force(spark):
     assert {i: r["component_id"] for i, r in got.items()} == want
 
 
-def test_jaccard_tiles_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(shingles, "TILE", 3)
-    words = [f"w{i}" for i in range(100)]
-    rows = [(i, " ".join(words[:k] + [f"n{i}"] + words[k:])) for i, k in enumerate(range(10, 40))]
-    got = shingles.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, "0.9").collect()
-    assert {r["component_id"] for r in got} == {0}
+def shingle_components(texts, k, t):
+    """Brute force: every pair of texts, exact sets of words."""
+    sets = {}
+    for i, x in enumerate(texts):
+        w = x.lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or {tuple(w)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9]
+    return components_of(sets, links)
+
+
+@pytest.mark.parametrize("pivot_bytes", [1 << 20, 0])
+def test_jaccard_of_large_blocks(spark, monkeypatch, pivot_bytes):
+    """Keys of many sets, tiles, representatives and none: always the components of brute force."""
+    for name, value in {"TILE_LEAST": 4, "TILE_MOST": 4, "KEY_SETS": 8, "PIVOT_BYTES": pivot_bytes}.items():
+        monkeypatch.setattr(shingles, name, value)
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*words[:k], f"n{k}", *words[k + 1 :]]) for k in range(10, 60)]  # some pairs link, through others all
+    texts += [" ".join([*words[:60], *(f"v{i % 3}x{j}" for j in range(60)), f"z{i}"]) for i in range(30)]  # three groups that share keys
+    texts += [" ".join(f"u{i}x{j}" for j in range(50)) for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for k, t in ((3, "0.9"), (3, "0.95"), (5, "0.8")):
+        got = {r["doc_id"]: r["component_id"] for r in shingles.jaccard_components(docs, k, t).collect()}
+        assert got == shingle_components(texts, k, float(t)), (k, t)
 
 
-def test_jaccard_keys_of_many_sets_are_tiled(spark, monkeypatch):
-    monkeypatch.setattr(shingles, "TILE", 8)
-    most, searched, search = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), shingles.possible_pairs
+def test_no_task_searches_more_sets_than_allowed(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "KEY_SETS", 8)
+    most, search = spark.sparkContext.accumulator(0), shingles.possible_pairs
 
     def counted(ids, *rest):
-        searched.add(1)
-        if len(ids) > 50:  # a third of the copies; two tiles hold some 16
+        if len(ids) > 8:
             most.add(1)
         yield from search(ids, *rest)
 
     monkeypatch.setattr(shingles, "possible_pairs", counted)
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join([*words[:k], f"n{k}", *words[k + 1 :]]) for k in range(100, 250)]
-    texts += [" ".join(f"u{i}x{j}" for j in range(50)) for i in range(5)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in shingles.jaccard_components(docs, 3, "0.9").collect()}
-    assert got == {i: 0 if i < 150 else i for i in range(155)}
-    assert searched.value > 0 and most.value == 0
+    assert got == dict.fromkeys(range(150), 0) and most.value == 0
 
 
 def test_possible_pairs_connect_what_all_pairs_connect():
@@ -143,18 +157,14 @@ def test_possible_pairs_connect_what_all_pairs_connect():
     base = [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (40, 300, 500, 620, 900)]
     sets = [np.unique(np.append(x[: int(len(x) * keep)], rng.integers(0, 1 << 62, 3).astype(np.uint64))) for x in base for keep in (1, 0.95, 0.9, 0.85)]
     ids, sizes, raw = np.arange(len(sets)), np.array([len(x) for x in sets]), [shingles.packed_point(x) for x in sets]
-    linked = 0
-    for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
-        pairs = list(shingles.possible_pairs(ids, sizes, raw, side, t))
-        met = lambda a, b: not side.any() or side[a] != side[b]
-        assert all(met(a, b) for a, b in pairs)
-        found = components_of(ids, pairs)
-        for a, b in itertools.combinations(range(len(sets)), 2):
-            common = len(np.intersect1d(sets[a], sets[b]))
-            if met(a, b) and 10 * common >= 8 * (len(sets[a]) + len(sets[b]) - common):
-                linked += 1
-                assert found[a] == found[b]
-    assert linked > 30
+    linked, found = 0, components_of(ids, list(shingles.possible_pairs(ids, sizes, raw, t)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        assert shingles.similar(sets[a], sets[b], t) == (10 * common >= 8 * (len(sets[a]) + len(sets[b]) - common))
+        if shingles.similar(sets[a], sets[b], t):
+            linked += 1
+            assert found[a] == found[b]
+    assert linked > 15
 
 
 def test_count_tree_finds_all_that_a_scan_finds():
