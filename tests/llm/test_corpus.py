@@ -181,8 +181,29 @@ def test_count_tree_finds_all_that_a_scan_finds():
         assert sorted(tree.search(points[i], int(sizes[i]), t)) == sorted(fits)
 
 
+def brute_vectors(rows, threshold=0.93):
+    """n_links and component of each row (vec_id, vector, label), by all pairs in double precision."""
+    fit = [(k, np.array(x, float), label) for k, (_, x, label) in enumerate(rows) if x and label is not None and None not in x and np.isfinite(np.array(x, float)).all() and np.any(x)]
+
+    def cosine(a, b):
+        a, b = a / np.abs(a).max(), b / np.abs(b).max()
+        return a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+
+    links = [(a[0], b[0]) for a, b in itertools.combinations(fit, 2) if a[2] == b[2] and len(a[1]) == len(b[1]) and cosine(a[1], b[1]) >= threshold]
+    group = components_of(range(len(rows)), links)
+    named = defaultdict(list)
+    for k, g in group.items():
+        named[g] += [rows[k][0]] if rows[k][0] is not None else []
+    n = defaultdict(int)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    return [(rows[k][0], n[k], min(named[group[k]], default=None)) for k in range(len(rows))]
+
+
 def test_embeddings_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "TILE", 16)
+    for name, value in {"BUCKET": 4, "TILE_LEAST": 8, "TILE_MOST": 8}.items():
+        monkeypatch.setattr(embeddings, name, value)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 64))
     rows = []
@@ -191,24 +212,43 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
         rows.append((i, [float(v) for v in np.float32(x)], i % 3))
     rows += [(300, rows[0][1], 0), (301, rows[0][1], 0), (302, rows[0][1], None), (303, None, 0), (304, [0.0] * 64, 0)]
     rows += [(305, [float("nan")] * 64, 0), (306, [], 0), (307, [1.0, 2.0], 0), (308, [2.0, 4.0], 0)]
-    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    fit = {i: (np.array(x, float), label) for i, x, label in rows if x and label is not None and np.isfinite(x).all() and np.any(x)}
-
-    def cosine(a, b):
-        return a @ b / np.linalg.norm(a) / np.linalg.norm(b) if len(a) == len(b) else 0
-
-    links = [(a, b) for a, b in itertools.combinations(fit, 2) if fit[a][1] == fit[b][1] and cosine(fit[a][0], fit[b][0]) >= 0.93]
-    want = components_of([r[0] for r in rows], links)
-    n = defaultdict(int)
-    for a, b in links:
-        n[a] += 1
-        n[b] += 1
-    assert len(links) > 100
+    rows = [(i, x, label) for i, x, label in rows]
+    got = sorted(tuple(r)[:3] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    want = sorted(brute_vectors(rows))
+    assert sum(n for _, n, _ in want) > 200
     # The index may miss a pair; on these it finds nine of ten at the least, and nothing below the threshold.
-    assert 0.9 * sum(n.values()) <= sum(r["n_links"] for r in got.values()) <= sum(n.values())
-    assert all(r["n_links"] <= n[i] for i, r in got.items())
-    assert sum(r["component_id"] == want[i] for i, r in got.items()) >= 0.98 * len(got)
-    assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+    assert 0.9 * sum(n for _, n, _ in want) <= sum(n for _, n, _ in got) <= sum(n for _, n, _ in want)
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+    assert sum(g[2] == w[2] for g, w in zip(got, want)) >= 0.98 * len(got)
+
+
+def test_embeddings_of_any_size_label_and_id(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=64)
+    near = base + rng.normal(size=64) * 0.05
+    rows = [(1, list(base * 1e300), "5000000000"), (2, list(near * 1e-300), "5000000000"), (None, list(base), "5000000000"), (None, None, "a")]
+    rows += [(3, list(base), "a"), (3, list(-base), "a"), (4, list(near), "a"), (5, list(-near), "a"), (6, [None, *base[1:]], "a"), (None, list(near), "b")]
+    rows = [(i, None if x is None else [None if v is None else float(v) for v in x], label) for i, x, label in rows]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=str) == sorted(brute_vectors(rows), key=str)
+    big = [(i, x, {"a": 5_000_000_000, "b": 7, "5000000000": -1}[label]) for i, x, label in rows]
+    got = embeddings.near_duplicates(spark.createDataFrame(big, "vec_id long, embedding array<double>, label long"))
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=str) == sorted(brute_vectors(big), key=str)
+
+
+def test_recall_of_single_pairs_at_the_threshold():
+    """Pairs at a cosine of exactly 0.93, without others to connect them, in some dimensions."""
+    rng = np.random.default_rng(0)
+    for dim, least in ((16, 0.97), (64, 0.97), (128, 0.97), (384, 0.93)):
+        a = rng.normal(size=(1000, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.normal(size=a.shape)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        (x, u), (y, v) = embeddings.bucket_codes(a), embeddings.bucket_codes(b)
+        met = ((x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)).any(axis=1)
+        met &= np.bitwise_count(u ^ v).sum(axis=1) <= embeddings.sketch_limit(np.array([dim]), 0.93)
+        assert met.mean() >= least, (dim, met.mean())
 
 
 def test_decontamination(spark):
