@@ -12,20 +12,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import checkpointed
 from .tables import table
 from .textops import ALNUM, Texts, chunks, mix, mix_int
 
-#: Each mask has six cared-for positions. An alignment with one substitution in
-#: every ten tokens leaves at least one of them whole around it.
+#: Each mask has six cared-for positions. Where one token in ten is substituted, at random, an
+#: item of twenty tokens or more keeps one of them whole almost always (``tests/llm`` measure it).
 MASKS = ("111111", "1101011001", "1100101101", "10110010011")
-#: The least share of an item's tokens that must agree, and the least number.
+#: Items of fewer than ``SHORT`` tokens have this mask as well.
+SHORT, SHORT_MASK = 16, "1111"
+#: The least share of an item's tokens that must agree, and the least number; all tokens of an item that has fewer.
 MIN_SHARE, MIN_TOKENS = 0.5, 8
-#: Test hashes that are held in each task; a larger test set is joined by shuffle.
+#: Test hashes that are held in each task (8 bytes each); a larger test set is joined by shuffle.
 HELD_HASHES = 2_000_000
+#: Rows (some 40 bytes each), and bytes of item tokens, that may be broadcast; more are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+#: Alignments of one text that are laid on it at a time.
+ALIGNMENTS = 1000
 
 
 def masked(hashes: np.ndarray, row: np.ndarray, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,10 +47,23 @@ def masked(hashes: np.ndarray, row: np.ndarray, mask: str, salt: int) -> tuple[n
     return mix(total), at
 
 
-def seeds(hashes: np.ndarray, row: np.ndarray, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """All masked hashes and their places."""
-    found = [masked(hashes, row, m, mix_int(i + 1)) for i, m in enumerate(masks)]
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+def mask_of(kind: int, masks: tuple[str, ...]) -> str:
+    """The mask of a kind of seed: one of ``masks``, the short one, or all of k tokens (from len(masks) + 1 on)."""
+    return masks[kind] if kind < len(masks) else SHORT_MASK if kind == len(masks) else "1" * (kind - len(masks))
+
+
+def kinds_of(n: int, masks: tuple[str, ...], least: int) -> list[int]:
+    """The kinds of seeds of an item of n tokens."""
+    if n < least:
+        return [len(masks) + n]
+    return [*range(len(masks)), *([len(masks)] if n < SHORT else [])]
+
+
+def seeds(hashes: np.ndarray, row: np.ndarray, masks: tuple[str, ...], kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All masked hashes of these kinds and their places."""
+    found = [masked(hashes, row, mask_of(k, masks), mix_int(k + 1)) for k in kinds]
+    none = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+    return tuple(np.concatenate(x) for x in zip(*(found or none), strict=True))
 
 
 def token_hashes(column: pa.Array) -> Iterator[tuple[Texts, np.ndarray, np.ndarray, np.ndarray]]:
@@ -54,38 +73,59 @@ def token_hashes(column: pa.Array) -> Iterator[tuple[Texts, np.ndarray, np.ndarr
         yield texts, words.hashes(), words.row, words.bounds
 
 
-ITEM_SEEDS = "hash long, item_id long, item_at int, item_tokens binary"
+ITEMS = "item_id long, item long, n int, tokens binary"
 
 
-def item_seeds(items: DataFrame, masks: tuple[str, ...] = MASKS, least: int = MIN_TOKENS) -> DataFrame:
-    """hash, item_id, item_at, item_tokens of every test item of at least ``least`` tokens."""
+def test_items(items: DataFrame) -> DataFrame:
+    """item_id, item (a hash of the tokens), n and the token hashes of every test item that has an id and a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("item_id").to_pylist()
-            for texts, hashes, row, bounds in token_hashes(batch.column("text")):
-                out: list[list] = [[], [], [], []]
-                for i in range(len(texts)):
-                    own = hashes[bounds[i] : bounds[i + 1]]
-                    if len(own) < least or ids[texts.first + i] is None:
-                        continue
-                    found, at = seeds(own, np.zeros(len(own), np.int64), masks)
-                    out[0] += found.view(np.int64).tolist()
-                    out[1] += [ids[texts.first + i]] * len(at)
-                    out[2] += at.tolist()
-                    out[3] += [own.tobytes()] * len(at)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                arrays = [pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["hash", "item_id", "item_at", "item_tokens"])
+            ids = batch.column("item_id").cast(pa.int64())
+            for texts, hashes, _, bounds in token_hashes(batch.column("text")):
+                own = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                item = [mix_int(int(mix(x + np.arange(len(x), dtype=np.uint64)).sum(dtype=np.uint64)) + len(x)) for x in own]
+                columns = [
+                    ids.slice(texts.first, len(texts)),
+                    pa.array(np.array(item, np.uint64).view(np.int64)),
+                    pa.array([len(x) for x in own], pa.int32()),
+                    pa.array([x.tobytes() for x in own], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["item_id", "item", "n", "tokens"])
+
+    return items.select("item_id", "text").mapInArrow(run, ITEMS).where("n > 0 and item_id is not null")
 
-    return items.select("item_id", "text").mapInArrow(run, ITEM_SEEDS)
 
+ITEM_SEEDS = "hash long, kind int, item long, n int, item_at int"
 
-HASHES = "doc_id long, hash long, at int"
 
+def item_seeds(tokens: DataFrame, masks: tuple[str, ...] = MASKS, least: int = MIN_TOKENS) -> DataFrame:
+    """hash, kind, item, n, item_at of the seeds of every item; ``tokens`` has item, n, tokens."""
 
-def document_seeds(docs: DataFrame, masks: tuple[str, ...], wanted: np.ndarray | None) -> DataFrame:
-    """doc_id, hash, at of the masked hashes of every text.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, n, raw in zip(*(batch.column(x).to_pylist() for x in ("item", "n", "tokens")), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                for kind in kinds_of(n, masks, least):
+                    found, at = seeds(own, np.zeros(n, np.int64), masks, [kind])
+                    many = len(at)
+                    columns = [
+                        pa.array(found.view(np.int64)),
+                        pa.array(np.full(many, kind, np.int32)),
+                        pa.array(np.full(many, item, np.int64)),
+                        pa.array(np.full(many, n, np.int32)),
+                        pa.array(at.astype(np.int32)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["hash", "kind", "item", "n", "item_at"])
+
+    return tokens.select("item", "n", "tokens").mapInArrow(run, ITEM_SEEDS)
+
+
+HASHES = "doc_id long, text_key long, hash long, at int"
+
+
+def document_seeds(docs: DataFrame, masks: tuple[str, ...], kinds: list[int], wanted: np.ndarray | None) -> DataFrame:
+    """doc_id, text_key, hash, at of the masked hashes of every text.
 
     With ``wanted`` (the sorted test hashes) only those leave the task; without
     it all do, and the join drops what has no partner.
@@ -101,8 +141,9 @@ def document_seeds(docs: DataFrame, masks: tuple[str, ...], wanted: np.ndarray |
             leading[known >> shift] = True
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
+            keys = batch.column("text_key")
             for texts, hashes, row, bounds in token_hashes(batch.column("text")):
-                found, at = seeds(hashes, row, masks)
+                found, at = seeds(hashes, row, masks, kinds)
                 if held is not None:
                     near = np.flatnonzero(leading[found >> shift])
                     place = np.minimum(np.searchsorted(known, found[near]), len(known) - 1)
@@ -110,92 +151,150 @@ def document_seeds(docs: DataFrame, masks: tuple[str, ...], wanted: np.ndarray |
                     found, at = found[near], at[near]
                 for part in range(0, len(at), 1 << 16):
                     p = slice(part, part + (1 << 16))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(row[at[p]] + texts.first)),
-                            pa.array(found[p].view(np.int64)),
-                            pa.array((at[p] - bounds[row[at[p]]]).astype(np.int32)),
-                        ],
-                        names=["doc_id", "hash", "at"],
-                    )
+                    rows = pa.array(row[at[p]] + texts.first)
+                    columns = [
+                        ids.take(rows),
+                        keys.take(rows),
+                        pa.array(found[p].view(np.int64)),
+                        pa.array((at[p] - bounds[row[at[p]]]).astype(np.int32)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "hash", "at"])
+
+    return keyed(docs).mapInArrow(run, HASHES)
+
+
+def text_key(text: str = "text") -> Column:
+    """Tells apart the texts of one doc_id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, HASHES)
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_key().alias("text_key"), "text")
 
 
-OVERLAPS = "doc_id long, item_id long, doc_start long, doc_end long, item_tokens int, matched int, substituted int"
+WINDOWS = "doc_id long, text_key long, item long, n int, diagonal int, low int, window binary"
 
 
-def verified(candidates: DataFrame, share: float, least: int) -> DataFrame:
-    """Overlaps of texts with items laid at ``diagonal`` whose tokens agree well enough."""
+def windows(texts: DataFrame) -> DataFrame:
+    """The tokens of a text that an item covers where its first token lies on ``diagonal``, from the item's token ``low`` on.
+
+    ``texts`` has doc_id, text_key, text and ``laid``, a list of (item, n, diagonal); each text is tokenized once for it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "item_id", "doc_start", "doc_end", "item_tokens", "matched", "substituted"]
+        names = [x.split()[0] for x in WINDOWS.split(", ")]
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            doc_ids, item_ids, shifts = (batch.column(x).to_pylist() for x in ("doc_id", "item_id", "diagonal"))
-            items = batch.column("item_tokens")
             for texts, hashes, _, bounds in token_hashes(batch.column("text")):
+                rows, item, n, diagonal, low, window = [], [], [], [], [], []
                 for i in range(len(texts)):
-                    k = texts.first + i
                     text = hashes[bounds[i] : bounds[i + 1]]
-                    item = np.frombuffer(items[k].as_buffer(), np.uint64)
-                    # token j of the item lies on token shift + j of the text
-                    shift = shifts[k]
-                    low, high = max(0, -shift), min(len(item), len(text) - shift)
-                    agree = low + np.flatnonzero(item[low:high] == text[low + shift : high + shift])
-                    if len(agree) < max(least, share * len(item)):
-                        continue
-                    start, end = shift + int(agree[0]), shift + int(agree[-1]) + 1
-                    values = (doc_ids[k], item_ids[k], start, end, len(item), len(agree), end - start - len(agree))
-                    for to, value in zip(out, values, strict=True):
-                        to.append(value)
-            kinds = (pa.int64(),) * 4 + (pa.int32(),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
-
-    return candidates.mapInArrow(run, OVERLAPS)
-
-
-def overlaps(
+                    for x in batch.column("laid")[texts.first + i].as_py():
+                        first = max(0, -x["diagonal"])
+                        rows.append(texts.first + i)
+                        item.append(x["item"])
+                        n.append(x["n"])
+                        diagonal.append(x["diagonal"])
+                        low.append(first)
+                        window.append(text[first + x["diagonal"] : x["n"] + x["diagonal"]].tobytes())
+                at = pa.array(rows, pa.int64())
+                ints = (pa.array(x, pa.int32()) for x in (n, diagonal, low))
+                columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(item, pa.int64()), *ints]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(window, pa.binary())], names=names)
+
+    return texts.select("doc_id", "text_key", "text", "laid").mapInArrow(run, WINDOWS)
+
+
+OVERLAPS = "doc_id long, text_key long, item long, doc_start long, doc_end long, item_tokens int, matched int, substituted int"
+
+
+def verified(laid: DataFrame, share: float, least: int) -> DataFrame:
+    """Those of ``laid`` (windows beside the item's tokens) that agree well enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in OVERLAPS.split(", ")]
+        for batch in batches:
+            kept, out = [], []
+            raw = (batch.column(x).to_pylist() for x in ("tokens", "window", "low", "diagonal"))
+            for i, (tokens, window, low, diagonal) in enumerate(zip(*raw, strict=True)):
+                item, text = np.frombuffer(tokens, np.uint64), np.frombuffer(window, np.uint64)
+                agree = low + np.flatnonzero(item[low : low + len(text)] == text)
+                if len(agree) < max(min(least, len(item)), share * len(item)):
+                    continue
+                start, end = diagonal + int(agree[0]), diagonal + int(agree[-1]) + 1
+                kept.append(i)
+                out.append((start, end, len(item), len(agree), end - start - len(agree)))
+            at = pa.array(kept, pa.int64())
+            found = np.ascontiguousarray(np.array(out, np.int64).reshape(-1, 5).T)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            columns = [batch.column(x).take(at) for x in ("doc_id", "text_key", "item")]
+            columns += [pa.array(x).cast(kind) for x, kind in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return laid.select("doc_id", "text_key", "item", "tokens", "window", "low", "diagonal").mapInArrow(run, OVERLAPS)
+
+
+def located(
     docs: DataFrame,
     items: DataFrame,
     masks: tuple[str, ...] = MASKS,
     share: float = MIN_SHARE,
     least: int = MIN_TOKENS,
     held_hashes: int = HELD_HASHES,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
+    """``overlaps`` with the text_key of each text."""
+    named = checkpointed(test_items(items))
+    tokens = named.select("item", "n", "tokens").dropDuplicates(["item"])
+    wanted = checkpointed(item_seeds(tokens, masks, least))
+    n, rows = wanted.agg(F.count_distinct("hash"), F.count("*")).first()
+    size = tokens.agg(F.sum("n")).first()[0] or 0
+    kinds = sorted(r["kind"] for r in wanted.select("kind").distinct().collect())
+    held = None
+    if n <= held_hashes:
+        held = np.sort(wanted.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
+        held = held if n else np.zeros(1, np.uint64)
+    # A shuffled join of hashes that very many texts share is split by adaptive execution.
+    places = wanted.select("hash", "item", "n", "item_at")
+    places = F.broadcast(places) if rows <= broadcast_rows else places.hint("merge")
+    hits = document_seeds(docs, masks, kinds, held).join(places, "hash")
+    # One alignment of a text and an item is verified once, however many seeds hit on it.
+    text = ["doc_id", "text_key"]
+    aligned = hits.select(*text, "item", "n", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    aligned = checkpointed(aligned)
+    many = checkpointed(aligned.groupBy(*text).count().where(F.col("count") > ALIGNMENTS))
+    parts = many.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.ceil(F.col("count") / ALIGNMENTS).alias("parts"))
+    parts = F.broadcast(parts) if parts.count() <= broadcast_rows else parts
+    of_text = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
+    part = F.pmod(F.xxhash64("item", "diagonal"), F.coalesce("parts", F.lit(1))).alias("part")
+    laid = aligned.join(parts, of_text, "left").groupBy(*text, part).agg(F.collect_list(F.struct("item", "n", "diagonal")).alias("laid"))
+    laid = checkpointed(laid.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "laid"))
+    few = aligned.count() <= broadcast_rows
+    texts = keyed(docs).join(F.broadcast(laid) if few else laid.hint("shuffle_hash"), of_text)
+    tokens = F.broadcast(tokens) if size * 8 <= BROADCAST_BYTES else tokens
+    found = verified(windows(texts).join(tokens.drop("n"), "item"), share, least).distinct()
+    ids = named.select("item", "item_id").distinct()
+    ids = F.broadcast(ids) if rows <= broadcast_rows else ids
+    return found.join(ids, "item")
+
+
+def overlaps(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Where training texts hold test items, substitutions allowed.
 
     One row per doc_id, item_id and place (doc_start, doc_end in tokens): the
-    item's number of tokens, how many agree (``matched``, at least ``share`` of
+    item's number of tokens, how many agree (``matched``, at least the ``share`` of
     the item's and ``least``) and how many between the first and the last of them
     do not (``substituted``). Tokens are runs of letters, digits and non-ASCII
-    bytes, A-Z as a-z. Items with fewer than ``least`` tokens, or null, cannot
-    tell contamination from chance and match nothing; null and empty texts hold
+    bytes, A-Z as a-z. An item with fewer than ``least`` tokens matches where all of
+    them stand, unchanged. Items without an id or a token match nothing; null and empty texts hold
     nothing. Repeated rows give their overlaps once; a null doc_id is kept as
     null. Empty tables give no rows. Other columns are ignored.
 
     Up to ``held_hashes`` different test hashes filter the training hashes inside
     the tasks; beyond that all training hashes are joined by shuffle. In the same
-    way up to as many candidates are broadcast to the texts, more are shuffled.
+    way tables up to ``broadcast_rows`` are broadcast to the texts, larger ones are shuffled.
     """
-    wanted = item_seeds(items, masks, least).persist()
-    n = wanted.agg(F.count_distinct("hash")).first()[0]
-    small = n <= held_hashes
-    held = None
-    if small:
-        held = np.sort(wanted.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
-        held = held if n else np.zeros(1, np.uint64)
-    places = wanted.select("hash", "item_id", "item_at")
-    hits = document_seeds(docs, masks, held).join(F.broadcast(places) if small else places, "hash")
-    # One alignment of a text and an item is verified once, however many seeds hit on it.
-    aligned = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    tokens = wanted.select("item_id", "item_tokens").distinct()
-    aligned = checkpointed(aligned.join(F.broadcast(tokens) if small else tokens, "item_id"))
-    few = aligned.count() <= held_hashes
-    aligned = F.broadcast(aligned) if few else aligned.hint("shuffle_hash")
-    texts = docs.select("doc_id", "text").join(aligned, docs["doc_id"].eqNullSafe(aligned["doc_id"]))
-    texts = texts.select(docs["doc_id"], "text", "item_id", "diagonal", "item_tokens")
-    return verified(texts, share, least).distinct()
+    names = ("doc_id", "item_id", "doc_start", "doc_end", "item_tokens", "matched", "substituted")
+    return located(docs, items, **options).select(*names).distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -209,8 +308,10 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no test item; rows without a doc_id stay."""
-    return docs.join(contaminated(docs, items, **options).select("doc_id"), "doc_id", "left_anti")
+    """The rows of ``docs`` whose text holds no test item, with or without a doc_id."""
+    found = located(docs, items, **options).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
+    same = F.col("docs.doc_id").eqNullSafe(F.col("found.d")) & (text_key("docs.text") == F.col("found.k"))
+    return docs.alias("docs").join(found.alias("found"), same, "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,17 +267,57 @@ def test_decontamination(spark):
         (7, ""),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    items = spark.createDataFrame([(1, " ".join(item)), (2, "too short"), (3, None), (None, " ".join(item))], "item_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "not there"), (3, None), (None, " ".join(item))], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.overlaps(docs, items).collect()}
     assert set(got) == {1, 2, 5}
     assert (got[1]["doc_start"], got[1]["doc_end"], got[1]["matched"], got[1]["substituted"]) == (40, 60, 20, 0)
     assert (got[2]["matched"], got[2]["substituted"]) == (17, 3)
-    shuffled = {tuple(r) for r in decontaminate.overlaps(docs, items, held_hashes=0).collect()}
+    shuffled = {tuple(r) for r in decontaminate.overlaps(docs, items, held_hashes=0, broadcast_rows=0).collect()}
     assert shuffled == {tuple(r) for r in got.values()}
     assert sorted(r["doc_id"] for r in decontaminate.without_contaminated(docs, items).collect()) == [3, 4, 6, 7]
     assert decontaminate.overlaps(docs, items.limit(0)).count() == 0
 
 
+def brute_overlaps(text, item, share=0.5, least=8):
+    """(start, end, matched) of every alignment of two lists of tokens that agrees well enough."""
+    out = set()
+    for shift in range(-len(item) + 1, len(text)):
+        agree = [j for j in range(max(0, -shift), min(len(item), len(text) - shift)) if item[j] == text[shift + j]]
+        if len(agree) >= max(min(least, len(item)), share * len(item)):
+            out.add((shift + agree[0], shift + agree[-1] + 1, len(agree)))
+    return out
+
+
+@pytest.mark.parametrize("rate, recall", [(0.0, 1.0), (0.1, 0.99), (0.2, 0.9)])
+def test_decontamination_of_random_substitutions(spark, rate, recall):
+    rng = np.random.default_rng(12)
+    word = lambda: f"t{rng.integers(0, 3000)}"
+    items = {i: [word() for _ in range(int(n))] for i, n in enumerate(rng.integers(20, 61, 60))}
+    texts = {}
+    for i in range(200):
+        copy = [word() if rng.random() < rate else w for w in items[i % 60]]
+        texts[i] = [word() for _ in range(30)] + copy + [word() for _ in range(30)]
+    frame = lambda rows, names: spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], names)
+    found = decontaminate.overlaps(frame(texts, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"], r["doc_start"], r["doc_end"], r["matched"]) for r in found}
+    want = {(d, i, *x) for d, t in texts.items() for i, w in items.items() for x in brute_overlaps(t, w)}
+    assert got <= want and len(want) >= 190 and len(got) >= recall * len(want)
+
+
+def test_short_items_and_many_alignments(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ALIGNMENTS", 3)
+    items = {1: "one", 2: "alpha beta gamma delta eps zeta eta", 3: "a b c d e f g h i j", 4: "x y " * 10}
+    texts = {1: "none here but one", 2: "so alpha beta gamma delta eps zeta eta ends", 3: "alpha beta gamma delta eps zeta", 4: "a b c d X f g h i j", 5: "x y " * 30, None: "one"}
+    frame = lambda rows, names: spark.createDataFrame(list(rows.items()), names)
+    docs = frame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["doc_start"], r["doc_end"], r["matched"]) for r in decontaminate.overlaps(docs, frame(items, "item_id long, text string")).collect()}
+    want = {(d, i, *x) for d, t in texts.items() for i, w in items.items() for x in brute_overlaps(t.lower().split(), w.split())}
+    sure = {x for x in want if x[4] >= 16 or x[1] != 4}
+    assert got <= want and sure <= got and {x[:2] for x in got} == {(1, 1), (2, 2), (4, 3), (5, 4), (None, 1)}
+    kept = decontaminate.without_contaminated(docs.withColumn("text_key", F.lit(1)).withColumn("d", F.lit(1)), frame(items, "item_id long, text string"))
+    assert [r["doc_id"] for r in kept.collect()] == [3]
+
+
 def test_decontamination_finds_every_benchmark_copy(spark, sf_dir, docs):
     bench = [(r["item_id"], re.findall(r"[^\W_]+", r["text"].lower())) for r in table(spark, sf_dir, "benchmark").collect()]
     want = set()
