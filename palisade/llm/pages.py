@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,15 +29,17 @@ BROADCAST_SUBTREES = 500_000
 
 #: HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp".split())
+RAW = frozenset("script style textarea title noscript iframe xmp".split())
 BOILERPLATE = frozenset(
-    "head script style noscript template iframe nav header footer aside form button select option input label "
-    "textarea menu dialog svg canvas object embed audio video figure figcaption map".split()
+    "head title script style noscript template iframe nav header footer aside form button select option input "
+    "textarea menu dialog svg canvas object embed audio video map".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rb rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
+#: Elements that end no block of text: the inline ones, and what is never shown.
+FLOWING = INLINE | {"script", "style", "template"}
 CONTENT = frozenset(("article", "main"))
 #: Elements that their names never make noise.
 ROOTS = CONTENT | {"html", "body"}
@@ -57,12 +60,15 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav "
     "ol pre section table ul".split()
 )
-#: Class, id or role names that mark what is not the article: whole names, made of such words and of those that say where
+#: Elements whose names never make noise: what an author writes with.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table tr td th dl dt dd".split())
+#: Class, id or role names that mark what a site says anew on every page beside its articles (menus, adverts, notices,
+#: comments), which no count of equal subtrees can tell: whole names, made of such words and of those that say where
 #: or what it is. Others, as has-sidebar or share-enabled, speak of the page.
 NOISE_WORD = (
     r"(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|"
     r"foot|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo\w*|related|"
-    r"replies|search|share|sharing|sidebar|side|social|sponsor\w*|subscribe|subscription|tags|toc|toolbar|widget|"
+    r"replies|search|share|sharing|sidebar|social|sponsor\w*|subscribe|subscription|toc|toolbar|widget|"
     r"complementary|contentinfo)"
 )
 PLACE_WORD = (
@@ -73,86 +79,129 @@ NOISE = re.compile(
     rf"(?:^|\s)(?:{PLACE_WORD}[_-]+)*{NOISE_WORD}(?:[_-]+(?:{NOISE_WORD}|{PLACE_WORD}))*(?:$|\s)",
     re.I,
 )
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S,
-)
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Attributes up to the end of a tag. A quote opens a value only after an equals sign; one that is never closed is
+#: a character of an unquoted value. All repetitions are possessive: a tag is read once.
+_VALUES = {'"': r'"[^"]*+"', "'": r"'[^']*+'"}
+ATTRIBUTES = {
+    quotes: re.compile(r"((?:[^>=]++|=\s*+(?:" + "".join(_VALUES[q] + "|" for q in quotes) + r"[^\s>]*+))*+)>")
+    for quotes in ("", '"', "'", "\"'")
+}
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+NAMES = re.compile(r"(?<![^\s/\"'])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 
+def tags(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of the texts (kind ""), start ("<") and end tags ("/") of a page, in one pass."""
+    n, at = len(source), 0
+    last = {q: source.rfind(q) for q in _VALUES}
+    while at < n:
+        low = source.find("<", at)
+        if low < 0:
+            yield "", source[at:], ""
+            return
+        if low > at:
+            yield "", source[at:low], ""
+        mark = source[low + 1 : low + 2]
+        if mark in ("!", "?"):
+            if source.startswith("<!--", low):
+                end = source.find("-->", low + 2)
+                at = end + 3 if end >= 0 else n
+            elif source.startswith("<![CDATA[", low):
+                end = source.find("]]>", low)
+                yield "", source[low + 9 : end if end >= 0 else n], ""
+                at = end + 3 if end >= 0 else n
+            else:
+                end = source.find(">", low)
+                at = end + 1 if end >= 0 else n
+            continue
+        name = NAME.match(source, low + 1 + (mark == "/"))
+        if name is None:
+            yield "", "<", ""
+            at = low + 1
+            continue
+        quotes = "".join(q for q in _VALUES if last[q] >= name.end())
+        found = ATTRIBUTES[quotes].match(source, name.end())
+        if found is None and quotes:
+            # The last quote of the page may open a value that never ends.
+            found = ATTRIBUTES[""].match(source, name.end())
+        at = found.end() if found else n
+        tag = name[0].lower()
+        yield ("/" if mark == "/" else "<"), tag, found[1] if found else source[name.end() :]
+        if mark != "/" and tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>?", re.I).search(source, at)
+            yield "/", tag, ""
+            at = end.end() if end else n
+
+
 class Page:
     """A parsed page: text runs with the number of their block, and elements with where they begin and end.
 
     ``runs`` are (block, text). ``elements`` are (parent, tag, first run, end run,
-    noise, inside content, names).
+    noise, inside content, names). With ``hashed``, ``digests`` has a hash of every subtree that holds text.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, hashed: bool = True):
         self.runs: list[tuple[int, str]] = []
         self.elements: list[list] = []
         self.stack: list[int] = []
+        self.open: Counter[str] = Counter()
         self.block = 0
+        self.hashed = hashed
+        #: What each open element holds so far, and the hashes of the closed ones.
+        self.inner: list[list[bytes]] = []
+        self.digests: list[bytes | None] = []
         #: For each element whether its names, and whether its kind or attributes, make it noise.
         self.marks: list[tuple[bool, bool]] = []
-        at = 0
-        for m in TAG.finditer(source):
-            if m.start() < at:
-                continue  # inside a raw element
-            if m.start() > at:
-                self._text(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
-                if m[0].startswith("<![CDATA["):
-                    self._text(m[0][9:-3])
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                self._end(tag)
-                continue
-            self._start(tag, m[3] or "")
-            if tag in VOID or (m[3] or "").endswith("/") and tag not in RAW:
-                self._close(len(self.stack) - 1)
-            elif tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                at = end.end() if end else len(source)
-                self._close(len(self.stack) - 1)
-        if at < len(source):
-            self._text(source[at:])
+        for kind, name, attributes in tags(source):
+            if not kind:
+                self._text(name)
+            elif kind == "/":
+                self._end(name)
+            else:
+                self._start(name, attributes)
+                if name in VOID or attributes.endswith("/") and name not in RAW:
+                    self._close(len(self.stack) - 1)
         self._close(0)
         self._settle()
 
     def _text(self, text: str) -> None:
-        self.runs.append((self.block, html.unescape(text)))
+        text = html.unescape(text)
+        self.runs.append((self.block, text))
+        if self.hashed and self.inner and (words := " ".join(text.split())):
+            self.inner[-1].append(words.encode("utf-8", "surrogatepass"))
 
     def _start(self, tag: str, attributes: str) -> None:
         ends, fence = CLOSES.get(tag, (None, None))
         if ends or tag in CLOSES_P:
             ends, fence = ends or {"p"}, fence or {"article", "section", "div", "td", "th", "li", "body"}
             low = None
-            for i in range(len(self.stack) - 1, -1, -1):
-                name = self.elements[self.stack[i]][1]
-                if name in ends:
-                    low = i
-                if name in fence and name not in ends:
-                    break
+            if any(self.open[x] for x in ends):
+                for i in range(len(self.stack) - 1, -1, -1):
+                    name = self.elements[self.stack[i]][1]
+                    if name in ends:
+                        low = i
+                    if name in fence and name not in ends:
+                        break
             if low is not None:
                 self._close(low)
-        if tag not in INLINE:
+        if tag not in FLOWING:
             self.block += 1
         parent = self.stack[-1] if self.stack else -1
         names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)) if attributes else ""
         up = self.elements[parent] if parent >= 0 else None
         inside = tag in CONTENT or bool(up and up[5])
-        named = bool(names and tag not in ROOTS and NOISE.search(names))
+        named = bool(names and tag not in ROOTS and tag not in PROSE and NOISE.search(names))
         hidden = bool(attributes and tag not in ("html", "body") and HIDDEN.search(attributes))
-        # The article's own heading may stand in a <header>, its pictures in a <figure>.
+        # The article's own heading may stand in a <header>.
         own = tag == "header" and bool(up and up[5])
         self.marks.append((named, not own and (tag in BOILERPLATE or hidden)))
         self.elements.append([parent, tag, len(self.runs), None, False, inside, names])
         self.stack.append(len(self.elements) - 1)
+        self.open[tag] += 1
+        self.inner.append([])
+        self.digests.append(None)
 
     def _settle(self) -> None:
         """Tell noise, which what is inside inherits; names do not make noise of an element that holds all articles."""
@@ -162,7 +211,7 @@ class Page:
             barred.append(fixed or parent >= 0 and barred[parent])
             if tag in CONTENT and not barred[-1] and (parent < 0 or not self.elements[parent][5]):
                 up = set()
-                while parent >= 0:
+                while parent >= 0 and (around is None or around):
                     up.add(parent)
                     parent = self.elements[parent][0]
                 around = up if around is None else around & up
@@ -171,20 +220,31 @@ class Page:
             element[4] = up >= 0 and self.elements[up][4] or fixed or named and i not in (around or ())
 
     def _end(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.elements[self.stack[i]][1] == tag:
-                self._close(i)
-                return
-        if tag == "p" or tag not in INLINE:
+        if self.open[tag]:
+            for i in range(len(self.stack) - 1, -1, -1):
+                name = self.elements[self.stack[i]][1]
+                if name == tag:
+                    self._close(i)
+                    return
+                if tag in INLINE and name not in INLINE:
+                    return  # a stray end inside a block closes nothing outside it
+        if tag not in FLOWING:
             self.block += 1
 
     def _close(self, low: int) -> None:
         """Close the open elements from the place ``low`` of the stack on."""
         for i in range(len(self.stack) - 1, low - 1, -1):
-            element = self.elements[self.stack[i]]
+            at = self.stack[i]
+            element, held = self.elements[at], self.inner.pop()
             element[3] = len(self.runs)
-            if element[1] not in INLINE:
+            self.open[element[1]] -= 1
+            if element[1] not in FLOWING:
                 self.block += 1
+            if held:
+                shape = f"<{element[1]} {element[6]}>".encode("utf-8", "surrogatepass")
+                self.digests[at] = xxhash.xxh64_digest(b"\0".join((shape, *held)))
+                if self.inner:
+                    self.inner[-1].append(b"\1" + self.digests[at])
         if low >= 0:
             del self.stack[low:]
 
@@ -195,42 +255,41 @@ class Page:
         those without text never are template of their own. Nor are headings and
         paragraphs of an article: an author may say the same in many articles.
         """
-        out: list[int | None] = [None] * len(self.elements)
-        inner: list[list[str]] = [[] for _ in self.elements]
-        for i in range(len(self.elements) - 1, -1, -1):
-            parent, tag, first, end, noise, inside, names = self.elements[i]
-            text = SPACE.sub(" ", "".join(t for _, t in self.runs[first:end])).strip()
-            shape = f"<{tag} {names}>" + "".join(reversed(inner[i]))
-            if parent >= 0:
-                inner[parent].append(shape)
+        out: list[int | None] = []
+        for (parent, tag, _, _, _, inside, _), digest in zip(self.elements, self.digests, strict=True):
             outer = parent < 0 or not self.elements[parent][4]
             part = tag in PARTS if inside else tag not in INLINE
-            if text and outer and part and tag not in ("html", "body", *CONTENT):
-                out[i] = xxhash.xxh64_intdigest(f"{shape}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+            fits = digest and outer and part and tag not in ("html", "body", *CONTENT)
+            out.append(int.from_bytes(digest, "little", signed=True) if fits else None)
         return out
 
     def text(self, hashes: list[int | None], template: frozenset[int]) -> str:
         """The main text: what no template, boilerplate or noise holds, of the article if there is one."""
         n = len(self.runs)
-        dropped, content = bytearray(n), bytearray(n)
         articles = False
+        # Elements are in page order: what a dropped or an article's element covers is marked by steps at its ends.
+        drop, keep = [0] * (n + 1), [0] * (n + 1)
         for (parent, tag, first, end, noise, inside, _), h in zip(self.elements, hashes, strict=True):
             if noise or (h is not None and h in template):
-                dropped[first:end] = b"\1" * (end - first)
+                drop[first] += 1
+                drop[end] -= 1
             elif tag in CONTENT and (parent < 0 or not self.elements[parent][5]):
-                content[first:end] = b"\1" * (end - first)
+                keep[first] += 1
+                keep[end] -= 1
                 articles = True
-        blocks: list[str] = []
-        last = None
+        blocks: list[list[str]] = []
+        last, dropped, kept = None, 0, 0
         for i, (block, text) in enumerate(self.runs):
-            if dropped[i] or (articles and not content[i]):
+            dropped += drop[i]
+            kept += keep[i]
+            if dropped or (articles and not kept):
                 continue
             if block == last:
-                blocks[-1] += text
+                blocks[-1].append(text)
             else:
-                blocks.append(text)
+                blocks.append([text])
                 last = block
-        return " ".join(filter(None, (SPACE.sub(" ", b).strip() for b in blocks)))
+        return " ".join(filter(None, (SPACE.sub(" ", "".join(b)).strip() for b in blocks)))
 
 
 def host(url: str = "url") -> Column:
@@ -249,8 +308,8 @@ def subtree_counts(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, found = [], []
-            for i, source in enumerate(batch.column("html").to_pylist()):
-                own = {x for x in Page(source or "").subtree_hashes() if x is not None}
+            for i, source in enumerate(batch.column("html")):
+                own = {x for x in Page(source.as_py() or "").subtree_hashes() if x is not None}
                 hosts += [i] * len(own)
                 found += own
             at = pa.array(hosts, pa.int64())
@@ -289,9 +348,9 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, template in zip(*(batch.column(x).to_pylist() for x in ("html", "template")), strict=True):
-                page = Page(source or "")
-                known = frozenset(template or ())
+            for source, template in zip(batch.column("html"), batch.column("template"), strict=True):
+                known = frozenset(template.as_py() or ())
+                page = Page(source.as_py() or "", hashed=bool(known))
                 texts.append(page.text(page.subtree_hashes() if known else [None] * len(page.elements), known))
             n_chars = pa.array([len(t) for t in texts], pa.int64())
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), n_chars]
@@ -303,4 +362,5 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages: see ``main_text``."""
     return main_text(table(spark, sf_dir, "pages"))

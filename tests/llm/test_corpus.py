@@ -3,7 +3,7 @@
 import itertools
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -501,6 +501,89 @@ def test_names_of_the_page_are_no_noise(source):
     assert page.text([None] * len(page.elements), frozenset()) == "own words"
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<p data-x=it's>One two</p><p>don't stop</p><p>end</p>", "One two don't stop end"),
+        ('<p title="open>lost</p><p>end', "lost end"),
+        ("<p title='a>b' class=x>in</p> <a href=\"x\"y>after", "in after"),
+        ("<article><figure><figcaption>A caption</figcaption></figure><p class=tags>kept</p><p class='share'>too</p><label>and</label></article>", "A caption kept too and"),
+        ("a <!-- b > c --> d <![CDATA[e]]> f <? g ?> h <!-- i", "a d e f h"),
+        ("1 < 2 <b>x</b><script>if (a</b) '</p>'</script>y</script> z", "1 < 2 xy z"),
+        ("<p>one <b>two<p>three</b> four</div></p>five", "one two three four five"),
+        ("<title>t</title><textarea><p>x</textarea>k&eacute;&#x4e2d;&amp;amp;&nbsp;e", "ké中&amp; e"),
+        ("<p>" + "<b>" * 3 + "deep" + "</i>" * 3 + "</p>x", "deep x"),
+        ("", ""),
+        ("<", "<"),
+    ],
+)
+def test_tags_follow_the_standard(source, want):
+    page = pages.Page(source)
+    assert page.text([None] * len(page.elements), frozenset()) == want
+
+
+def test_pages_take_linear_time():
+    import time
+
+    shapes = [
+        lambda n: "<a b=" * n + "'",
+        lambda n: '<p x="y ' * n + "text",
+        lambda n: "<div>" * n + "x",
+        lambda n: "<b>" * n + "x" + "</i>" * n,
+        lambda n: "<div><p>" * n + "</b>" * n,
+        lambda n: "<!-- " * n,
+        lambda n: "<article>" * n + "x",
+        lambda n: "<p>x" * n,
+        lambda n: "<a =" * n + ">" * n,
+    ]
+    for k, shape in enumerate(shapes):
+        took = []
+        for n in (10_000, 40_000):
+            began = time.perf_counter()
+            page = pages.Page(shape(n))
+            page.text(page.subtree_hashes(), frozenset((1,)))
+            took.append(time.perf_counter() - began)
+        assert took[1] < 8 * took[0] + 0.5, (k, took)
+
+
+def test_articles_of_sites_are_found_whole(spark):
+    """Words of hand-made articles against those of the extracted texts: precision and recall."""
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{rng.integers(0, 400)}" for _ in range(n))
+    layouts = [
+        "<body><div id=top><h2>The Daily Site</h2><ul class=menu><li>{x}</ul></div><div class=story>{a}</div><div class='post-comments'><p>{y}</p></div><div id=legal><p>All rights of this site</p></div></body>",
+        "<header><a>Home</a></header><main><article>{a}<div class='share'>tell friends</div></article><section id='comments'>{y}</section></main><aside>{x}</aside><footer>imprint</footer>",
+        "<nav>{x}</nav><div class='cookie-notice'>We use cookies</div><div class='box'><p>Read our letter, free of charge</p></div><article>{a}</article><div class='sidebar'>{y}</div>",
+        "<table><tr><td><p>Site wide links and words</p></td><td>{a}</td></tr></table><form><label>mail</label><input></form><div class='ad-slot'>{x}</div>",
+    ]
+    rows, want = [], {}
+    for i in range(80):
+        parts = [words(30) for _ in range(4)]
+        article = "".join(f"<p>{x}</p>" if k else f"<h1>{x}</h1>" for k, x in enumerate(parts))
+        rows.append((i, f"http://s{i % 4}.example/{i}", layouts[i % 4].format(a=article, x=words(6), y=words(12))))
+        want[i] = " ".join(parts)
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    both = sum(sum((Counter(got[i].split()) & Counter(want[i].split())).values()) for i in want)
+    precision, recall = both / sum(len(t.split()) for t in got.values()), both / sum(len(t.split()) for t in want.values())
+    assert recall == 1 and precision > 0.99, (precision, recall)
+
+
+def test_templates_equal_a_plain_count(spark):
+    """Subtrees counted by host in plain Python, over different pages, against Spark's."""
+    page = "<div><p>Welcome to {0}</p></div><div><p>own words {1}</p></div><ul><li>a<li>b</ul>"
+    rows = [(i, f"http://h{i % 3}.example/{i}", page.format(i % 3, i // 2)) for i in range(60)]
+    want, sizes = defaultdict(set), defaultdict(set)
+    for _, url, source in rows:
+        host = url.split("/")[2]
+        sizes[host].add(source)
+        for h in pages.Page(source).subtree_hashes():
+            if h is not None:
+                want[host, h].add(source)
+    want = {k for k, v in want.items() if len(v) >= max(pages.MIN_PAGES, pages.MIN_SHARE * len(sizes[k[0]]))}
+    got = pages.site_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r["host"], r["subtree"]) for r in got} == want and want
+
+
 def test_site_templates_go(spark):
     page = "<html><body><div><p>Welcome to our site</p></div><div><p>own words {}</p></div></body></html>"
     rows = [(i, f"http://h.example/{i}", page.format(f"n{i}")) for i in range(8)] + [(9, "http://other.example/", page.format("n9"))]
