@@ -8,20 +8,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .graph import checkpointed
 from .textops import ALNUM, LOWER, Texts, chunks
 
 
-def bounded_sample(rows: DataFrame, label: Column, bound: int, key: str = "doc_id") -> DataFrame:
-    """About ``bound`` rows at most of each value of ``label``, chosen by the hash of their key.
+def enough(bound: int) -> float:
+    """So many are expected of a draw that gives ``bound`` almost surely."""
+    return bound + 5 * bound**0.5 + 5
 
-    The share taken follows from one grouped count, so every value keeps up to
-    ``bound`` rows however rare it is. Rows without a label are left out.
+
+def bounded_sample(rows: DataFrame, label: Column, bound: int, total: int | None = None) -> DataFrame:
+    """label, text: at most ``bound`` different texts of each value of ``label``, chosen by their hashes.
+
+    The share taken follows from one grouped count of different texts, so every
+    value keeps up to ``bound`` however rare it is, copies of a text count once
+    and ids have no part in it; what the hashes give beyond the bound is cut off in their order. With ``total``,
+    the bound is at most an equal part of it for each label (one text at the least). Rows without a label are left out.
+    """
+    rows = rows.select(label.alias("label"), "text", F.xxhash64("text").alias("h")).where("label is not null")
+    counts = rows.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("texts"))
+    if total is not None:
+        bound = max(1, min(bound, total // max(1, counts.count())))
+    shares = counts.select(F.col("label").alias("of"), (enough(bound) / F.col("texts")).alias("share"))
+    chance = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    some = rows.join(shares, F.col("label") == F.col("of")).where(chance < F.col("share"))
+    some = some.groupBy("label", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("label").orderBy(chance, "h")  # little more than the bound
+    return some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= bound).select("label", "text")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, bound: int) -> DataFrame:
+    """``bounded_sample`` of the texts of ``docs`` by ``labels``, which has each doc_id once; written, as it is read again.
+
+    At most about ``bound`` ids of each label go to the texts.
     """
-    rows = rows.withColumn("_label", label).where("_label is not null")
-    shares = rows.groupBy("_label").count().withColumn("_share", bound / F.col("count")).drop("count")
-    chance = F.pmod(F.xxhash64(F.col(key), F.lit(20)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(F.broadcast(shares), "_label").where(chance < F.col("_share")).drop("_share")
+    ids = labels.select("doc_id", label.alias("label")).where("label is not null and doc_id is not null")
+    shares = ids.groupBy(F.col("label").alias("of")).agg((enough(bound) / F.count("*")).alias("share"))
+    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(20)), F.lit(1 << 30)) / float(1 << 30)
+    ids = ids.join(shares, F.col("label") == F.col("of")).where(chance < F.col("share"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "label")), "doc_id")
+    return checkpointed(bounded_sample(checkpointed(texts.select("label", "text")), F.col("label"), bound))
 
 
 def letter_gram_counts(texts: Texts, dims: int, sizes: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
@@ -101,20 +129,33 @@ def has_letter(text: str = "text") -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def scored(docs: DataFrame, columns: list[str], schema: str, score) -> DataFrame:
-    """``docs`` with what ``score(Texts)``, a list of arrays, gives for its whole texts."""
-    kept = [f"`{name}` {kind}" for name, kind in docs.dtypes if name in columns]
+def scored(
+    docs: DataFrame, columns: list[str], schema: str, score, derived: dict[str, Column] | None = None, results: dict[str, Column] | None = None
+) -> DataFrame:
+    """``columns`` of ``docs`` with what ``score(Texts)``, a list of arrays, gives for its whole texts.
+
+    ``derived`` are further columns beside those of ``schema``, and ``results`` what is
+    returned of both (by default all of ``schema``). A column of ``docs`` that has the name of a result is left out.
+    """
+    names, derived = [x.split()[0] for x in schema.split(", ")], derived or {}
+    results = results or {x: F.col(x) for x in names}
+    columns = [x for x in columns if x not in results]
+    kinds = dict(docs.dtypes)
+    # Inside, columns go by number: none of theirs can clash with ours.
+    inner = docs.select(
+        *[F.col(f"`{x}`").alias(f"_{i}") for i, x in enumerate(columns)],
+        *[c.alias(x) for x, c in derived.items()],
+        F.col("text").alias("_text"),
+    )
+    kept = [f"_{i} {kinds[x]}" for i, x in enumerate(columns)] + [f"{x} {kind}" for x, kind in inner.dtypes if x in derived]
+    passed = [x.split()[0] for x in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            rest = batch.select(columns)
-            for texts in chunks(batch.column("text")):
+            rest = batch.select(passed)
+            for texts in chunks(batch.column("_text")):
                 part = rest.slice(texts.first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, *score(texts)], names=[*columns, *names])
-
-    order = {name: i for i, name in enumerate(columns)}
-    kept.sort(key=lambda x: order[x.split("`")[1]])
-    more = [] if "text" in columns else ["text"]
-    return docs.select(*columns, *more).mapInArrow(run, ", ".join([*kept, schema]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *score(texts)], names=[*passed, *names])
 
+    found = inner.mapInArrow(run, ", ".join([*kept, schema]))
+    return found.select(*[F.col(f"_{i}").alias(x) for i, x in enumerate(columns)], *[c.alias(x) for x, c in results.items()])

@@ -19,12 +19,8 @@ from .features import bounded_sample, has_letter, letter_gram_counts, scored
 from .tables import held_out, table
 
 DIMS = 4096
-#: Labelled texts per language that the classifiers are fitted on, at most.
-FIT_ROWS = 600
-#: Languages of one model, at most.
-MAX_LANGUAGES = 256
-#: Scores below this are ambiguous.
-AMBIGUOUS = 0.35
+#: Labelled texts per language that the classifiers are fitted on, at most, and of all languages together.
+FIT_ROWS, FIT_TOTAL = 600, 12_000
 UNKNOWN = "und"
 
 
@@ -37,10 +33,11 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
         return np.array([[1 if m >> i & 1 else -1 for m in masks] for i in range(n)], np.int8)
     bits = int(np.ceil(10 * np.log2(n)))
     rng, best, best_distance = np.random.default_rng(seed), None, -1
-    for _ in range(200):
+    for _ in range(int(np.clip(4_000_000 // n**2, 1, 200))):
         code = rng.choice(np.array([-1, 1], np.int8), size=(n, bits))
         code = code[:, np.abs(code.sum(axis=0)) < n]  # a bit that all languages share says nothing
-        far = (code[:, None, :] != code[None, :, :]).sum(axis=2)
+        wide = code.astype(np.float32)
+        far = (code.shape[1] - wide @ wide.T) / 2  # Hamming distances
         distance = far[np.triu_indices(n, 1)].min()
         if distance > best_distance:
             best, best_distance = code, distance
@@ -67,6 +64,7 @@ class Model:
     code: np.ndarray
     weights: np.ndarray
     reliability: np.ndarray  # (languages, bits), rows add up to 1
+    undecided: float = 0.0  # scores below are ambiguous
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights[:-1] + 0.3 * self.weights[-1]
@@ -84,29 +82,36 @@ class Model:
         return best, (near[:, 1] - near[:, 0]) / np.maximum(near[:, 1] + near[:, 0], 1e-12)
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, dims: int = DIMS) -> Model | None:
-    """A model of at most ``fit_rows`` texts of each language, from rows that are not held out."""
+def least_reliable(score: np.ndarray, right: np.ndarray) -> float:
+    """The greatest score below which texts that were not fitted on are as often told wrong as right; 0 if there is none."""
+    order = np.argsort(score, kind="stable")
+    wrong = np.cumsum(~right[order])
+    bad = np.flatnonzero(2 * wrong >= np.arange(1, len(order) + 1))
+    return float(np.nextafter(score[order][bad[-1]], 1)) if len(bad) else 0.0
+
+
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, dims: int = DIMS, total: int = FIT_TOTAL) -> Model | None:
+    """A model of at most ``fit_rows`` texts of each language and some ``total`` in all, from rows that are not held out."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & has_letter())
-    sample = bounded_sample(known, F.col("lang"), fit_rows).select("_label", "text")
+    sample = bounded_sample(known, F.col("lang"), fit_rows, total)
 
     def features(texts):
         x = letter_gram_counts(texts, dims)
         return [pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())]
 
-    rows = scored(sample, ["_label"], "x binary", features).toPandas()
+    rows = scored(sample, ["label"], "x binary", features).toPandas()
     if not len(rows):
         return None
-    rows = rows.sort_values(["_label", "x"], kind="stable")
-    languages = sorted(rows["_label"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = rows.sort_values(["label", "x"], kind="stable")
+    languages = sorted(rows["label"].unique())
     x = np.stack([np.frombuffer(v, np.float16) for v in rows["x"]]).astype(np.float32)
-    at = rows["_label"].map({v: i for i, v in enumerate(languages)}).to_numpy()
+    at = rows["label"].map({v: i for i, v in enumerate(languages)}).to_numpy()
     code = codewords(len(languages))
     y = code[at].astype(np.float32)
     # A bit's reliability for a language is its accuracy on texts it was not fitted on.
     part = np.arange(len(x)) % 4 == 0
-    if 0 < part.sum() < len(x):
+    tried = 0 < part.sum() < len(x)
+    if tried:
         trial = fit_bits(x[~part], y[~part])
         right = (x[part] @ trial[:-1] + 0.3 * trial[-1]) * y[part] > 0
         seen = at[part]
@@ -119,7 +124,11 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, dims: int = DIMS) -> Model |
         else:
             reliability[i] += 1
     reliability /= reliability.sum(axis=1, keepdims=True)
-    return Model(languages, code, fit_bits(x, y), reliability)
+    undecided = 0.0
+    if tried:
+        best, score = Model(languages, code, trial, reliability).decode(x[part])
+        undecided = least_reliable(score, best == seen)
+    return Model(languages, code, fit_bits(x, y), reliability, undecided)
 
 
 def predict(docs: DataFrame, model: Model | None, columns: list[str], dims: int = DIMS) -> DataFrame:
@@ -127,10 +136,9 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str], dims: int
 
     A text that is null or has no letter, or a model of no language, gives
     ``und``, 0 and true. The score is 0 where the two best codewords are equally
-    near, and grows towards 1 with the distance between them.
+    near, and grows towards 1 with the distance between them. Ambiguous are scores with which labelled texts, held
+    back while the model was fitted, were told wrong as often as right. A column with the name of a result is left out.
     """
-    columns = [*columns, "_letter"]
-    docs = docs.withColumn("_letter", has_letter())
 
     def score(texts):
         if model is None:
@@ -140,15 +148,14 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str], dims: int
         names = pa.array(model.languages if model else [UNKNOWN], pa.string())
         return [names.take(pa.array(best)), pa.array(np.clip(value, 0, 1).astype(np.float64))]
 
-    found = scored(docs, columns, "lang_pred string, score double", score)
-    letter = F.col("_letter")
-    value = F.when(letter, F.col("score")).otherwise(0.0)
-    return found.select(
-        *columns[:-1],
-        F.when(letter, F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        value.alias("score"),
-        (value < AMBIGUOUS).alias("ambiguous"),
-    )
+    letter = F.col("letter") & F.lit(model is not None)
+    value = F.when(letter, F.col("value")).otherwise(0.0)
+    results = {
+        "lang_pred": F.when(letter, F.col("lang_told")).otherwise(UNKNOWN),
+        "score": value,
+        "ambiguous": ~letter | (value < (model.undecided if model else 1.0)),
+    }
+    return scored(docs, columns, "lang_told string, value double", score, {"letter": has_letter()}, results)
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -161,6 +168,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, columns: list[s
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out: see ``identify``."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     found = predict(docs.select("doc_id", "text", "held_out"), fit(docs), ["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")

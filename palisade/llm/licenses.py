@@ -49,7 +49,64 @@ TEMPLATES = (
     ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to the public domain"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "all rights reserved"),
+    # whole licenses
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+        "files the software to deal in the software without restriction including without limitation the rights to use copy modify "
+        "merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
+        "furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be "
+        "included in all copies or substantial portions of the software the software is provided as is without warranty of any kind "
+        "express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+        "noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+        "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or "
+        "other dealings in the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies the software is provided as is "
+        "and the author disclaims all warranties with regard to this software including all implied warranties of merchantability "
+        "and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages "
+        "whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action "
+        "arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+        "conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the "
+        "following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+        "the following disclaimer in the documentation and or other materials provided with the distribution this software is "
+        "provided by the copyright holders and contributors as is and any express or implied warranties including but not limited "
+        "to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the "
+        "copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages "
+        "including but not limited to procurement of substitute goods or services loss of use data or profits or business "
+        "interruption however caused and on any theory of liability whether in contract strict liability or tort including "
+        "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any "
+        "damages arising from the use of this software permission is granted to anyone to use this software for any purpose "
+        "including commercial applications and to alter it and redistribute it freely subject to the following restrictions the "
+        "origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    ),
+    (
+        "boost",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license the software to use reproduce display distribute execute and transmit the software "
+        "and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so",
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed "
+        "to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of "
+        "any kind either express or implied see the license for the specific language governing permissions and limitations under "
+        "the license",
+    ),
 )
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -79,13 +136,13 @@ def template_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def text_words(text: str = "text") -> Column:
-    """Words of a text (null: none): letters, digits and other non-ASCII characters, in lower case."""
-    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS), "")
+    """Words of a text (null: none): letters, digits and other non-ASCII characters, A-Z as a-z."""
+    return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, UPPER.lower()), SEPARATORS), "")
 
 
 def votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """Template k-grams found on each diagonal of each text; every text also has one row of template -1."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text_words().alias("w"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), text_words().alias("w"))
     rows = rows.withColumn("n_words", F.size("w"))
     at = F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n_words") - K, F.lit(-1))))
     rows = rows.select("doc_id", "text_hash", "n_words", "w", at.alias("p"))
@@ -104,7 +161,7 @@ def votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
         hits.repartition(n, "doc_id", "text_hash")
         .withColumn("diagonal", F.col("p") - F.col("place"))
         .groupBy(*text, "template", "label", "base", "n_grams", "template_words", "diagonal")
-        .agg(F.collect_set("place").alias("places"), F.min("p").alias("low"), (F.max("p") + K).alias("high"))
+        .agg(F.collect_set("place").alias("places"), F.min("p").alias("low"), (F.max("p") + K).alias("high"), F.count("*").alias("votes"))
     )
 
 
@@ -132,8 +189,7 @@ def scan(docs: DataFrame, phrases=BASE_PHRASES, templates=TEMPLATES) -> DataFram
     (their least and greatest start; null without one), base_labels and labels
     (sorted, distinct, joined by commas; labels has those of verified spans too)
     and score (the best cover of a verified span; 1 for a base phrase; else 0).
-    A null text is empty and has no words. Rows that repeat both doc_id and text
-    give one result; null ids are kept. An empty table gives no rows. Other
+    A null text is empty and has no words. Repeated rows give a result each; null ids are kept. An empty table gives no rows. Other
     columns are ignored.
     """
     # Three branches below read the votes, some rows a text: they are made once.
@@ -142,13 +198,13 @@ def scan(docs: DataFrame, phrases=BASE_PHRASES, templates=TEMPLATES) -> DataFram
     text = ["doc_id", "text_hash", "n_words"]
     # A phrase stands wherever one diagonal has all of its k-grams; there it starts at the diagonal's own number.
     places = voted.where("base and size(places) = n_grams").select(
-        *text, "label", "diagonal", F.lit(1.0).alias("cover")
+        *text, "label", "diagonal", F.lit(1.0).alias("cover"), F.lit(0).cast("long").alias("rows")
     )
     spans = license_spans(voted.where("template >= 0")).select(
-        *text, "label", F.lit(None).cast("int").alias("diagonal"), "cover"
+        *text, "label", F.lit(None).cast("int").alias("diagonal"), "cover", F.lit(0).cast("long").alias("rows")
     )
     marks = voted.where("template < 0").select(
-        *text, F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("diagonal"), F.lit(0.0).alias("cover")
+        *text, F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("diagonal"), F.lit(0.0).alias("cover"), F.col("votes").alias("rows")
     )
     base = F.when(F.col("diagonal").isNotNull(), F.col("label"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
@@ -163,7 +219,9 @@ def scan(docs: DataFrame, phrases=BASE_PHRASES, templates=TEMPLATES) -> DataFram
             joined(base).alias("base_labels"),
             joined("label").alias("labels"),
             F.max("cover").alias("score"),
+            F.sum("rows").alias("rows"),
         )
+        .withColumn("row", F.explode(F.expr("sequence(1, rows)")))
         .select(
             "doc_id",
             F.col("n_words").cast("long").alias("n_words"),
@@ -178,16 +236,17 @@ def scan(docs: DataFrame, phrases=BASE_PHRASES, templates=TEMPLATES) -> DataFram
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of all documents by the base phrases and the templates: see ``scan``."""
     return scan(table(spark, sf_dir, "documents"))
 
 
 ORACLE = f"""
 WITH templates(template, label, base, n_grams, template_words, place, words) AS (VALUES {_values(template_rows())}),
 texts AS (
-  SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents
+  SELECT doc_id, coalesce(text, '') AS text, count(*) AS n FROM documents GROUP BY ALL
 ),
 split AS (
-  SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '{SEPARATORS}'), lambda x: x <> '') AS w FROM texts
+  SELECT doc_id, text, n, list_filter(regexp_split_to_array(translate(text, '{UPPER}', '{UPPER.lower()}'), '{SEPARATORS}'), lambda x: x <> '') AS w FROM texts
 ),
 grams AS (
   SELECT doc_id, text, unnest(range(0, len(w) - {K - 1})) AS p, w FROM split
@@ -230,5 +289,5 @@ SELECT s.doc_id, CAST(len(s.w) AS BIGINT) AS n_words, CAST(coalesce(f.n_base, 0)
        coalesce(array_to_string(f.base_labels, ','), '') AS base_labels,
        coalesce(array_to_string(f.labels, ','), '') AS labels,
        CAST(coalesce(f.score, 0) AS DOUBLE) AS score
-FROM split s LEFT JOIN summed f ON s.doc_id IS NOT DISTINCT FROM f.doc_id AND s.text = f.text
+FROM (SELECT *, unnest(range(n)) FROM split) s LEFT JOIN summed f ON s.doc_id IS NOT DISTINCT FROM f.doc_id AND s.text = f.text
 """

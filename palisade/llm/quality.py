@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .features import bounded_sample, scored
+from .features import labelled_sample, scored
 from .tables import held_out, table
 from .textops import WORD, Texts, chunks, grams
 
@@ -131,7 +131,7 @@ class Model:
     mean: np.ndarray  # of all statistics, and their scale: what the classes are standardised by
     scale: np.ndarray
     centres: list[np.ndarray]
-    factors: list[np.ndarray]  # Cholesky factors of the class covariances
+    factors: list[np.ndarray]  # Cholesky factors of the class covariances, inverted once
     priors: np.ndarray
 
     def log_densities(self, x: np.ndarray) -> np.ndarray:
@@ -139,8 +139,8 @@ class Model:
         x = np.clip((x - self.mean) / self.scale, -8, 8)
         out = []
         for centre, factor in zip(self.centres, self.factors, strict=True):
-            z = np.linalg.solve(factor, (x - centre).T)
-            out.append(-0.5 * (z**2).sum(axis=0) - np.log(np.diag(factor)).sum())
+            z = factor @ (x - centre).T
+            out.append(-0.5 * (z**2).sum(axis=0) + np.log(np.diag(factor)).sum())
         return np.column_stack(out)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -163,23 +163,23 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = bounded_sample(known, F.when(F.col("quality") > 0, 1).otherwise(0), fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "quality")), "doc_id")
+    rows = labelled_sample(docs, known, F.when(F.col("quality") > 0, 1).otherwise(0), fit_rows)
     p = len(STATISTICS)
 
     def sums(batches):
         total = np.zeros((2, 1 + p + p * p))
         for batch in batches:
-            quality = np.asarray(batch.column("quality")) > 0
+            quality = np.asarray(batch.column("label")) > 0
             for texts in chunks(batch.column("text")):
-                x = statistics(texts)
+                # On this grid all sums are exact, and so do not depend on the order in which tasks end.
+                x = np.round(statistics(texts) * 4096) / 4096
                 which = quality[texts.first : texts.first + len(texts)]
                 for c in (0, 1):
                     v = x[which == c]
                     total[c] += np.concatenate([[len(v)], v.sum(axis=0), (v.T @ v).reshape(-1)])
         yield pa.RecordBatch.from_pandas(pd.DataFrame({"c": [0, 1], "v": list(total)}))
 
-    summed = rows.select("text", "quality").mapInArrow(sums, "c long, v array<double>")
+    summed = rows.mapInArrow(sums, "c long, v array<double>")
     flat = summed.select("c", F.posexplode("v").alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("v"))
     got = flat.toPandas()
     total = np.zeros((2, 1 + p + p * p))
@@ -197,12 +197,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     covs = [x / np.outer(scale, scale) for x in covs]
     pooled = sum(n[c] * covs[c] for c in (0, 1)) / n.sum()
     covs = [covs[c] if n[c] >= LEAST_ROWS else pooled for c in (0, 1)]
-    factors = [np.linalg.cholesky(shrunk(x, pooled)) for x in covs]
+    factors = [np.linalg.inv(np.linalg.cholesky(shrunk(x, pooled))) for x in covs]
     return Model(mean, scale, list(centres), factors, n / n.sum())
 
 
 def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
-    """``columns`` with score (0 to 1) and predicted (1 from ``GOOD_FROM`` on). Without a model the score is 0.5."""
+    """``columns`` with score (0 to 1) and predicted (1 from ``GOOD_FROM`` on). Without a model the score is 0.5.
+
+    A column with the name of a result is left out.
+    """
 
     def score(texts):
         value = np.full(len(texts), 0.5) if model is None else model.score(statistics(texts))
@@ -222,6 +225,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, columns: list[str] | Non
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learnt from labels that are not held out: see ``score_documents``."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     model = fit(docs, table(spark, sf_dir, "labels"))
     return predict(docs.select("doc_id", "text", "held_out"), model, ["doc_id", "held_out"])

@@ -14,15 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .features import Known, bounded_sample, scored, word_features
+from .features import Known, labelled_sample, scored, word_features
 from .tables import held_out, table
 from .textops import Texts
 
 #: Labelled texts of each label that the model is fitted on, at most.
 FIT_ROWS = 2500
-#: Features kept, and the log odds and log likelihood ratio that they need: words that are a
-#: little commoner in one label, as those of a topic or language, would add up in long texts.
-FEATURES, ODDS, EVIDENCE = 4096, 3.5, 20.0
+#: Features kept at most, by evidence, and the log likelihood ratio that each needs.
+FEATURES, EVIDENCE = 50_000, 10.0
 #: Grades: none, mild, serious, severe.
 GRADES = 4
 #: Expected severity from which a text counts as toxic.
@@ -56,10 +55,18 @@ def grade_labels(toxic: np.ndarray, strength: np.ndarray, grades: int = GRADES)
 
 
 def fit_ordinal(
-    x: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, dims: int, grades: int, rounds: int = 400, ridge: float = 1e-3
+    x: list[tuple[np.ndarray, np.ndarray]],
+    grade: np.ndarray,
+    dims: int,
+    grades: int,
+    toxic_share: float | None = None,
+    rounds: int = 400,
+    ridge: float = 1e-3,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds that maximise the likelihood of ``grade``; x has (feature, value) of each text.
 
+    ``toxic_share`` is that of all labelled texts, however many of each label the sample has (by default its own).
+
     The gradient is spread over the sparse entries; thresholds are a first one
     and positive steps, so they stay in order.
     """
@@ -69,8 +76,8 @@ def fit_ordinal(
     w = np.zeros(dims)
     first, steps = 1.0, np.zeros(grades - 2)
     y = (grade[:, None] > np.arange(grades - 1)[None, :]).astype(float)
-    # Each side of the first threshold weighs alike, however rare toxic texts are in the sample.
-    share = np.where(grade > 0, 0.5 / max((grade > 0).sum(), 1), 0.5 / max((grade == 0).sum(), 1))
+    toxic_share = (grade > 0).mean() if toxic_share is None else toxic_share
+    share = np.where(grade > 0, toxic_share / max((grade > 0).sum(), 1), (1 - toxic_share) / max((grade == 0).sum(), 1))
     moments = [np.zeros(dims + grades - 1), np.zeros(dims + grades - 1)]
     for t in range(1, rounds + 1):
         thresholds = first + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
@@ -94,10 +101,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grades: in
     Held-out rows are not learnt from. A row labelled twice with different
     values counts as toxic.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = bounded_sample(known, F.when(F.col("toxic") > 0, 1).otherwise(0), fit_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "_label")), "doc_id")
+    known_labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    known_labels = known_labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = labelled_sample(docs, known_labels, F.when(F.col("toxic") > 0, 1).otherwise(0), fit_rows)
 
     def features(batch):
         row, h, n = word_features(batch)
@@ -105,11 +111,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grades: in
         lists = [pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))]
         return [pa.ListArray.from_arrays(pa.array(low), x) for x in lists]
 
-    rows = scored(texts, ["_label"], "h array<long>, n array<int>", features)
+    rows = scored(texts, ["label"], "h array<long>, n array<int>", features)
     # Features of one text only prove nothing: they never reach the driver.
-    flat = rows.select("_label", F.explode(F.array_distinct("h")).alias("h"))
-    common = flat.groupBy("h").agg(F.count("*").alias("n"), F.sum("_label").alias("k")).where("k >= 5 or n - k >= 5")
-    total = rows.agg(F.count("*"), F.sum("_label")).first()
+    flat = rows.select("label", F.explode(F.array_distinct("h")).alias("h"))
+    common = flat.groupBy("h").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where("k >= 5 or n - k >= 5")
+    total = rows.agg(F.count("*"), F.sum("label")).first()
     n, k = int(total[0]), int(total[1] or 0)
     if not 0 < k < n:
         return None
@@ -118,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grades: in
     clean = F.col("n") - F.col("k")
     part = lambda x, share: F.when(x > 0, x * F.log(x / F.col("n") / share)).otherwise(0.0)
     evidence = 2 * (part(F.col("k"), k / n) + part(clean, (n - k) / n))
-    ranked = common.where((F.abs(odds) >= ODDS) & (evidence >= EVIDENCE)).select("h", odds.alias("z"), evidence.alias("e"))
+    ranked = common.where(evidence >= EVIDENCE).select("h", odds.alias("z"), evidence.alias("e"))
     kept = ranked.orderBy(F.desc("e"), "h").limit(FEATURES).toPandas()
     if not len(kept):
         return None
@@ -135,21 +141,22 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grades: in
         return [pa.ListArray.from_arrays(pa.array(low), x) for x in lists]
 
     # At most 2 * fit_rows texts of at most FEATURES entries each.
-    fitted = scored(texts, ["doc_id", "_label"], "at array<int>, x array<double>", sparse).toPandas()
-    fitted = fitted.sort_values("doc_id", kind="stable")
+    fitted = scored(texts.withColumn("h", F.xxhash64("text")), ["h", "label"], "at array<int>, x array<double>", sparse).toPandas()
+    fitted = fitted.sort_values(["label", "h"], kind="stable")
     x = [(np.array(a, int), np.array(v, float)) for a, v in zip(fitted["at"], fitted["x"], strict=True)]
-    toxic = fitted["_label"].to_numpy()
+    toxic = fitted["label"].to_numpy()
     strength = np.array([np.maximum(z[a], 0) @ v for a, v in x])
     grade = grade_labels(toxic, strength, grades)
-    weights, thresholds = fit_ordinal(x, grade, len(vocabulary), grades)
+    share = known_labels.agg(F.avg((F.col("toxic") > 0).cast("int"))).first()[0]
+    weights, thresholds = fit_ordinal(x, grade, len(vocabulary), grades, share)
     return Model(vocabulary, weights, thresholds)
 
 
 def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
     """``columns`` with severity (expected grade), grade (the likeliest) and toxic.
 
-    A text without evidence for toxicity (a null or empty one, and any where there
-    is no model) has severity and grade 0 and is not toxic.
+    A text without a feature (a null or empty one too) has the severity that the fitted thresholds give it; without a
+    model all are 0. A column with the name of a result is left out.
     """
 
     known = Known(model.features) if model else None
@@ -157,7 +164,6 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFra
     def score(texts):
         sums = np.zeros(len(texts)) if model is None else model.sums(texts, known)
         above = np.zeros((len(texts), GRADES - 1)) if model is None else model.above(sums)
-        above[sums <= 0] = 0
         exact = np.hstack([np.ones((len(texts), 1)), above]) - np.hstack([above, np.zeros((len(texts), 1))])
         severity = above.sum(axis=1)
         return [pa.array(severity), pa.array(exact.argmax(axis=1).astype(np.int32)), pa.array(severity >= TOXIC_FROM)]

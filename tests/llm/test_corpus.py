@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palisade.llm import binary, decontaminate, embeddings, graph, language, licenses, packing, pages, quality, shingles, tokens, toxicity
+from palisade.llm import binary, decontaminate, embeddings, features, graph, language, licenses, packing, pages, quality, shingles, tokens, toxicity
 from palisade.llm.queries import ORACLES, QUERIES
-from palisade.llm.tables import table
+from palisade.llm.tables import held_out, table
 from palisade.llm.textops import ALNUM, WORD, chunks
 
 ODD = [
@@ -466,6 +466,19 @@ def test_licenses(spark):
     assert [(got[i]["n_words"], got[i]["labels"], got[i]["first_word"], got[i]["score"]) for i in (4, 5)] == [(2, "", None, 0.0), (0, "", None, 0.0)]
 
 
+def test_license_query_equals_its_sql_on_odd_rows(spark, odd):
+    import pandas as pd
+
+    rows = [(i, t) for i, t in ODD] + [(1, ""), (1, None), (20, "UNDER THE MİT LICENSE under the mit licensE"), (21, " ".join(licenses.TEMPLATES[-6][1].split()[:150]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = sorted(map(tuple, c.sql(f"select {', '.join(columns)} from ({ORACLES['op5_licenses']})").fetchall()), key=str)
+    got = sorted((tuple(r[x] for x in columns) for r in licenses.scan(docs).collect()), key=str)
+    assert got == want and len(got) == len(rows)
+
+
 def test_licenses_use_no_python(spark, sf_dir):
     plan = QUERIES["op5_licenses"](spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -619,6 +632,80 @@ def test_quality(spark, sf_dir, docs):
     assert sum(r["predicted"] == r["quality"] for r in got) >= 0.9 * len(got)
 
 
+def test_quality_equals_a_plain_discriminant(spark, sf_dir, docs):
+    """Means, shrunk covariances and densities by numpy over the labelled rows, and no change from run to run."""
+    import pyarrow as pa
+
+    labels = table(spark, sf_dir, "labels").where("quality is not null")
+    rows = docs.join(labels, "doc_id").where(~held_out()).select("text", "quality").collect()
+    x = np.vstack([quality.statistics(t) for t in chunks(pa.array([r["text"] for r in rows]))])
+    x = np.round(x * 4096) / 4096
+    y = np.array([r["quality"] for r in rows])
+    mean, scale = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-8))
+    z = (x - mean) / scale
+    covs = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).mean() * covs[c] for c in (0, 1))
+    logs = []
+    for c in (0, 1):
+        cov, d = quality.shrunk(covs[c], pooled), np.clip(z, -8, 8) - z[y == c].mean(axis=0)
+        logs.append(-0.5 * (d @ np.linalg.inv(cov) * d).sum(axis=1) - 0.5 * np.linalg.slogdet(cov)[1] + np.log((y == c).mean()))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+    model = quality.fit(docs, labels)
+    assert np.allclose(model.score(x), want, atol=1e-6)
+    again = quality.fit(docs.repartition(7), labels)
+    assert all((a == b).all() for a, b in zip(model.factors + model.centres, again.factors + again.centres))
+
+
+def test_samples_keep_their_bound(spark):
+    rows = [(7, f"text number {i}", "a") for i in range(1000)] + [(None, f"no id {i}", "b") for i in range(1000)]
+    rows += [(9, "copies of one text", "c")] * 1000 + [(1, "rare", "d"), (2, None, "e"), (3, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(r["label"] for r in features.bounded_sample(docs, F.col("lang"), 60).collect())
+    assert got == {"a": got["a"], "b": got["b"], "c": 1, "d": 1, "e": 1} and all(got[x] == 60 for x in "ab")
+    few = Counter(r["label"] for r in features.bounded_sample(docs, F.col("lang"), 60, total=50).collect())
+    assert all(n <= 10 for n in few.values()) and set(few) == set("abcde")
+    labels = spark.createDataFrame([(7, 1), (9, 0), (1, 0)], "doc_id long, toxic int")
+    got = Counter(r["label"] for r in features.labelled_sample(docs, labels, F.col("toxic"), 60).collect())
+    assert got[1] == 60 and got[0] == 2
+
+
+@pytest.mark.parametrize("columns", [["doc_id", "score"], ["doc_id", "_share", "label", "letter", "value", "_0", "h"]])
+def test_columns_that_clash(spark, odd, columns):
+    names = ["_share", "label", "letter", "value", "_0", "h", "_text", "of", "text_key", "d", "in_0", "key"]
+    docs = odd.select("doc_id", "text", "lang", "score", *[F.lit(3).alias(x) for x in names])
+    labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    for found, results in (
+        (language.identify(docs, columns=columns), ["lang_pred", "score", "ambiguous"]),
+        (toxicity.grade_documents(docs, labels, columns), ["severity", "grade", "toxic"]),
+        (quality.score_documents(docs, labels, columns), ["score", "predicted"]),
+    ):
+        assert found.columns == [x for x in columns if x not in results] + results
+        assert len(found.collect()) == len(ODD)
+
+
+def test_very_many_languages(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{j}" for j in range(5)), f"l{i % 300}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, dims=256, total=100)
+    assert len(model.languages) > 256 and language.predict(docs, model, ["doc_id"], dims=256).count() == 600
+
+
+def test_ambiguity_is_where_errors_begin():
+    score, right = np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([False, True, False, True, True])
+    assert 0.4 < language.least_reliable(score, right) < 0.41 and language.least_reliable(score, score > 0) == 0
+
+
+def test_toxicity_of_held_out_documents(spark, sf_dir):
+    """Area under the curve of severity against the label, and the decisions, on rows that are not learnt from."""
+    big = sf_dir.replace("sf0.001", "sf0.1")  # the smaller ones have too few toxic labels to learn from
+    labels = table(spark, big, "labels").select("doc_id", F.col("toxic").alias("label"))
+    got = [r for r in QUERIES["op4_toxicity"](spark, big).join(labels, "doc_id").where("label is not null").collect() if r["held_out"]]
+    high, low = ([r["severity"] for r in got if r["label"] == x] for x in (1, 0))
+    area = np.mean([(a > b) + 0.5 * (a == b) for a in high for b in low])
+    assert area > 0.97, area
+    assert sum(r["toxic"] == (r["label"] == 1) for r in got) >= 0.97 * len(got)
+
+
 def test_toxicity_learns_words(spark):
     rng = np.random.default_rng(6)
     plain = [f"word{i}" for i in range(300)]
@@ -644,7 +731,11 @@ def test_ordinal_thresholds_stay_in_order():
 def results(docs, spark):
     labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
+    pages_of = docs.selectExpr("doc_id page_id", "lang url", "text html", "n_chars", "'x' text")
+    vectors = docs.selectExpr("doc_id vec_id", "array(cast(length(text) as double), 1d) embedding", "lang label", "1 rep", "2 cid", "3 block")
     return {
+        "html": pages.main_text(pages_of),
+        "embeddings": embeddings.near_duplicates(vectors),
         "jaccard": shingles.jaccard_components(docs),
         "decontaminate": decontaminate.overlaps(docs, items),
         "toxicity": toxicity.grade_documents(docs, labels),
@@ -660,7 +751,9 @@ def test_odd_rows(spark, odd):
     got = {k: v.collect() for k, v in results(odd, spark).items()}
     n = len(ODD)
     assert {k: len(got[k]) for k in ("jaccard", "toxicity", "language", "quality")} == dict.fromkeys(("jaccard", "toxicity", "language", "quality"), n)
-    assert len(got["licenses"]) == n - 1  # the repeated row gives one result
+    assert len(got["licenses"]) == n
+    assert len(got["html"]) == len(got["embeddings"]) == n and {r["n_links"] for r in got["embeddings"] if r["vec_id"] == 1} == {0}
+    assert sorted(r["text"] for r in got["html"] if r["page_id"] in (1, 2, 3, 5, 7)) == ["", "", ""] + ["one two"] * 3
     by = {r["doc_id"]: r for r in got["jaccard"]}
     assert [by[i]["n_shingles"] for i in (1, 2, 3, 4)] == [0, 0, 0, 1]
     assert [by[i]["component_id"] for i in (1, 2, 3, 5, 7)] == [1, 2, 3, 5, 5]
