@@ -129,20 +129,18 @@ def type_edges(nodes: DataFrame) -> DataFrame:
 
 
 def attack_paths(edges: DataFrame, starts: DataFrame, max_nodes: int = 6) -> DataFrame:
-    """Simple paths of up to ``max_nodes`` nodes from the starts, one for each set of tools (the least path)."""
+    """Simple paths of up to ``max_nodes`` nodes from the starts, one for each set of nodes (the least path): nodes, n, path."""
     step = edges.select("src", "dst")
     now = starts.select(F.array("node").alias("path"), F.col("node").alias("last"))
     found = None
     for _ in range(max_nodes - 1):
         now = now.join(step, now["last"] == step["src"]).where(~F.array_contains("path", F.col("dst")))
         now = now.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"))
-        # Paths over the same tools to the same end go on alike: one is kept.
-        names = F.array_sort(F.transform("path", lambda n: n["name"]))
-        now = now.groupBy("last", names.alias("names")).agg(F.min("path").alias("path")).select("path", "last")
+        # Paths over the same nodes to the same end go on alike: one is kept.
+        now = now.groupBy("last", F.array_sort("path").alias("nodes")).agg(F.min("path").alias("path")).select("path", "last")
         found = now if found is None else found.unionByName(now)
-    names = F.array_sort(F.transform("path", lambda n: n["name"]))
-    first = found.groupBy(names.alias("names")).agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("best"))
-    return first.select("names", F.col("best.n").alias("n"), F.col("best.path").alias("path"))
+    first = found.groupBy(F.array_sort("path").alias("nodes")).agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("best"))
+    return first.select("nodes", F.col("best.n").alias("n"), F.col("best.path").alias("path"))
 
 
 def escalations(edges: DataFrame, tools: DataFrame, max_steps: int = 4) -> DataFrame:
@@ -191,25 +189,27 @@ def word_set(text: Column) -> Column:
 def match_advisories(findings: DataFrame, advisories: DataFrame, mapped: list[str], min_score: float = 0.3) -> DataFrame:
     """The best score of each (rule, advisory): 0.4 word Jaccard + 0.4 rule has a weakness class + 0.2 severity.
 
-    Every kind of finding is held against every advisory, as the score asks for:
-    a finding of a mapped rule scores 0.4 at least. Findings are reduced to their
-    distinct kinds (rule, title, description, severity) first, and advisories are
-    one side of a nested-loop join whose size is checked by Spark.
+    Different sets of words of findings and of advisories meet by the words that they share. Without a shared word only
+    findings of a mapped rule, of which there are few kinds, can reach ``min_score`` above 0.2: their
+    rules and severities, as many as ``mapped`` allows, meet every advisory, as the score asks for.
     """
-    kinds = findings.select("rule_id", "title", "description", "severity").distinct()
-    kinds = kinds.withColumn("words", word_set(F.concat_ws(" ", "title", "description")))
-    other = advisories.select("cve_id", F.col("severity").alias("cve_severity"), word_set(F.col("description")).alias("cve_words"))
-    pairs = kinds.join(other)
-    common = F.size(F.array_intersect("words", "cve_words"))
-    jaccard = F.coalesce(F.try_divide(common, F.size(F.array_union("words", "cve_words"))), F.lit(0.0))
+    severity = severity_match(F.col("severity"), F.col("cve_severity"))
     weakness = F.when(F.col("rule_id").isin(mapped), 0.4).otherwise(0.0)
-    score = 0.4 * jaccard + weakness + 0.2 * severity_match(F.col("severity"), F.col("cve_severity"))
-    return (
-        pairs.withColumn("score", score)
-        .where(F.col("score") >= min_score)
-        .groupBy("rule_id", "cve_id")
-        .agg(F.max("score").alias("score"))
-    )
+    kinds = findings.select("rule_id", F.array_sort(word_set(F.concat_ws(" ", "title", "description"))).alias("words"), "severity").distinct()
+    other = advisories.select("cve_id", F.col("severity").alias("cve_severity"), F.array_sort(word_set(F.col("description"))).alias("cve_words"))
+    a = kinds.select("words").distinct().select("words", F.explode("words").alias("word"))
+    b = other.select("cve_words").distinct().select("cve_words", F.explode("cve_words").alias("word"))
+    common = a.join(b, "word").groupBy("words", "cve_words").agg(F.count("*").alias("common"))
+    union = F.size("words") + F.size("cve_words") - F.col("common")
+    alike = common.select("words", "cve_words", (F.col("common") / union).alias("jaccard"))
+    met = kinds.join(alike, "words").join(other, "cve_words")
+    scored = met.select("rule_id", "cve_id", (0.4 * F.col("jaccard") + weakness + 0.2 * severity).alias("score"))
+    if min_score <= 0.2:
+        apart = kinds.select("rule_id", "severity").distinct()
+    else:
+        apart = kinds.where(F.col("rule_id").isin(mapped)).select("rule_id", "severity").distinct()
+    apart = apart.join(other.select("cve_id", "cve_severity")).select("rule_id", "cve_id", (weakness + 0.2 * severity).alias("score"))
+    return scored.unionByName(apart).groupBy("rule_id", "cve_id").agg(F.max("score").alias("score")).where(F.col("score") >= min_score)
 
 
 def nearest_known(names: DataFrame, known: DataFrame, limit: int = 2) -> DataFrame:

@@ -34,15 +34,25 @@ def transport_findings(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: Fixed value: the first profile without sessions.
+STATELESS_PROFILE = "2026-07-28"
+
+
 def auth_findings(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """R112: checks that failed. A null is a check that was not made, and no finding."""
+    """R112: checks that failed, and a session under a profile that has none. A null is a check that was not made.
+
+    ``rows`` has pkce, iss, app_type, and uses_session and protocol_version where sessions were looked at.
+    """
+    if "uses_session" not in rows.columns:
+        rows = rows.withColumns({"uses_session": F.lit(None).cast("boolean"), "protocol_version": F.lit(None).cast("string")})
     return _each(
         rows,
         keys,
         [
             ("no PKCE", "high", F.col("pkce") == F.lit(False)),
-            ("no issuer check", "medium", F.col("iss") == F.lit(False)),
-            ("no application type", "low", F.col("app_type") == F.lit(False)),
+            ("no issuer check", "high", F.col("iss") == F.lit(False)),
+            ("no application type", "medium", F.col("app_type") == F.lit(False)),
+            ("session in a stateless profile", "medium", F.col("uses_session") & (F.col("protocol_version") >= STATELESS_PROFILE)),
         ],
     )
 
@@ -59,13 +69,13 @@ def fingerprint_drift(rows: DataFrame) -> DataFrame:
         rows,
         ["server_id", "seen"],
         [
-            ("first scan", "low", F.col("nth") == 1),
+            ("first scan", "medium", F.col("nth") == 1),
             ("version rollback", "critical", differs("server_version") & (change == "rollback")),
-            ("major upgrade", "medium", differs("server_version") & (change == "major_upgrade")),
+            ("major upgrade", "high", differs("server_version") & (change == "major_upgrade")),
             ("tool list changed", "high", differs("tool_hash")),
+            ("TLS downgrade", "high", later & (tls_order("tls_version") < tls_order("old_tls_version"))),
+            ("endpoint changed", "high", differs("endpoint")),
             ("protocol changed", "medium", differs("protocol_version")),
-            ("endpoint changed", "medium", differs("endpoint")),
-            ("TLS downgrade", "critical", later & (tls_order("tls_version") < tls_order("old_tls_version"))),
         ],
     )
 

@@ -16,9 +16,9 @@ from ..functions.text import entropy, name_parts, printable_share, unicode_patte
 
 #: Names that are reported as they are.
 DANGEROUS_NAMES = (
-    "eval exec system shell bash cmd subprocess os rm del delete drop truncate kill shutdown reboot sudo su chmod chown "
-    "format fdisk"
-).split()
+    "eval", "exec", "system", "shell", "bash", "cmd", "subprocess", "os", "rm", "del", "delete", "drop", "truncate",
+    "kill", "shutdown", "reboot", "sudo", "su", "chmod", "chown", "format", "fdisk",
+)
 
 #: Hidden code points.
 HIDDEN_POINTS = (
@@ -72,6 +72,8 @@ SECRETS = (
     ("Generic secret prefix", "critical", r"secret-[a-zA-Z0-9]{32,}"),
     ("Generic token prefix", "critical", r"token-[a-zA-Z0-9]{32,}"),
 )
+#: Long runs, tokens that look like credentials, what is stripped from them, and the entropy that makes a secret.
+TOKEN, TOKEN_EDGES = r"^[A-Za-z0-9_\-+/=.]{16,}$", "\"'`,;:{}[]()"
 GENERIC_BASE64 = r"[a-zA-Z0-9+/]{40,}={0,2}"
 GENERIC_ENTROPY = 4.5
 
@@ -89,7 +91,14 @@ SUPPLY_CHAIN = (
     ("other pkg manager", "low", r"\b(?:gem|cpan|composer)\s+install\b"),
 )
 INSTALL_LABELS = ("pip install", "npm/yarn install", "npx execution")
-INSTALL_DOCS = "setup|install the server|getting started|quick start|configuration|usage"
+#: Words of setup notes.
+INSTALL_WORDS = ("setup", "install the server", "getting started", "quick start", "configuration", "usage")
+INSTALL_DOCS = "|".join(INSTALL_WORDS)
+#: Runs that are decoded.
+RUNS = {
+    "base64": r"(?:^|[^a-zA-Z0-9+/=])([A-Za-z0-9+/]{40,}={0,2})(?:[^a-zA-Z0-9+/=]|$)",
+    "hex": r"(?:0x)?([0-9a-fA-F]{32,})",
+}
 
 #: Fixed values: (name side, description side, what the name says, what the description says); case is ignored.
 SCOPES = (
@@ -103,10 +112,11 @@ SCOPES = (
     (r"\b(?:search|find|lookup|locate)\b", r"\b(?:write|create|delete|update|modify|remove)\b", "search", "write"),
     (r"\b(?:log|audit|monitor|track|observe)\b", r"\b(?:exec|run|cmd|command|shell)\b", "logging", "command"),
 )
+#: Words of tools that stand between others.
 BRIDGES = (
-    "bridge proxy adapter wrapper gateway facade middleware connector relay translator integration orchestrator manager "
-    "handler provider service client interface"
-).split()
+    "bridge", "proxy", "adapter", "wrapper", "gateway", "facade", "middleware", "connector", "relay", "translator",
+    "integration", "orchestrator", "manager", "handler", "provider", "service", "client", "interface",
+)
 
 #: Traversal language, the words that make it protective, and what negates those.
 TRAVERSAL = (r"\.\.[/\\]", r"\bpath\s*(?:traversal|injection|bypass|escape)\b", r"\b(?:symlink|symbolic\s*link)\b")
@@ -131,7 +141,7 @@ CAPABILITIES = {
 
 def dangerous_names(tools: DataFrame) -> DataFrame:
     """R001: tools of a dangerous name."""
-    return tools.where(F.lower("name").isin(DANGEROUS_NAMES)).select("server", "name", F.lit("critical").alias("severity"))
+    return tools.where(F.lower("name").isin(*DANGEROUS_NAMES)).select("server", "name", F.lit("critical").alias("severity"))
 
 
 def hidden_points(texts: DataFrame, keys: list[str], in_name: Column | None = None) -> DataFrame:
@@ -165,9 +175,9 @@ def injections(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def encoded_payloads(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """R103: base64 runs of 40 and hex runs of 32 characters or more, high where they decode to readable text.
+    """R103: base64 runs of 40 and hex runs of 32 characters or more, with or without 0x, high where they decode to readable text.
 
-    A base64 run loses its padding before it is decoded, so only runs of whole
+    A base64 run stands between other characters, and loses its padding before it is decoded, so only runs of whole
     groups decode; other runs stay medium. A hex run is reported only if readable.
     """
     readable = re.compile(rb"[\x09-\x0d\x20-\x7e]")
@@ -183,14 +193,12 @@ def encoded_payloads(texts: DataFrame, keys: list[str]) -> DataFrame:
     def is_readable(run: pd.Series, kind: pd.Series) -> pd.Series:
         return pd.Series([decoded(r, k) for r, k in zip(run, kind, strict=True)])
 
-    runs = {"base64": r"[A-Za-z0-9+/]{40,}={0,2}", "hex": r"\b(?:[0-9a-fA-F]{2}){16,}\b"}
-
     def part(kind: str, pattern: str) -> Column:
-        found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        found = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
         return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("run")))
 
-    parts = [part(*x) for x in runs.items()]
-    some = texts.where(F.col("text").rlike("|".join(runs.values())))
+    parts = [part(*x) for x in RUNS.items()]
+    some = texts.where(F.col("text").rlike("|".join(RUNS.values())))
     found = some.select(*keys, F.explode(F.flatten(F.array(*parts))).alias("m")).select(*keys, "m.*")
     found = found.withColumn("readable", is_readable("run", "kind")).where((F.col("kind") == "base64") | F.col("readable"))
     return found.select(*keys, "kind", "run", F.when(F.col("readable"), "high").otherwise("medium").alias("severity"))
@@ -222,11 +230,15 @@ def scope_mismatches(tools: DataFrame) -> DataFrame:
 
 
 def secrets(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """R106: known formats, and long base64-like runs of high entropy; a value once for each text, in that order."""
+    """R106: known formats, long base64-like runs and tokens like credentials of high entropy; a value once for each text, in that order."""
     known = pattern_matches(texts, keys, SECRETS, ignore_case=False).withColumn("stage", F.lit(0))
     generic = pattern_matches(texts, keys, (("Generic base64-like", "high", GENERIC_BASE64),), ignore_case=False)
     generic = generic.where(entropy("matched") > GENERIC_ENTROPY).withColumn("stage", F.lit(1))
-    every = known.unionByName(generic)
+    tokens = F.transform(F.split("text", r"\s+"), lambda t: F.btrim(t, F.lit(TOKEN_EDGES)))
+    tokens = texts.select(*keys, F.explode(F.filter(tokens, lambda t: t.rlike(TOKEN))).alias("matched"))
+    tokens = tokens.where(entropy("matched") > GENERIC_ENTROPY)
+    tokens = tokens.select(*keys, F.lit("High-entropy token").alias("label"), F.lit("high").alias("severity"), "matched", F.lit(2).alias("stage"))
+    every = known.unionByName(generic).unionByName(tokens)
     first = every.groupBy(*keys, "matched").agg(F.min(F.struct("stage", "label", "severity")).alias("m"))
     return first.select(*keys, "matched", "m.label", "m.severity")
 

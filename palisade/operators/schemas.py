@@ -16,9 +16,13 @@ DANGEROUS_DEFAULT = (
 )
 BROAD_PATTERN = r"^\.\*|\.\+$|\\[wWdDsS]\*.*\\[wWdDsS]\*|\[\.\*\][\+\*]|\(\.\*\)"
 COMMAND_VALUES = ("bash", "sh", "zsh", "cmd", "powershell", "python -c", "eval", "exec", "execute", "system", "shell", "/bin/bash", "/bin/sh", "cmd.exe")
+#: Keywords that say what a property may be, beside a reference.
+TYPED = ("type", "enum", "const", "allOf", "anyOf", "oneOf")
 #: Names of properties that hold paths, and constraints of strings.
 PATH_NAMES = ("path", "file", "filepath", "filename", "source", "dest", "destination", "directory", "dir", "target", "output")
-CONSTRAINTS = ("maxLength", "pattern", "enum", "format", "const", "minLength")
+CONSTRAINTS = ("enum", "const", "maxLength", "minLength", "pattern", "format")
+#: Parts of the names of tools that write.
+WRITING_NAMES = ("write", "create", "edit", "move", "remove", "delete")
 
 
 def _field(name: str) -> Column:
@@ -29,40 +33,59 @@ def _has(name: str) -> Column:
     return _field(name).isNotNull()
 
 
-def _findings(props: DataFrame, keys: list[str], *cases: tuple[str, str, Column]) -> DataFrame:
-    each = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(a).alias("issue"), F.lit(b).alias("severity"))) for a, b, c in cases]))
-    return props.select(*keys, "path", F.explode(each).alias("f")).select(*keys, "path", "f.*")
+def _findings(props: DataFrame, keys: list[str], *cases: tuple[str, Column | str, Column]) -> DataFrame:
+    """keys, schema, path, issue, severity: one row for each case (issue, severity, condition) that holds."""
+    case = lambda a, b, c: F.when(c, F.struct(F.lit(a).alias("issue"), (F.lit(b) if isinstance(b, str) else b).alias("severity")))
+    each = F.array_compact(F.array(*[case(*x) for x in cases]))
+    return props.select(*keys, "schema", "path", F.explode(each).alias("f")).select(*keys, "schema", "path", "f.*")
 
 
-def command_injection(props: DataFrame, keys: list[str]) -> DataFrame:
-    """R107: shell syntax in a default or example, dangerous defaults, patterns that allow anything, command values."""
+def both_properties(tools: DataFrame, keys: list[str]) -> DataFrame:
+    """``schema_properties`` of the input schema and, if the tools have one, of the output schema (column ``schema``)."""
+    found = [
+        schema_properties(tools, keys, f"{x}_schema").withColumn("schema", F.lit(x)) for x in ("input", "output") if f"{x}_schema" in tools.columns
+    ]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def command_injection(tools: DataFrame, keys: list[str]) -> DataFrame:
+    """R107: shell syntax in a default or example; in inputs also dangerous defaults, patterns that allow anything, and each command value."""
     text = lambda name: F.coalesce(_field(name), F.lit(""))
-    values = F.from_json(_field("enum"), "array<string>")
-    return _findings(
+    of_input = F.col("schema") == "input"
+    props = both_properties(tools, keys)
+    single = _findings(
         props,
         keys,
         ("shell syntax in default", "critical", text("default").rlike(METACHARACTERS)),
         ("shell syntax in example", "critical", text("example").rlike(METACHARACTERS)),
-        ("dangerous default", "critical", text("default").rlike(unicode_pattern(DANGEROUS_DEFAULT))),
-        ("broad pattern", "medium", text("pattern").rlike(BROAD_PATTERN)),
-        ("command values", "high", F.exists(values, lambda v: F.lower(v).isin(*COMMAND_VALUES))),
+        ("dangerous default", "critical", of_input & text("default").rlike(unicode_pattern(DANGEROUS_DEFAULT))),
+        ("broad pattern", "high", of_input & text("pattern").rlike(BROAD_PATTERN)),
+        ("broad regex", "high", of_input & text("regex").rlike(BROAD_PATTERN)),
     )
+    values = F.filter(F.from_json(_field("enum"), "array<string>"), lambda v: F.lower(F.trim(v)).isin(*COMMAND_VALUES))
+    each = props.where(of_input).select(*keys, "schema", "path", F.explode(values).alias("value"))
+    return single.unionByName(each.select(*keys, "schema", "path", F.lit("command value").alias("issue"), F.lit("high").alias("severity")))
 
 
-def loose_schemas(tools: DataFrame, keys: list[str], column: str = "input_schema") -> DataFrame:
+def loose_schemas(tools: DataFrame, keys: list[str]) -> DataFrame:
     """R109: what a top-level object schema leaves open, and its properties without a type or with huge limits."""
-    node = tools.select(*keys, F.col(column).alias("node"))
+    schemas = [x for x in ("input", "output") if f"{x}_schema" in tools.columns]
+    rows = [tools.select(*keys, F.lit(x).alias("schema"), F.col(f"{x}_schema").alias("node")) for x in schemas]
+    node = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+    some = F.coalesce(_field("properties"), F.lit("{}")) != "{}"
     whole = _findings(
         node.withColumn("path", F.lit("")),
         keys,
         ("additional properties allowed", "low", _field("additionalProperties") == "true"),
-        ("nothing required", "low", _has("properties") & (F.coalesce(_field("required"), F.lit("[]")) == "[]")),
+        ("nothing required", "low", some & (F.coalesce(_field("required"), F.lit("[]")) == "[]")),
     )
-    props = schema_properties(tools, keys, column).where("top")
-    typed = _has("type") | _has("anyOf") | _has("oneOf") | _has("allOf") | _has("enum") | _has("const")
+    # Only the schema's own properties count, not those that a reference or composition adds.
+    named = F.from_json(_field("properties"), "map<string,string>")
+    own = node.select(*keys, "schema", F.explode(named).alias("path", "node")).where("startswith(node, '{')")
+    typed = F.greatest(*[_has(x) for x in TYPED], _field("['$ref']").isNotNull())
     large = lambda name, most: F.coalesce(_field(name).try_cast("double") > most, F.lit(False))
     single = _findings(
-        props,
+        own,
         keys,
         ("no type", "medium", ~typed),
         ("huge maxLength", "medium", large("maxLength", 1e6)),
@@ -71,16 +94,39 @@ def loose_schemas(tools: DataFrame, keys: list[str], column: str = "input_schema
     return whole.unionByName(single)
 
 
-def unconstrained_paths(props: DataFrame, keys: list[str]) -> DataFrame:
-    """R113 for parameters: path-like strings without a pattern, values or format."""
-    loose = F.lower("name").isin(*PATH_NAMES) & ~(_has("pattern") | _has("enum") | _has("format"))
-    return _findings(props, keys, ("unconstrained path", "low", loose))
+def unconstrained_paths(tools: DataFrame, keys: list[str]) -> DataFrame:
+    """R113 for parameters: path-like strings without a pattern or a format (medium in tools whose name says that they write).
+
+    In an output schema only the lack of a pattern counts. ``tools`` has a name.
+    """
+    named = tools.select(*keys, F.col("name").alias("tool_name"), *[c for c in ("input_schema", "output_schema") if c in tools.columns])
+    props = both_properties(named, [*keys, "tool_name"])
+    own = F.element_at(F.split("path", r"\."), -1)
+    loose = F.lower(own).isin(*PATH_NAMES) & (_field("type") == "string")
+    of_input = F.col("schema") == "input"
+    writes = F.greatest(*[F.contains(F.lower("tool_name"), F.lit(x)) for x in WRITING_NAMES])
+    return _findings(
+        props,
+        keys,
+        ("unconstrained path", F.when(writes, "medium").otherwise("low"), of_input & loose & ~(_has("pattern") & _has("format"))),
+        ("unconstrained path", "low", ~of_input & loose & ~_has("pattern")),
+    )
 
 
-def unbounded_strings(props: DataFrame, keys: list[str]) -> DataFrame:
+def unbounded_strings(tools: DataFrame, keys: list[str]) -> DataFrame:
     """R114: string properties without any constraint."""
     loose = (_field("type") == "string") & ~F.greatest(*[_has(c) for c in CONSTRAINTS])
-    return _findings(props, keys, ("unbounded string", "low", loose))
+    return _findings(both_properties(tools, keys), keys, ("unbounded string", "low", loose))
+
+
+def tool_texts(tools: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, source, text: the name, the description, both schemas, and each string default of the input schema."""
+    whole = [F.struct(F.lit(x).alias("source"), F.coalesce(F.col(x), F.lit("")).alias("text")) for x in ("name", "description", "input_schema", "output_schema")]
+    whole = tools.select(*keys, F.explode(F.array(*whole)).alias("t")).select(*keys, "t.*")
+    # A default that is no string is written without quotes in the node's text.
+    is_string = F.col("node").rlike(r'"default": "')
+    defaults = schema_properties(tools, keys).where(is_string & _has("default"))
+    return whole.unionByName(defaults.select(*keys, F.concat(F.lit("input.default."), "path").alias("source"), _field("default").alias("text")))
 
 
 def schema_changes(old: DataFrame, new: DataFrame, keys: list[str], column: str = "input_schema") -> DataFrame:

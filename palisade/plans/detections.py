@@ -48,16 +48,17 @@ def dangerous_names(spark, d):
     return rules.dangerous_names(tools.unionByName(odd))
 
 
-@query("ref161_hidden_points", f"""{with_views("texts")}, marked AS (
-  SELECT surface, text_id, CASE WHEN text_id % 97 = 0 THEN 'x' || chr(8203) || left(text, 5) || chr(8237) ELSE left(text, 0) END AS text FROM texts WHERE surface = 'document'),
-c AS (SELECT surface, text_id, text, unnest(range(0, length(text))) AS position FROM marked)
+@query("ref161_hidden_points", f"""{with_views("texts")}, probed AS (SELECT surface, text_id, text FROM texts
+  UNION ALL SELECT 'probe', text_id, 'x' || chr(8203) || text || chr(8237) FROM texts WHERE surface = 'document'),
+c AS (SELECT surface, text_id, text, unnest(range(0, length(text))) AS position FROM probed WHERE regexp_matches(text, '[{"".join(rf"{chr(92)}x{{{x:04X}}}" for x in rules.HIDDEN_POINTS)}]'))
 SELECT surface, text_id, CAST(position AS INT) AS position, CAST(ord(text[position + 1]) AS INT) AS code_point, 'high' AS severity
-FROM c WHERE ord(text[position + 1]) IN (8203, 8237)""")
+FROM c WHERE ord(text[position + 1]) IN ({", ".join(map(str, rules.HIDDEN_POINTS))})""")
 def hidden_points(spark, d):
-    docs = A.texts(spark, d).where("surface = 'document'")
-    marked = F.concat(F.lit("x​"), F.left("text", F.lit(5)), F.lit("‭"))
-    docs = docs.withColumn("text", F.when(F.col("text_id") % 97 == 0, marked).otherwise(""))
-    return rules.hidden_points(docs, KEYS)
+    """All texts, and every document once more between two hidden code points."""
+    texts = A.texts(spark, d).select("surface", "text_id", "text")
+    marked = F.concat(F.lit("x" + chr(8203)), "text", F.lit(chr(8237)))
+    probes = texts.where("surface = 'document'").select(F.lit("probe").alias("surface"), "text_id", marked.alias("text"))
+    return rules.hidden_points(texts.unionByName(probes), KEYS)
 
 
 @query("ref162_injections")
@@ -233,26 +234,57 @@ def permission_gradient(spark, d):
     return crossref.permission_gradient(_active(spark, d))
 
 
-def _nodes(spark, d):
-    """A tool of each of the least parts of every server, with types by the part's type and size."""
-    part = A.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), "p_type", "p_size")
-    tools = A.tools(spark, d).where("ord % 401 = 0").join(part, "ord")
-    out = F.concat("p_type", (F.col("p_size") % 3).cast("string"))
-    into = F.concat("p_type", (F.col("p_size") % 4).cast("string"))
-    return tools.select("server", F.concat_ws("_", "name", "ord").alias("name"), F.array(into).alias("types_in"), F.array(out).alias("types_out"))
+def _typed(tools):
+    """Tools whose output one tool takes at most: that of the part before, of the third server before."""
+    server = F.col("server").cast("long")
+    return tools.select(
+        "server", F.concat_ws("_", "name", "ord").alias("name"),
+        F.array(((F.col("ord") + 1) * 1_000_000 + server + 3).cast("string")).alias("types_in"),
+        F.array((F.col("ord") * 1_000_000 + server).cast("string")).alias("types_out"),
+    )
 
 
-_NODES = """nodes AS (SELECT server, name || '_' || CAST(ord AS VARCHAR) AS name, p_type || CAST(p_size % 3 AS VARCHAR) AS t_out,
-  p_type || CAST(p_size % 4 AS VARCHAR) AS t_in FROM tools JOIN part ON p_partkey = ord WHERE ord % 401 = 0)"""
+#: The same edges, and the ways of n edges along them; no way meets a tool twice.
+_EDGES = """e AS (SELECT a.server AS src_server, a.ord AS src, b.server AS dst_server, b.ord AS dst, a.name || '_' || a.ord AS src_name, b.name || '_' || b.ord AS dst_name,
+  CAST(a.ord * 1000000 + CAST(a.server AS BIGINT) AS VARCHAR) AS shared
+  FROM tools a JOIN tools b ON b.ord = a.ord - 1 AND CAST(b.server AS BIGINT) = CAST(a.server AS BIGINT) - 3)"""
+_WAYS = _EDGES + """, w AS (SELECT 1 AS n, src_server, src, dst_server, dst FROM e""" + "".join(
+    f"""
+  UNION ALL SELECT {n}, e1.src_server, e1.src, e{n}.dst_server, e{n}.dst FROM e e1 """
+    + " ".join(f"JOIN e e{i} ON e{i}.src_server = e{i - 1}.dst_server AND e{i}.src = e{i - 1}.dst" for i in range(2, n + 1))
+    for n in range(2, 6)
+) + ")"
 
 
-@query("ref079_type_edges", f"""{with_views("tools")}, {_NODES}
-SELECT a.name AS src, b.name AS dst, a.t_out AS shared, count(*) AS n FROM nodes a JOIN nodes b ON a.t_out = b.t_in AND a.server <> b.server GROUP BY 1, 2, 3""")
+@query("ref079_type_edges", f"""{with_views("tools")}, {_EDGES} SELECT src_name AS src, dst_name AS dst, shared, count(*) AS n FROM e GROUP BY 1, 2, 3""")
 def type_edges(spark, d):
-    edges = crossref.type_edges(_nodes(spark, d))
+    edges = crossref.type_edges(_typed(A.tools(spark, d)))
     return edges.groupBy(F.col("src.name").alias("src"), F.col("dst.name").alias("dst"), F.array_join("shared", ",").alias("shared")).agg(F.count("*").alias("n"))
 
 
+@query("ref080_attack_paths", f"""{with_views("tools")}, {_WAYS} SELECT CAST(n + 1 AS INT) AS n, count(*) AS paths FROM w GROUP BY n""")
+def attack_paths(spark, d):
+    """Paths of up to six tools from every tool, by their length."""
+    nodes = _typed(A.tools(spark, d))
+    starts = nodes.select(F.struct("server", "name").alias("node"))
+    return crossref.attack_paths(crossref.type_edges(nodes), starts).groupBy("n").agg(F.count("*").alias("paths"))
+
+
+_DEED = f"""CASE WHEN ord % 7 = 0 AND CAST(server AS INT) % 3 > 0 THEN [{", ".join(f"'{x}'" for x in _DEEDS)}][ord % 5 + 1] ELSE 'count rows' END"""
+
+
+@query("ref081_escalations", f"""{with_views("tools")}, {_WAYS},
+said AS (SELECT server, ord, name || '_' || ord || ' ' || {_DEED} AS text FROM tools),
+told AS (SELECT server, ord, regexp_matches(text, '(?i){crossref.READS}') AS reads, regexp_matches(text, '(?i){crossref.WRITES}') AS writes FROM said)
+SELECT CAST(n AS INT) AS steps, count(*) AS pairs FROM w JOIN told a ON a.server = src_server AND a.ord = src JOIN told b ON b.server = dst_server AND b.ord = dst
+WHERE n <= 4 AND a.reads AND NOT a.writes AND b.writes GROUP BY n""")
+def escalations(spark, d):
+    active = _active(spark, d)
+    edges = crossref.type_edges(_typed(active))
+    tools = active.select("server", F.concat_ws("_", "name", "ord").alias("name"), "description")
+    return crossref.escalations(edges, tools).groupBy("steps").agg(F.count("*").alias("pairs"))
+
+
 @query("ref084_typosquats", """WITH known(k) AS (VALUES ('small ring'), ('red widget'), ('blue bolt')),
 names AS (SELECT DISTINCT replace(replace(p_name, 'ring', 'rings'), 'bolt', 'bot') AS name FROM part),
 d AS (SELECT name, k, levenshtein(name, k) AS distance FROM names, known WHERE name NOT IN (SELECT k FROM known) AND levenshtein(name, k) <= 2)
@@ -265,11 +297,11 @@ def typosquats(spark, d):
     return crossref.nearest_known(names, known)
 
 
-@query("ref082_advisory_matches", """WITH kinds AS (SELECT DISTINCT 'R' || CAST(100 + l_linenumber AS VARCHAR) AS rule_id, p_name AS title, p_type AS description,
+@query("ref082_advisory_matches", """WITH kinds AS (SELECT DISTINCT 'R' || CAST(100 + l_linenumber AS VARCHAR) AS rule_id, p_name AS title,
   CASE WHEN l_quantity <= 12 THEN 'low' WHEN l_quantity <= 25 THEN 'medium' WHEN l_quantity <= 38 THEN 'high' ELSE 'critical' END AS severity
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0),
-cves AS (SELECT 'CVE-' || CAST(p_partkey AS VARCHAR) AS cve_id, p_name || ' ' || lower(p_type) AS text, ['low', 'medium', 'high', 'critical', 'none'][p_size % 5 + 1] AS sev FROM part WHERE p_partkey < 50),
-w AS (SELECT *, list_distinct(string_split(lower(title || ' ' || description), ' ')) AS a FROM kinds),
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+cves AS (SELECT 'CVE-' || CAST(p_partkey AS VARCHAR) AS cve_id, p_name || ' ' || lower(p_type) AS text, ['low', 'medium', 'high', 'critical', 'none'][p_size % 5 + 1] AS sev FROM part),
+w AS (SELECT *, list_distinct(string_split(lower(title), ' ')) AS a FROM kinds),
 v AS (SELECT *, list_distinct(string_split(lower(text), ' ')) AS b FROM cves),
 i AS (SELECT rule_id, cve_id, len(list_intersect(a, b)) / len(list_distinct(a || b))::DOUBLE AS j,
   abs(list_position(['low', 'medium', 'high', 'critical'], severity) - list_position(['low', 'medium', 'high', 'critical'], sev)) AS apart FROM w, v),
@@ -277,11 +309,12 @@ s AS (SELECT rule_id, cve_id, 0.4 * j + CASE WHEN rule_id IN ('R102', 'R106') TH
   + 0.2 * CASE WHEN apart IS NULL THEN 0.5 WHEN apart = 0 THEN 1.0 WHEN apart = 1 THEN 0.7 WHEN apart = 2 THEN 0.3 ELSE 0.0 END AS score FROM i)
 SELECT rule_id, cve_id, round(max(score), 9) AS score FROM s WHERE score >= 0.3 GROUP BY 1, 2""")
 def advisory_matches(spark, d):
+    """Every finding, by the name of its part, against an advisory for every part."""
     part = A.table(spark, d, "part")
-    found = A.findings(spark, d).where("scan_id % 50 = 0").join(part, F.col("tool") == F.col("p_partkey").cast("string"))
-    found = found.select("rule_id", F.col("p_name").alias("title"), F.col("p_type").alias("description"), "severity")
+    found = A.findings(spark, d).join(part, F.col("tool") == F.col("p_partkey").cast("string"))
+    found = found.select("rule_id", F.col("p_name").alias("title"), F.lit("").alias("description"), "severity")
     names = F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical", "none")])
-    cves = part.where("p_partkey < 50").select(
+    cves = part.select(
         F.concat(F.lit("CVE-"), F.col("p_partkey").cast("string")).alias("cve_id"),
         F.concat_ws(" ", "p_name", F.lower("p_type")).alias("description"),
         F.element_at(names, F.col("p_size") % 5 + 1).alias("severity"),
@@ -289,11 +322,10 @@ def advisory_matches(spark, d):
     return crossref.match_advisories(found, cves, ["R102", "R106"]).withColumn("score", F.round("score", 9))
 
 
-@query("ref118_risk_pairs", """WITH s AS (SELECT l_orderkey AS k, l_suppkey AS server FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2)
+@query("ref118_risk_pairs", """WITH s AS (SELECT l_orderkey AS k, l_suppkey AS server FROM lineitem GROUP BY 1, 2)
 SELECT DISTINCT a.server AS a, b.server AS b FROM s a JOIN s b ON a.k = b.k AND a.server < b.server""")
 def risk_pairs(spark, d):
-    rows = A.table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
-    found = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("servers"))
+    found = A.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("servers"))
     return crossref.risk_pairs(found)
 
 
@@ -326,22 +358,25 @@ def transport(spark, d):
 
 @query("ref172_auth", """WITH t AS (SELECT o_orderkey AS scan_id, o_orderkey % 3 AS a, o_custkey % 3 AS b FROM orders)
 SELECT scan_id, 'no PKCE' AS issue, 'high' AS severity FROM t WHERE a = 0
-UNION ALL SELECT scan_id, 'no issuer check', 'medium' FROM t WHERE b = 0 UNION ALL SELECT scan_id, 'no application type', 'low' FROM t WHERE a = 0 AND b = 0""")
+UNION ALL SELECT scan_id, 'no issuer check', 'high' FROM t WHERE b = 0 UNION ALL SELECT scan_id, 'no application type', 'medium' FROM t WHERE a = 0 AND b = 0
+UNION ALL SELECT o_orderkey, 'session in a stateless profile', 'medium' FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0""")
 def auth(spark, d):
     state = lambda c: F.when(F.col(c) % 3 == 0, False).when(F.col(c) % 3 == 1, True)
     rows = A.table(spark, d, "orders").select(
         F.col("o_orderkey").alias("scan_id"), state("o_orderkey").alias("pkce"), state("o_custkey").alias("iss"),
-        (state("o_orderkey") | state("o_custkey")).alias("app_type"),
+        (state("o_orderkey") | state("o_custkey")).alias("app_type"), (F.col("o_orderstatus") == "F").alias("uses_session"),
+        F.when(F.col("o_custkey") % 2 == 0, "2026-07-28").otherwise("2025-06-18").alias("protocol_version"),
     )
     return posture.auth_findings(rows, ["scan_id"])
 
 
-@query("ref110_fingerprint_drift", """WITH f AS (SELECT o_custkey AS server_id, o_orderkey AS seen, o_orderkey % 3 AS v, o_orderkey % 5 AS p, o_orderstatus AS h, o_orderkey % 2 AS t,
+@query("ref170_fingerprint_drift", """WITH f AS (SELECT o_custkey AS server_id, o_orderkey AS seen, o_orderkey % 3 AS v, o_orderkey % 5 AS p, o_orderstatus AS h, o_orderkey % 2 AS t,
   lag(o_orderkey % 3) OVER w AS ov, lag(o_orderkey % 5) OVER w AS op, lag(o_orderstatus) OVER w AS oh, lag(o_orderkey % 2) OVER w AS ot, row_number() OVER w AS nth
   FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
-k AS (SELECT 'first scan' AS issue FROM f WHERE nth = 1 UNION ALL SELECT 'version rollback' FROM f WHERE v < ov UNION ALL SELECT 'major upgrade' FROM f WHERE v > ov
-  UNION ALL SELECT 'protocol changed' FROM f WHERE p <> op UNION ALL SELECT 'tool list changed' FROM f WHERE h <> oh UNION ALL SELECT 'TLS downgrade' FROM f WHERE t < ot)
-SELECT issue, count(*) AS n FROM k GROUP BY issue""")
+k AS (SELECT 'first scan' AS issue, 'medium' AS severity FROM f WHERE nth = 1 UNION ALL SELECT 'version rollback', 'critical' FROM f WHERE v < ov
+  UNION ALL SELECT 'major upgrade', 'high' FROM f WHERE v > ov UNION ALL SELECT 'protocol changed', 'medium' FROM f WHERE p <> op
+  UNION ALL SELECT 'tool list changed', 'high' FROM f WHERE h <> oh UNION ALL SELECT 'TLS downgrade', 'high' FROM f WHERE t < ot)
+SELECT issue, severity, count(*) AS n FROM k GROUP BY ALL""")
 def fingerprint_drift(spark, d):
     k = F.col("o_orderkey")
     rows = A.table(spark, d, "orders").select(
@@ -349,7 +384,7 @@ def fingerprint_drift(spark, d):
         (k % 5).cast("string").alias("protocol_version"), F.lit("http://x").alias("endpoint"), F.col("o_orderstatus").alias("tool_hash"),
         F.when(k % 2 == 0, "TLSv1.2").otherwise("TLSv1.3").alias("tls_version"),
     )
-    return posture.fingerprint_drift(rows).groupBy("issue").agg(F.count("*").alias("n"))
+    return posture.fingerprint_drift(rows).groupBy("issue", "severity").agg(F.count("*").alias("n"))
 
 
 @query("ref189_triage", f"""{with_views("findings")} SELECT class, count(*) AS n FROM (SELECT CASE WHEN rule_id = 'R101' THEN 'needs_review' ELSE 'open' END AS class FROM findings) GROUP BY class""")
@@ -364,27 +399,3 @@ def launched_packages(spark, d):
     target = F.when(k % 3 == 0, F.concat(F.lit("npx -y @s/"), name, F.lit("@1.2"))).when(k % 3 == 1, F.concat(F.lit("/usr/bin/uvx "), name, F.lit("@2"))).otherwise("node server.js")
     rows = A.table(spark, d, "part").select(k.alias("part"), target.alias("target")).withColumn("package", posture.launched_package())
     return rows.select("part", "package", posture.reference_kind("package").alias("kind"))
-
-
-def register_paths():
-    @query("ref080_attack_paths")
-    def attack_paths(spark, d):
-        """Paths from the tools of one type over the least edges; rows are the sets of tools and their shortest path."""
-        nodes = _nodes(spark, d)
-        edges = crossref.type_edges(nodes)
-        starts = nodes.select(F.struct("server", "name").alias("node"))
-        found = crossref.attack_paths(edges, starts, max_nodes=3)
-        return found.groupBy("n").agg(F.count("*").alias("paths"))
-
-    @query("ref081_escalations")
-    def escalations(spark, d):
-        active = _active(spark, d).where("ord % 401 = 0 or ord % 7 = 0 and ord < 200")
-        part = A.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), "p_type", "p_size")
-        tools = active.join(part, "ord").withColumn("name", F.concat_ws("_", "name", "ord"))
-        into = F.concat("p_type", (F.col("p_size") % 4).cast("string"))
-        out = F.concat("p_type", (F.col("p_size") % 3).cast("string"))
-        edges = crossref.type_edges(tools.select("server", "name", F.array(into).alias("types_in"), F.array(out).alias("types_out")))
-        return crossref.escalations(edges, tools, max_steps=2).groupBy("steps").agg(F.count("*").alias("pairs"))
-
-
-register_paths()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.schema import schema_properties, semantic_json
+from ..functions.schema import schema_nodes, schema_properties, semantic_json
 from ..functions.text import origin, slug
 from ..operators import diff, lists, schemas
 from ..sources import adapters as A
@@ -38,7 +38,12 @@ def _schemas(spark, d):
     )
     extra = F.when(size % 5 == 0, ',"additionalProperties":true').otherwise(',"required":["path"]')
     text = F.concat(F.lit('{"type":"object","properties":{"path":'), prop(path), F.lit(',"options":'), prop(nested), F.lit("}"), extra, F.lit("}"))
-    return A.table(spark, d, "part").select(F.col("p_partkey").alias("tool"), text.alias("input_schema"), "p_size")
+    output = F.when(size % 2 == 0, '{"properties":{"file":{"type":"string"},"note":{"type":"string","default":"$(id)"}}}')
+    name = F.when(size % 6 == 0, "Write_file").otherwise(F.col("p_name"))
+    return A.table(spark, d, "part").select(
+        F.col("p_partkey").alias("tool"), name.alias("name"), F.col("p_type").alias("description"),
+        text.alias("input_schema"), output.alias("output_schema"), "p_size",
+    )
 
 
 @query("ref200_schema_properties", """WITH p AS (SELECT p_partkey AS tool, p_size FROM part)
@@ -49,28 +54,49 @@ def properties(spark, d):
     return schema_properties(_schemas(spark, d), ["tool"]).select("tool", "path", "top")
 
 
-@query("ref167_command_injection", """SELECT p_partkey AS tool, 'path' AS path, 'dangerous default' AS issue, 'critical' AS severity FROM part WHERE p_size % 3 = 2
-UNION ALL SELECT p_partkey, 'options.items.mode', 'command values', 'high' FROM part WHERE p_size % 4 <> 0""")
+@query("ref201_schema_nodes", """WITH p AS (SELECT p_partkey AS tool, p_size FROM part)
+SELECT tool, unnest(['#', '#/properties/path', '#/properties/options']) AS pointer FROM p
+UNION ALL SELECT tool, unnest(['#/properties/options/properties/depth', '#/properties/options/properties/file']) FROM p WHERE p_size % 4 = 0
+UNION ALL SELECT tool, unnest(['#/properties/options/items', '#/properties/options/items/properties/mode']) FROM p WHERE p_size % 4 <> 0""")
+def nodes(spark, d):
+    return schema_nodes(_schemas(spark, d), ["tool"]).select("tool", "pointer")
+
+
+@query("ref167_command_injection", """SELECT p_partkey AS tool, 'input' AS schema, 'path' AS path, 'dangerous default' AS issue, 'critical' AS severity FROM part WHERE p_size % 3 = 2
+UNION ALL SELECT p_partkey, 'input', 'options.items.mode', 'command value', 'high' FROM part WHERE p_size % 4 <> 0
+UNION ALL SELECT p_partkey, 'output', 'note', 'shell syntax in default', 'critical' FROM part WHERE p_size % 2 = 0""")
 def command_injection(spark, d):
-    return schemas.command_injection(schema_properties(_schemas(spark, d), ["tool"]), ["tool"])
+    return schemas.command_injection(_schemas(spark, d), ["tool"])
 
 
-@query("ref169_loose_schemas", """SELECT p_partkey AS tool, '' AS path, 'additional properties allowed' AS issue, 'low' AS severity FROM part WHERE p_size % 5 = 0
-UNION ALL SELECT p_partkey, '', 'nothing required', 'low' FROM part WHERE p_size % 5 = 0
-UNION ALL SELECT p_partkey, 'path', 'no type', 'medium' FROM part WHERE p_size % 3 = 2""")
+@query("ref169_loose_schemas", """SELECT p_partkey AS tool, 'input' AS schema, '' AS path, 'additional properties allowed' AS issue, 'low' AS severity FROM part WHERE p_size % 5 = 0
+UNION ALL SELECT p_partkey, 'input', '', 'nothing required', 'low' FROM part WHERE p_size % 5 = 0
+UNION ALL SELECT p_partkey, 'output', '', 'nothing required', 'low' FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT p_partkey, 'input', 'path', 'no type', 'medium' FROM part WHERE p_size % 3 = 2""")
 def loose_schemas(spark, d):
     return schemas.loose_schemas(_schemas(spark, d), ["tool"])
 
 
-@query("ref173_unconstrained_paths", """SELECT p_partkey AS tool, 'path' AS path, 'unconstrained path' AS issue, 'low' AS severity FROM part WHERE p_size % 3 <> 1
-UNION ALL SELECT p_partkey, 'options.file', 'unconstrained path', 'low' FROM part WHERE p_size % 4 = 0""")
+@query("ref173_unconstrained_paths", """SELECT p_partkey AS tool, 'input' AS schema, 'path' AS path, 'unconstrained path' AS issue,
+  CASE WHEN p_size % 6 = 0 THEN 'medium' ELSE 'low' END AS severity FROM part WHERE p_size % 3 <> 2
+UNION ALL SELECT p_partkey, 'input', 'options.file', 'unconstrained path', CASE WHEN p_size % 6 = 0 THEN 'medium' ELSE 'low' END FROM part WHERE p_size % 4 = 0
+UNION ALL SELECT p_partkey, 'output', 'file', 'unconstrained path', 'low' FROM part WHERE p_size % 2 = 0""")
 def unconstrained_paths(spark, d):
-    return schemas.unconstrained_paths(schema_properties(_schemas(spark, d), ["tool"]), ["tool"])
+    return schemas.unconstrained_paths(_schemas(spark, d), ["tool"])
 
 
-@query("ref174_unbounded_strings", """SELECT p_partkey AS tool, 'path' AS path, 'unbounded string' AS issue, 'low' AS severity FROM part WHERE p_size % 3 = 0""")
+@query("ref174_unbounded_strings", """SELECT p_partkey AS tool, 'input' AS schema, 'path' AS path, 'unbounded string' AS issue, 'low' AS severity FROM part WHERE p_size % 3 = 0
+UNION ALL SELECT p_partkey, 'output', unnest(['file', 'note']), 'unbounded string', 'low' FROM part WHERE p_size % 2 = 0""")
 def unbounded_strings(spark, d):
-    return schemas.unbounded_strings(schema_properties(_schemas(spark, d), ["tool"]), ["tool"])
+    return schemas.unbounded_strings(_schemas(spark, d), ["tool"])
+
+
+@query("ref209_tool_texts", """SELECT p_partkey AS tool, 'name' AS source, CASE WHEN p_size % 6 = 0 THEN 'Write_file' ELSE p_name END AS text FROM part
+UNION ALL SELECT p_partkey, 'description', p_type FROM part
+UNION ALL SELECT p_partkey, 'input.default.path', 'rm -rf /tmp' FROM part WHERE p_size % 3 = 2""")
+def tool_texts(spark, d):
+    """All texts of every tool but the schemas themselves."""
+    return schemas.tool_texts(_schemas(spark, d), ["tool"]).where("source not in ('input_schema', 'output_schema')")
 
 
 @query("ref205_schema_changes", """SELECT p_partkey AS tool, 'path' AS path, 'changed' AS op FROM part WHERE p_size % 3 = 0""")
@@ -143,14 +169,14 @@ def advisories(spark, d):
 
 
 def _titled(spark, d):
-    found = A.findings(spark, d).where("scan_id % 10 = 0")
+    found = A.findings(spark, d)
     return found.withColumn("title", F.concat(F.lit("Finding | of "), "rule_id")).withColumn(
         "location", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("src/a.py:"), F.col("ord").cast("string"))).otherwise(F.concat(F.lit("tool/"), "tool"))
     )
 
 
 @query("ref037_sarif", f"""{with_views("findings")}, l AS (SELECT scan_id, ord, rule_id, severity, CASE WHEN ord % 2 = 0 THEN
-  '{{"physicalLocation":{{"artifactLocation":{{"uri":"src/a.py"}},"region":{{"startLine":' || ord || '}}}}}}' ELSE '{{"logicalLocations":[{{"fullyQualifiedName":"tool/' || tool || '"}}]}}' END AS loc FROM findings WHERE scan_id % 10 = 0)
+  '{{"physicalLocation":{{"artifactLocation":{{"uri":"src/a.py"}},"region":{{"startLine":' || ord || '}}}}}}' ELSE '{{"logicalLocations":[{{"fullyQualifiedName":"tool/' || tool || '"}}]}}' END AS loc FROM findings)
 SELECT scan_id, ord, '{{"ruleId":"' || rule_id || '","level":"' || CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END
   || '","message":{{"text":"Finding | of ' || rule_id || '"}},"locations":[' || loc || ']}}' AS result FROM l""")
 def sarif(spark, d):
@@ -159,7 +185,7 @@ def sarif(spark, d):
 
 @query("ref038_cef", f"""{with_views("findings")} SELECT scan_id, ord, 'CEF:0|palisade|scanner|1.0|' || rule_id || '|Finding \\| of ' || rule_id || '|' ||
   CASE severity WHEN 'critical' THEN '10' WHEN 'high' THEN '8' WHEN 'medium' THEN '5' ELSE '3' END || '|dvchost=' || server || ' cs1=' || tool AS line
-FROM findings WHERE scan_id % 10 = 0""")
+FROM findings""")
 def cef(spark, d):
     return sinks.cef_lines(_titled(spark, d), ["scan_id", "ord"])
 
@@ -176,11 +202,11 @@ def sbom(spark, d):
     return sinks.sbom_components(dependencies(spark, d))
 
 
-@query("ref043_envelopes", """SELECT r_regionkey AS id, '{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}' AS payload,
-  sha256('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}') AS sha256 FROM region""")
+@query("ref043_envelopes", """WITH p AS (SELECT p_partkey AS id, '{"p_name":"' || p_name || '","p_size":' || p_size || '}' AS payload FROM part)
+SELECT id, payload, sha256(payload) AS sha256 FROM p""")
 def envelopes(spark, d):
-    rows = A.table(spark, d, "region").withColumn("id", F.col("r_regionkey"))
-    return sinks.envelope(rows, "id", "r_regionkey", "r_name")
+    rows = A.table(spark, d, "part").withColumn("id", F.col("p_partkey"))
+    return sinks.envelope(rows, "id", "p_size", "p_name")
 
 
 @query("ref240_watch", """WITH s AS (SELECT l_suppkey % 50 AS k, l_orderkey % 10 AS scan_id, l_partkey % 40 AS tool FROM lineitem GROUP BY 1, 2, 3),
@@ -274,10 +300,10 @@ def slugs(spark, d):
     return rows.select("id", slug("c_name").alias("slug"), origin("url").alias("origin"))
 
 
-@query("ref228_digests", """SELECT r_regionkey AS id, 'sha256:' || sha256(r_name) AS digest FROM region""")
+@query("ref228_digests", """SELECT c_custkey AS id, 'sha256:' || sha256(c_name) AS digest FROM customer""")
 def digests(spark, d):
-    value = F.concat(F.lit("sha256-"), F.base64(F.unhex(F.sha2("r_name", 256))))
-    return A.table(spark, d, "region").select(F.col("r_regionkey").alias("id"), value.alias("integrity")).select("id", lists.hex_digest().alias("digest"))
+    value = F.concat(F.lit("sha256-"), F.base64(F.unhex(F.sha2("c_name", 256))))
+    return A.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), value.alias("integrity")).select("id", lists.hex_digest().alias("digest"))
 
 
 @query("ref231_surface_changes", """WITH s AS (SELECT o_custkey AS target, o_orderpriority AS surface, o_orderkey AS id, ['complete', 'partial', 'unavailable'][o_orderkey % 3 + 1] AS state FROM orders),

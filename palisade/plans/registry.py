@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detections, exports, relational
+from . import detections, exports, relational, surfaces
 
-MODULES = (relational, detections, exports)
+MODULES = (relational, detections, exports, surfaces)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
