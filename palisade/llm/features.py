@@ -14,6 +14,10 @@ from .graph import checkpointed
 from .textops import ALNUM, LOWER, Texts, chunks
 
 
+#: Different labels whose shares are broadcast; more are joined by shuffle.
+BROADCAST_LABELS = 100_000
+
+
 def enough(bound: int) -> float:
     """So many are expected of a draw that gives ``bound`` almost surely."""
     return bound + 5 * bound**0.5 + 5
@@ -28,10 +32,12 @@ def bounded_sample(rows: DataFrame, label: Column, bound: int, total: int | None
     the bound is at most an equal part of it for each label (one text at the least). Rows without a label are left out.
     """
     rows = rows.select(label.alias("label"), "text", F.xxhash64("text").alias("h")).where("label is not null")
-    counts = rows.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("texts"))
+    counts = checkpointed(rows.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("texts")))
+    labels = counts.count()
     if total is not None:
-        bound = max(1, min(bound, total // max(1, counts.count())))
+        bound = max(1, min(bound, total // max(1, labels)))
     shares = counts.select(F.col("label").alias("of"), (enough(bound) / F.col("texts")).alias("share"))
+    shares = F.broadcast(shares) if labels <= BROADCAST_LABELS else shares
     chance = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     some = rows.join(shares, F.col("label") == F.col("of")).where(chance < F.col("share"))
     some = some.groupBy("label", "h").agg(F.min("text").alias("text"))
@@ -47,6 +53,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, bound: in
     ids = labels.select("doc_id", label.alias("label")).where("label is not null and doc_id is not null")
     shares = ids.groupBy(F.col("label").alias("of")).agg((enough(bound) / F.count("*")).alias("share"))
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(20)), F.lit(1 << 30)) / float(1 << 30)
+    shares = checkpointed(shares)
+    shares = F.broadcast(shares) if shares.count() <= BROADCAST_LABELS else shares
     ids = ids.join(shares, F.col("label") == F.col("of")).where(chance < F.col("share"))
     texts = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "label")), "doc_id")
     return checkpointed(bounded_sample(checkpointed(texts.select("label", "text")), F.col("label"), bound))

@@ -31,7 +31,10 @@ def encoder(vocabulary: str = BYTE_BPE) -> tuple[tiktoken.Encoding, frozenset[st
         with open(path(".tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(x): int(rank) for x, rank in (line.split() for line in lines if line.strip())}
         with open(path(".json"), encoding="utf-8") as file:
-            added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+            text = file.read()
+        # Only this list is parsed: the vocabulary beside it would take each worker some 50 MB.
+        start = text.index("[", text.index('"added_tokens"'))
+        added = {x["content"]: x["id"] for x in json.JSONDecoder().raw_decode(text, start)[0]}
         _encoders[vocabulary] = (
             tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added),
             frozenset(added),
