@@ -271,7 +271,8 @@ def located(
     few = aligned.count() <= broadcast_rows
     texts = keyed(docs).join(F.broadcast(laid) if few else laid.hint("shuffle_hash"), of_text)
     tokens = F.broadcast(tokens) if size * 8 <= BROADCAST_BYTES else tokens
-    found = verified(windows(texts).join(tokens.drop("n"), "item"), share, least).distinct()
+    # Written between, so that no task has two Python workers at once.
+    found = verified(checkpointed(windows(texts)).join(tokens.drop("n"), "item"), share, least).distinct()
     ids = named.select("item", "item_id").distinct()
     ids = F.broadcast(ids) if rows <= broadcast_rows else ids
     return found.join(ids, "item")
