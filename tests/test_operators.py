@@ -289,3 +289,68 @@ def test_drift_and_unmade_checks(spark):
     assert got == {(1, "first scan"), (2, "version rollback"), (2, "TLS downgrade")}
     checks = spark.createDataFrame([(1, None, True, False)], "scan_id int, pkce boolean, iss boolean, app_type boolean")
     assert [r["issue"] for r in posture.auth_findings(checks, ["scan_id"]).collect()] == ["no application type"]
+
+
+#: Shapes of schemas: a reference to itself, definitions, composition, items of items, patterns, conditions, clashes of escapes.
+SHAPES = {
+    "self": {"properties": {"next": {"$ref": "#"}, "value": {"type": "string"}}},
+    "defs": {"$defs": {"p": {"properties": {"path": {"type": "string", "pattern": ".*"}}}}, "allOf": [{"$ref": "#/$defs/p"}], "properties": {"a": {"$ref": "#/$defs/p"}}},
+    "unions": {"properties": {"u": {"anyOf": [{"type": "string"}, {"properties": {"dir": {"type": "string", "format": "uri"}}}]}}, "oneOf": [{"properties": {"o": {}}}]},
+    "lists": {"properties": {"l": {"items": {"items": {"properties": {"x": {"enum": [" Bash ", "sh", "no", 3]}}}}, "prefixItems": [{"properties": {"y": {}}}]}}},
+    "odd": {"patternProperties": {"^a/b~": {"properties": {"z": {}}}}, "if": {"properties": {"c": {}}}, "properties": {"n": 5, "t": {"$ref": "#/nowhere"}}, "items": {"properties": {"i": {}}}},
+}
+PATHS = {
+    "self": ["next", "value"],  # only references below the root are followed
+    "defs": ["path", "a", "a.path"],
+    "unions": ["o", "u", "u[1].dir"],
+    "lists": ["l", "l[0].y", "l.items.items.x"],
+    "odd": ["c", "t", "i", "pattern[^a/b~].z"],
+}
+
+
+def test_schema_walk_of_all_shapes(spark):
+    import json
+
+    from palisade.functions import schema
+
+    assert {k: sorted(p for p, *_ in schema.properties(v)) for k, v in SHAPES.items()} == {k: sorted(v) for k, v in PATHS.items() if k != "unions"} | {"unions": ["[0].o", "u", "u[1].dir"]}
+    pointers = {k: [schema.pointer(x) for x in schema.places(v, False)] for k, v in SHAPES.items()}
+    assert pointers["odd"] == ["#", "#/if", "#/if/properties/c", "#/items", "#/items/properties/i", "#/properties/t", "#/patternProperties/^a~1b~0", "#/patternProperties/^a~1b~0/properties/z"]
+    deep = {"type": "object"}
+    for _ in range(60):
+        deep = {"properties": {"d": deep}}
+    rows = spark.createDataFrame([("deep", json.dumps(deep)), ("none", None), ("bad", "{")], "id string, input_schema string")
+    got = schema.schema_properties(rows, ["id"]).collect()
+    assert len(got) == schema.MAX_DEPTH + 1 and [r["limited"] for r in got] == [False] * schema.MAX_DEPTH + [True]
+
+
+def test_schema_rules_on_all_shapes(spark):
+    import json
+
+    from palisade.operators import schemas
+
+    rows = spark.createDataFrame([(k, f"delete_{k}" if k == "unions" else k, json.dumps(v), json.dumps(v)) for k, v in SHAPES.items()], "id string, name string, input_schema string, output_schema string")
+    found = lambda f: {(r["id"], r["schema"], r["path"], r["issue"], r["severity"]) for r in f(rows, ["id"]).collect()}
+    assert found(schemas.command_injection) == {
+        ("defs", "input", "path", "broad pattern", "high"), ("defs", "input", "a.path", "broad pattern", "high"), ("lists", "input", "l.items.items.x", "command value", "high"),
+    }
+    assert found(schemas.unconstrained_paths) == {
+        ("defs", "input", "path", "unconstrained path", "low"), ("defs", "input", "a.path", "unconstrained path", "low"),
+        ("unions", "input", "u[1].dir", "unconstrained path", "medium"), ("unions", "output", "u[1].dir", "unconstrained path", "low"),
+    }
+    assert {x[:3] for x in found(schemas.unbounded_strings)} == {("self", s, p) for s in ("input", "output") for p in ("value",)}
+    untyped = {x[:3] for x in found(schemas.loose_schemas) if x[3] == "no type"}
+    assert untyped == {("lists", s, "l") for s in ("input", "output")}
+
+
+def test_surface_helpers(spark):
+    from palisade.operators import surfaces
+
+    assert surfaces.first_object('noise {bad {"a": {"b": 1}} tail') == '{"a": {"b": 1}}' and surfaces.first_object("[1]") is None
+    assert surfaces.minimal_arguments("no json") == "{}" and surfaces.minimal_arguments('{"required":["a"],"properties":{"a":{"type":["x"]}}}') == '{"a": "test"}'
+    rows = spark.createDataFrame([("Jun  1 12:00:00 2030 GMT",), ("Jun 01 12:00:00 2001 GMT",), ("soon",), (None,)], "not_after string")
+    assert [r["v"] for r in rows.select(surfaces.certificate_valid().alias("v")).collect()] == [True, False, False, False]
+    files = spark.createDataFrame([("a.py", "x\r\ny\u200b\u2028z\u202e"), ("b.js", "plain"), ("c", None)], "path string, content string")
+    assert [tuple(r) for r in surfaces.hidden_lines(files).collect()] == [("a.py", 2, "U+200B", "medium"), ("a.py", 3, "U+202E", "high")]
+    rows = spark.createDataFrame([("read write file",), ("rewrites",)], "text string")
+    assert [r["v"] for r in rows.select(surfaces.has_segment("write").alias("v")).collect()] == [True, False]

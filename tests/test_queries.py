@@ -1,6 +1,10 @@
 """Every registered query of the engine against its SQL on the smallest tables."""
 
 import duckdb
+import math
+import re
+from collections import Counter
+
 import pytest
 
 from palisade.plans import registry
@@ -36,4 +40,60 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_runs(spark, sf_dir, name):
-    assert registry.QUERIES[name](spark, sf_dir).columns
+    found = registry.QUERIES[name](spark, sf_dir).toPandas()
+    assert len(found.columns) and (len(found) or name in RARE)
+
+
+#: What the tables do not hold; tests/test_operators.py has rows for it.
+RARE = ("ref163_encoded_payloads", "ref162_injections", "ref173_traversals", "ref165_scope_mismatches", "ref166_secrets")
+
+
+@pytest.fixture(scope="module")
+def all_texts(spark, sf_dir):
+    from palisade.sources import adapters
+
+    return [((r["surface"], r["text_id"]), r["text"] or "") for r in adapters.texts(spark, sf_dir).select("surface", "text_id", "text").collect()]
+
+
+def test_injections_equal_plain_python(spark, sf_dir, all_texts):
+    from palisade.operators import rules
+
+    want = Counter((*k, label, severity, m.group()) for k, t in all_texts for label, severity, p in rules.INJECTIONS for m in re.finditer(p, t, re.I))
+    got = registry.QUERIES["ref162_injections"](spark, sf_dir).select("surface", "text_id", "label", "severity", "matched").collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_secrets_equal_plain_python(spark, sf_dir, all_texts):
+    from palisade.operators import rules
+
+    def entropy(x):
+        return -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values())
+
+    want = set()
+    for k, t in all_texts:
+        seen = set()
+        cases = [(label, severity, m.group()) for label, severity, p in rules.SECRETS for m in re.finditer(p, t)]
+        cases += [("Generic base64-like", "high", m.group()) for m in re.finditer(rules.GENERIC_BASE64, t) if entropy(m.group()) > 4.5]
+        tokens = (x.strip(rules.TOKEN_EDGES) for x in re.split(r"\s+", t))
+        cases += [("High-entropy token", "high", x) for x in tokens if re.match(rules.TOKEN, x) and entropy(x) > 4.5]
+        for case in cases:
+            if case[2] not in seen:
+                seen.add(case[2])
+                want.add((*k, case[2]))
+    got = {(r["surface"], r["text_id"], r["matched"]) for r in registry.QUERIES["ref166_secrets"](spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_traversals_equal_plain_python(spark, sf_dir, all_texts):
+    from palisade.operators import rules
+
+    want = Counter()
+    for k, t in all_texts:
+        for p in rules.TRAVERSAL:
+            for m in re.finditer(p, t, re.I):
+                before = t[max(0, m.start() - 60) : m.start()]
+                guard = re.search(rules.PROTECTIVE, before, re.I)
+                if not guard or re.search(rules.NEGATOR, before[: guard.start()].rstrip(), re.I):
+                    want[(*k, m.group())] += 1
+    got = registry.QUERIES["ref173_traversals"](spark, sf_dir).select("surface", "text_id", "matched").collect()
+    assert Counter(map(tuple, got)) == want
