@@ -82,7 +82,7 @@ def loose_schemas(tools: DataFrame, keys: list[str]) -> DataFrame:
     # Only the schema's own properties count, not those that a reference or composition adds.
     named = F.from_json(_field("properties"), "map<string,string>")
     own = node.select(*keys, "schema", F.explode(named).alias("path", "node")).where("startswith(node, '{')")
-    typed = F.greatest(*[_has(x) for x in TYPED], _field("['$ref']").isNotNull())
+    typed = F.greatest(*[_has(x) for x in TYPED], F.get_json_object("node", "$['$ref']").isNotNull())
     large = lambda name, most: F.coalesce(_field(name).try_cast("double") > most, F.lit(False))
     single = _findings(
         own,
