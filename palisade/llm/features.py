@@ -90,8 +90,8 @@ def letter_gram_counts(texts: Texts, dims: int, sizes: tuple[int, ...] = (1, 2,
         for i in range(len(texts)):
             if low[i + 1] > low[i]:
                 out[i] += np.bincount(slot[low[i] : low[i + 1]], minlength=dims).astype(np.float32)
-    total = np.maximum(out.sum(axis=1, keepdims=True), 1)
-    return np.sqrt(out / total)
+    out /= np.maximum(out.sum(axis=1, keepdims=True), 1)
+    return np.sqrt(out, out=out)
 
 
 class Known:

@@ -1,6 +1,6 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
-An Arrow batch is cut, without a copy, into runs of rows of about ``CHUNK_BYTES`` bytes, so
+An Arrow batch is cut, without a copy, into runs of at most ``CHUNK_ROWS`` rows of about ``CHUNK_BYTES`` bytes, so
 that the memory of a task follows the longest text and not the batch. All
 hashes are plain 64-bit arithmetic on UTF-8 bytes: they are the same in every
 process, on every executor, and when a lost task is run again.
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 18
+CHUNK_BYTES, CHUNK_ROWS = 1 << 18, 1 << 10
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -129,7 +129,7 @@ def grams(hashes: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def chunks(column: pa.Array | pa.ChunkedArray, budget: int = CHUNK_BYTES) -> Iterator[Texts]:
-    """``Texts`` of about ``budget`` bytes, and one row at least, that make up the column."""
+    """``Texts`` of about ``budget`` bytes, of one row at least and ``CHUNK_ROWS`` at most, that make up the column."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
@@ -145,6 +145,6 @@ def chunks(column: pa.Array | pa.ChunkedArray, budget: int = CHUNK_BYTES) -> Ite
     low = 0
     while low < len(column):
         high = int(np.searchsorted(offsets, offsets[low] + budget, side="right")) - 1
-        high = min(max(high, low + 1), len(column))
+        high = min(max(high, low + 1), low + CHUNK_ROWS, len(column))
         yield Texts(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], low)
         low = high
