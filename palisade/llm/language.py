@@ -22,6 +22,10 @@ DIMS = 4096
 #: Labelled texts per language that the classifiers are fitted on, at most, and of all languages together.
 FIT_ROWS, FIT_TOTAL = 600, 12_000
 UNKNOWN = "und"
+#: Scores below are ambiguous whatever was measured: the two best codewords are as near as equal.
+NEAR = 0.01
+#: So many more held-back texts must be told wrong than right before a score counts as ambiguous.
+EXCESS = 4
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
@@ -64,7 +68,7 @@ class Model:
     code: np.ndarray
     weights: np.ndarray
     reliability: np.ndarray  # (languages, bits), rows add up to 1
-    undecided: float = 0.0  # scores below are ambiguous
+    undecided: float = NEAR  # scores below are ambiguous
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights[:-1] + 0.3 * self.weights[-1]
@@ -82,11 +86,14 @@ class Model:
         return best, (near[:, 1] - near[:, 0]) / np.maximum(near[:, 1] + near[:, 0], 1e-12)
 
 
-def least_reliable(score: np.ndarray, right: np.ndarray) -> float:
-    """The greatest score below which texts that were not fitted on are as often told wrong as right; 0 if there is none."""
+def least_reliable(score: np.ndarray, right: np.ndarray, excess: int = 0) -> float:
+    """The greatest score below which texts that were not fitted on are told wrong as often as right, and ``excess`` times more.
+
+    0 if there is none. Without an excess, a few texts of a small sample would decide for many of the corpus.
+    """
     order = np.argsort(score, kind="stable")
     wrong = np.cumsum(~right[order])
-    bad = np.flatnonzero(2 * wrong >= np.arange(1, len(order) + 1))
+    bad = np.flatnonzero(2 * wrong >= np.arange(1, len(order) + 1) + excess)
     return float(np.nextafter(score[order][bad[-1]], 1)) if len(bad) else 0.0
 
 
@@ -124,10 +131,10 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, dims: int = DIMS, total: int
         else:
             reliability[i] += 1
     reliability /= reliability.sum(axis=1, keepdims=True)
-    undecided = 0.0
+    undecided = NEAR
     if tried:
         best, score = Model(languages, code, trial, reliability).decode(x[part])
-        undecided = least_reliable(score, best == seen)
+        undecided = max(NEAR, least_reliable(score, best == seen, EXCESS))
     return Model(languages, code, fit_bits(x, y), reliability, undecided)
 
 
@@ -136,8 +143,8 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str], dims: int
 
     A text that is null or has no letter, or a model of no language, gives
     ``und``, 0 and true. The score is 0 where the two best codewords are equally
-    near, and grows towards 1 with the distance between them. Ambiguous are scores with which labelled texts, held
-    back while the model was fitted, were told wrong as often as right. A column with the name of a result is left out.
+    near, and grows towards 1 with the distance between them. Ambiguous are scores below ``NEAR``, and those with which labelled
+    texts, held back while the model was fitted, were told wrong more often than right. A column with the name of a result is left out.
     """
 
     def score(texts):

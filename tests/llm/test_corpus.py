@@ -693,6 +693,10 @@ def test_very_many_languages(spark):
 def test_ambiguity_is_where_errors_begin():
     score, right = np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([False, True, False, True, True])
     assert 0.4 < language.least_reliable(score, right) < 0.41 and language.least_reliable(score, score > 0) == 0
+    # Two errors of a small sample prove nothing; eight of ten do.
+    assert language.least_reliable(score, right, excess=4) == 0
+    score, right = np.arange(20) / 20, np.arange(20) >= 8
+    assert 0.55 < language.least_reliable(score, right, excess=4) < 0.56
 
 
 def test_toxicity_of_held_out_documents(spark, sf_dir):
