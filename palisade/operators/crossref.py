@@ -143,6 +143,25 @@ def attack_paths(edges: DataFrame, starts: DataFrame, max_nodes: int = 6) -> Dat
     return first.select("nodes", F.col("best.n").alias("n"), F.col("best.path").alias("path"))
 
 
+#: What takes input, and what runs commands.
+TAKES = ("input", "receive")
+RUNS = r"\b(?:exec|eval|shell|bash|cmd|subprocess|command|spawn|sudo)\b"
+
+
+def path_kinds(paths: DataFrame, tools: DataFrame) -> DataFrame:
+    """C006: attack paths (columns n, path) with kind and severity, by what their first and last tool (server, name, description) say."""
+    told = tools.groupBy(F.struct("server", "name").alias("node")).agg(F.min(F.coalesce("description", F.lit(""))).alias("description"))
+    text = F.concat_ws(" ", "node.name", "description")
+    takes = F.exists(F.array(*[F.lit(x) for x in TAKES]), lambda x: F.contains(F.lower("description"), x))
+    first = told.select(F.col("node").alias("first"), text.rlike(unicode_pattern(READS)).alias("reads"), takes.alias("takes"))
+    last = told.select(F.col("node").alias("last"), text.rlike(unicode_pattern(SENDS)).alias("sends"), text.rlike(unicode_pattern(RUNS)).alias("runs"))
+    rows = paths.withColumns({"first": F.element_at("path", 1), "last": F.element_at("path", -1)}).join(first, "first").join(last, "last")
+    case = lambda kind, severity: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
+    found = F.when(F.col("reads") & F.col("sends"), case("exfiltration", "critical")).when(F.col("takes") & F.col("runs"), case("command_injection", "critical"))
+    found = found.when(F.col("n") >= 3, case("long_chain", "high")).otherwise(case("pair", "medium"))
+    return rows.select("n", "path", found.alias("k")).select("n", "path", "k.*")
+
+
 def escalations(edges: DataFrame, tools: DataFrame, max_steps: int = 4) -> DataFrame:
     """Reading tools from which a writing tool of another server is reached, with the fewest steps."""
     text = tool_text()
@@ -212,16 +231,48 @@ def match_advisories(findings: DataFrame, advisories: DataFrame, mapped: list[st
     return scored.unionByName(apart).groupBy("rule_id", "cve_id").agg(F.max("score").alias("score")).where(F.col("score") >= min_score)
 
 
-def nearest_known(names: DataFrame, known: DataFrame, limit: int = 2) -> DataFrame:
-    """The nearest known name within ``limit`` edits of each other name; ties go to the lesser known name.
-
-    ``names`` and ``known`` have a column name. Known names are a fixed short list.
+#: Names of packages and scopes that others imitate.
+KNOWN_PACKAGES = (
+    "@modelcontextprotocol/server-filesystem", "@modelcontextprotocol/server-memory", "@modelcontextprotocol/server-everything",
+    "@modelcontextprotocol/server-sequential-thinking", "@modelcontextprotocol/server-git", "@modelcontextprotocol/server-github",
+    "@modelcontextprotocol/server-gitlab", "@modelcontextprotocol/server-slack", "@modelcontextprotocol/server-postgres",
+    "@modelcontextprotocol/server-sqlite", "@modelcontextprotocol/server-puppeteer", "@modelcontextprotocol/server-brave-search",
+    "@modelcontextprotocol/server-google-maps", "@modelcontextprotocol/server-everart", "@modelcontextprotocol/server-fetch",
+    "@modelcontextprotocol/server-redis", "@modelcontextprotocol/server-sentry", "@modelcontextprotocol/server-gdrive",
+    "@modelcontextprotocol/inspector",
+    "mcp-server-git", "mcp-server-time", "mcp-server-fetch", "mcp-server-sqlite",
+    "@playwright/mcp", "@browsermcp/mcp", "@notionhq/notion-mcp-server", "@upstash/context7-mcp", "@wonderwhy-er/desktop-commander",
+    "chrome-devtools-mcp", "firecrawl-mcp", "tavily-mcp", "exa-mcp-server", "duckduckgo-mcp-server", "mcp-server-kubernetes",
+    "blender-mcp", "figma-developer-mcp",
+    "twitter-mcp", "stripe-mcp", "github-mcp", "slack-mcp", "notion-mcp", "postmark-mcp",
+)
+KNOWN_SCOPES = ("@modelcontextprotocol", "@playwright", "@notionhq", "@upstash", "@browsermcp")
+
+
+def _nearest(text: Column, known: tuple[str, ...], limit: int, short: int, share: float) -> Column:
+    """struct(distance, suspected) of the nearest of a short list within reach, ties to the lesser; null if there is none."""
+    options = F.array(*[F.lit(k) for k in known])
+    scored = F.transform(options, lambda k: F.struct(F.levenshtein(text, k, limit).alias("distance"), k.alias("suspected")))
+    reach = lambda k: F.greatest(F.lit(1), F.floor(F.length(k) * share))
+    near = F.filter(scored, lambda x: (x["distance"] > 0) & (x["distance"] <= reach(x["suspected"])) & (F.least(F.length(text), F.length(x["suspected"])) >= short))
+    return F.array_min(near)
+
+
+def nearest_known(names: DataFrame, packages: tuple[str, ...] = KNOWN_PACKAGES, scopes: tuple[str, ...] = KNOWN_SCOPES, limit: int = 2) -> DataFrame:
+    """name, suspected, distance of names (column name) that look like a known package or scope but are none.
+
+    A name is compared trimmed and in lower case with packages within ``limit`` edits, a third of the known name at most,
+    both of five characters or more; ties go to the lesser known name. A name near no package whose scope is near a known
+    one is reported with that scope and distance 1. The known names are literals of the plan: nothing is joined.
     """
-    left = names.select("name").distinct().join(known.select("name"), "name", "left_anti")
-    other = known.select(F.col("name").alias("suspected"))
-    near = left.join(F.broadcast(other), F.abs(F.length("name") - F.length("suspected")) <= limit)
-    near = near.withColumn("distance", F.levenshtein("name", "suspected", limit)).where(F.col("distance") > 0)
-    return near.groupBy("name").agg(F.min(F.struct("distance", "suspected")).alias("m")).select("name", "m.suspected", "m.distance")
+    low = names.select(F.lower(F.trim("name")).alias("name")).where("name <> ''").distinct()
+    scope = F.regexp_extract("name", r"^(@[^/]*)/", 1)
+    rows = low.where(~F.col("name").isin(*packages)).withColumn("p", _nearest(F.col("name"), packages, limit, 5, 0.34))
+    alike = F.when((scope != "") & ~scope.isin(*scopes), _nearest(scope, scopes, limit, 0, 1.0))
+    rows = rows.withColumn("s", F.when(F.col("p").isNull(), alike))
+    suspected = F.coalesce("p.suspected", F.concat("s.suspected", F.lit("/…")))
+    distance = F.coalesce("p.distance", F.when(F.col("s").isNotNull(), 1))
+    return rows.select("name", suspected.alias("suspected"), distance.alias("distance")).where("suspected is not null")
 
 
 def vulnerable_dependencies(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:

@@ -285,16 +285,35 @@ def escalations(spark, d):
     return crossref.escalations(edges, tools).groupBy("steps").agg(F.count("*").alias("pairs"))
 
 
-@query("ref084_typosquats", """WITH known(k) AS (VALUES ('small ring'), ('red widget'), ('blue bolt')),
-names AS (SELECT DISTINCT replace(replace(p_name, 'ring', 'rings'), 'bolt', 'bot') AS name FROM part),
-d AS (SELECT name, k, levenshtein(name, k) AS distance FROM names, known WHERE name NOT IN (SELECT k FROM known) AND levenshtein(name, k) <= 2)
-SELECT name, min((distance, k)).k AS suspected, CAST(min(distance) AS INT) AS distance FROM (SELECT name, {'distance': distance, 'k': k} AS s, distance, k FROM d) GROUP BY name""".replace(
-    "min((distance, k)).k", "min(s).k"
-))
+@query("ref080_path_kinds", f"""{with_views("tools")}, {_WAYS},
+said AS (SELECT server, ord, name || '_' || ord || ' ' || {_DEED} AS text FROM tools),
+told AS (SELECT server, ord, regexp_matches(text, '(?i){crossref.READS}') AS reads, regexp_matches(text, '(?i){crossref.SENDS}') AS sends FROM said),
+k AS (SELECT CASE WHEN a.reads AND b.sends THEN 'exfiltration' WHEN n >= 2 THEN 'long_chain' ELSE 'pair' END AS kind
+  FROM w JOIN told a ON a.server = src_server AND a.ord = src JOIN told b ON b.server = dst_server AND b.ord = dst)
+SELECT kind, CASE kind WHEN 'exfiltration' THEN 'critical' WHEN 'long_chain' THEN 'high' ELSE 'medium' END AS severity, count(*) AS paths FROM k GROUP BY kind""")
+def path_kinds(spark, d):
+    active = _active(spark, d)
+    nodes = _typed(active)
+    found = crossref.attack_paths(crossref.type_edges(nodes), nodes.select(F.struct("server", "name").alias("node")))
+    tools = active.select("server", F.concat_ws("_", "name", "ord").alias("name"), "description")
+    return crossref.path_kinds(found, tools).groupBy("kind", "severity").agg(F.count("*").alias("paths"))
+
+
+_KNOWN = "[" + ", ".join(f"'{k}'" for k in crossref.KNOWN_PACKAGES) + "]"
+
+
+@query("ref084_typosquats", f"""WITH t AS (SELECT p_partkey AS i, {_KNOWN}[p_partkey % 42 + 1] AS k, p_size % 5 AS how FROM part),
+n AS (SELECT DISTINCT CASE how WHEN 0 THEN k WHEN 1 THEN k || 'x' WHEN 2 THEN substr(k, 1, length(k) - 2) WHEN 3 THEN '@playwrigt/tool-' || i ELSE 'tool-' || i END AS name FROM t),
+d AS (SELECT name, known, levenshtein(name, known) AS distance FROM n, (SELECT unnest({_KNOWN}) AS known) WHERE name NOT IN (SELECT unnest({_KNOWN}))),
+near AS (SELECT name, min({{'d': distance, 'k': known}}) AS m FROM d WHERE distance <= 2 AND distance <= greatest(1, floor(0.34 * length(known))) GROUP BY name)
+SELECT name, m.k AS suspected, CAST(m.d AS INT) AS distance FROM near UNION ALL SELECT name, '@playwright/…', 1 FROM n WHERE starts_with(name, '@playwrigt/')""")
 def typosquats(spark, d):
-    names = A.table(spark, d, "part").select(F.regexp_replace(F.regexp_replace("p_name", "ring", "rings"), "bolt", "bot").alias("name"))
-    known = spark.sql("SELECT * FROM VALUES ('small ring'), ('red widget'), ('blue bolt') AS t(name)")
-    return crossref.nearest_known(names, known)
+    """Known names, with an end more, two characters fewer, a scope that looks alike, and others."""
+    i, how = F.col("p_partkey").cast("string"), F.col("p_size") % 5
+    known = F.element_at(F.array(*[F.lit(x) for x in crossref.KNOWN_PACKAGES]), (F.col("p_partkey") % 42 + 1).cast("int"))
+    name = F.when(how == 0, known).when(how == 1, F.concat(known, F.lit("X "))).when(how == 2, F.substring(known, F.lit(1), F.length(known) - 2))
+    name = name.when(how == 3, F.concat(F.lit("@playwrigt/tool-"), i)).otherwise(F.concat(F.lit("tool-"), i))
+    return crossref.nearest_known(A.table(spark, d, "part").select(name.alias("name")))
 
 
 @query("ref082_advisory_matches", """WITH kinds AS (SELECT DISTINCT 'R' || CAST(100 + l_linenumber AS VARCHAR) AS rule_id, p_name AS title,

@@ -170,3 +170,61 @@ def rule_set(spark, d):
     found.register("X002", "all names", lambda tools: tools.select("server", "name", F.lit("low").alias("severity"), F.col("name").alias("evidence")))
     found.disable("X002")
     return found.run(A.tools(spark, d)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+@query("ref181_script_findings", """WITH d AS (SELECT 'd' || doc_id || '.ts' AS path, doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
+r AS (SELECT path, n + 1 AS line_number, 'S004' AS rule_id, 'critical' AS severity FROM d UNION ALL SELECT path, n + 2, 'S006', 'critical' FROM d UNION ALL SELECT path, n + 3, 'S001', 'critical' FROM d
+UNION ALL SELECT path, n + 4, 'S002', 'medium' FROM d UNION ALL SELECT path, n + 4, 'S011', 'medium' FROM d UNION ALL SELECT path, n + 6, 'S009', 'medium' FROM d)
+SELECT path, CAST(line_number AS INT) AS line_number, rule_id, severity FROM r""")
+def script_findings(spark, d):
+    """Every document, its brackets and hidden characters blanked, before lines that the rules report."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[(\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{2066}-\x{2069}\x{FEFF}]", " ")
+    code = "\neval(x); eval(y)\nspawn(cmd, 'a')\nconst u = 'http://169.254.169.254/'\nreturn await fetch(\nurl)\nserver.listen('0.0.0.0')"
+    files = A.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.concat(text, F.lit(code)).alias("content"))
+    return surfaces.script_findings(files)
+
+
+@query("ref178_open_binds", """SELECT 'd' || doc_id || '.py' AS path, CAST(len(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) + unnest([1, 3, 4]) AS INT) AS line_number,
+  'S009' AS rule_id, 'high' AS severity FROM documents""")
+def open_binds(spark, d):
+    code = "\nmcp.run(host=\"0.0.0.0\")\n# host='0.0.0.0'\ns.bind(('', 80))\nmcp.settings.host = '::'\nrun(host='127.0.0.1')"
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "['\"]", " ")
+    files = A.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(text, F.lit(code)).alias("content"))
+    return surfaces.open_binds(files)
+
+
+@query("ref229_arguments", """WITH p AS (SELECT p_partkey AS id, p_partkey % 5 AS k, p_name AS n FROM part)
+SELECT id, CASE k WHEN 0 THEN 'forbidden: a' WHEN 1 THEN 'too long: l[1]' WHEN 2 THEN 'too deep: d' WHEN 3 THEN 'no object' END AS fault,
+  CASE k WHEN 0 THEN '{"a": "test", "n": "' || n || '"}' WHEN 1 THEN '{"l": [1, "' || repeat('x', 50) || '"], "n": "' || n || '"}' WHEN 2 THEN '{"a": {"b": {"c": {}}}, "n": "' || n || '"}'
+  WHEN 3 THEN '{}' ELSE '{"n": "' || n || '"}' END AS cleaned FROM p""")
+def argument_checks(spark, d):
+    k = F.col("p_partkey") % 5
+    first = F.when(k == 0, '"a":"Root",').when(k == 1, f'"l":[1,"{"x" * 60}"],').when(k == 2, '"a":{"b":{"c":{"d":{}}}},').otherwise("")
+    text = F.when(k == 3, "[1]").otherwise(F.concat(F.lit("{"), first, F.lit('"n":"'), "p_name", F.lit('"}')))
+    rows = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("args"))
+    return rows.select("id", surfaces.argument_faults("args").alias("fault"), surfaces.cleaned_arguments("args").alias("cleaned"))
+
+
+@query("ref062_registry_stubs", """SELECT '@a/' || p_name AS name, CAST(min_by(p_size, p_partkey) AS VARCHAR) AS version, 'registry-pending' AS status,
+  min_by(p_type, p_partkey) AS description, 'a-' || p_name || '.json' AS file FROM part GROUP BY p_name""")
+def registry_stubs(spark, d):
+    none = F.lit(None).cast("string")
+    rows = A.table(spark, d, "part").select(
+        F.col("p_partkey").alias("position"), F.concat(F.lit("@a/"), "p_name").alias("name"), F.col("p_size").cast("string").alias("version"),
+        F.col("p_type").alias("description"), none.alias("repository"),
+    )
+    return surfaces.registry_stubs(rows).select("name", "version", "status", "description", "file")
+
+
+@query("ref063_registry_metadata", """SELECT s_suppkey AS id, '{"$schema":"https://static.modelcontextprotocol.io/schemas/2025-12-11/server.schema.json","name":"'
+  || ['io.modelcontextprotocol/', 'com.microsoft.playwright/', 'io.github.x/'][s_suppkey % 3 + 1] || s_name || '","version":"' || CASE WHEN s_suppkey % 2 = 0 THEN 'unknown' ELSE '1.0' END
+  || '","_meta":{"io.github.palisade/security":{"grade":"A","risk_score":' || CASE WHEN s_suppkey % 4 = 0 THEN 'null' ELSE CAST(s_nationkey AS VARCHAR) END || '}}}' AS entry FROM supplier""")
+def registry_metadata(spark, d):
+    k = F.col("s_suppkey")
+    scope = F.when(k % 3 == 0, "@modelcontextprotocol/").when(k % 3 == 1, "@playwright/").otherwise("@x/")
+    rows = A.table(spark, d, "supplier").select(
+        k.alias("id"), F.concat(scope, "s_name").alias("server"), F.when(k % 2 == 1, "1.0").alias("version"), F.lit("A").alias("grade"),
+        F.when(k % 4 != 0, F.col("s_nationkey")).alias("risk_score"),
+    )
+    found = surfaces.registry_metadata(rows, ["grade", "risk_score"]).join(rows.select("id", "server"), "server")
+    return found.select("id", "entry")

@@ -1,13 +1,9 @@
-"""Readers: snapshots, result files, advisories, registries, manifests and configuration files as tables."""
+"""Readers: snapshots, result files, advisories, registries and source files as tables."""
 
 from __future__ import annotations
 
-import json
 import re
-import tomllib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +26,6 @@ REGISTRY = (
     "name string, description string, packages array<struct<registry_type:string,identifier:string,version:string,transport:string>>, "
     "categories array<string>, is_latest boolean"
 )
-DEPENDENCY = "ecosystem string, name string, version string, direct boolean"
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
@@ -102,158 +97,3 @@ def source_files(spark: SparkSession, path: str, suffixes: tuple[str, ...], skip
     if skip:
         rows = rows.where(~F.col("path").rlike("/(?:" + "|".join(re.escape(s) for s in skip) + ")/"))
     return rows.orderBy("path").limit(most)
-
-
-def _npm_lock(text: str) -> Iterator[tuple]:
-    data = json.loads(text)
-    packages = data.get("packages")
-    if isinstance(packages, dict):
-        direct = set((packages.get("") or {}).get("dependencies", {})) | set((packages.get("") or {}).get("devDependencies", {}))
-        for path, info in packages.items():
-            name = info.get("name") or path.rpartition("node_modules/")[2]
-            if path and name:
-                yield "npm", name, str(info.get("version", "")), name in direct
-        return
-
-    def nested(level: dict, top: bool) -> Iterator[tuple]:
-        for name, info in level.items():
-            yield "npm", name, str(info.get("version", "")), top
-            yield from nested(info.get("dependencies") or {}, False)
-
-    yield from nested(data.get("dependencies") or {}, True)
-
-
-def _package_json(text: str) -> Iterator[tuple]:
-    data = json.loads(text)
-    for part in ("dependencies", "devDependencies", "optionalDependencies"):
-        for name, version in (data.get(part) or {}).items():
-            yield "npm", name, clean_version(str(version)), True
-
-
-def _yarn_lock(text: str) -> Iterator[tuple]:
-    name = None
-    for line in text.splitlines():
-        if line and not line[0].isspace() and not line.startswith("#"):
-            first = line.rstrip(":").split(",")[0].strip().strip('"')
-            name = first.rpartition("@")[0] or first
-        elif name and (m := re.match(r'\s+version:?\s+"?([^"\s]+)"?', line)):
-            yield "npm", name, m[1], False
-            name = None
-
-
-def _requirements(text: str) -> Iterator[tuple]:
-    for line in text.splitlines():
-        line = line.split("#")[0].strip()
-        if m := re.match(r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(?:==\s*([^\s;,]+))?", line):
-            yield "pypi", m[1], m[2] or "", True
-
-
-def _pyproject(text: str) -> Iterator[tuple]:
-    data = tomllib.loads(text)
-    for spec in (data.get("project") or {}).get("dependencies") or []:
-        yield from _requirements(spec)
-    for name, spec in ((data.get("tool") or {}).get("poetry") or {}).get("dependencies", {}).items():
-        if name.lower() != "python":
-            yield "pypi", name, clean_version(spec if isinstance(spec, str) else str(spec.get("version", ""))), True
-
-
-def _python_lock(text: str) -> Iterator[tuple]:
-    for item in tomllib.loads(text).get("package") or []:
-        if item.get("name"):
-            yield "pypi", item["name"], str(item.get("version", "")), False
-
-
-def _pnpm_lock(text: str) -> Iterator[tuple]:
-    import yaml
-
-    data = yaml.safe_load(text) or {}
-    for key in data.get("packages") or {}:
-        m = re.match(r"^/?((?:@[^/@]+/)?[^/@]+)[@/]([^(]+)", key)
-        if m:
-            yield "npm", m[1], m[2], False
-
-
-def clean_version(spec: str) -> str:
-    """The first version number of a range."""
-    m = re.search(r"\d+(?:\.\d+)*(?:[-+.][0-9A-Za-z.]+)?", spec)
-    return m[0] if m else ""
-
-
-#: By file name: the parser and whether the file locks its ecosystem.
-MANIFESTS = {
-    "package-lock.json": (_npm_lock, True),
-    "pnpm-lock.yaml": (_pnpm_lock, True),
-    "yarn.lock": (_yarn_lock, True),
-    "uv.lock": (_python_lock, True),
-    "poetry.lock": (_python_lock, True),
-    "pdm.lock": (_python_lock, True),
-    "package.json": (_package_json, False),
-    "requirements.txt": (_requirements, False),
-    "pyproject.toml": (_pyproject, False),
-}
-
-
-def dependencies(files: DataFrame) -> DataFrame:
-    """project, source, ecosystem, name, version, direct from manifest files (project, path, content).
-
-    A project's lock file of an ecosystem takes the place of its loose manifests;
-    of equal (ecosystem, name in lower case, version) the first by source stays. A
-    file that cannot be parsed gives nothing.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for project, path, content in batch.itertuples(index=False, name=None):
-                source = path.rpartition("/")[2]
-                parse, lock = MANIFESTS.get(source, (None, False))
-                try:
-                    rows += [(project, source, lock, *x) for x in parse(content or "")] if parse else []
-                except Exception:  # noqa: BLE001  any malformed file
-                    continue
-            yield pd.DataFrame(rows, columns=["project", "source", "lock", "ecosystem", "name", "version", "direct"])
-
-    kind = dict(files.dtypes)["project"]
-    found = files.select("project", "path", "content").mapInPandas(run, f"project {kind}, source string, lock boolean, {DEPENDENCY}")
-    locked = found.where("lock").select("project", "ecosystem").distinct()
-    kept = found.where("lock").unionByName(found.where("not lock").join(locked, ["project", "ecosystem"], "left_anti"))
-    key = ["project", "ecosystem", F.lower("name").alias("_name"), "version"]
-    first = kept.groupBy(*key).agg(F.min(F.struct("source", "name", "direct")).alias("f"))
-    return first.select("project", "f.source", "ecosystem", "f.name", "version", "f.direct")
-
-
-def launched_servers(files: DataFrame) -> DataFrame:
-    """path, server, command, args of the servers that agent configuration files (path, content) launch."""
-    kind = "struct<mcpServers:map<string,struct<command:string,args:array<string>,env:map<string,string>>>>"
-    parsed = files.select("path", F.from_json("content", kind).alias("c")).where("c.mcpServers is not null")
-    return parsed.select("path", F.explode("c.mcpServers").alias("server", "s")).select(
-        "path", "server", "s.command", F.coalesce("s.args", F.array()).alias("args"), F.map_keys("s.env").alias("env")
-    )
-
-
-def permissions(files: DataFrame) -> DataFrame:
-    """path, rule of what agent configuration files allow."""
-    parsed = files.select("path", F.from_json("content", "struct<permissions:struct<allow:array<string>>>").alias("c"))
-    return parsed.select("path", F.explode("c.permissions.allow").alias("rule"))
-
-
-#: Fixed values: (rule, severity, pattern) of launch commands.
-COMMANDS = (
-    ("M001", "critical", r"(?:curl|wget)\s[^|;&]*\|\s*(?:ba|z)?sh\b"),
-    ("M002", "high", r"\bbase64\s+(?:-d|--decode)\b"),
-    ("M003", "high", r"(?:/dev/tcp/|\bnc\s+-e\b|\bncat\b)"),
-    ("M004", "medium", r"\bsudo\b"),
-    ("M005", "medium", r"\b(?:chmod\s+777|rm\s+-rf)\b"),
-    ("M007", "low", r"\b(?:npx|uvx)\b(?!.*@\d)"),
-)
-BROAD_PERMISSION = r"^(?:\*|Bash(?:\(\*?(?::\*)?\))?|Write(?:\(\*+\))?|.*\(\*\*?\))$"
-
-
-def config_findings(files: DataFrame) -> DataFrame:
-    """Suspicious launch commands and permissions that allow too much."""
-    servers = launched_servers(files)
-    line = F.concat_ws(" ", "command", F.array_join("args", " "))
-    hits = F.array_compact(F.array(*[F.when(line.rlike(p), F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"))) for r, s, p in COMMANDS]))
-    commands = servers.select("path", F.explode(hits).alias("h"), line.alias("evidence")).select("path", "h.*", "evidence")
-    broad = permissions(files).where(F.col("rule").rlike(BROAD_PERMISSION))
-    return commands.unionByName(broad.select("path", F.lit("M006").alias("rule_id"), F.lit("high").alias("severity"), F.col("rule").alias("evidence")))

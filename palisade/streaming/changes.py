@@ -14,8 +14,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors see: that of spark.checkpoint.dir; one of our own where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    """The folder that all executors see, of spark.checkpoint.dir; a cluster that names none is an error, a local session gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return folder or tempfile.mkdtemp(prefix="spark-shared-")
 
 
 def written_copy(rows: DataFrame) -> DataFrame:
@@ -37,10 +40,10 @@ def watch(snapshots: DataFrame) -> DataFrame:
     """
 
     def compare(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("scan_id")
+        rows = sorted(((x, tools) for b in batches for x, tools in zip(b["scan_id"], b["tools"], strict=True)), key=lambda r: r[0])
         last = state.get if state.exists else None
         out = []
-        for scan_id, tools in zip(rows["scan_id"], rows["tools"], strict=True):
+        for scan_id, tools in rows:
             now = sorted(set(tools))
             if last is not None:
                 before, known = last[0], set(last[1])
@@ -70,6 +73,27 @@ def append_audit(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return out.option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def delete_events(spark: SparkSession, path: str, gone: DataFrame | None = None, before=None) -> None:
+    """Remove audit events whose id is in ``gone`` (column id), or older than ``before``, from the table of ``append_audit``.
+
+    Only the days that hold such events are rewritten. No stream may append meanwhile.
+    """
+    rows = spark.read.parquet(path)
+    old = F.lit(False) if before is None else F.col("timestamp") < F.lit(before).cast("timestamp")
+    hit = rows.where(old).select("day")
+    kept = rows.where(~F.coalesce(old, F.lit(False)))
+    if gone is not None:
+        hit = hit.unionByName(rows.join(gone.select("id"), "id", "left_semi").select("day"))
+        kept = kept.join(gone.select("id"), "id", "left_anti")
+    days = hit.distinct()
+    # A day that loses all its events keeps an empty file, so that the overwrite reaches it.
+    emptied = [r[0] for r in days.join(kept.select("day").distinct(), "day", "left_anti").collect()]  # days, not events
+    staying = written_copy(kept.join(days, "day", "left_semi").select(*rows.columns))
+    staying.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for day in emptied:
+        spark.createDataFrame([], rows.drop("day").schema).write.mode("overwrite").parquet(f"{path}/day={day}")
+
+
 def daily_events(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Events by day and type; works on a stream too, where days close ``late`` after their end."""
     if events.isStreaming:
