@@ -120,9 +120,19 @@ def evidence_gaps(counts: DataFrame, by: str, need: int = 3) -> DataFrame:
 
 
 def pending(rows: DataFrame, now, retry_days: int = 7) -> DataFrame:
-    """Names without a complete result whose last try is old enough, each with its least file."""
-    by = rows.groupBy("name").agg(F.bool_or(~F.col("incomplete")).alias("done"), F.max("scanned_at").alias("last"), F.min("file").alias("file"))
-    return by.where(~F.col("done") & (F.col("last") <= F.lit(now) - F.expr(f"INTERVAL {retry_days} DAYS"))).select("name", "file")
+    """name, file of the servers still to scan, from result files (name, file, incomplete, scanned_at, status).
+
+    A server with a complete result is done. One that was tried within ``retry_days`` waits, a try without a time does not count.
+    The file of a registry's stub goes first, then the least name of a file.
+    """
+    stub = F.coalesce(F.col("status") == "registry-pending", F.lit(False))
+    by = rows.groupBy("name").agg(
+        F.bool_or(~F.coalesce("incomplete", F.lit(False)) & ~stub).alias("done"),
+        F.max(F.when(F.col("incomplete"), F.col("scanned_at"))).alias("last"),
+        F.min_by("file", F.struct(~stub, "file")).alias("file"),
+    )
+    due = F.coalesce(F.col("last") <= F.lit(now) - F.make_dt_interval(days=F.lit(retry_days)), F.lit(True))
+    return by.where(~F.col("done") & (due if retry_days > 0 else F.lit(True))).select("name", "file")
 
 
 def first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

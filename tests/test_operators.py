@@ -260,6 +260,19 @@ def test_audit_deletion(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [2, 4]
 
 
+def test_pending(spark):
+    from datetime import datetime
+
+    rows = [
+        ("a", "1", True, "2024-01-01", None), ("a", "2", False, "2024-01-01", None), ("b", "3", True, "2024-01-09", None), ("c", "4", True, "2024-01-01", None),
+        ("c", "5", None, None, "registry-pending"), ("d", "6", True, None, None), ("d", "7", True, "2024-01-03", None),
+    ]
+    frame = spark.createDataFrame(rows, "name string, file string, incomplete boolean, scanned_at string, status string")
+    frame = frame.withColumn("scanned_at", F.col("scanned_at").cast("timestamp"))
+    assert {tuple(r) for r in policy.pending(frame, datetime(2024, 1, 10)).collect()} == {("c", "5"), ("d", "6")}
+    assert {r["name"] for r in policy.pending(frame, datetime(2024, 1, 10), 0).collect()} == {"b", "c", "d"}
+
+
 def test_path_kinds(spark):
     node = lambda s: {"server": s, "name": s}
     paths = spark.createDataFrame([(2, [node("r"), node("s")]), (2, [node("i"), node("x")]), (3, [node("p"), node("r"), node("x")]), (2, [node("p"), node("i")])], "n int, path array<struct<server:string,name:string>>")
