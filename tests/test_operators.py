@@ -260,6 +260,18 @@ def test_audit_deletion(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [2, 4]
 
 
+def test_dot_graph(spark, tmp_path):
+    nodes = spark.createDataFrame([("s:1", "get_x", "reads"), ("s:1", "put", "run it"), ("t", 'a"b', None)], "server string, tool string, description string")
+    kind = "src struct<server:string,name:string>, dst struct<server:string,name:string>, shared array<string>"
+    edges = spark.createDataFrame([({"server": "s:1", "name": "put"}, {"server": "t", "name": 'a"b'}, ["x", "y"])], kind)
+    sinks.write_dot(nodes, edges, str(tmp_path / "dot"))
+    lines = "\n".join(p.read_text() for p in sorted((tmp_path / "dot").glob("part-*.txt"))).split("\n")
+    lines = [x for x in lines if x]
+    assert lines[0] == "digraph AttackGraph {" and lines[-1] == "}" and sum("style=filled;" in x for x in lines) == 2
+    assert '    s_1_get_x [label="get_x", fillcolor="#c8e6c9"];' in lines and '    s_1_put [label="put", fillcolor="#ffcdd2"];' in lines
+    assert '    t_a_b [label="a\\"b", fillcolor="#ffffff"];' in lines and lines[-2] == '  "s_1_put" -> "t_a_b" [label="x, y"];'
+
+
 def test_pending(spark):
     from datetime import datetime
 
