@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
+from .graph import written
 from .tables import CRC_SQL, crc32_sql, table
 
 #: Conversations of a block, and the turns from which a block takes no further one.
@@ -155,13 +155,13 @@ def chain_totals(chains: DataFrame) -> DataFrame:
 
     In round k, ``jump`` is the chain 2^k steps up, and the sums are those of the chains less than 2^k steps below.
     """
-    now = checkpointed(chains.withColumn("jump", F.col("up")))
+    now = written(chains.withColumn("jump", F.col("up")))
     while now.where(F.col("jump").isNotNull()).limit(1).count():
         below = now.where(F.col("jump").isNotNull()).groupBy(F.col("jump").alias("conv_id")).agg(F.sum("leaves").alias("l"), F.sum("saved").alias("s"))
         above = now.where(F.col("jump").isNotNull()).select(F.col("conv_id").alias("jump"), F.col("jump").alias("next"))
         now = now.join(below, "conv_id", "left").join(above, "jump", "left")
         added = lambda total, more: (F.col(total) + F.coalesce(F.col(more), F.lit(0))).alias(total)
-        now = checkpointed(now.select("conv_id", "up", "top", added("leaves", "l"), added("saved", "s"), F.col("next").alias("jump")))
+        now = written(now.select("conv_id", "up", "top", added("leaves", "l"), added("saved", "s"), F.col("next").alias("jump")))
     return now.drop("jump")
 
 
@@ -172,20 +172,20 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     n_leaves and saved_tokens over the subtree with its top, and ends_sha256 over the ids of the conversations that end
     there. Positions give the order only. A row without key counts as no turn. No rows give no nodes.
     """
-    held = checkpointed(turns.select("conv_id", "pos", "key", "words"))
-    parts = checkpointed(held.repartitionByRange("conv_id").sortWithinPartitions("conv_id", "pos").mapInArrow(_block_nodes, NODES))
+    held = written(turns.select("conv_id", "pos", "key", "words"))
+    parts = written(held.repartitionByRange("conv_id").sortWithinPartitions("conv_id", "pos").mapInArrow(_block_nodes, NODES))
     nodes = parts.groupBy("path", "parent", "depth", "words").agg(F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"))
-    nodes = checkpointed(nodes)
+    nodes = written(nodes)
     ends = parts.where(F.col("ends").isNotNull()).select("path", "conv_id", "ends")
     ends = ends.repartition("path").sortWithinPartitions("path", "conv_id").mapInArrow(_hash_ends, "path binary, ends_sha256 string")
     above = nodes.select(F.col("path").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     named = nodes.join(above, "parent", "left").join(ends, "path", "left")
-    named = checkpointed(named.select("conv_id", "depth", "parent_conv_id", "n_convs", "words", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")))
+    named = written(named.select("conv_id", "depth", "parent_conv_id", "n_convs", "words", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")))
 
     children = named.where(F.col("depth") > 0).groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
     named = named.join(children, ["conv_id", "depth"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     named = named.withColumn("leaf", (F.col("n_children") == 0).cast("long")).withColumn("saving", (F.col("n_convs") - 1) * F.col("words"))
-    named = checkpointed(named)
+    named = written(named)
     up = F.when(F.col("parent_conv_id") != F.col("conv_id"), F.col("parent_conv_id"))
     chains = named.groupBy("conv_id").agg(F.max(up).alias("up"), F.min("depth").alias("top"), F.sum("leaf").alias("leaves"), F.sum("saving").alias("saved"))
     hung = chain_totals(chains).where(F.col("up").isNotNull())
@@ -209,7 +209,7 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
 
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all conversations, rebuilt so that families share heads: see ``ordered``, ``share_heads`` and ``prefix_trie``."""
-    return prefix_trie(share_heads(checkpointed(ordered(table(spark, sf_dir, "conversations")))))
+    return prefix_trie(share_heads(written(ordered(table(spark, sf_dir, "conversations")))))
 
 
 ORACLE = rf"""
