@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, embeddings, language, licenses, packing, pages, personal, quality, shingles, toxicity, trie
+from . import binary, decontaminate, embeddings, language, licenses, packing, pages, personal, quality, repair, shingles, toxicity, trie
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,12 +15,14 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_binary": binary.op10_binary,
+    "op11_repair": repair.op11_repair,
     "op12_trie": trie.op12_trie,
     "op13_personal": personal.op13_personal,
 }
 
 ORACLES: dict[str, str] = {
     "op5_licenses": licenses.ORACLE,
+    "op11_repair": repair.ORACLE,
     "op12_trie": trie.ORACLE,
     "op13_personal": personal.ORACLE,
 }
