@@ -41,8 +41,9 @@ INLINE = frozenset(
 #: Elements that end no block of text: the inline ones, and what is never shown.
 FLOWING = INLINE | {"script", "style", "template"}
 CONTENT = frozenset(("article", "main"))
-#: Elements that their names never make noise.
+#: Elements that their names never make noise. An article is noise by its names only beside or in another one.
 ROOTS = CONTENT | {"html", "body"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that can be a site's template inside an article.
 PARTS = frozenset("aside div footer form header nav section".split())
 #: A start tag of one of these ends an open element of the set before it, up to the fence.
@@ -60,7 +61,7 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav "
     "ol pre section table ul".split()
 )
-#: Elements whose names never make noise: what an author writes with.
+#: What an author writes with: only names that wholly say advert, notice or comment make noise of these, and none of headings.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table tr td th dl dt dd".split())
 #: Class, id or role names that mark what a site says anew on every page beside its articles (menus, adverts, notices,
 #: comments), which no count of equal subtrees can tell: whole names, made of such words and of those that say where
@@ -75,10 +76,18 @@ PLACE_WORD = (
     r"(?:site|page|global|main|primary|secondary|left|right|top|bottom|upper|lower|post|article|entry|blog|box|block|"
     r"list|item|area|bar|wrap|wrapper|container|inner|section|slot|unit|links?|buttons?|icons?|form|thread|posts|\d+)"
 )
-NOISE = re.compile(
-    rf"(?:^|\s)(?:{PLACE_WORD}[_-]+)*{NOISE_WORD}(?:[_-]+(?:{NOISE_WORD}|{PLACE_WORD}))*(?:$|\s)",
-    re.I,
-)
+ASIDE_WORD = r"(?:ads?|advert\w*|adsense|comments?|cookies?|consent|newsletter|notice|promo\w*|sponsor\w*|subscribe|subscription)"
+#: Inside an article a header holds the article's own headings.
+HEADER_WORD = r"(?:header|masthead|banner)"
+
+
+def _names(word: str) -> re.Pattern:
+    return re.compile(rf"(?:^|\s)(?:{PLACE_WORD}[_-]+)*{word}(?:[_-]+(?:{word}|{PLACE_WORD}))*(?:$|\s)", re.I)
+
+
+NOISE = _names(NOISE_WORD)
+NOISE_INSIDE = _names(rf"(?!{HEADER_WORD}\b){NOISE_WORD}")
+NOISE_ASIDE = re.compile(rf"(?:^|\s){ASIDE_WORD}(?:[_-]+{ASIDE_WORD})*(?:$|\s)", re.I)
 #: Attributes up to the end of a tag. A quote opens a value only after an equals sign; one that is never closed is
 #: a character of an unquoted value. All repetitions are possessive: a tag is read once.
 _VALUES = {'"': r'"[^"]*+"', "'": r"'[^']*+'"}
@@ -87,8 +96,9 @@ ATTRIBUTES = {
     for quotes in ("", '"', "'", "\"'")
 }
 NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
-NAMES = re.compile(r"(?<![^\s/\"'])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: One attribute: its name and, after an equals sign, its value.
+ATTRIBUTE = re.compile(r"([^\s/=][^\s/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 
@@ -135,6 +145,21 @@ def tags(source: str) -> Iterator[tuple[str, str, str]]:
             at = end.end() if end else n
 
 
+def named_and_hidden(attributes: str) -> tuple[str, bool]:
+    """The class, id and role of a start tag, joined by spaces, and whether its attributes hide the element."""
+    names, hidden, seen = [], False, set()
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), values[0] or values[1] or values[2]
+        if name in seen:
+            continue  # only the first of the same name counts
+        seen.add(name)
+        if name in ("class", "id", "role"):
+            names.append(value)
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and NO_DISPLAY.search(value):
+            hidden = True
+    return " ".join(names), hidden
+
+
 class Page:
     """A parsed page: text runs with the number of their block, and elements with where they begin and end.
 
@@ -189,13 +214,18 @@ class Page:
         if tag not in FLOWING:
             self.block += 1
         parent = self.stack[-1] if self.stack else -1
-        names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)) if attributes else ""
+        names, hidden = named_and_hidden(attributes) if attributes else ("", False)
         up = self.elements[parent] if parent >= 0 else None
         inside = tag in CONTENT or bool(up and up[5])
-        named = bool(names and tag not in ROOTS and tag not in PROSE and NOISE.search(names))
-        hidden = bool(attributes and tag not in ("html", "body") and HIDDEN.search(attributes))
+        within = bool(up and up[5])
+        if tag in PROSE or tag == "article" or within and tag == "li":
+            noise = NOISE_ASIDE if tag not in HEADINGS else None
+        else:
+            noise = None if tag in ROOTS else NOISE_INSIDE if within else NOISE
+        named = bool(names and noise and noise.search(names))
+        hidden = hidden and tag not in ("html", "body")
         # The article's own heading may stand in a <header>.
-        own = tag == "header" and bool(up and up[5])
+        own = tag == "header" and within
         self.marks.append((named, not own and (tag in BOILERPLATE or hidden)))
         self.elements.append([parent, tag, len(self.runs), None, False, inside, names])
         self.stack.append(len(self.elements) - 1)
@@ -207,17 +237,23 @@ class Page:
         """Tell noise, which what is inside inherits; names do not make noise of an element that holds all articles."""
         around: set[int] | None = None
         barred: list[bool] = []
-        for (parent, tag, *_), (_, fixed) in zip(self.elements, self.marks, strict=True):
+        outer: list[int] = []
+        for i, ((parent, tag, *_), (_, fixed)) in enumerate(zip(self.elements, self.marks, strict=True)):
             barred.append(fixed or parent >= 0 and barred[parent])
             if tag in CONTENT and not barred[-1] and (parent < 0 or not self.elements[parent][5]):
-                up = set()
-                while parent >= 0 and (around is None or around):
-                    up.add(parent)
-                    parent = self.elements[parent][0]
-                around = up if around is None else around & up
+                outer.append(i)
+        # Articles whose names say comment or advert are none where others stand beside them.
+        plain = [i for i in outer if not self.marks[i][0]]
+        for parent in (self.elements[i][0] for i in plain or outer):
+            up = set()
+            while parent >= 0 and (around is None or around):
+                up.add(parent)
+                parent = self.elements[parent][0]
+            around = up if around is None else around & up
+        spared = (around or set()) | (set() if plain else set(outer))
         for i, (element, (named, fixed)) in enumerate(zip(self.elements, self.marks, strict=True)):
             up = element[0]
-            element[4] = up >= 0 and self.elements[up][4] or fixed or named and i not in (around or ())
+            element[4] = up >= 0 and self.elements[up][4] or fixed or named and i not in spared
 
     def _end(self, tag: str) -> None:
         if self.open[tag]:

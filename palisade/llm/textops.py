@@ -17,8 +17,6 @@ import pyarrow.compute as pc
 CHUNK_BYTES, CHUNK_ROWS = 1 << 18, 1 << 10
 
 _R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -53,15 +51,8 @@ def mix_int(value: int) -> int:
     return int(mix(np.array([value & (2**64 - 1)], np.uint64))[0])
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
-        for i, base in enumerate((_R, _R_INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+#: Hashes of every byte at each of the first 64 places of a word; ``mix`` gives those of later places.
+_BYTES = mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64))
 
 
 class Texts:
@@ -98,13 +89,15 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, A-Z as a-z."""
+        """A 64-bit hash of each word's bytes, A-Z as a-z: the sum of mixed (place, byte) values, mixed with the length."""
         data = LOWER[self.texts.data]
-        up, down = powers(len(data) + 1)
+        first = np.zeros(len(data), np.uint64)
+        first[self.start] = self.start
+        keys = ((np.arange(len(data), dtype=np.uint64) - np.maximum.accumulate(first)) << np.uint64(8)) + data
+        values = _BYTES[keys] if len(keys) and keys.max() < len(_BYTES) else mix(keys + np.uint64(1))
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        np.cumsum(values, out=total[1:])
+        return mix(total[self.end] - total[self.start] + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def prefix_hashes(self, size: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the words of at least ``least or size`` bytes, and hashes of their first ``size`` bytes."""

@@ -71,6 +71,24 @@ def test_words_and_hashes():
     (part,) = chunks(pa.array(["The the THE thé"]))
     h = part.words(ALNUM).hashes()
     assert h[0] == h[1] == h[2] != h[3]
+    # Short and long words of one run hash as they do alone, and swapped halves differ.
+    alone = [next(chunks(pa.array([w]))).words(ALNUM).hashes()[0] for w in ("the", "x" * 200)]
+    assert list(next(chunks(pa.array(["the " + "x" * 200]))).words(ALNUM).hashes()) == alone
+    a, b = thue_morse()
+    assert len(set(next(chunks(pa.array([f"{a} {b} {a}{b} {b}{a}"]))).words(ALNUM).hashes())) == 4
+
+
+def thue_morse():
+    """Two words of 1,024 letters whose polynomial hashes modulo 2^64 are equal for every multiplier."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    a, b = thue_morse()
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a), (4, f"{a} {b}"), (5, f"{b} {a}")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingles.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
 
 
 def test_components(spark):
@@ -514,6 +532,26 @@ def test_names_of_the_page_are_no_noise(source):
     assert page.text([None] * len(page.elements), frozenset()) == "own words"
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        '<article data-title="The hidden city"><p>own words</p></article>',
+        '<div title="a hidden gem" data-x="class=ad display:none"><p>own words</p></div><div hidden>x</div><p aria-hidden=TRUE>x</p><p style="color:red; display : none">x</p>',
+        '<article><p>own words</p></article><article class="comment"><p>story reader says</p></article>',
+        '<main><p>own words</p><article class="comment">x</article></main>',
+        '<article class="comment"><p>own words</p></article>',
+        '<article><p>own words</p><p class="cookie-notice">x</p><p class="ad">x</p><table class="sponsored"><tr><td>x</table></article>',
+        '<article><div class="page-header"><h1>own</h1></div><ul><li class="menu-item">words</ul></article><div class="page-header">x</div>',
+        '<article><h1 class="notice header">own</h1><p class="intro notice-board">words</p><div class="share">x</div></article>',
+        '<p class="text comments-on">own <span class="word">words</span></p><ol><li class="comment">x</li></ol>',
+        '<article class="post" class="ad"><p>own words</p></article>',
+    ],
+)
+def test_names_and_attributes_are_read_as_such(source):
+    page = pages.Page(source)
+    assert page.text([None] * len(page.elements), frozenset()) == "own words"
+
+
 @pytest.mark.parametrize(
     "source, want",
     [
