@@ -12,20 +12,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import checkpointed
-from .tables import table
+from .tables import table, text_key
 from .textops import ALNUM, Texts, chunks, mix, mix_int
 
-#: Each mask has six cared-for positions. Where one token in ten is substituted, at random, an
-#: item of twenty tokens or more keeps one of them whole almost always (``tests/llm`` measure it).
-MASKS = ("111111", "1101011001", "1100101101", "10110010011")
-#: Items of fewer than ``SHORT`` tokens have this mask as well.
-SHORT, SHORT_MASK = 16, "1111"
+#: Masks, and the number of tokens below which items have them (0: all items). Short items have fewer placements, so
+#: they need masks that care for fewer tokens. Whatever agrees in ``MIN_SHARE`` of an item's tokens, at places drawn at
+#: random, keeps one placement whole in more than nine of ten cases, for every length from 8 on (``tests/llm`` measure it).
+MASKS = {
+    "111111": 0, "1101011001": 0, "1100101101": 0, "10110010011": 0,
+    "1010111": 60, "1101101": 40, "10111": 24, "1100101": 24, "1111": 24,
+}
 #: The least share of an item's tokens that must agree, and the least number; all tokens of an item that has fewer.
-MIN_SHARE, MIN_TOKENS = 0.5, 8
+MIN_SHARE, MIN_TOKENS = 0.6, 8
 #: Test hashes that are held in each task (8 bytes each); a larger test set is joined by shuffle.
 HELD_HASHES = 2_000_000
 #: Rows (some 40 bytes each), and bytes of item tokens, that may be broadcast; more are shuffled.
@@ -47,19 +49,19 @@ def masked(hashes: np.ndarray, row: np.ndarray, mask: str, salt: int) -> tuple[n
     return mix(total), at
 
 
-def mask_of(kind: int, masks: tuple[str, ...]) -> str:
-    """The mask of a kind of seed: one of ``masks``, the short one, or all of k tokens (from len(masks) + 1 on)."""
-    return masks[kind] if kind < len(masks) else SHORT_MASK if kind == len(masks) else "1" * (kind - len(masks))
+def mask_of(kind: int, masks: dict[str, int]) -> str:
+    """The mask of a kind of seed: one of ``masks``, or all of k tokens (from len(masks) + 1 on)."""
+    return list(masks)[kind] if kind < len(masks) else "1" * (kind - len(masks))
 
 
-def kinds_of(n: int, masks: tuple[str, ...], least: int) -> list[int]:
+def kinds_of(n: int, masks: dict[str, int], least: int) -> list[int]:
     """The kinds of seeds of an item of n tokens."""
     if n < least:
         return [len(masks) + n]
-    return [*range(len(masks)), *([len(masks)] if n < SHORT else [])]
+    return [kind for kind, below in enumerate(masks.values()) if not below or n < below]
 
 
-def seeds(hashes: np.ndarray, row: np.ndarray, masks: tuple[str, ...], kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def seeds(hashes: np.ndarray, row: np.ndarray, masks: dict[str, int], kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """All masked hashes of these kinds and their places."""
     found = [masked(hashes, row, mask_of(k, masks), mix_int(k + 1)) for k in kinds]
     none = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
@@ -99,7 +101,7 @@ def test_items(items: DataFrame) -> DataFrame:
 ITEM_SEEDS = "hash long, kind int, item long, n int, item_at int"
 
 
-def item_seeds(tokens: DataFrame, masks: tuple[str, ...] = MASKS, least: int = MIN_TOKENS) -> DataFrame:
+def item_seeds(tokens: DataFrame, masks: dict[str, int] = MASKS, least: int = MIN_TOKENS) -> DataFrame:
     """hash, kind, item, n, item_at of the seeds of every item; ``tokens`` has item, n, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +126,7 @@ def item_seeds(tokens: DataFrame, masks: tuple[str, ...] = MASKS, least: int = M
 HASHES = "doc_id long, text_key long, hash long, at int"
 
 
-def document_seeds(docs: DataFrame, masks: tuple[str, ...], kinds: list[int], wanted: np.ndarray | None) -> DataFrame:
+def document_seeds(docs: DataFrame, masks: dict[str, int], kinds: list[int], wanted: np.ndarray | None) -> DataFrame:
     """doc_id, text_key, hash, at of the masked hashes of every text.
 
     With ``wanted`` (the sorted test hashes) only those leave the task; without
@@ -163,11 +165,6 @@ def document_seeds(docs: DataFrame, masks: tuple[str, ...], kinds: list[int], wa
     return keyed(docs).mapInArrow(run, HASHES)
 
 
-def text_key(text: str = "text") -> Column:
-    """Tells apart the texts of one doc_id."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_key().alias("text_key"), "text")
 
@@ -236,7 +233,7 @@ def verified(laid: DataFrame, share: float, least: int) -> DataFrame:
 def located(
     docs: DataFrame,
     items: DataFrame,
-    masks: tuple[str, ...] = MASKS,
+    masks: dict[str, int] = MASKS,
     share: float = MIN_SHARE,
     least: int = MIN_TOKENS,
     held_hashes: int = HELD_HASHES,
@@ -274,7 +271,7 @@ def located(
     # Written between, so that no task has two Python workers at once.
     found = verified(checkpointed(windows(texts)).join(tokens.drop("n"), "item"), share, least).distinct()
     ids = named.select("item", "item_id").distinct()
-    ids = F.broadcast(ids) if rows <= broadcast_rows else ids
+    ids = F.broadcast(ids) if named.count() <= broadcast_rows else ids
     return found.join(ids, "item")
 
 

@@ -15,6 +15,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def text_key(text: str = "text") -> Column:
+    """Tells apart the texts of one doc_id; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 #: A common table expression ``crc`` with the list ``entry`` that ``crc32_sql`` reads.
 CRC_SQL = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entry)"""

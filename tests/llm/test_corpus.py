@@ -322,6 +322,43 @@ def test_decontamination_of_random_substitutions(spark, rate, recall):
     assert got <= want and len(want) >= 190 and len(got) >= recall * len(want)
 
 
+@pytest.mark.parametrize("share", [0.6, 0.7, 0.8, 0.9])
+def test_masks_reach_every_overlap_that_counts(share):
+    """The share of random overlaps that keep a placement of a mask, for items of every length."""
+    rng = np.random.default_rng(31)
+    masks, least = decontaminate.MASKS, decontaminate.MIN_TOKENS
+    for n in range(8, 62, 1 if share == 0.6 else 6):
+        agree = np.zeros((1500, n), bool)
+        np.put_along_axis(agree, rng.random(agree.shape).argsort(axis=1)[:, : max(least, int(np.ceil(share * n)))], True, axis=1)
+        met = np.zeros(len(agree), bool)
+        for kind in decontaminate.kinds_of(n, masks, least):
+            mask = decontaminate.mask_of(kind, masks)
+            places = n - len(mask) + 1
+            if places > 0:
+                met |= np.logical_and.reduce([agree[:, j : j + places] for j, bit in enumerate(mask) if bit == "1"]).any(axis=1)
+        assert met.mean() >= 0.9, (n, met.mean())
+
+
+def test_overlaps_at_the_least_share(spark):
+    """End to end against brute force: copies with as few tokens left as the share allows, of items of 8 to 60 tokens."""
+    rng = np.random.default_rng(17)
+    word = lambda: f"t{rng.integers(0, 5000)}"
+    items = {i: [word() for _ in range(8 + i % 53)] for i in range(106)}
+    texts = {0: "one two three x five six x eight nine ten".split()}
+    items[200] = "one two three four five six seven eight nine ten".split()
+    for i in range(318):
+        copy = list(items[i % 106])
+        for at in rng.permutation(len(copy))[max(8, int(np.ceil(0.6 * len(copy)))) :]:
+            copy[at] = word()
+        texts[i + 1] = [word() for _ in range(12)] + copy + [word() for _ in range(12)]
+    frame = lambda rows, names: spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], names)
+    found = decontaminate.overlaps(frame(texts, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"], r["doc_start"], r["doc_end"], r["matched"]) for r in found}
+    want = {(d, i, *x) for d, t in texts.items() for i, w in items.items() for x in brute_overlaps(t, w, 0.6)}
+    assert got <= want and len(want) >= 319 and len(got) >= 0.95 * len(want)
+    assert (0, 200, 0, 10, 8) in got
+
+
 def test_short_items_and_many_alignments(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ALIGNMENTS", 3)
     items = {1: "one", 2: "alpha beta gamma delta eps zeta eta", 3: "a b c d e f g h i j", 4: "x y " * 10}
@@ -833,6 +870,17 @@ def test_pipeline_keeps_and_drops(spark, sf_dir, docs):
     assert near.count() == 0
 
 
+def test_pipeline_keeps_one_of_each_text(spark):
+    """A doc_id that repeats: its texts stand or go on their own."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (5, b), (5, a), (5, b), (7, a + " more"), (8, b), (None, a), (9, None), (9, ""), (10, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, corpus_pipeline.one_of_each(spark, docs, "").collect()), key=str)
+    assert [(i, t or "") for i, t in got] == sorted([(3, a), (5, b), (None, a), (9, ""), (10, c)], key=str)
+
+
 def test_pipeline_stages_survive_odd_rows(spark, sf_dir, odd):
     import corpus_pipeline
 
