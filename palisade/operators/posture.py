@@ -119,10 +119,3 @@ def triage(findings: DataFrame) -> DataFrame:
 def typosquat_findings(near: DataFrame) -> DataFrame:
     """T001 from names near a known one."""
     return near.select("name", F.lit("T001").alias("rule_id"), F.lit("high").alias("severity"), F.concat(F.lit("close to "), "suspected").alias("title"))
-
-
-def dependency_findings(hits: DataFrame) -> DataFrame:
-    """D001 from vulnerable dependencies (name, version, id, score)."""
-    from ..functions.text import cvss_severity
-
-    return hits.select("name", "version", F.lit("D001").alias("rule_id"), cvss_severity("score").alias("severity"), F.col("id").alias("advisory"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detections, exports, relational, surfaces
+from . import detections, exports, relational, supply, surfaces
 
-MODULES = (relational, detections, exports, surfaces)
+MODULES = (relational, detections, exports, surfaces, supply)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
