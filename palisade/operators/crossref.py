@@ -111,77 +111,6 @@ def permission_gradient(tools: DataFrame) -> DataFrame:
     return found.where("read_only > 0 and writing > 0")
 
 
-def type_edges(nodes: DataFrame) -> DataFrame:
-    """Edges between tools of different servers where an output type of one is an input type of the other.
-
-    ``nodes`` has server, name, types_in, types_out (arrays). Types are joined,
-    not tools: src, dst and the sorted shared types.
-    """
-    node = F.struct("server", "name")
-    out = nodes.select(node.alias("src"), F.explode(F.array_distinct("types_out")).alias("type"))
-    into = nodes.select(node.alias("dst"), F.explode(F.array_distinct("types_in")).alias("type"))
-    return (
-        out.join(into, "type")
-        .where(F.col("src.server") != F.col("dst.server"))
-        .groupBy("src", "dst")
-        .agg(F.array_sort(F.collect_set("type")).alias("shared"))
-    )
-
-
-def attack_paths(edges: DataFrame, starts: DataFrame, max_nodes: int = 6) -> DataFrame:
-    """Simple paths of up to ``max_nodes`` nodes from the starts, one for each set of nodes (the least path): nodes, n, path."""
-    step = edges.select("src", "dst")
-    now = starts.select(F.array("node").alias("path"), F.col("node").alias("last"))
-    found = None
-    for _ in range(max_nodes - 1):
-        now = now.join(step, now["last"] == step["src"]).where(~F.array_contains("path", F.col("dst")))
-        now = now.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"))
-        # Paths over the same nodes to the same end go on alike: one is kept.
-        now = now.groupBy("last", F.array_sort("path").alias("nodes")).agg(F.min("path").alias("path")).select("path", "last")
-        found = now if found is None else found.unionByName(now)
-    first = found.groupBy(F.array_sort("path").alias("nodes")).agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("best"))
-    return first.select("nodes", F.col("best.n").alias("n"), F.col("best.path").alias("path"))
-
-
-#: What takes input, and what runs commands.
-TAKES = ("input", "receive")
-RUNS = r"\b(?:exec|eval|shell|bash|cmd|subprocess|command|spawn|sudo)\b"
-
-
-def path_kinds(paths: DataFrame, tools: DataFrame) -> DataFrame:
-    """C006: attack paths (columns n, path) with kind and severity, by what their first and last tool (server, name, description) say."""
-    told = tools.groupBy(F.struct("server", "name").alias("node")).agg(F.min(F.coalesce("description", F.lit(""))).alias("description"))
-    text = F.concat_ws(" ", "node.name", "description")
-    takes = F.exists(F.array(*[F.lit(x) for x in TAKES]), lambda x: F.contains(F.lower("description"), x))
-    first = told.select(F.col("node").alias("first"), text.rlike(unicode_pattern(READS)).alias("reads"), takes.alias("takes"))
-    last = told.select(F.col("node").alias("last"), text.rlike(unicode_pattern(SENDS)).alias("sends"), text.rlike(unicode_pattern(RUNS)).alias("runs"))
-    rows = paths.withColumns({"first": F.element_at("path", 1), "last": F.element_at("path", -1)}).join(first, "first").join(last, "last")
-    case = lambda kind, severity: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
-    found = F.when(F.col("reads") & F.col("sends"), case("exfiltration", "critical")).when(F.col("takes") & F.col("runs"), case("command_injection", "critical"))
-    found = found.when(F.col("n") >= 3, case("long_chain", "high")).otherwise(case("pair", "medium"))
-    return rows.select("n", "path", found.alias("k")).select("n", "path", "k.*")
-
-
-def escalations(edges: DataFrame, tools: DataFrame, max_steps: int = 4) -> DataFrame:
-    """Reading tools from which a writing tool of another server is reached, with the fewest steps."""
-    text = tool_text()
-    node = F.struct("server", "name")
-    writing = tools.where(text.rlike(unicode_pattern(WRITES))).select(node.alias("node")).distinct()
-    reading = tools.where(text.rlike(unicode_pattern(READS))).select(node.alias("node")).distinct().join(writing, "node", "left_anti")
-    now = reading.select(F.col("node").alias("start"), F.col("node").alias("last"))
-    seen = now.withColumn("steps", F.lit(0))
-    for i in range(1, max_steps + 1):
-        now = now.join(edges.select(F.col("src").alias("last"), "dst"), "last").select("start", F.col("dst").alias("last")).distinct()
-        now = now.join(seen, ["start", "last"], "left_anti")
-        seen = seen.unionByName(now.withColumn("steps", F.lit(i)))
-    return (
-        seen.where("steps > 0")
-        .join(writing.withColumnRenamed("node", "last"), "last")
-        .where(F.col("start.server") != F.col("last.server"))
-        .select("start", F.col("last").alias("end"), "steps")
-    )
-
-
 def risk_pairs(findings: DataFrame) -> DataFrame:
     """Different pairs of servers that occur in one cross-server finding (column servers, an array)."""
     i = F.posexplode("servers").alias("i", "a")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import crossref, posture, rules
+from ..operators import attack_graph, crossref, posture, rules
 from ..sources import adapters as A
 from ..sources.adapters import with_views
 
@@ -234,69 +234,97 @@ def permission_gradient(spark, d):
     return crossref.permission_gradient(_active(spark, d))
 
 
-def _typed(tools):
-    """Tools whose output one tool takes at most: that of the part before, of the third server before."""
-    server = F.col("server").cast("long")
-    return tools.select(
+#: What the tools of the graph do, dealt by server and part.
+_WORK = ("read the file", "send a message", "receive input", "open a shell", "write a record", "count rows", "upload the report", "")
+
+
+def _mixed(spark, d):
+    """Tools with a few types that thousands share: a third give strings, most take one or two common types."""
+    e = F.col("ord") * 7 + F.col("server").cast("long") * 5
+    pick = lambda cases: F.array_compact(F.array(*[F.when(c, F.lit(x)) for x, c in cases]))
+    return A.tools(spark, d).select(
         "server", F.concat_ws("_", "name", "ord").alias("name"),
-        F.array(((F.col("ord") + 1) * 1_000_000 + server + 3).cast("string")).alias("types_in"),
-        F.array((F.col("ord") * 1_000_000 + server).cast("string")).alias("types_out"),
+        pick([("array", e % 11 == 0), ("number", e % 4 == 1), ("string", e % 2 == 0)]).alias("types_in"),
+        pick([("number", e % 5 == 2), ("object", e % 13 == 0), ("string", e % 3 == 0)]).alias("types_out"),
     )
 
 
-#: The same edges, and the ways of n edges along them; no way meets a tool twice.
-_EDGES = """e AS (SELECT a.server AS src_server, a.ord AS src, b.server AS dst_server, b.ord AS dst, a.name || '_' || a.ord AS src_name, b.name || '_' || b.ord AS dst_name,
-  CAST(a.ord * 1000000 + CAST(a.server AS BIGINT) AS VARCHAR) AS shared
-  FROM tools a JOIN tools b ON b.ord = a.ord - 1 AND CAST(b.server AS BIGINT) = CAST(a.server AS BIGINT) - 3)"""
-_WAYS = _EDGES + """, w AS (SELECT 1 AS n, src_server, src, dst_server, dst FROM e""" + "".join(
-    f"""
-  UNION ALL SELECT {n}, e1.src_server, e1.src, e{n}.dst_server, e{n}.dst FROM e e1 """
-    + " ".join(f"JOIN e e{i} ON e{i}.src_server = e{i - 1}.dst_server AND e{i}.src = e{i - 1}.dst" for i in range(2, n + 1))
-    for n in range(2, 6)
-) + ")"
+_MIXED = """g AS (SELECT server, name || '_' || ord AS name, ord * 7 + CAST(server AS BIGINT) * 5 AS e FROM tools),
+b AS (SELECT server, name, (e % 4 = 1)::INT + 2 * (e % 2 = 0)::INT + 8 * (e % 11 = 0)::INT AS i, (e % 5 = 2)::INT + 2 * (e % 3 = 0)::INT + 4 * (e % 13 = 0)::INT AS o FROM g),
+bi AS (SELECT server, i, count(*) AS n FROM b GROUP BY 1, 2), bo AS (SELECT server, o, count(*) AS n FROM b GROUP BY 1, 2)"""
+_NAMES = "array_to_string(list_filter(['array', 'number', 'object', 'string'], lambda x: ({0}) & CASE x WHEN 'number' THEN 1 WHEN 'string' THEN 2 WHEN 'object' THEN 4 ELSE 8 END > 0), ',')"
 
 
-@query("ref079_type_edges", f"""{with_views("tools")}, {_EDGES} SELECT src_name AS src, dst_name AS dst, shared, count(*) AS n FROM e GROUP BY 1, 2, 3""")
+@query("ref079_type_edges", f"""{with_views("tools")}, {_MIXED}
+SELECT {_NAMES.format("o")} AS outs, {_NAMES.format("i")} AS ins, {_NAMES.format("i & o")} AS shared, CAST(sum(bo.n * bi.n) AS BIGINT) AS edges
+FROM bo JOIN bi ON bo.server <> bi.server AND o & i > 0 GROUP BY o, i""")
 def type_edges(spark, d):
-    edges = crossref.type_edges(_typed(A.tools(spark, d)))
-    return edges.groupBy(F.col("src.name").alias("src"), F.col("dst.name").alias("dst"), F.array_join("shared", ",").alias("shared")).agg(F.count("*").alias("n"))
+    """The edges of the graph over common types, counted by the types of their ends."""
+    found = attack_graph.edge_counts(_mixed(spark, d))
+    return found.select(*(F.array_join(c, ",").alias(c) for c in ("outs", "ins", "shared")), "edges")
+
+
+@query("ref079_degrees", f"""{with_views("tools")}, {_MIXED},
+f AS (SELECT bo.server, o, sum(bi.n) AS n FROM (SELECT DISTINCT server, o FROM bo) bo JOIN bi ON bo.server <> bi.server AND o & i > 0 GROUP BY 1, 2),
+t AS (SELECT bi.server, i, sum(bo.n) AS n FROM (SELECT DISTINCT server, i FROM bi) bi JOIN bo ON bo.server <> bi.server AND o & i > 0 GROUP BY 1, 2)
+SELECT b.server, b.name, CAST(coalesce(f.n, 0) AS BIGINT) AS out_degree, CAST(coalesce(t.n, 0) AS BIGINT) AS in_degree
+FROM b LEFT JOIN f ON f.server = b.server AND f.o = b.o LEFT JOIN t ON t.server = b.server AND t.i = b.i""")
+def type_degrees(spark, d):
+    return attack_graph.degrees(_mixed(spark, d))
+
+
+def _branching(spark, d):
+    """Tools of which about one in six takes the type of its part, and one in twelve gives that of another part nearby, so that paths branch and close."""
+    server, part = F.col("server").cast("long"), F.col("ord")
+    e = (part * 31 + server * 17) % 100
+    to = F.floor(part / 50) * 50 + (part * 13 + server * 7) % 50
+    read = F.when((part + server) % 3 == 0, F.concat(F.lit("get_"), "name")).otherwise(F.col("name"))
+    return A.tools(spark, d).select(
+        "server", F.concat_ws("_", read, part).alias("name"),
+        F.element_at(F.array(*[F.lit(x) for x in _WORK]), ((part + server * 3) % 8 + 1).cast("int")).alias("description"),
+        F.when(e < 16, F.array(part.cast("string"))).alias("types_in"),
+        F.when((e < 16) & (e % 4 == 1) | (e >= 96), F.array(to.cast("string"), F.lit("none"))).alias("types_out"),
+    )
+
 
+_BRANCHES = f"""g AS (SELECT {{'server': server, 'name': CASE WHEN (ord + CAST(server AS BIGINT)) % 3 = 0 THEN 'get_' ELSE '' END || name || '_' || ord}} AS node, server, ord,
+    (ord * 31 + CAST(server AS BIGINT) * 17) % 100 AS e, (ord // 50) * 50 + (ord * 13 + CAST(server AS BIGINT) * 7) % 50 AS goal,
+    [{", ".join(f"'{x}'" for x in _WORK)}][(ord + CAST(server AS BIGINT) * 3) % 8 + 1] AS description FROM tools),
+edges AS (SELECT a.node AS src, b.node AS dst FROM g a JOIN g b ON b.e < 16 AND (a.e < 16 AND a.e % 4 = 1 OR a.e >= 96) AND b.ord = a.goal AND a.server <> b.server),
+said AS (SELECT node, node.name || ' ' || description AS text, description FROM g),
+told AS (SELECT node, regexp_matches(text, '(?i){crossref.READS}') AS reads, regexp_matches(text, '(?i){crossref.SENDS}') AS sends, regexp_matches(text, '(?i){attack_graph.RUNS}') AS runs,
+    regexp_matches(lower(description), '{"|".join(attack_graph.TAKES)}') AS takes, regexp_matches(text, '(?i){crossref.WRITES}') OR regexp_matches(lower(text), '{"|".join(attack_graph.RUN_PARTS)}') AS writes,
+    regexp_matches(node.name, '(?i){attack_graph.READ_NAME}') AS read_name FROM said)"""
+_PATHS = _BRANCHES + """, p AS (SELECT [src, dst] AS path FROM edges
+  UNION ALL SELECT list_append(path, dst) FROM p JOIN edges ON src = path[-1] WHERE len(path) < 6 AND NOT list_contains(path, dst)),
+paths AS (SELECT len(nodes) AS n, path FROM (SELECT list_sort(path) AS nodes, min(path) AS path FROM p GROUP BY 1))"""
+_RECURSIVE = with_views("tools").replace("WITH", "WITH RECURSIVE", 1)
 
-@query("ref080_attack_paths", f"""{with_views("tools")}, {_WAYS} SELECT CAST(n + 1 AS INT) AS n, count(*) AS paths FROM w GROUP BY n""")
+
+@query("ref080_attack_paths", f"""{_RECURSIVE}, {_PATHS}
+SELECT CAST(n AS INT) AS n, array_to_string(list_transform(path, lambda x: x.server || ':' || x.name), ' > ') AS path FROM paths""")
 def attack_paths(spark, d):
-    """Paths of up to six tools from every tool, by their length."""
-    nodes = _typed(A.tools(spark, d))
-    starts = nodes.select(F.struct("server", "name").alias("node"))
-    return crossref.attack_paths(crossref.type_edges(nodes), starts).groupBy("n").agg(F.count("*").alias("paths"))
+    """Paths of up to six tools over a branching graph, one for each set of tools."""
+    found = attack_graph.attack_paths(_branching(spark, d))
+    return found.select("n", F.array_join(F.transform("path", lambda x: F.concat_ws(":", x["server"], x["name"])), " > ").alias("path"))
 
 
-_DEED = f"""CASE WHEN ord % 7 = 0 AND CAST(server AS INT) % 3 > 0 THEN [{", ".join(f"'{x}'" for x in _DEEDS)}][ord % 5 + 1] ELSE 'count rows' END"""
+@query("ref080_path_kinds", f"""{_RECURSIVE}, {_PATHS},
+k AS (SELECT n, CASE WHEN a.reads AND b.sends THEN 'exfiltration' WHEN a.takes AND b.runs THEN 'command_injection' WHEN n >= 3 THEN 'long_chain' ELSE 'pair' END AS kind
+  FROM paths JOIN told a ON a.node = path[1] JOIN told b ON b.node = path[-1])
+SELECT kind, CASE kind WHEN 'long_chain' THEN 'high' WHEN 'pair' THEN 'medium' ELSE 'critical' END AS severity, CAST(n AS INT) AS n, count(*) AS paths FROM k GROUP BY ALL""")
+def path_kinds(spark, d):
+    nodes = _branching(spark, d)
+    return attack_graph.path_kinds(attack_graph.attack_paths(nodes), nodes).groupBy("kind", "severity", "n").agg(F.count("*").alias("paths"))
 
 
-@query("ref081_escalations", f"""{with_views("tools")}, {_WAYS},
-said AS (SELECT server, ord, name || '_' || ord || ' ' || {_DEED} AS text FROM tools),
-told AS (SELECT server, ord, regexp_matches(text, '(?i){crossref.READS}') AS reads, regexp_matches(text, '(?i){crossref.WRITES}') AS writes FROM said)
-SELECT CAST(n AS INT) AS steps, count(*) AS pairs FROM w JOIN told a ON a.server = src_server AND a.ord = src JOIN told b ON b.server = dst_server AND b.ord = dst
-WHERE n <= 4 AND a.reads AND NOT a.writes AND b.writes GROUP BY n""")
+@query("ref081_escalations", f"""{_RECURSIVE}, {_BRANCHES}, w AS (SELECT DISTINCT src, dst, 1 AS steps FROM edges
+  UNION SELECT w.src, e.dst, steps + 1 FROM w JOIN edges e ON e.src = w.dst WHERE steps < 3)
+SELECT src.server AS reader, src.name AS start, dst.server AS writer, dst.name AS goal, CAST(min(steps) AS INT) AS steps, CASE WHEN min(steps) = 1 THEN 'direct' ELSE 'chain' END AS kind
+FROM w JOIN told a ON a.node = src JOIN told b ON b.node = dst WHERE a.read_name AND NOT a.writes AND b.writes AND src.server <> dst.server GROUP BY src, dst""")
 def escalations(spark, d):
-    active = _active(spark, d)
-    edges = crossref.type_edges(_typed(active))
-    tools = active.select("server", F.concat_ws("_", "name", "ord").alias("name"), "description")
-    return crossref.escalations(edges, tools).groupBy("steps").agg(F.count("*").alias("pairs"))
-
-
-@query("ref080_path_kinds", f"""{with_views("tools")}, {_WAYS},
-said AS (SELECT server, ord, name || '_' || ord || ' ' || {_DEED} AS text FROM tools),
-told AS (SELECT server, ord, regexp_matches(text, '(?i){crossref.READS}') AS reads, regexp_matches(text, '(?i){crossref.SENDS}') AS sends FROM said),
-k AS (SELECT CASE WHEN a.reads AND b.sends THEN 'exfiltration' WHEN n >= 2 THEN 'long_chain' ELSE 'pair' END AS kind
-  FROM w JOIN told a ON a.server = src_server AND a.ord = src JOIN told b ON b.server = dst_server AND b.ord = dst)
-SELECT kind, CASE kind WHEN 'exfiltration' THEN 'critical' WHEN 'long_chain' THEN 'high' ELSE 'medium' END AS severity, count(*) AS paths FROM k GROUP BY kind""")
-def path_kinds(spark, d):
-    active = _active(spark, d)
-    nodes = _typed(active)
-    found = crossref.attack_paths(crossref.type_edges(nodes), nodes.select(F.struct("server", "name").alias("node")))
-    tools = active.select("server", F.concat_ws("_", "name", "ord").alias("name"), "description")
-    return crossref.path_kinds(found, tools).groupBy("kind", "severity").agg(F.count("*").alias("paths"))
+    found = attack_graph.escalations(_branching(spark, d))
+    return found.select(F.col("start.server").alias("reader"), F.col("start.name").alias("start"), F.col("end.server").alias("writer"), F.col("end.name").alias("goal"), "steps", "kind")
 
 
 _KNOWN = "[" + ", ".join(f"'{k}'" for k in crossref.KNOWN_PACKAGES) + "]"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.functions import schema, text
-from palisade.operators import crossref, diff, policy, rules, scoring, stats
+from palisade.operators import attack_graph, crossref, diff, policy, rules, scoring, stats
 from palisade.sources import configs, manifests, readers, settings, sinks, store
 from palisade.streaming import changes
 
@@ -126,11 +126,10 @@ def test_attack_paths_and_escalations(spark):
     nodes = spark.createDataFrame(
         [("a", "read", "read the file", [], ["x"]), ("b", "mid", "", ["x"], ["y"]), ("c", "out", "write all", ["y"], ["x"])], kind
     )
-    edges = crossref.type_edges(nodes)
-    assert {(r["src"]["name"], r["dst"]["name"]) for r in edges.collect()} == {("read", "mid"), ("mid", "out"), ("out", "mid")}
+    assert {(r["src"]["name"], r["dst"]["name"]) for r in attack_graph.type_edges(nodes).collect()} == {("read", "mid"), ("mid", "out"), ("out", "mid")}
     starts = nodes.select(F.struct("server", "name").alias("node"))
-    assert {tuple(sorted(n["name"] for n in r["nodes"])) for r in crossref.attack_paths(edges, starts).collect()} == {("mid", "read"), ("mid", "out"), ("mid", "out", "read")}
-    assert [(r["start"]["name"], r["end"]["name"], r["steps"]) for r in crossref.escalations(edges, nodes).collect()] == [("read", "out", 2)]
+    assert {tuple(sorted(n["name"] for n in r["nodes"])) for r in attack_graph.attack_paths(nodes, starts).collect()} == {("mid", "read"), ("mid", "out"), ("mid", "out", "read")}
+    assert [(r["start"]["name"], r["end"]["name"], r["steps"], r["kind"]) for r in attack_graph.escalations(nodes).collect()] == [("read", "out", 2, "chain")]
 
 
 def test_shadowed_names_match_all_pairs(spark):
@@ -289,7 +288,7 @@ def test_path_kinds(spark):
     node = lambda s: {"server": s, "name": s}
     paths = spark.createDataFrame([(2, [node("r"), node("s")]), (2, [node("i"), node("x")]), (3, [node("p"), node("r"), node("x")]), (2, [node("p"), node("i")])], "n int, path array<struct<server:string,name:string>>")
     tools = spark.createDataFrame([("r", "r", "read the file"), ("s", "s", "send it"), ("i", "i", "takes Input"), ("x", "x", "run a shell"), ("p", "p", None)], "server string, name string, description string")
-    assert sorted((r["path"][0]["name"], r["path"][-1]["name"], r["kind"], r["severity"]) for r in crossref.path_kinds(paths, tools).collect()) == [
+    assert sorted((r["path"][0]["name"], r["path"][-1]["name"], r["kind"], r["severity"]) for r in attack_graph.path_kinds(paths, tools).collect()) == [
         ("i", "x", "command_injection", "critical"), ("p", "i", "pair", "medium"), ("p", "x", "long_chain", "high"), ("r", "s", "exfiltration", "critical"),
     ]
 
