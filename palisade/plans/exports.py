@@ -276,11 +276,10 @@ def envelopes(spark, d):
     return sinks.envelope(rows, "id", "p_size", "p_name")
 
 
-@query("ref240_watch", """WITH s AS (SELECT DISTINCT l_suppkey AS k, l_orderkey AS scan_id, l_partkey AS tool FROM lineitem),
-n AS (SELECT k, scan_id, count(*) AS tools FROM s GROUP BY 1, 2), p AS (SELECT *, lag(scan_id) OVER w AS before, lag(tools) OVER w AS had FROM n WINDOW w AS (PARTITION BY k ORDER BY scan_id)),
-b AS (SELECT p.k, p.scan_id, count(*) AS same FROM p JOIN s a ON a.k = p.k AND a.scan_id = p.scan_id JOIN s o ON o.k = p.k AND o.scan_id = p.before AND o.tool = a.tool GROUP BY 1, 2)
-SELECT CAST(k AS VARCHAR) AS target, before, scan_id AS after, tools - coalesce(same, 0) AS added, had - coalesce(same, 0) AS removed FROM p LEFT JOIN b USING (k, scan_id)
-WHERE before IS NOT NULL AND (tools > coalesce(same, 0) OR had > coalesce(same, 0))""")
+@query("ref240_watch", """WITH n AS (SELECT l_suppkey AS k, l_orderkey AS scan_id, list(DISTINCT l_partkey) AS tools FROM lineitem GROUP BY 1, 2),
+p AS (SELECT *, lag(scan_id) OVER w AS before, lag(tools) OVER w AS had FROM n WINDOW w AS (PARTITION BY k ORDER BY scan_id)),
+c AS (SELECT *, len(list_filter(tools, lambda x: NOT list_contains(had, x))) AS added, len(list_filter(had, lambda x: NOT list_contains(tools, x))) AS removed FROM p WHERE before IS NOT NULL)
+SELECT CAST(k AS VARCHAR) AS target, before, scan_id AS after, added, removed FROM c WHERE added + removed > 0""")
 def watch(spark, d):
     """The change stream over the parts that every supplier sends with an order, run to its end."""
     rows = A.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("target"), F.col("l_orderkey").alias("scan_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,8 +10,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,35 +30,82 @@ def written_copy(rows: DataFrame) -> DataFrame:
 
 
 CHANGES = "target string, before long, after long, added long, removed long"
+CHANGE_COLUMNS = ["target", "before", "after", "added", "removed"]
 
 
-def watch(snapshots: DataFrame) -> DataFrame:
-    """Changes between consecutive snapshots of each target, as a stream.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    ``snapshots`` (target, scan_id, tools: array of names) is a stream with one row
-    per snapshot. The last tools of a target are its state, kept in the checkpoint
-    of the query; rows of one batch are taken in the order of scan_id.
-    """
 
-    def compare(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = sorted(((x, tools) for b in batches for x, tools in zip(b["scan_id"], b["tools"], strict=True)), key=lambda r: r[0])
-        last = state.get if state.exists else None
+class _Watcher(StatefulProcessor):
+    """Keyed state of ``watch``: the last snapshot of a target, and the snapshots of a batch that are more than one run of rows."""
+
+    def __init__(self, forget_ms: int | None, silent_ms: int | None):
+        self.forget_ms, self.silent_ms = forget_ms, silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "scan_id long, tools array<string>", self.forget_ms)
+        self.waiting = handle.getMapState("waiting", "scan_id long", "tools array<string>")
+
+    def _in_order(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[str]]]:
+        """Snapshots by scan_id. One run is sorted where it is; of more, the snapshots wait in the state store, and only ids are sorted."""
+        first, second = next(rows, None), next(rows, None)
+        if first is None:
+            return
+        if second is None:
+            yield from sorted(zip(first["scan_id"].astype(int), first["tools"], strict=True), key=lambda r: r[0])
+            return
+        for run in itertools.chain((first, second), rows):
+            for scan_id, tools in zip(run["scan_id"], run["tools"], strict=True):
+                self.waiting.updateValue((int(scan_id),), (list(tools),))
+        for scan_id in sorted(k[0] for k in self.waiting.keys()):
+            yield scan_id, self.waiting.getValue((scan_id,))[0]
+        self.waiting.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get() if self.last.exists() else None
+        before, known = (last[0], set(last[1])) if last else (None, set())
         out = []
-        for scan_id, tools in rows:
-            now = sorted(set(tools))
-            if last is not None:
-                before, known = last[0], set(last[1])
-                added, removed = len(set(now) - known), len(known - set(now))
-                if added or removed:
-                    out.append((key[0], before, int(scan_id), added, removed))
-            last = (int(scan_id), now)
-        state.update(last)
-        if out:
-            yield pd.DataFrame(out, columns=["target", "before", "after", "added", "removed"])
-
-    return snapshots.groupBy("target").applyInPandasWithState(
-        compare, CHANGES, "scan_id long, tools array<string>", "append", GroupStateTimeout.NoTimeout
-    )
+        for scan_id, tools in self._in_order(iter(rows)):
+            now = set(tools)
+            if before is not None and scan_id <= before:
+                continue
+            added, removed = len(now - known), len(known - now)
+            if before is not None and (added or removed):
+                out.append((key[0], before, int(scan_id), added, removed))
+            before, known = int(scan_id), now
+            if len(out) == 4096:
+                yield pd.DataFrame(out, columns=CHANGE_COLUMNS)
+                out = []
+        if before is not None:
+            self.last.update((before, sorted(known)))
+        if self.silent_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
+        yield pd.DataFrame(out, columns=CHANGE_COLUMNS)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get()[0] if self.last.exists() else None
+        yield pd.DataFrame([(key[0], last, None, 0, 0)], columns=CHANGE_COLUMNS).astype({"before": "Int64", "after": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def watch(snapshots: DataFrame, forget_ms: int | None = None, silent_ms: int | None = None) -> DataFrame:
+    """Changes between consecutive snapshots of each target, as a stream: target, before, after, added, removed.
+
+    ``snapshots`` (target, scan_id, tools: array of names) is a stream with one row per snapshot. The last snapshot of a
+    target is its state, kept in the checkpoint of the query; the rows of one batch are taken in the order of scan_id, without
+    holding a target's rows. A snapshot whose scan_id is not above the last one's changes nothing. With ``forget_ms`` a target is
+    forgotten that long after its last snapshot; with ``silent_ms`` one that sent none for so long gives a row whose ``after`` is null. Either
+    makes batches run by the clock, so such a stream ends only when it is stopped. Uses the RocksDB state store.
+    """
+    snapshots.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    rows = snapshots.where("scan_id is not null").select("target", "scan_id", F.coalesce("tools", F.array().cast("array<string>")).alias("tools"))
+    clock = "None" if forget_ms is None and silent_ms is None else "ProcessingTime"
+    return rows.groupBy("target").transformWithStateInPandas(_Watcher(forget_ms, silent_ms), CHANGES, "append", clock)
 
 
 def watch_batches(snapshots: DataFrame, on_change: Callable[[DataFrame], None], checkpoint: str, interval: str = "60 seconds") -> StreamingQuery:
