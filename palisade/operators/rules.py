@@ -110,7 +110,8 @@ SCOPES = (
     (r"\b(?:notify|alert|message|chat|send)\b", r"\b(?:exec|run|shell|spawn|sudo|admin)\b", "notification", "execution"),
     (r"\b(?:config|setting|env|environment)\b", r"\b(?:exec|spawn|shell|script|deploy|run)\b", "configuration", "remote-exec"),
     (r"\b(?:search|find|lookup|locate)\b", r"\b(?:write|create|delete|update|modify|remove)\b", "search", "write"),
-    (r"\b(?:log|audit|monitor|track|observe)\b", r"\b(?:exec|run|cmd|command|shell)\b", "logging", "command"),
+    (r"\b(?:log|audit|monitor|track|observe)\b", r"\b(?:exec|run|cmd|command|shell)\b", "logging", "command execution"),
+    (r"\b(?:cache|temp|tmp|scratch)\b", r"\b(?:download|fetch|pull|install|load)\b", "cache", "download"),
 )
 #: Words of tools that stand between others.
 BRIDGES = (
@@ -210,21 +211,12 @@ def hidden_markup(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scope_mismatches(tools: DataFrame) -> DataFrame:
-    """R105: the name says one scope, the description another; bridges that use two words of their name are left out."""
-    parts = name_parts("name")
-    said = F.size(F.filter(parts, lambda w: F.contains(F.lower(F.col("description")), w))) >= 2
-    bridge = F.exists(F.array(*[F.lit(b) for b in BRIDGES]), lambda b: F.contains(F.lower(F.concat_ws(" ", "name", "description")), b))
-    plain = F.regexp_replace("name", r"[_\-]", " ")
+    """R105: the name says one scope, the description another; descriptions of a bridge that use two words of the name are left out."""
+    description = F.coalesce("description", F.lit(""))
+    said = F.size(F.filter(name_parts("name"), lambda w: F.contains(F.lower(description), w))) >= 2
+    bridge = F.exists(F.array(*[F.lit(b) for b in BRIDGES]), lambda b: F.contains(F.lower(description), b))
     hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    (F.col("name").rlike(unicode_pattern(a)) | plain.rlike(unicode_pattern(a))) & F.col("description").rlike(unicode_pattern(b)),
-                    F.concat(F.lit(x), F.lit(" -> "), F.lit(y)),
-                )
-                for a, b, x, y in SCOPES
-            ]
-        )
+        F.array(*[F.when(F.col("name").rlike(unicode_pattern(a)) & description.rlike(unicode_pattern(b)), f"{x} -> {y}") for a, b, x, y in SCOPES])
     )
     return tools.where(~(bridge & said)).select("server", "name", F.explode(hits).alias("mismatch"))
 

@@ -82,12 +82,24 @@ def encoded_payloads(spark, d):
     return rules.encoded_payloads(A.texts(spark, d), KEYS)
 
 
-@query("ref165_scope_mismatches")
+#: Words of each scope for names, and what descriptions say besides.
+_SCOPE_NAMES = ("file", "db", "readFile", "wallet-key", "browser.tab", "notify", "config", "search", "log", "tmp", "cacheStore", "read_file")
+_SCOPE_SAYS = ("", " over http", " and will delete it", " exec in a shell", " to download a file", " as a proxy for the file", " of a log service in http", " run as admin")
+_SCOPED = f"""scoped AS (SELECT server, [{", ".join(f"'{x}'" for x in _SCOPE_NAMES)}][ord % 12 + 1] || CASE WHEN ord % 5 = 0 THEN '_' ELSE '-' END || name AS name,
+  description || [{", ".join(f"'{x}'" for x in _SCOPE_SAYS)}][(ord + CAST(server AS BIGINT)) % 8 + 1] AS description FROM tools),
+cut AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')), '[_\\-\\s.]+'), lambda x: x <> '')) AS words FROM scoped),
+free AS (SELECT * FROM cut WHERE NOT (regexp_matches(lower(description), '{"|".join(rules.BRIDGES)}') AND len(list_filter(words, lambda w: contains(lower(description), w))) >= 2))"""
+
+
+@query("ref165_scope_mismatches", f"{with_views('tools')}, {_SCOPED}\n" + "\nUNION ALL ".join(
+    f"SELECT server, name, '{x} -> {y}' AS mismatch FROM free WHERE regexp_matches(name, '(?i){a}') AND regexp_matches(description, '(?i){b}')" for a, b, x, y in rules.SCOPES
+))
 def scope_mismatches(spark, d):
-    """Tools of every server, and for each a twin whose description speaks of the network."""
-    tools = A.tools(spark, d).select("server", "name", "description")
-    odd = tools.withColumn("name", F.concat(F.lit("file_"), "name")).withColumn("description", F.concat("description", F.lit(" over http")))
-    return rules.scope_mismatches(tools.unionByName(odd))
+    """Tools whose names and descriptions speak of all scopes, of bridges too."""
+    word = lambda values, i: F.element_at(F.array(*[F.lit(x) for x in values]), (i + 1).cast("int"))
+    name = F.concat(word(_SCOPE_NAMES, F.col("ord") % 12), F.when(F.col("ord") % 5 == 0, "_").otherwise("-"), "name")
+    says = F.concat("description", word(_SCOPE_SAYS, (F.col("ord") + F.col("server").cast("long")) % 8))
+    return rules.scope_mismatches(A.tools(spark, d).select("server", name.alias("name"), says.alias("description")))
 
 
 @query("ref166_secrets")

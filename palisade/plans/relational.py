@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff, policy, scoring, stats
+from ..operators.rules import CAPABILITIES, capability_tags
 from ..sources import adapters as A
 from ..sources.adapters import with_views
 
@@ -23,6 +24,10 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
 def query(name: str, sql: str | None = None):
     """Register a query under ``name``, with the SQL that gives the same rows."""
 
@@ -120,7 +125,7 @@ _COUNTS = """counts AS (
          count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
          count(*) AS n_findings, avg(CASE WHEN rule_id IN ('R001','R101','R106','R107') THEN 0.9
            WHEN rule_id IN ('R102','R104','R108','R109','R111') THEN 0.7 ELSE 0.5 END) AS confidence,
-         bool_or(rule_id = 'R111') AS threat
+         bool_or(rule_id = 'R106') AS threat
   FROM findings GROUP BY server),
 sizes AS (SELECT server, count(*) AS n_tools FROM tools GROUP BY server)"""
 _GRADE = "CASE WHEN score <= 0.9 THEN 'A' WHEN score <= 2.9 THEN 'B' WHEN score <= 4.9 THEN 'C' WHEN score <= 6.9 THEN 'D' ELSE 'F' END"
@@ -140,35 +145,57 @@ def finding_scores(spark, d):
     return scoring.finding_scores(A.findings(spark, d), sizes(spark, d)).withColumn("confidence", F.round("confidence", 9))
 
 
-def leaderboard(spark, d):
-    """One row per server: counts, capabilities, terms, score and grade; D-type findings are those of rule R107 here."""
-    from ..operators.rules import capability_tags
+#: What a few parts are for, by their number modulo 997, so that servers differ in what their tools can do.
+_DUTIES = {0: "run_command in a shell", 30: "page_click", 60: "database upsert", 90: "write_file", 120: "vault access-token", 150: "http webhook", 180: "read_file"}
+_TAGS = """duty AS (SELECT p_partkey, ' ' || replace(lower(replace(p_name, ' ', '_') || ' ' || p_type || ' ' || p_brand || ' ' || coalesce(CASE p_partkey % 997 """ + " ".join(
+    f"WHEN {n} THEN '{x}'" for n, x in _DUTIES.items()
+) + """ END, '')), '-', '_') || ' ' AS text FROM part),
+tags AS (SELECT DISTINCT server, unnest(list_filter([""" + ", ".join(
+    f"CASE WHEN regexp_matches(text, '{_quoted(p.replace('(?![a-z])', '(?:[^a-z]|$)'))}'){' AND NOT regexp_matches(text, ' + chr(39) + _quoted(CAPABILITIES['fs_write']) + chr(39) + ')' if c == 'fs_read' else ''} THEN {scoring.CAPABILITY_WEIGHTS[c]}::DOUBLE END"
+    for c, p in CAPABILITIES.items()
+) + f"""], lambda x: x IS NOT NULL)) AS w, unnest(list_filter([""" + ", ".join(
+    f"CASE WHEN regexp_matches(text, '{_quoted(p.replace('(?![a-z])', '(?:[^a-z]|$)'))}'){' AND NOT regexp_matches(text, ' + chr(39) + _quoted(CAPABILITIES['fs_write']) + chr(39) + ')' if c == 'fs_read' else ''} THEN '{c}' END"
+    for c, p in CAPABILITIES.items()
+) + """], lambda x: x IS NOT NULL)) AS tag FROM tools JOIN duty ON p_partkey = ord),
+agentic AS (SELECT server, least(10.0, max(w) + 0.5 * (count(*) FILTER (w >= 2) - (max(w) >= 2)::INT))::DOUBLE AS aars FROM tags GROUP BY server)"""
+
+
+def _server_rows(spark, d, dependency: str = ""):
+    """Per server n_tools, severity counts (those of the rule ``dependency`` apart), threat and aars, from one pass over the findings.
 
+    Findings are summed by server and tool first; capabilities are told once a part and joined to these sums.
+    """
     found = A.findings(spark, d)
-    own = stats.severity_counts(found.where("rule_id <> 'R107'"), "server")
-    dep = stats.severity_counts(found.where("rule_id = 'R107'"), "server").select(
-        "server", *[F.col(s).alias(f"dep_{s}") for s in ("critical", "high", "medium")]
-    )
-    threat = found.groupBy("server").agg(F.bool_or(F.col("rule_id") == "R106").alias("threat"))
-    tools = A.tools(spark, d).groupBy("server").agg(
-        F.count("*").alias("n_tools"), F.flatten(F.collect_set(capability_tags())).alias("tags")
+    counts = {s: (F.col("severity") == s) & (F.col("rule_id") != dependency) for s in stats.SEVERITIES}
+    counts |= {f"dep_{s}": (F.col("severity") == s) & (F.col("rule_id") == dependency) for s in ("critical", "high", "medium")}
+    uses = found.groupBy("server", "tool").agg(*(F.count_if(c).alias(n) for n, c in counts.items()), F.bool_or(F.col("rule_id") == "R106").alias("threat"))
+    number = F.col("p_partkey") % 997
+    duty = F.lit("")
+    for n, text in _DUTIES.items():
+        duty = F.when(number == n, text).otherwise(duty)
+    part = A.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("tool"), F.regexp_replace("p_name", " ", "_").alias("name"), F.concat_ws(" ", "p_type", "p_brand", duty).alias("description"))
+    part = part.select("tool", capability_tags().alias("own"))
+    rows = uses.join(part, "tool").groupBy("server").agg(
+        F.count("*").alias("n_tools"), *(F.sum(n).alias(n) for n in counts), F.bool_or("threat").alias("threat"), F.flatten(F.collect_set("own")).alias("tags")
     )
+    return rows.withColumn("aars", scoring.agentic_risk("tags"))
+
+
+def leaderboard(spark, d):
+    """One row per server: counts, capabilities, terms, score and grade; D-type findings are those of rule R107 here."""
+    counts = ["n_tools", *stats.SEVERITIES, "dep_critical", "dep_high", "dep_medium"]
     rows = (
         A.table(spark, d, "supplier")
         .select(F.col("s_suppkey").cast("string").alias("server"), F.col("s_name").alias("name"))
-        .join(tools, "server", "left")
-        .join(own, "server", "left")
-        .join(dep, "server", "left")
-        .join(threat, "server", "left")
+        .join(_server_rows(spark, d, "R107"), "server", "left")
         .withColumn("scanned", F.col("n_tools").isNotNull())
-        .fillna(0, ["n_tools", *stats.SEVERITIES, "dep_critical", "dep_high", "dep_medium"])
+        .fillna(0, [*counts, "aars"])
         .fillna(False, ["threat"])
-        .withColumn("aars", scoring.agentic_risk(F.coalesce("tags", F.array().cast("array<string>"))))
     )
     return scoring.leaderboard_score(rows).drop("tags", "base")
 
 
-@query("leaderboard_rank", f"""{with_views("findings", "tools")},
+@query("leaderboard_rank", f"""{with_views("findings", "tools")}, {_TAGS},
 own AS (SELECT server, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
           count(*) FILTER (severity = 'medium') AS medium FROM findings WHERE rule_id <> 'R107' GROUP BY server),
 dep AS (SELECT server, count(*) FILTER (severity = 'critical') AS dc, count(*) FILTER (severity = 'high') AS dh,
@@ -178,14 +205,14 @@ sizes AS (SELECT server, count(*) AS n_tools FROM tools GROUP BY server),
 joined AS (
   SELECT s_name AS name, n_tools IS NOT NULL AS scanned, coalesce(n_tools, 0) AS n_tools, coalesce(critical, 0) AS c,
          coalesce(high, 0) AS h, coalesce(medium, 0) AS m, coalesce(dc, 0) AS dc, coalesce(dh, 0) AS dh, coalesce(dm, 0) AS dm,
-         CASE WHEN coalesce(threat, false) THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END AS f
+         CASE WHEN coalesce(threat, false) THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END AS f, coalesce(aars, 0.0::DOUBLE) AS aars
   FROM supplier LEFT JOIN sizes ON server = CAST(s_suppkey AS VARCHAR) LEFT JOIN own USING (server)
-  LEFT JOIN dep USING (server) LEFT JOIN threat USING (server)),
+  LEFT JOIN dep USING (server) LEFT JOIN threat USING (server) LEFT JOIN agentic USING (server)),
 based AS (
   SELECT *, greatest((c * 10 + h * 7 + m * 4) / greatest(n_tools, 3)::DOUBLE,
                      CASE WHEN c > 0 THEN 5.0::DOUBLE WHEN h > 0 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END) AS base FROM joined),
 terms AS (
-  SELECT name, scanned, n_tools, round(base, 2) AS term_findings, round(base / 2 * f, 2) AS term_capability,
+  SELECT name, scanned, n_tools, round(base, 2) AS term_findings, round((base + aars) / 2 * f, 2) AS term_capability,
          round(least(4.9::DOUBLE, dc + dh * 0.4::DOUBLE + dm * 0.15::DOUBLE), 2) AS term_dependencies FROM based),
 scored AS (
   SELECT *, least(10.0::DOUBLE, round(greatest(term_findings, term_capability, term_dependencies), 1)) AS score,
@@ -198,21 +225,15 @@ def leaderboard_rank(spark, d):
     return ranked.select("name", "n_tools", "term_findings", "term_capability", "term_dependencies", "score", "driver", "grade")
 
 
-@query("ref109_capability_scores", f"""{with_views("findings", "tools")}, {_COUNTS}, based AS (
-  SELECT server, n_tools, CASE WHEN threat THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END AS f,
+@query("ref109_capability_scores", f"""{with_views("findings", "tools")}, {_COUNTS}, {_TAGS}, based AS (
+  SELECT server, n_tools, aars, CASE WHEN threat THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END AS f,
          greatest((critical * 10 + high * 7 + medium * 4) / greatest(n_tools, 3)::DOUBLE,
                   CASE WHEN critical > 0 THEN 5.0::DOUBLE WHEN high > 0 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END) AS base
-  FROM sizes JOIN counts USING (server)), scored AS (
-  SELECT server, n_tools, least(10.0::DOUBLE, round(greatest(base, base / 2 * f), 1)) AS score FROM based)
+  FROM sizes JOIN counts USING (server) LEFT JOIN agentic USING (server)), scored AS (
+  SELECT server, n_tools, coalesce(aars, 0.0::DOUBLE) AS aars, least(10.0::DOUBLE, round(greatest(base, (base + coalesce(aars, 0.0::DOUBLE)) / 2 * f), 1)) AS score FROM based)
 SELECT *, {_GRADE} AS grade FROM scored""")
 def capability_scores(spark, d):
-    from ..operators.rules import capability_tags
-
-    tools = A.tools(spark, d).groupBy("server").agg(F.count("*").alias("n_tools"), F.flatten(F.collect_set(capability_tags())).alias("tags"))
-    counts = stats.severity_counts(A.findings(spark, d), "server")
-    threat = A.findings(spark, d).groupBy("server").agg(F.bool_or(F.col("rule_id") == "R111").alias("threat"))
-    rows = tools.join(counts, "server").join(threat, "server").withColumn("aars", scoring.agentic_risk("tags"))
-    return scoring.capability_score(rows, F.col("threat")).select("server", "n_tools", "score", "grade")
+    return scoring.capability_score(_server_rows(spark, d), F.col("threat")).select("server", "n_tools", "aars", "score", "grade")
 
 
 @query("ref070_findings_with_scans", f"""{with_views("findings", "scans")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import rules, surfaces
@@ -107,19 +109,23 @@ def vulnerable_packages(spark, d):
     return surfaces.vulnerable_packages(A.table(spark, d, "lineitem").select(detail.alias("detail")))
 
 
-#: Hidden characters, and what ends a line beside a line feed.
-_ODD = "[" + "".join(f"\\x{{{x:04X}}}" for x in (*surfaces.BIDI, *surfaces.INVISIBLE, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029)) + "]"
+_LINE_ENDS = "chr(13) || chr(10) || '|[' || chr(10) || chr(13) || '\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]'"
+_HIDDEN = "[\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]"
 
 
-@query("ref177_hidden_lines", """WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line_number FROM documents)
-SELECT 'd' || doc_id AS path, CAST(line_number AS INT) AS line_number, CASE WHEN doc_id % 2 = 0 THEN 'U+200B, U+202E' ELSE 'U+200B' END AS chars,
-  CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'medium' END AS severity FROM l""")
+@query("ref177_hidden_lines", f"""WITH f AS (SELECT 'd' || doc_id AS path, text AS content FROM documents
+  UNION ALL SELECT 'm' || doc_id, replace(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN chr(8238) ELSE '' END || chr(8203) || chr(10)) FROM documents),
+l AS (SELECT path, unnest(string_split_regex(content, {_LINE_ENDS})) AS line, generate_subscripts(string_split_regex(content, {_LINE_ENDS}), 1) AS line_number FROM f)
+SELECT path, CAST(line_number AS INT) AS line_number, array_to_string(list_transform(list_sort(list_distinct(regexp_extract_all(line, '{_HIDDEN}'))), lambda c: 'U+' || printf('%04X', unicode(c))), ', ') AS chars,
+  CASE WHEN regexp_matches(line, '[\\x{{202A}}-\\x{{202E}}\\x{{2066}}-\\x{{2069}}]') THEN 'high' ELSE 'medium' END AS severity FROM l WHERE regexp_matches(line, '{_HIDDEN}')""")
 def hidden_lines(spark, d):
-    """Every line of every document, its own hidden characters and line ends blanked, with one or two hidden characters put in."""
-    mark = F.when(F.col("doc_id") % 2 == 0, chr(0x202E) + chr(0x200B)).otherwise(chr(0x200B))
-    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), _ODD, " "), "\n")
-    text = F.array_join(F.transform(lines, lambda x: F.concat(x, mark)), "\n")
-    return surfaces.hidden_lines(A.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), text.alias("content")))
+    """Every line of every document as it is, and of a twin of each document with one or two hidden characters at its line ends."""
+    docs = A.table(spark, d, "documents").where("text is not null")
+    own = F.col("doc_id").cast("string")
+    mark = F.concat(F.when(F.col("doc_id") % 2 == 0, chr(0x202E)).otherwise(""), F.lit(chr(0x200B) + "\n"))
+    plain = docs.select(F.concat(F.lit("d"), own).alias("path"), F.col("text").alias("content"))
+    marked = docs.select(F.concat(F.lit("m"), own).alias("path"), F.replace("text", F.lit("\n"), mark).alias("content"))
+    return surfaces.hidden_lines(plain.unionByName(marked))
 
 
 _CATEGORY = "CASE " + " ".join(f"WHEN contains(lower(n), '{a}') THEN '{b}'" for a, b in surfaces.CATEGORIES) + " ELSE 'Other' END"
@@ -172,25 +178,42 @@ def rule_set(spark, d):
     return found.run(A.tools(spark, d)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
-@query("ref181_script_findings", """WITH d AS (SELECT 'd' || doc_id || '.ts' AS path, doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
-r AS (SELECT path, n + 1 AS line_number, 'S004' AS rule_id, 'critical' AS severity FROM d UNION ALL SELECT path, n + 2, 'S006', 'critical' FROM d UNION ALL SELECT path, n + 3, 'S001', 'critical' FROM d
-UNION ALL SELECT path, n + 4, 'S002', 'medium' FROM d UNION ALL SELECT path, n + 4, 'S011', 'medium' FROM d UNION ALL SELECT path, n + 6, 'S009', 'medium' FROM d)
-SELECT path, CAST(line_number AS INT) AS line_number, rule_id, severity FROM r""")
+_SCRIPT = "\neval(x); eval(y)\nspawn(cmd, 'a')\nconst u = 'http://169.254.169.254/'\nreturn await fetch(\nurl)\nserver.listen('0.0.0.0')\nfetch( 'x')\nfetch('y')"
+#: The rules for SQL: a look-ahead behind blanks that may be given back is any character but a quote, or the end.
+_SCRIPT_SQL = [
+    (rule, severity, re.sub(r"\\s\*\(\?!\[(.*?)\]\)", r"(?:[^\1]|\\z)", re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", p))) for rule, severity, p in surfaces.SCRIPT_RULES
+]
+
+
+@query("ref181_script_findings", "WITH f AS (SELECT 'd' || doc_id || '.ts' AS path, text AS content FROM documents UNION ALL SELECT 'm' || doc_id || '.ts', text || '" + _SCRIPT.replace("'", "''") + "' FROM documents),\nr AS ("
++ " UNION ALL ".join(
+    f"SELECT path, '{rule}' AS rule_id, '{severity}' AS severity, unnest(list_transform(string_split_regex(content, '{(p := pattern.replace(chr(39), chr(39) * 2))}'), lambda x: len(string_split(x, chr(10))) - 1)) AS b,"
+    f" unnest(list_append(list_transform(regexp_extract_all(content, '{p}'), lambda x: len(string_split(x, chr(10))) - 1), NULL)) AS w, generate_subscripts(string_split_regex(content, '{p}'), 1) AS i FROM f"
+    for rule, severity, pattern in _SCRIPT_SQL
+)
++ ")\nSELECT DISTINCT path, CAST(line AS INT) AS line_number, rule_id, severity FROM (SELECT *, 1 + sum(b) OVER (PARTITION BY path, rule_id ORDER BY i) + coalesce(sum(w) OVER (PARTITION BY path, rule_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM r) WHERE w IS NOT NULL")
 def script_findings(spark, d):
-    """Every document, its brackets and hidden characters blanked, before lines that the rules report."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[(\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{2066}-\x{2069}\x{FEFF}]", " ")
-    code = "\neval(x); eval(y)\nspawn(cmd, 'a')\nconst u = 'http://169.254.169.254/'\nreturn await fetch(\nurl)\nserver.listen('0.0.0.0')"
-    files = A.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.concat(text, F.lit(code)).alias("content"))
-    return surfaces.script_findings(files)
+    """Every document as it is, and a twin of each before lines that the rules report."""
+    docs = A.table(spark, d, "documents").where("text is not null")
+    path = lambda kind: F.concat(F.lit(kind), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path")
+    plain = docs.select(path("d"), F.col("text").alias("content"))
+    return surfaces.script_findings(plain.unionByName(docs.select(path("m"), F.concat("text", F.lit(_SCRIPT)).alias("content"))))
+
+
+_BINDS = "\nmcp.run(host=\"0.0.0.0\")\n# host='0.0.0.0'\ns.bind(('', 80))\nmcp.settings.host = '::'\nrun(host='127.0.0.1')\nhost='0.0.0.0\""
+#: The pattern for SQL: one alternative for each quote.
+_BIND_SQL = "|".join(surfaces.OPEN_BIND.replace("(['\"])", q).replace("\\1", q) for q in ("''", '"'))
 
 
-@query("ref178_open_binds", """SELECT 'd' || doc_id || '.py' AS path, CAST(len(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) + unnest([1, 3, 4]) AS INT) AS line_number,
-  'S009' AS rule_id, 'high' AS severity FROM documents""")
+@query("ref178_open_binds", f"""WITH f AS (SELECT 'd' || doc_id || '.py' AS path, text AS content FROM documents UNION ALL SELECT 'm' || doc_id || '.py', text || '{_BINDS.replace("'", "''")}' FROM documents),
+l AS (SELECT path, unnest(string_split_regex(content, '\\r\\n|[\\n\\r]')) AS line, generate_subscripts(string_split_regex(content, '\\r\\n|[\\n\\r]'), 1) AS line_number FROM f)
+SELECT path, CAST(line_number AS INT) AS line_number, 'S009' AS rule_id, 'high' AS severity FROM l WHERE regexp_matches(line, '{_BIND_SQL}') AND NOT regexp_matches(line, '^\\s*#')""")
 def open_binds(spark, d):
-    code = "\nmcp.run(host=\"0.0.0.0\")\n# host='0.0.0.0'\ns.bind(('', 80))\nmcp.settings.host = '::'\nrun(host='127.0.0.1')"
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), "['\"]", " ")
-    files = A.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(text, F.lit(code)).alias("content"))
-    return surfaces.open_binds(files)
+    """Every document as it is, and a twin of each before lines that bind and lines that do not."""
+    docs = A.table(spark, d, "documents").where("text is not null")
+    path = lambda kind: F.concat(F.lit(kind), F.col("doc_id").cast("string"), F.lit(".py")).alias("path")
+    plain = docs.select(path("d"), F.col("text").alias("content"))
+    return surfaces.open_binds(plain.unionByName(docs.select(path("m"), F.concat("text", F.lit(_BINDS)).alias("content"))))
 
 
 @query("ref229_arguments", """WITH p AS (SELECT p_partkey AS id, p_partkey % 5 AS k, p_name AS n FROM part)

@@ -45,7 +45,7 @@ def test_query_without_sql_runs(spark, sf_dir, name):
 
 
 #: What the tables do not hold; tests/test_operators.py has rows for it.
-RARE = ("ref163_encoded_payloads", "ref162_injections", "ref173_traversals", "ref165_scope_mismatches", "ref166_secrets")
+RARE = ("ref163_encoded_payloads", "ref162_injections", "ref173_traversals", "ref166_secrets")
 
 
 @pytest.fixture(scope="module")
