@@ -1,74 +1,186 @@
-"""Snapshot tables: partitioned Parquet, one partition per scan bucket, replaced as a whole."""
+"""Snapshot store: bucketed Parquet tables under one manifest, so that all tables of a commit change at once.
+
+A commit writes the buckets that it touches to folders of its own and then creates the next manifest, a small file that says
+which folder holds each bucket of each table. Readers follow the newest manifest. A commit that fails before that
+leaves the old version as it was, whatever it wrote; of two commits at once the second finds its manifest's name taken and fails, and
+can be run again. The name is taken by creating a file that must not exist, as HDFS and local folders can.
+"""
 
 from __future__ import annotations
 
+import json
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-CHILDREN = ("tools", "findings")
+CHILDREN = ("tools", "prompts", "resources", "resource_templates", "findings")
 BUCKETS = 64
 
 
-def bucketed(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Adds the partition of a scan, so that the number of folders does not grow with the scans."""
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("scan_id"), F.lit(buckets)).cast("int"))
+class Conflict(RuntimeError):
+    """Another commit made the version that this one was to make."""
 
 
-def _read(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(f"{root}/{name}")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+def bucket(key: str, buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def upsert(root: str, name: str, rows: DataFrame) -> None:
-    """Replace all rows of the scans in ``rows`` by these; other scans stay.
+def _folder(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The versions of a store, oldest first."""
+    return sorted(int(n.removesuffix(".json")) for n in _names(spark, f"{root}/manifests") if n.endswith(".json"))
 
-    Only the partitions that hold these scans are rewritten (dynamic overwrite).
-    Write the children of a scan first and ``scans`` last: a reader that goes by
-    ``scans`` then never sees half a scan.
-    """
-    from ..streaming.changes import written_copy
 
-    spark = rows.sparkSession
-    rows = bucketed(rows)
-    old = _read(spark, root, name, rows.schema)
-    touched = rows.select("bucket").distinct()
-    stay = old.join(touched, "bucket", "left_semi").join(rows.select("scan_id").distinct(), "scan_id", "left_anti")
-    # The old rows are read from what is overwritten: they are written elsewhere first.
-    merged = written_copy(stay.select(rows.columns).unionByName(rows))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{name}")
+def manifest(spark: SparkSession, root: str, version: int | None = None) -> dict:
+    """What a version (the newest by default) holds; nothing before the first commit."""
+    if version is None:
+        version = max(versions(spark, root), default=0)
+    if not version:
+        return {"version": 0, "tables": {}}
+    return json.loads(spark.read.text(f"{root}/manifests/{version:010d}.json", wholetext=True).first()[0])
 
 
-def delete_scans(spark: SparkSession, root: str, ids: DataFrame, schemas: dict) -> None:
-    """Remove scans and their children; ``schemas`` has the schema of each table."""
-    from ..streaming.changes import written_copy
+def read(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A table of a version, the newest by default; an error if it has no such table."""
+    return _table(spark, root, manifest(spark, root, version), name)
 
+
+def _table(spark: SparkSession, root: str, held: dict, name: str, buckets: set[int] | None = None) -> DataFrame:
+    if name not in held["tables"]:
+        raise LookupError(f"no table {name}")
+    table = held["tables"][name]
+    schema = StructType.fromJson(table["schema"])
+    paths = [f"{root}/{name}/version={v}/bucket={b}" for b, v in table["buckets"].items() if buckets is None or int(b) in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _publish(spark: SparkSession, root: str, held: dict) -> None:
+    fs, at = _folder(spark, f"{root}/manifests/{held['version']:010d}.json")
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            raise Conflict(f"version {held['version']} is taken") from e
+        raise
+    out.write(bytearray(json.dumps(held).encode()))
+    out.close()
+
+
+def _rewrite(spark: SparkSession, root: str, old: dict, new: dict, name: str, key: str, rows: DataFrame | None, ids: DataFrame, resolve=None) -> None:
+    """Write the buckets of ``ids`` without these ids, and with ``rows``, to the folder of the new version."""
+    known = old["tables"].get(name)
+    if known is None and rows is None:
+        return
+    touched = {r[0] for r in ids.select(bucket(key)).distinct().collect()}  # BUCKETS of them at most
+    schema = rows.schema if rows is not None else StructType.fromJson(known["schema"])
+    merged = spark.createDataFrame([], schema) if rows is None else rows
+    if known is not None:
+        here = _table(spark, root, old, name, touched)
+        stay = here if resolve else here.join(ids, key, "left_anti")
+        merged = stay.unionByName(merged, allowMissingColumns=True).select(*(f.name for f in schema), *(c for c in here.columns if c not in schema.names))
+    merged = resolve(merged) if resolve else merged
+    folder = f"{root}/{name}/version={new['version']}"
+    merged.withColumn("bucket", bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    buckets = {b: v for b, v in (known or {"buckets": {}})["buckets"].items() if int(b) not in touched}
+    buckets |= {n.removeprefix("bucket="): new["version"] for n in _names(spark, folder) if n.startswith("bucket=")}
+    new["tables"][name] = {"key": key, "schema": merged.schema.jsonValue(), "buckets": buckets}
+
+
+def commit(spark: SparkSession, root: str, scans: DataFrame | None = None, children: dict[str, DataFrame] | None = None, deleted: DataFrame | None = None) -> int:
+    """Put scans with all their children in place of those of the same scan_id, and remove ``deleted`` (scan_id) with theirs: one new version.
+
+    ``children`` are some of ``CHILDREN``; a scan that comes without rows of a child table has none of them afterwards. Rows of
+    children whose scan is not in ``scans`` are an error. Returns the version.
+    """
+    children = children or {}
+    if unknown := set(children) - set(CHILDREN):
+        raise ValueError(f"no child tables: {sorted(unknown)}")
+    parts = [x.select("scan_id") for x in (scans, deleted) if x is not None]
+    if not parts:
+        raise ValueError("nothing to commit")
+    ids = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    ids = ids.where("scan_id is not null").distinct()
+    for name, rows in children.items():
+        known = rows.sparkSession.createDataFrame([], "scan_id long") if scans is None else scans.select("scan_id")
+        if not rows.join(known, "scan_id", "left_anti").isEmpty():
+            raise ValueError(f"rows of {name} without a scan")
+    old = manifest(spark, root)
+    new = {"version": old["version"] + 1, "tables": dict(old["tables"])}
     for name in ("scans", *CHILDREN):
-        if name not in schemas:
-            continue
-        rows = bucketed(spark.read.schema(schemas[name]).parquet(f"{root}/{name}"))
-        touched = bucketed(ids.select("scan_id")).select("bucket").distinct()
-        hit = rows.join(touched, "bucket", "left_semi")
-        kept = hit.join(ids.select("scan_id"), "scan_id", "left_anti")
-        # A partition that loses all its rows is overwritten by none: all stay listed through an empty marker write.
-        kept = written_copy(kept)
-        emptied = touched.join(kept.select("bucket").distinct(), "bucket", "left_anti").agg(F.collect_set("bucket")).first()[0]
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{name}")
-        for b in emptied:  # at most BUCKETS of them
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/bucket={b}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def load_scan(spark: SparkSession, root: str, scan_id) -> DataFrame:
-    """One row: the scan with its tools and findings in order; an error if there is none."""
-    scan = spark.read.parquet(f"{root}/scans").where(F.col("scan_id") == scan_id)
+        _rewrite(spark, root, old, new, name, "scan_id", scans if name == "scans" else children.get(name), ids)
+    _publish(spark, root, new)
+    return new["version"]
+
+
+def delete_scans(spark: SparkSession, root: str, ids: DataFrame) -> int:
+    """Remove scans (scan_id) and their children."""
+    return commit(spark, root, deleted=ids)
+
+
+def purge(spark: SparkSession, root: str, before) -> int:
+    """Remove the scans of before a time, with their children."""
+    return delete_scans(spark, root, read(spark, root, "scans").where(F.col("scanned_at") < F.lit(before)).select("scan_id"))
+
+
+def load_scan(spark: SparkSession, root: str, scan_id, version: int | None = None) -> DataFrame:
+    """One row: the scan with the rows of every child table in order; an error if there is none."""
+    held = manifest(spark, root, version)
+    at = spark.range(1).select(bucket_of(scan_id)).first()[0]
+    scan = _table(spark, root, held, "scans", {at}).where(F.col("scan_id") == scan_id)
     if scan.isEmpty():
         raise LookupError(f"no scan {scan_id}")
-    for name in CHILDREN:
-        rows = spark.read.parquet(f"{root}/{name}").where(F.col("scan_id") == scan_id)
-        rest = [c for c in rows.columns if c not in ("scan_id", "bucket")]
+    for name in (n for n in CHILDREN if n in held["tables"]):
+        rows = _table(spark, root, held, name, {at}).where(F.col("scan_id") == scan_id)
+        rest = [c for c in rows.columns if c != "scan_id"]
         scan = scan.join(rows.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name)), "scan_id", "left")
-    return scan.drop("bucket")
+    return scan
+
+
+def bucket_of(value):
+    """The bucket of one long or text key."""
+    return F.pmod(F.xxhash64(F.lit(value).cast("long" if isinstance(value, int) else "string")), F.lit(BUCKETS)).cast("int")
+
+
+def newest(rows: DataFrame, key: str, sequence: list[str]) -> DataFrame:
+    """The row of each key whose ``sequence`` columns are greatest."""
+    rest = [c for c in rows.columns if c != key]
+    found = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*sequence)).alias("_row"))
+    return found.select(key, "_row.*").select(rows.columns)
+
+
+def merge_fingerprints(spark: SparkSession, root: str, rows: DataFrame, sequence: tuple[str, ...] = ("last_seen",)) -> int:
+    """Put fingerprints (server_id and others) in place of older ones of the same server; one with a lesser ``sequence`` than the stored one is passed over."""
+    rows = rows.where("server_id is not null")
+    old = manifest(spark, root)
+    new = {"version": old["version"] + 1, "tables": dict(old["tables"])}
+    _rewrite(spark, root, old, new, "fingerprints", "server_id", rows, rows.select("server_id").distinct(), lambda x: newest(x, "server_id", list(sequence)))
+    _publish(spark, root, new)
+    return new["version"]
+
+
+def fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    """All fingerprints, those last seen first."""
+    return read(spark, root, "fingerprints").orderBy(F.desc("last_seen"), "server_id")
+
+
+def delete_fingerprints(spark: SparkSession, root: str, ids: DataFrame) -> int:
+    """Remove the fingerprints of servers (server_id); how many there were."""
+    ids = ids.select("server_id").where("server_id is not null").distinct()
+    n = read(spark, root, "fingerprints").join(ids, "server_id", "left_semi").count()
+    if n:
+        old = manifest(spark, root)
+        new = {"version": old["version"] + 1, "tables": dict(old["tables"])}
+        _rewrite(spark, root, old, new, "fingerprints", "server_id", None, ids)
+        _publish(spark, root, new)
+    return n

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import schema, text
 from palisade.operators import attack_graph, crossref, diff, policy, rules, scoring, stats
-from palisade.sources import configs, manifests, readers, settings, sinks, store
+from palisade.sources import configs, manifests, readers, settings, sinks
 from palisade.streaming import changes
 
 
@@ -308,23 +308,6 @@ def test_feeds(spark):
     assert [r["description"] for r in readers.feed_union(seed, feed).collect()] == ["y"]
 
 
-def test_store_replaces_scans(spark, tmp_path):
-    root = str(tmp_path)
-    kind = "scan_id long, ord int, name string"
-    store.upsert(root, "tools", spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], kind))
-    store.upsert(root, "tools", spark.createDataFrame([(1, 1, "new")], kind))
-    for name, rows in (("scans", [(1, 0, "s"), (2, 0, "s")]), ("findings", [(2, 1, "f")])):
-        store.upsert(root, name, spark.createDataFrame(rows, kind))
-    assert {(r["scan_id"], r["name"]) for r in spark.read.parquet(f"{root}/tools").collect()} == {(1, "new"), (2, "c")}
-    got = store.load_scan(spark, root, 2).first()
-    assert [t["name"] for t in got["tools"]] == ["c"] and [t["name"] for t in got["findings"]] == ["f"]
-    schema_of = {n: spark.read.parquet(f"{root}/{n}").drop("bucket").schema for n in ("scans", "tools", "findings")}
-    store.delete_scans(spark, root, spark.createDataFrame([(1,)], "scan_id long"), schema_of)
-    assert [r["scan_id"] for r in spark.read.parquet(f"{root}/tools").collect()] == [2]
-    with pytest.raises(LookupError):
-        store.load_scan(spark, root, 1)
-
-
 def test_sarif_is_json(spark):
     rows = spark.createDataFrame([(1, "R1", "high", 'a "q"', "f.py:3"), (1, "R2", "low", "b", "tool")], "scan_id int, rule_id string, severity string, title string, location string")
     doc = json.loads(sinks.sarif_documents(rows, "scan_id").first()["document"])
