@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detections, exports, relational, supply, surfaces
+from . import detections, exports, relational, stored, supply, surfaces
 
-MODULES = (relational, detections, exports, surfaces, supply)
+MODULES = (relational, detections, exports, surfaces, supply, stored)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
