@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.schema import schema_properties
+from ..functions.schema import schema_properties, semantic_json
 from ..functions.text import unicode_pattern
 
 #: Shell syntax in a value, dangerous defaults, patterns that allow anything, values like commands.
@@ -129,11 +129,95 @@ def tool_texts(tools: DataFrame, keys: list[str]) -> DataFrame:
     return whole.unionByName(defaults.select(*keys, F.concat(F.lit("input.default."), "path").alias("source"), _field("default").alias("text")))
 
 
+#: Names of properties whose change may open a door.
+SECURITY_NAMES = (
+    "command", "cmd", "script", "code", "eval", "exec", "shell", "sql", "query", "expression", "template",
+    "url", "path", "file", "filename", "key", "token", "password", "secret", "credential", "auth",
+)
+#: Keywords by how a greater value, or a value more, changes what a schema allows.
+UPPER = ("maximum", "exclusiveMaximum", "maxLength", "maxItems", "maxProperties")
+LOWER = ("minimum", "exclusiveMinimum", "minLength", "minItems", "minProperties")
+FIXED = ("pattern", "format", "const")
+SETS = ("enum", "type")
+LEVELS = {"cosmetic": 0, "behavioral": 1, "security": 2}
+
+
+def _values(node: str, name: str) -> Column:
+    """The members of a keyword's value, itself if it is no array; null where it is absent."""
+    text = F.get_json_object(node, f"$.{name}")
+    return F.when(text.startswith("["), F.from_json(text, "array<string>")).when(text.isNotNull(), F.array(text))
+
+
+def _directions() -> tuple[Column, Column]:
+    """Keywords of ``old`` and ``new`` that allow more in the new one, and those that allow less.
+
+    A keyword that is absent allows all, so that its removal loosens and its addition tightens.
+    """
+    was = lambda name: F.get_json_object("old", f"$.{name}")
+    now = lambda name: F.get_json_object("new", f"$.{name}")
+    ways: list[tuple[str, Column, Column]] = []
+    for names, sign in ((UPPER, 1), (LOWER, -1)):
+        for name in names:
+            a, b = (F.coalesce(x.try_cast("double") * sign, F.lit(float("inf"))) for x in (was(name), now(name)))
+            ways.append((name, b > a, b < a))
+    for name in FIXED:
+        changed = ~was(name).eqNullSafe(now(name))
+        ways.append((name, changed & was(name).isNotNull(), changed & now(name).isNotNull()))
+    for name in SETS:
+        a, b = _values("old", name), _values("new", name)
+        beyond = lambda x, y: x.isNotNull() & F.coalesce(F.size(F.array_except(y, x)) > 0, F.lit(True))
+        ways.append((name, beyond(a, b), beyond(b, a)))
+    a, b = (F.coalesce(_values(x, "required"), F.array().cast("array<string>")) for x in ("old", "new"))
+    ways.append(("required", F.size(F.array_except(a, b)) > 0, F.size(F.array_except(b, a)) > 0))
+    level = lambda x: F.when(x == "false", 0).when(x.startswith("{"), 1).otherwise(2)
+    a, b = level(F.coalesce(was("additionalProperties"), F.lit("true"))), level(F.coalesce(now("additionalProperties"), F.lit("true")))
+    ways.append(("additionalProperties", b > a, b < a))
+    a, b = (F.coalesce(x("uniqueItems") == "true", F.lit(False)) for x in (was, now))
+    ways.append(("uniqueItems", a & ~b, b & ~a))
+    ways = sorted(ways, key=lambda w: w[0])
+    pick = lambda k: F.array_compact(F.array(*[F.when(w[k], w[0]) for w in ways]))
+    return pick(1), pick(2)
+
+
 def schema_changes(old: DataFrame, new: DataFrame, keys: list[str], column: str = "input_schema") -> DataFrame:
-    """Properties that were added, removed or changed between two versions of each schema."""
+    """Properties that were added, removed or changed between two versions of each schema, with what the change means.
+
+    ``severity`` is cosmetic where only what documents a property changed, security for the names that hold commands, places
+    and secrets, else behavioral. ``loosened`` and ``tightened`` list the keywords of a changed property that allow more and less than before,
+    and ``weight`` orders changes: security before behavioral, and there what was removed or loosened before what was added or tightened.
+    Properties below a limit of the walk are not compared.
+    """
     a = schema_properties(old, keys, column).where("not limited").select(*keys, "path", F.col("node").alias("old"))
     b = schema_properties(new, keys, column).where("not limited").select(*keys, "path", F.col("node").alias("new"))
     a, b = (x.dropDuplicates([*keys, "path"]) for x in (a, b))
     both = a.join(b, [*keys, "path"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    both = both.withColumn("alike", semantic_json("old").eqNullSafe(semantic_json("new")))
     op = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
-    return both.select(*keys, "path", op.alias("op"))
+    leaf = F.lower(F.element_at(F.split("path", r"\."), -1))
+    severity = F.when(F.col("alike"), "cosmetic").when(leaf.isin(*SECURITY_NAMES), "security").otherwise("behavioral")
+    compared = F.col("old").isNotNull() & F.col("new").isNotNull()
+    loosened, tightened = (F.when(compared, x).otherwise(F.array().cast("array<string>")) for x in _directions())
+    rows = both.select(*keys, "path", op.alias("op"), severity.alias("severity"), loosened.alias("loosened"), tightened.alias("tightened"))
+    opened = (F.col("op") == "removed") | (F.size("loosened") > 0)
+    weight = 2 * F.when(F.col("severity") == "security", 2).when(F.col("severity") == "behavioral", 1).otherwise(0) + opened.cast("int")
+    return rows.withColumn("weight", F.when(F.col("severity") == "cosmetic", 0).otherwise(weight))
+
+
+def schema_severity(old: DataFrame, new: DataFrame, keys: list[str], column: str = "input_schema") -> DataFrame:
+    """keys and the severity of the change of each schema that both have and that is not the same text.
+
+    Security where a limit of the walk is exceeded; else the worst of its properties; behavioral where none differs but the schema does, or where
+    one of the two is no object; else cosmetic.
+    """
+    pairs = old.select(*keys, F.col(column).alias("_old")).join(new.select(*keys, F.col(column).alias("_new")), keys).where(~F.col("_old").eqNullSafe(F.col("_new")))
+    is_object = lambda c: F.coalesce(semantic_json(c).startswith("{"), F.lit(False))
+    whole = pairs.select(*keys, (is_object("_old") & is_object("_new")).alias("objects"), semantic_json("_old").eqNullSafe(semantic_json("_new")).alias("alike"))
+    level = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])
+    worst = schema_changes(old, new, keys, column).groupBy(*keys).agg(F.max(level[F.col("severity")]).alias("worst"))
+    limits = schema_properties(old, keys, column).unionByName(schema_properties(new, keys, column)).where("limited").select(*keys).distinct().withColumn("limit", F.lit(True))
+    rows = whole.join(worst, keys, "left").join(limits, keys, "left")
+    severity = (
+        F.when(~F.col("objects"), "behavioral").when(F.coalesce("limit", F.lit(False)), "security").when(F.col("worst") == 2, "security")
+        .when((F.col("worst") == 1) | ~F.col("alike"), "behavioral").otherwise("cosmetic")
+    )
+    return rows.select(*keys, severity.alias("severity"))

@@ -99,11 +99,41 @@ def tool_texts(spark, d):
     return schemas.tool_texts(_schemas(spark, d), ["tool"]).where("source not in ('input_schema', 'output_schema')")
 
 
-@query("ref205_schema_changes", """SELECT p_partkey AS tool, 'path' AS path, 'changed' AS op FROM part WHERE p_size % 3 = 0""")
+#: Versions of a schema by a part's number modulo 10: (path, node before, node after), and what the change is.
+_VERSIONS = (
+    ("path", '{"type":"string","maxLength":40}', '{"type":"string"}', ("changed", "security", "maxLength", "", 5)),
+    ("path", '{"type":"string"}', '{"maxLength":40,"pattern":"^a","type":"string"}', ("changed", "security", "", "maxLength,pattern", 4)),
+    ("count", '{"type":"integer","minimum":5}', '{"type":"integer","minimum":1}', ("changed", "behavioral", "minimum", "", 3)),
+    ("mode", '{"enum":["a","b"]}', '{"enum":["b","c"]}', ("changed", "behavioral", "enum", "enum", 3)),
+    ("query", '{"type":["string"]}', '{"type":["string","null"]}', ("changed", "security", "type", "", 5)),
+    ("note", '{"type":"string","description":"old"}', '{"description":"new","type":"string"}', ("changed", "cosmetic", "", "", 0)),
+    ("token", None, '{"type":"string"}', ("added", "security", "", "", 4)),
+    ("size", '{"type":"integer"}', None, ("removed", "behavioral", "", "", 3)),
+    ("box", '{"additionalProperties":false,"required":["a","b"],"type":"object"}', '{"additionalProperties":true,"required":["b","c"],"type":"object"}', ("changed", "behavioral", "additionalProperties,required", "required", 3)),
+    ("same", '{"type":"string","format":"uri"}', '{"format":"uri","type":"string"}', None),
+)
+
+
+def _versions(spark, d, i: int):
+    """The schemas of all parts before (1) or after (2) a change, with a property that stays beside it."""
+    node = F.element_at(F.array(*[F.lit("" if v[i] is None else f'"{v[0]}":{v[i]},') for v in _VERSIONS]), (F.col("p_partkey") % len(_VERSIONS) + 1).cast("int"))
+    text = F.concat(F.lit('{"type":"object","properties":{'), node, F.lit('"kept":{"type":"string","title":"'), "p_name", F.lit('"}}}'))
+    return A.table(spark, d, "part").select(F.col("p_partkey").alias("tool"), text.alias("input_schema"))
+
+
+_CHANGES = "(VALUES " + ", ".join(f"({n}, '{v[0]}', {', '.join(repr(x) for x in v[3])})" for n, v in enumerate(_VERSIONS) if v[3]) + ") AS v(n, path, op, severity, loosened, tightened, weight)"
+
+
+@query("ref205_schema_changes", f"""SELECT p_partkey AS tool, path, op, severity, loosened, tightened, weight FROM part JOIN {_CHANGES} ON n = p_partkey % {len(_VERSIONS)}""")
 def schema_changes(spark, d):
-    old = _schemas(spark, d)
-    new = old.withColumn("input_schema", F.when(F.col("p_size") % 3 == 0, F.regexp_replace("input_schema", '"path":\\{"type":"string"\\}', '"path":{"type":"number"}')).otherwise(F.col("input_schema")))
-    return schemas.schema_changes(old, new, ["tool"])
+    """What changes of a property mean, keyword by keyword."""
+    found = schemas.schema_changes(_versions(spark, d, 1), _versions(spark, d, 2), ["tool"])
+    return found.select("tool", "path", "op", "severity", *(F.array_join(c, ",").alias(c) for c in ("loosened", "tightened")), "weight")
+
+
+@query("ref205_schema_severity", f"""SELECT p_partkey AS tool, coalesce(severity, 'cosmetic') AS severity FROM part LEFT JOIN {_CHANGES} ON n = p_partkey % {len(_VERSIONS)}""")
+def schema_severity(spark, d):
+    return schemas.schema_severity(_versions(spark, d, 1), _versions(spark, d, 2), ["tool"])
 
 
 @query("ref203_semantic_schemas")
