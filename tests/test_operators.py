@@ -424,6 +424,10 @@ def test_surface_helpers(spark):
 
     assert surfaces.first_object('noise {bad {"a": {"b": 1}} tail') == '{"a": {"b": 1}}' and surfaces.first_object("[1]") is None
     assert surfaces.minimal_arguments("no json") == "{}" and surfaces.minimal_arguments('{"required":["a"],"properties":{"a":{"type":["x"]}}}') == '{"a": "test"}'
+    assert surfaces.minimal_arguments('{"required":["a","b","c","d"],"properties":{"a":{"type":"array","items":{"default":3}},"b":{"default":null},"c":{"type":"odd"},"d":7,"e":{}}}') == '{"a": [3], "b": null, "c": "test", "d": "test"}'
+    deep = '{"a":{"b":{"c":{"d":1,"e":{"f":1},"g":"ROOT"},"l":["Admin",[2,"x"],{"k":[]}]}},"t":"' + "y" * 60 + '","n":null}'
+    assert json.loads(surfaces.clean_arguments(deep)) == {"a": {"b": {"c": {"d": 1, "g": "ROOT"}, "l": [None, None, None]}}, "t": "y" * 50, "n": None}
+    assert surfaces.minimal_arguments('{"required":7,"properties":{"a":{}}}') == "{}"
     rows = spark.createDataFrame([("Jun  1 12:00:00 2030 GMT",), ("Jun 01 12:00:00 2001 GMT",), ("soon",), (None,)], "not_after string")
     assert [r["v"] for r in rows.select(surfaces.certificate_valid().alias("v")).collect()] == [True, False, False, False]
     files = spark.createDataFrame([("a.py", "x\r\ny\u200b\u2028z\u202e"), ("b.js", "plain"), ("c", None)], "path string, content string")
