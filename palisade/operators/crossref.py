@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unicode_pattern
@@ -36,26 +36,69 @@ def name_collisions(tools: DataFrame) -> DataFrame:
     )
 
 
+#: Letters told apart by the count filter; the others count together.
+LETTERS = "abcdefghijklmnopqrstuvwxyz_"
+
+
+def _least_shared(sizes: Column, threshold: float) -> Column:
+    """How many pairs of neighbouring letters two names of together so many letters share at least, if their ratio reaches the threshold.
+
+    Matching blocks hold M = threshold * sizes / 2 letters at least. Between two blocks lies an unmatched letter, so there are at
+    most sizes - 2 M + 1 of them, and a block of m letters holds m - 1 neighbours.
+    """
+    return F.ceil(sizes * (1.5 * threshold - 1) - 1 - 1e-9)
+
+
+def _grams(names: DataFrame) -> DataFrame:
+    """name, size and each neighbouring pair of its letters with a number, so that a pair that repeats counts as often as it stands."""
+    i = F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("i")
+    pairs = names.where("size > 1").select("name", "size", i).select("name", "size", F.substring("name", F.col("i"), F.lit(2)).alias("gram"))
+    times = pairs.groupBy("name", "size", "gram").agg(F.count("*").alias("n"))
+    each = F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda k: F.concat("gram", k.cast("string")))
+    return times.select("name", "size", F.explode(each).alias("gram"))
+
+
+def similar_name_candidates(names: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Pairs (a, b), a the lesser, of different names (column name) that may reach the threshold.
+
+    An inverted index of neighbouring letters: of each name the rarest ones are kept, all but as many as it must share with any
+    partner less one, so that two names that share enough share one that both keep. Names too short for that meet by a
+    letter. Then lengths and numbers of letters must allow the ratio.
+    """
+    sized = names.select("name", F.length("name").alias("size")).where("size > 0").distinct()
+    far = (2 - threshold) / threshold
+    # The partner of least length asks for the fewest; a pair that meets by neighbours shares one at least.
+    fewest = F.greatest(F.lit(1), _least_shared(F.col("size") + F.ceil(F.col("size") / far - 1e-9), threshold))
+    grams = _grams(sized)
+    common = grams.groupBy("gram").agg(F.count("*").alias("names"))
+    order = Window.partitionBy("name").orderBy("names", "gram")
+    ranked = grams.join(common, "gram").withColumn("rank", F.row_number().over(order))
+    kept = ranked.where(F.col("rank") <= F.col("size") - fewest).select("name", "size", "gram")
+    # Pairs so short that they need share no neighbours share a letter: their sizes add up to this at most.
+    short = int((1 + 1e-9) / (1.5 * threshold - 1)) if threshold > 2 / 3 else 1 << 20
+    letters = sized.where(F.col("size") < short).select("name", "size", F.explode(F.array_distinct(F.split("name", ""))).alias("letter")).where("letter <> ''")
+    letters = letters.select("name", "size", F.concat(F.lit("letter "), "letter").alias("gram"))
+    index = kept.unionByName(letters)
+    left, right = (index.select(F.col("name").alias(x), F.col("size").alias(f"n_{x}"), "gram") for x in "ab")
+    close = (F.col("n_a") <= F.col("n_b") * far) & (F.col("n_b") <= F.col("n_a") * far)
+    met = left.join(right, "gram").where((F.col("a") < F.col("b")) & close & (~F.col("gram").startswith("letter ") | (F.col("n_a") + F.col("n_b") <= short)))
+    met = met.select("a", "b", "n_a", "n_b").distinct()
+    number = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    shared = sum((F.least(number(F.col("a"), c), number(F.col("b"), c)) for c in LETTERS), F.lit(0))
+    rest = lambda x: F.length(F.regexp_replace(x, f"[{LETTERS}]", ""))
+    enough = 2 * (shared + F.least(rest("a"), rest("b"))) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9
+    return met.where(enough).select("a", "b")
+
+
 def shadowed_names(tools: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Pairs of different names of different servers that are almost alike.
+    """Pairs of different names of different servers that are almost alike: a, b, ratio.
 
-    Names are compared, not tools: each distinct name once, with the least server
-    that has it and the number that do. A pair's ratio is that of matching blocks
-    (Ratcliff and Obershelp), of the lesser name to the greater. Two names can
-    only reach the ratio t if their lengths differ by a factor of (2 - t) / t at
-    most and their letters agree in number; pairs meet by length first.
+    Names are compared, not tools: each distinct name once, with the least server that has it and the number that do. A pair's
+    ratio is that of matching blocks (Ratcliff and Obershelp), of the lesser name to the greater; it is computed for ``similar_name_candidates`` only.
     """
-    names = tools.groupBy(F.lower("name").alias("name")).agg(
-        F.min("server").alias("server"), F.count_distinct("server").alias("servers")
-    )
-    # The number of lengths is small; each row meets the rows of the lengths that can match its own.
-    sized = names.withColumn("size", F.length("name")).where("size > 0")
-    reach = F.explode(
-        F.sequence(F.ceil(F.col("size") * threshold / (2 - threshold)), F.floor(F.col("size") * (2 - threshold) / threshold))
-    )
-    left = sized.select(F.col("name").alias("a"), F.col("server").alias("server_a"), F.col("servers").alias("n_a"), reach.alias("size"))
-    right = sized.select(F.col("name").alias("b"), F.col("server").alias("server_b"), F.col("servers").alias("n_b"), "size")
-    pairs = left.join(right, "size").where(F.col("a") < F.col("b"))
+    names = tools.groupBy(F.lower("name").alias("name")).agg(F.min("server").alias("server"), F.count_distinct("server").alias("servers"))
+    side = lambda x: names.select(F.col("name").alias(x), F.col("server").alias(f"server_{x}"), F.col("servers").alias(f"n_{x}"))
+    pairs = similar_name_candidates(names, threshold).join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.where((F.col("server_a") != F.col("server_b")) | (F.col("n_a") > 1) | (F.col("n_b") > 1))
 
     @F.pandas_udf("double")

@@ -142,6 +142,36 @@ def test_shadowed_names_match_all_pairs(spark):
     assert got == want and got
 
 
+@pytest.mark.parametrize("threshold", [0.75, 0.85])
+def test_shadowed_names_of_two_thousand(spark, threshold):
+    """Candidates hold every pair of all pairs that is alike, and are few."""
+    import difflib
+    import random
+
+    rnd = random.Random(6)
+    words = ["read", "write", "file", "list", "get", "send", "query", "table", "user", "mail", "sync", "cache", "node", "a", "x1"]
+    names = set()
+    while len(names) < 2000:
+        name = "_".join(rnd.choices(words, k=rnd.randint(1, 4)))
+        for _ in range(rnd.choice([0, 0, 1, 2, 3])):
+            at = rnd.randrange(len(name) + 1)
+            name = name[:at] + rnd.choice(["", rnd.choice("abcxyz-9é")]) + name[at + rnd.choice([0, 1]) :]
+        names.add(name or "q")
+    names = sorted(names)
+    rows = spark.createDataFrame([(n,) for n in names], "name string").repartition(4)
+    got = {(r["a"], r["b"]) for r in crossref.similar_name_candidates(rows, threshold).collect()}
+    want, tried = set(), 0
+    for i, a in enumerate(names):
+        matcher = difflib.SequenceMatcher(None, "", a)
+        for b in names[i + 1 :]:
+            tried += 1
+            matcher.set_seq1(b)
+            if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and difflib.SequenceMatcher(None, a, b).ratio() >= threshold:
+                want.add((a, b))
+    assert want <= got and len(want) > 500
+    assert len(got) < tried / 4, (len(got), tried)
+
+
 def test_schema_walk():
     node = {"type": "string"}
     value = {
