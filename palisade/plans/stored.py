@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import adapters as A
-from ..sources import store
+from ..sources import readers, store
 from ..sources.adapters import with_views
 from ..streaming.changes import shared_folder
 
@@ -58,3 +58,33 @@ def stored_fingerprints(spark, d):
         store.merge_fingerprints(spark, root, rows.where(F.col("half") == half).drop("half"))
     store.delete_fingerprints(spark, root, rows.where("cast(server_id AS int) % 7 = 0").select("server_id"))
     return store.fingerprints(spark, root)
+
+
+#: Reports by a part's number modulo 7, and the faults that each has.
+_REPORTS = (
+    ('{"target":"@","tools":[{"name":"a"}],"findings":[{"rule_id":"R1","severity":"High"}]}', ()),
+    ('{"target":["@"],"incomplete":"yes"}', (("target", 'no text: ["@"]'), ("incomplete", 'no flag: "yes"'))),
+    ('{"target":"@","findings":[{"severity":"odd","title":3},{"severity":"low","detail":[1]}]}', (("findings[0].severity", "no severity: odd"), ("findings[1].detail", "no object: [1]"))),
+    ('{"target":"@","tools":[5,{"name":{"x":1},"input_schema":"@"}]}', (("tools[0]", "no object: 5"), ("tools[1].name", 'no text: {"x":1}'), ("tools[1].input_schema", 'no object: "@"'))),
+    ('{"target":"@","tools":{},"findings":7}', (("tools", "no list: {}"), ("findings", "no list: 7"))),
+    ('["@"]', (("", "no report"),)),
+    ('{"target":"@"', (("", "no report"),)),
+)
+_FAULTS = ", ".join(f"({n}, '{field}', '{problem}')" for n, (_, faults) in enumerate(_REPORTS) for field, problem in faults)
+
+
+def _reports(spark, d):
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in _REPORTS]), (F.col("p_partkey") % len(_REPORTS) + 1).cast("int"))
+    return A.table(spark, d, "part").select(F.col("p_partkey").alias("source"), F.replace(text, F.lit("@"), F.col("p_name")).alias("text"))
+
+
+@query("ref003_report_errors", f"""SELECT p_partkey AS source, field, replace(problem, '@', p_name) AS problem FROM part JOIN (VALUES {_FAULTS}) AS f(n, field, problem) ON n = p_partkey % {len(_REPORTS)}""")
+def report_errors(spark, d):
+    """What the type guards refuse of a report for every part."""
+    return readers.report_rows(_reports(spark, d))[3]
+
+
+@query("ref003_report_findings", """SELECT p_partkey AS source, 0 AS ord, 'R1' AS rule_id, 'high' AS severity, '{}' AS detail FROM part WHERE p_partkey % 7 = 0
+UNION ALL SELECT p_partkey, 1, '', 'low', '{}' FROM part WHERE p_partkey % 7 = 2""")
+def report_findings(spark, d):
+    return readers.report_rows(_reports(spark, d))[2].select("source", "ord", "rule_id", "severity", "detail")

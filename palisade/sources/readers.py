@@ -36,6 +36,69 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("_corrupt").isNull() & shaped).withColumn("name", F.coalesce("name", F.regexp_replace("file", r"\.json$", ""))).drop("_corrupt")
 
 
+SEVERITIES = ("low", "medium", "high", "critical")
+#: Fields of a report and of its tools and findings, each with the kinds of JSON values that it may have.
+REPORT_FIELDS = {"target": "text", "transport": "text", "incomplete": "flag", "incomplete_reason": "text"}
+TOOL_FIELDS = {"name": "text", "description": "text", "input_schema": "object", "output_schema": "object"}
+FINDING_FIELDS = {f: "text" for f in ("rule_id", "title", "description", "severity", "target", "location", "evidence")} | {"detail": "object"}
+KINDS = {
+    "text": r"^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)",
+    "flag": r"^BOOLEAN",
+    "object": r"^OBJECT",
+    "list": r"^ARRAY",
+}
+
+
+def _guarded(value: Column, name: str, kind: str, place: Column) -> tuple[Column, Column]:
+    """A field of a variant, with what stands for it where it is absent or of another kind, and the fault of the latter (null if there is none)."""
+    field = F.try_variant_get(value, f"$.{name}", "variant")
+    known = F.coalesce(F.schema_of_variant(field).rlike(KINDS[kind]), F.lit(False))
+    empty = {"text": "", "flag": False, "object": "{}"}[kind]
+    found = field.cast("boolean") if kind == "flag" else F.to_json(field) if kind == "object" else field.cast("string")
+    other = field.isNotNull() & ~known
+    fault = F.when(other, F.struct(F.concat(place, F.lit(name)).alias("field"), F.concat(F.lit(f"no {kind}: "), F.to_json(field)).alias("problem")))
+    return F.coalesce(F.when(known, found), F.lit(empty)).alias(name), fault
+
+
+def report_rows(raw: DataFrame, key: str = "source", column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Reports in JSON text, field by field: reports, tools, findings, and errors (key, field, problem) that name each field refused.
+
+    A field that is absent has its empty value; one of another kind too, and an error row (numbers count as text). Tools and findings
+    carry their number (``ord``); one that is no object is left out, with an error. A finding whose severity is none is refused. Text that is no JSON
+    object gives an error for the whole report and no rows.
+    """
+    held = raw.select(key, F.try_parse_json(column).alias("v"), F.col(column).alias("t"))
+    is_object = F.coalesce(F.schema_of_variant("v").rlike(KINDS["object"]), F.lit(False))
+    rows = held.where(is_object).select(key, "v")
+    none = F.lit("")
+    fields = [_guarded(F.col("v"), n, k, none) for n, k in REPORT_FIELDS.items()]
+    faults = F.array_compact(F.array(*(f for _, f in fields), *(_no_list(n) for n in ("tools", "findings"))))
+    errors = held.where(~is_object).select(key, F.lit("").alias("field"), F.lit("no report").alias("problem"))
+    errors = errors.unionByName(rows.select(key, F.explode(faults).alias("e")).select(key, "e.*"))
+    parts = []
+    for name, inner in (("tools", TOOL_FIELDS), ("findings", FINDING_FIELDS)):
+        each = rows.select(key, F.posexplode(F.try_variant_get("v", f"$.{name}", "array<variant>")).alias("ord", "x"))
+        place = F.concat(F.lit(f"{name}["), F.col("ord").cast("string"), F.lit("]"))
+        known = F.coalesce(F.schema_of_variant("x").rlike(KINDS["object"]), F.lit(False))
+        guarded = [_guarded(F.col("x"), n, k, F.concat(place, F.lit("."))) for n, k in inner.items()]
+        found = each.where(known).select(key, "ord", *(c for c, _ in guarded), F.array_compact(F.array(*(f for _, f in guarded))).alias("faults"))
+        errors = errors.unionByName(each.where(~known).select(key, place.alias("field"), F.concat(F.lit("no object: "), F.coalesce(F.to_json("x"), F.lit("null"))).alias("problem")))
+        errors = errors.unionByName(found.select(key, F.explode("faults").alias("e")).select(key, "e.*"))
+        found = found.drop("faults")
+        if name == "findings":
+            good = F.lower("severity").isin(*SEVERITIES)
+            refused = found.where(~good).select(key, F.concat(place, F.lit(".severity")).alias("field"), F.concat(F.lit("no severity: "), "severity").alias("problem"))
+            errors, found = errors.unionByName(refused), found.where(good).withColumn("severity", F.lower("severity"))
+        parts.append(found)
+    return rows.select(key, *(c for c, _ in fields)), parts[0], parts[1], errors
+
+
+def _no_list(name: str) -> Column:
+    field = F.try_variant_get("v", f"$.{name}", "variant")
+    other = field.isNotNull() & ~F.coalesce(F.schema_of_variant(field).rlike(KINDS["list"]), F.lit(False))
+    return F.when(other, F.struct(F.lit(name).alias("field"), F.concat(F.lit("no list: "), F.to_json(field)).alias("problem")))
+
+
 def advisory_rows(raw: DataFrame, column: str = "text") -> DataFrame:
     """Advisories from JSON text: severity label, weakness classes, last fixed version and affected versions."""
     a = raw.select(F.from_json(column, ADVISORY).alias("a")).where("a.id is not null").select("a.*")
