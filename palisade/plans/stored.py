@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import adapters as A
-from ..sources import readers, store
+from ..sources import envelopes, readers, store
 from ..sources.adapters import with_views
 from ..streaming.changes import shared_folder
 
@@ -88,3 +88,19 @@ def report_errors(spark, d):
 UNION ALL SELECT p_partkey, 1, '', 'low', '{}' FROM part WHERE p_partkey % 7 = 2""")
 def report_findings(spark, d):
     return readers.report_rows(_reports(spark, d))[2].select("source", "ord", "rule_id", "severity", "detail")
+
+
+@query("ref043_signed_envelopes", """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 1 THEN 'digest differs' WHEN 2 THEN 'signature is wrong' WHEN 3 THEN 'key id of another key' WHEN 4 THEN 'no JSON' END AS problem FROM part""")
+def signed_envelopes(spark, d):
+    """An envelope for every part, four in five of them changed after they were signed, and what verification says."""
+    part = A.table(spark, d, "part")
+    payload = F.to_json(F.struct(F.col("p_name").alias("target"), F.struct("p_type", "p_size").alias("detail"), F.array("p_brand").alias("tools")))
+    rows = envelopes.sign_payloads(part.select(F.col("p_partkey").alias("id"), payload.alias("payload")), bytes(range(32)), "2024-01-01T00:00:00+00:00")
+    text, k = F.col("envelope"), F.col("id") % 5
+    changed = F.when(k == 1, F.regexp_replace(text, '"target":"', '"target":"x')).when(k == 3, F.regexp_replace(text, '"key_id":"..', '"key_id":"zz')).when(k == 4, F.concat(text, F.lit("}")))
+    # A digest that fits the changed payload leaves only the signature to tell.
+    other = F.regexp_replace("payload", '"target":"', '"target":"x')
+    forged = envelopes.sign_payloads(rows.select("id", "envelope", other.alias("payload")).withColumnRenamed("envelope", "own"), bytes(32), "2024-01-01T00:00:00+00:00")
+    forged = forged.where(k == 2).withColumn("envelope", F.regexp_replace("envelope", '"signature":.*$', "")).withColumn("envelope", F.concat("envelope", F.regexp_extract("own", '("signature":.*)$', 1)))
+    whole = rows.where(k != 2).select("id", F.coalesce(changed, text).alias("envelope")).unionByName(forged.select("id", "envelope"))
+    return envelopes.verify_envelopes(whole).select("id", "problem")
