@@ -126,3 +126,12 @@ def origin(url: str | Column) -> Column:
     c = F.col(url) if isinstance(url, str) else url
     found = F.regexp_extract(c, r"^([a-zA-Z][\w+.-]*://[^/?#]+)", 1)
     return F.when(found != "", F.lower(found))
+
+
+def repository(url: str | Column) -> Column:
+    """owner/name of a URL on GitHub, without ``.git`` at its end; null for others and for those without a name."""
+    c = F.col(url) if isinstance(url, str) else url
+    place = r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)([^?#]*)"
+    parts = F.filter(F.split(F.regexp_extract(c, place, 2), "/"), lambda x: x != "")
+    name = F.concat_ws("/", F.get(parts, F.lit(0)), F.regexp_replace(F.get(parts, F.lit(1)), r"\.git$", ""))
+    return F.when(F.contains(F.regexp_extract(c, place, 1), F.lit("github.com")) & (F.size(parts) >= 2), name)

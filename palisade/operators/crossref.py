@@ -126,14 +126,6 @@ def exfiltration_chains(tools: DataFrame) -> DataFrame:
     )
 
 
-def exfiltration_pairs(tools: DataFrame) -> DataFrame:
-    """The chains one by one, (reader, sender): as many rows as chains."""
-    text = tool_text()
-    readers = tools.where(text.rlike(unicode_pattern(READS))).select(F.col("server").alias("reader")).distinct()
-    senders = tools.where(text.rlike(unicode_pattern(SENDS))).select(F.col("server").alias("sender")).distinct()
-    return readers.join(senders, F.col("reader") != F.col("sender"))
-
-
 def capability_overlap(tools: DataFrame, least: int = 3) -> DataFrame:
     """Capabilities that so many servers offer."""
     text = tool_text()
