@@ -226,7 +226,8 @@ def secrets(texts: DataFrame, keys: list[str]) -> DataFrame:
     known = pattern_matches(texts, keys, SECRETS, ignore_case=False).withColumn("stage", F.lit(0))
     generic = pattern_matches(texts, keys, (("Generic base64-like", "high", GENERIC_BASE64),), ignore_case=False)
     generic = generic.where(entropy("matched") > GENERIC_ENTROPY).withColumn("stage", F.lit(1))
-    tokens = F.transform(F.split("text", r"\s+"), lambda t: F.btrim(t, F.lit(TOKEN_EDGES)))
+    # Only runs that are long enough with their edges are cut out and trimmed.
+    tokens = F.transform(F.regexp_extract_all("text", F.lit(r"\S{16,}"), F.lit(0)), lambda t: F.btrim(t, F.lit(TOKEN_EDGES)))
     tokens = texts.select(*keys, F.explode(F.filter(tokens, lambda t: t.rlike(TOKEN))).alias("matched"))
     tokens = tokens.where(entropy("matched") > GENERIC_ENTROPY)
     tokens = tokens.select(*keys, F.lit("High-entropy token").alias("label"), F.lit("high").alias("severity"), "matched", F.lit(2).alias("stage"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detections, exports, lookups, relational, stored, supply, surfaces
+from . import detections, exports, feeds, lookups, relational, stored, supply, surfaces
 
-MODULES = (relational, detections, exports, surfaces, supply, stored, lookups)
+MODULES = (relational, detections, exports, surfaces, supply, stored, lookups, feeds)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:

@@ -116,30 +116,39 @@ def watch_batches(snapshots: DataFrame, on_change: Callable[[DataFrame], None],
 
 
 def append_audit(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream of audit events to the audit table, once each."""
-    out = events.withColumn("day", F.to_date("timestamp")).writeStream.format("parquet").partitionBy("day")
-    return out.option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Append a stream of audit events to the audit table, once each, by batch and day.
+
+    A batch that is run again replaces itself. The table is a plain one, without a list of files of its own, so that events can be deleted.
+    """
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("day", F.to_date("timestamp")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={n}")
+
+    return events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def delete_events(spark: SparkSession, path: str, gone: DataFrame | None = None, before=None) -> None:
     """Remove audit events whose id is in ``gone`` (column id), or older than ``before``, from the table of ``append_audit``.
 
-    Only the days that hold such events are rewritten. No stream may append meanwhile.
+    Only the days of batches that hold such events are rewritten. No stream may append meanwhile.
     """
     rows = spark.read.parquet(path)
-    old = F.lit(False) if before is None else F.col("timestamp") < F.lit(before).cast("timestamp")
-    hit = rows.where(old).select("day")
-    kept = rows.where(~F.coalesce(old, F.lit(False)))
+    parts = [c for c in ("batch", "day") if c in rows.columns]
+    old = F.lit(False) if before is None else F.coalesce(F.col("timestamp") < F.lit(before).cast("timestamp"), F.lit(False))
+    hit, kept = rows.where(old).select(*parts), rows.where(~old)
     if gone is not None:
-        hit = hit.unionByName(rows.join(gone.select("id"), "id", "left_semi").select("day"))
+        hit = hit.unionByName(rows.join(gone.select("id"), "id", "left_semi").select(*parts))
         kept = kept.join(gone.select("id"), "id", "left_anti")
-    days = hit.distinct()
-    # A day that loses all its events keeps an empty file, so that the overwrite reaches it.
-    emptied = [r[0] for r in days.join(kept.select("day").distinct(), "day", "left_anti").collect()]  # days, not events
-    staying = written_copy(kept.join(days, "day", "left_semi").select(*rows.columns))
-    staying.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-    for day in emptied:
-        spark.createDataFrame([], rows.drop("day").schema).write.mode("overwrite").parquet(f"{path}/day={day}")
+    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in parts]  # noqa: E731 - the day of an event without a time is null
+    places = hit.distinct()
+    # A place that loses all its events keeps an empty file, so that the overwrite reaches it.
+    left = kept.select(*parts).distinct()
+    emptied = [r.asDict() for r in places.join(left, same(places, left), "left_anti").collect()]  # batches and days, not events
+    staying = written_copy(kept.join(places, same(kept, places), "left_semi").select(*rows.columns))
+    staying.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    for place in emptied:
+        folder = "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for c, v in place.items())
+        spark.createDataFrame([], rows.drop(*parts).schema).write.mode("overwrite").parquet(f"{path}/{folder}")
 
 
 def daily_events(events: DataFrame, late: str = "1 day") -> DataFrame:
