@@ -107,6 +107,8 @@ TEMPLATES = (
     ),
 )
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows alike whose results are made in one place.
+COPIES = 1000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -156,10 +158,9 @@ def votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
         "doc_id", "text_hash", "n_words", "template", "label", "base", "n_grams", "template_words", "place", "p"
     )
     text = ["doc_id", "text_hash", "n_words"]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Votes and marks are summed where they are found: rows of one id and text, such as empty ones without an id, come as one a task.
     return (
-        hits.repartition(n, "doc_id", "text_hash")
-        .withColumn("diagonal", F.col("p") - F.col("place"))
+        hits.withColumn("diagonal", F.col("p") - F.col("place"))
         .groupBy(*text, "template", "label", "base", "n_grams", "template_words", "diagonal")
         .agg(F.collect_set("place").alias("places"), F.min("p").alias("low"), (F.max("p") + K).alias("high"), F.count("*").alias("votes"))
     )
@@ -221,7 +222,10 @@ def scan(docs: DataFrame, phrases=BASE_PHRASES, templates=TEMPLATES) -> DataFram
             F.max("cover").alias("score"),
             F.sum("rows").alias("rows"),
         )
-        .withColumn("row", F.explode(F.expr("sequence(1, rows)")))
+        # A result for each row, dealt out where very many rows are alike.
+        .withColumn("part", F.explode(F.expr(f"sequence(0L, (rows - 1) div {COPIES})")))
+        .repartition("doc_id", "text_hash", "part")
+        .withColumn("row", F.explode(F.expr(f"sequence(1L, least(rows - part * {COPIES}, {COPIES}L))")))
         .select(
             "doc_id",
             F.col("n_words").cast("long").alias("n_words"),

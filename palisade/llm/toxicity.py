@@ -20,8 +20,8 @@ from .textops import Texts
 
 #: Labelled texts of each label that the model is fitted on, at most.
 FIT_ROWS = 2500
-#: Features kept at most, by evidence, and the log likelihood ratio that each needs.
-FEATURES, EVIDENCE = 50_000, 10.0
+#: The log likelihood ratio that a feature needs.
+EVIDENCE = 10.0
 #: Grades: none, mild, serious, severe.
 GRADES = 4
 #: Expected severity from which a text counts as toxic.
@@ -124,8 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grades: in
     clean = F.col("n") - F.col("k")
     part = lambda x, share: F.when(x > 0, x * F.log(x / F.col("n") / share)).otherwise(0.0)
     evidence = 2 * (part(F.col("k"), k / n) + part(clean, (n - k) / n))
-    ranked = common.where(evidence >= EVIDENCE).select("h", odds.alias("z"), evidence.alias("e"))
-    kept = ranked.orderBy(F.desc("e"), "h").limit(FEATURES).toPandas()
+    kept = common.where(evidence >= EVIDENCE).select("h", odds.alias("z")).toPandas()  # no more than the fitted texts hold
     if not len(kept):
         return None
     h = kept["h"].to_numpy(np.int64).view(np.uint64)
@@ -140,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grades: in
         lists = [pa.array(at.astype(np.int32)), pa.array(value)]
         return [pa.ListArray.from_arrays(pa.array(low), x) for x in lists]
 
-    # At most 2 * fit_rows texts of at most FEATURES entries each.
+    # At most 2 * fit_rows texts of at most as many entries as there are features.
     fitted = scored(texts.withColumn("h", F.xxhash64("text")), ["h", "label"], "at array<int>, x array<double>", sparse).toPandas()
     fitted = fitted.sort_values(["label", "h"], kind="stable")
     x = [(np.array(a, int), np.array(v, float)) for a, v in zip(fitted["at"], fitted["x"], strict=True)]
