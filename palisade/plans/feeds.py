@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import policy, scoring, stats, surfaces
 from ..sources import adapters as A
-from ..sources import manifests, readers, sinks
+from ..sources import documents, manifests, readers, sinks
 from ..sources.adapters import with_views
-from ..streaming import changes
-from . import relational
+from ..streaming import changes, outbox
+from . import exports, relational
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -183,3 +183,37 @@ def audit_table(spark, d):
     changes.append_audit(stream, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     changes.delete_events(spark, f"{folder}/table", gone=copy.where("id % 11 = 0").select("id"), before="2024-01-05 12:00:00")
     return spark.read.parquet(f"{folder}/table").select(F.col("id").alias("event_id"), "event_type", "target")
+
+
+@query("ref042_leaderboard_document", f"""WITH r AS ({relational.ORACLES["leaderboard_rank"]}), n AS (SELECT *, row_number() OVER w AS i, count(*) OVER () AS n FROM r WINDOW w AS (ORDER BY n_tools = 0, coalesce(score, 11), n_tools DESC, name))
+SELECT name, score, grade, i = 1 AS opens, i = n AS closes, '<text x="6" y="14" fill="#fff">' || grade || ' ' || printf('%.1f', score) || '</text>' AS badge FROM n""")
+def leaderboard_document(spark, d):
+    """The leaderboard written as one JSON array, its lines read back, and the text of each server's badge."""
+    path = f"{changes.shared_folder(spark)}/leaderboard-{uuid.uuid4().hex}"
+    rows = relational.leaderboard(spark, d).select("name", "scanned", "score", "n_tools", "grade", "driver")
+    documents.write_leaderboard(rows, path)
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    closes = F.endswith("value", F.lit("}]"))
+    text = F.when(closes, F.expr("substring(value, 2, length(value) - 2)")).otherwise(F.expr("substring(value, 2)"))
+    back = lines.select(F.from_json(text, "name string, score double, grade string").alias("r"), F.startswith("value", F.lit("[")).alias("opens"), closes.alias("closes"))
+    return back.select("r.*", "opens", "closes", F.regexp_extract(sinks.badge(F.col("r.grade"), F.col("r.score")), "<text.*</text>", 0).alias("badge"))
+
+
+@query("ref242_alerts", exports.ORACLES["ref240_watch"])
+def alerts(spark, d):
+    """The changes of ref240 as alerts, handed over batch by batch through the outbox; the first attempt of each batch fails."""
+    root = f"{changes.shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    rows = A.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("target"), F.col("l_orderkey").alias("scan_id"))
+    copy = changes.written_copy(rows.agg(F.collect_set(F.col("l_partkey").cast("string")).alias("tools")))
+    stream = spark.readStream.schema(copy.schema).parquet(copy.inputFiles()[0].rpartition("/")[0])
+    tried = set()
+
+    def send(found, number: int) -> None:
+        if number not in tried:
+            tried.add(number)
+            raise OSError("receiver is away")
+        found.write.mode("overwrite").parquet(f"{root}/received/{number}")
+
+    query = changes.watch(stream).writeStream.foreachBatch(lambda batch, n: outbox.deliver(batch, n, root, send))
+    query.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(changes.CHANGES).parquet(f"{root}/received/*")

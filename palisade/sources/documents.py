@@ -68,3 +68,10 @@ def export_audit(events: DataFrame, path: str, kind: str) -> None:
     if kind not in writers:
         raise ValueError(f"no format {kind}")
     writers[kind](events, ["timestamp", "event_id"], path)
+
+
+def write_leaderboard(rows: DataFrame, path: str, parts: int = 32) -> None:
+    """The leaderboard (name, scanned, score, n_tools and others) as one JSON array in its order: scanned first, least score first, more tools, then the name."""
+    fields = [c for c in rows.columns if c != "scanned"]
+    keyed = rows.select("*", (~F.col("scanned")).alias("_unscanned"), F.coalesce("score", F.lit(11.0)).alias("_score"), (-F.col("n_tools")).alias("_tools"))
+    write_document(keyed, F.to_json(F.struct(*fields)), ["_unscanned", "_score", "_tools", "name"], path, "[", ",", "]", parts)
