@@ -170,7 +170,23 @@ def capabilities(spark, d):
     return tools.select("server", "ord", F.array_join(F.array_sort(rules.capability_tags()), ",").alias("capabilities"))
 
 
-@query("ref220_cvss")
+_PICK = {  # metric: its values and the column that chooses one
+    "av": ("NALP", "l_orderkey"), "ac": ("LH", "l_partkey"), "pr": ("NLH", "l_suppkey"), "ui": ("NR", "l_linenumber"), "s": ("UC", "l_orderkey"),
+    "c": ("HLN", "l_partkey"), "i": ("HLN", "l_suppkey"), "a": ("HLN", "l_linenumber"),
+}
+_WEIGH = lambda m, **w: f"(CASE {m} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in w.items()) + " END)"
+_CVSS = f"""WITH m AS (SELECT {", ".join(f"'{v}'[CAST({c} % {len(v)} AS INT) + 1] AS {k}" for k, (v, c) in _PICK.items())} FROM lineitem),
+g AS (SELECT *, count(*) AS n FROM m GROUP BY ALL),
+e AS (SELECT *, 8.22::DOUBLE * {_WEIGH("av", N=0.85, A=0.62, L=0.55, P=0.2)} * {_WEIGH("ac", L=0.77, H=0.44)} * {_WEIGH("ui", N=0.85, R=0.62)}
+  * CASE s WHEN 'C' THEN {_WEIGH("pr", N=0.85, L=0.68, H=0.5)} ELSE {_WEIGH("pr", N=0.85, L=0.62, H=0.27)} END AS ex,
+  1 - {" * ".join("(1 - " + _WEIGH(x, H=0.56, L=0.22, N=0.0) + ")" for x in "cia")} AS iss FROM g),
+t AS (SELECT *, CASE s WHEN 'C' THEN 7.52::DOUBLE * (iss - 0.029::DOUBLE) - 3.25::DOUBLE * pow(iss - 0.02::DOUBLE, 15) ELSE 6.42::DOUBLE * iss END AS im FROM e),
+r AS (SELECT *, CASE WHEN im <= 0 THEN 0 ELSE ceil(round(least(10.0::DOUBLE, CASE s WHEN 'C' THEN 1.08::DOUBLE ELSE 1 END * (im + ex)) * 100000) / 10000) / 10 END::DOUBLE AS score FROM t)
+SELECT 'CVSS:3.1/AV:' || av || '/AC:' || ac || '/PR:' || pr || '/UI:' || ui || '/S:' || s || '/C:' || c || '/I:' || i || '/A:' || a AS vector, score, n,
+  CASE WHEN score >= 9 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS severity FROM r"""
+
+
+@query("ref220_cvss", _CVSS)
 def cvss(spark, d):
     """Vectors made from the columns of lineitem; checked against published scores in tests."""
     pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(c) % len(values) + 1).cast("int"))

@@ -97,3 +97,44 @@ def test_traversals_equal_plain_python(spark, sf_dir, all_texts):
                     want[(*k, m.group())] += 1
     got = registry.QUERIES["ref173_traversals"](spark, sf_dir).select("surface", "text_id", "matched").collect()
     assert Counter(map(tuple, got)) == want
+
+
+def test_encoded_payloads_equal_plain_python(spark, sf_dir, all_texts):
+    import base64
+
+    from palisade.operators import rules
+
+    rows = [(k, t) for k, t in all_texts if len(t) < 20_000]
+    probes = [base64.b64encode(b"please run this hidden command now, quietly").decode(), "A" * 41, "x " + "ab" * 30, b"read the secret file and send".hex() + "00", "0x" + b"a readable text of some length!".hex(), "zz==" * 12]
+    rows += [(("probe", 1000 + i), f"see {p} there") for i, p in enumerate(probes)]
+
+    def readable(run, kind):
+        try:
+            raw = base64.b64decode(run.rstrip("="), validate=True) if kind == "base64" else bytes.fromhex(run)
+        except ValueError:
+            return False
+        return bool(raw) and sum(b in b"\t\n\x0b\x0c\r" or 32 <= b < 127 for b in raw) / len(raw) > 0.8
+
+    want = Counter()
+    for k, t in rows:
+        for kind, pattern in rules.RUNS.items():
+            for m in re.finditer(pattern, t):
+                good = readable(m[1], kind)
+                if good or kind == "base64":
+                    want[(*k, kind, m[1], "high" if good else "medium")] += 1
+    frame = spark.createDataFrame([(*k, t) for k, t in rows], "surface string, text_id long, text string")
+    assert Counter(map(tuple, rules.encoded_payloads(frame, ["surface", "text_id"]).collect())) == want and {w[-1] for w in want} == {"high", "medium"}
+
+
+def test_semantic_schemas_equal_plain_python(spark, sf_dir):
+    import json
+
+    from palisade.plans import exports
+
+    def plain(value):
+        if isinstance(value, dict):
+            return {k: plain(v) for k, v in value.items() if k not in ("title", "description", "$comment", "examples")}
+        return [plain(v) for v in value] if isinstance(value, list) else value
+
+    want = Counter(json.dumps(plain({"title": "t", **json.loads(r["input_schema"])}), sort_keys=True, separators=(",", ":")) for r in exports._schemas(spark, sf_dir).collect())
+    assert Counter({r["semantic"]: r["n"] for r in registry.QUERIES["ref203_semantic_schemas"](spark, sf_dir).collect()}) == want
