@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -217,3 +218,19 @@ def alerts(spark, d):
     query = changes.watch(stream).writeStream.foreachBatch(lambda batch, n: outbox.deliver(batch, n, root, send))
     query.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(changes.CHANGES).parquet(f"{root}/received/*")
+
+
+@query("ref144_pending", """WITH r AS (SELECT o_custkey AS name, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS file, o_orderkey % 8 <> 0 AS incomplete, CASE WHEN o_orderkey % 11 > 0 THEN o_orderdate END AS scanned_at, o_orderkey % 7 = 0 AS stub FROM orders),
+g AS (SELECT name, bool_or(NOT incomplete AND NOT stub) AS done, max(scanned_at) FILTER (incomplete) AS last, min_by(file, (NOT stub, file)) AS file FROM r GROUP BY name)
+SELECT name, file FROM g WHERE NOT done AND coalesce(last <= TIMESTAMP '2000-11-25', true)""")
+def pending(spark, d):
+    """Customers as servers, their orders as result files: who is still to be scanned a week later."""
+    key = F.col("o_orderkey")
+    rows = A.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("name"),
+        F.lpad(key.cast("string"), 9, "0").alias("file"),
+        (key % 8 != 0).alias("incomplete"),
+        F.when(key % 11 > 0, F.col("o_orderdate").cast("timestamp")).alias("scanned_at"),
+        F.when(key % 7 == 0, "registry-pending").otherwise("scanned").alias("status"),
+    )
+    return policy.pending(rows, datetime(2000, 12, 2))
