@@ -62,3 +62,31 @@ def test_signed_and_tampered_rows(spark):
     }
     frame = spark.createDataFrame([(x,) for x in cases], "envelope string")
     assert {r["envelope"]: r["problem"] for r in envelopes.verify_envelopes(frame, signing.public_key(seed)).collect()} == cases
+
+
+def test_rows_of_one_file_are_signed_and_verified_by_many_tasks(spark, tmp_path):
+    """A table of one file was one task."""
+    from pyspark.sql import functions as F
+
+    spark.range(400).selectExpr("concat('{\"target\":\"', id, '\"}') AS payload").coalesce(1).write.parquet(str(tmp_path / "p"))
+    rows = envelopes.sign_payloads(spark.read.parquet(str(tmp_path / "p")), bytes(32), "now")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.withColumn("p", F.spark_partition_id()).select("p").distinct().count() == n
+    checked = envelopes.verify_envelopes(rows.coalesce(1)).withColumn("p", F.spark_partition_id())
+    assert checked.select("p").distinct().count() == n and checked.where("problem is not null").count() == 0
+
+
+def test_tables_of_multiples_equal_doubling():
+    point = signing._unpacked(signing.public_key(b"k" * 32))
+    for n in (0, 1, 255, 256, signing.ORDER - 1, 2**255 + 12345):
+        want = signing._packed(signing._times(n, point))
+        assert signing._packed(signing._times_table(n, signing._table(point, 4), 4)) == want
+        assert signing._packed(signing._times_base(n)) == signing._packed(signing._times(n, signing.BASE))
+
+
+def test_keys_that_come_again_are_verified_alike():
+    for seed in (b"a" * 32, b"b" * 32):
+        key, value = signing.public_key(seed), signing.sign(seed, b"m")
+        for _ in range(4):
+            assert signing.verify(key, b"m", value) and not signing.verify(key, b"n", value)
+            assert not signing.verify(key, b"m", value[:32] + bytes([value[32] ^ 1]) + value[33:]) and not signing.verify(key, b"m", b"\xff" * 32 + value[32:])
