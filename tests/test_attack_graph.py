@@ -122,3 +122,25 @@ def test_empty_and_odd_tools(spark):
     none = nodes.limit(0)
     for f in (attack_graph.type_edges, attack_graph.edge_counts, attack_graph.degrees, attack_graph.attack_paths, attack_graph.escalations):
         assert f(none).count() == 0
+
+
+def test_kinds_by_ends_equal_those_of_the_paths(spark):
+    nodes = spark.createDataFrame(random_tools(10, 30, 8, 0.3), KIND)
+    paths = attack_graph.attack_paths(nodes, max_nodes=4)
+    want = Counter((r["n"], r["path"][0], r["path"][-1], r["kind"], r["severity"]) for r in attack_graph.path_kinds(paths, nodes).collect())
+    assert Counter(map(tuple, attack_graph.attack_path_kinds(nodes, max_nodes=4).collect())) == want and want
+
+
+def test_paths_carry_numbers(spark):
+    """What joins and groups carry is the tools' numbers, in the tools' order; from some starts only, and over more tools than one number holds."""
+    nodes = spark.createDataFrame(random_tools(1), KIND)
+    paths, tools = attack_graph._numbered_paths(nodes, None, 4, 20_000)
+    assert paths.schema["path"].dataType.simpleString() == "array<int>"
+    order = [(tuple(r["node"]), r["id"]) for r in tools.collect()]
+    assert [i for _, i in sorted(order)] == list(range(len(order)))
+    start = [p for p in plain_paths(random_tools(1), 3).values()][0][0]
+    some = attack_graph.attack_paths(nodes, spark.createDataFrame([(start,)], "node struct<server:string,name:string>"), 3).collect()
+    assert some and {tuple(r["path"][0]) for r in some} == {start}
+    chain = spark.createDataFrame([(f"s{i:02}", "t", "", [str(i)], [str(i + 1)]) for i in range(18)], KIND)
+    long = attack_graph.attack_paths(chain, max_nodes=17).collect()
+    assert Counter(r["n"] for r in long) == {n: 19 - n for n in range(2, 18)} and all(r["path"] == r["nodes"] for r in long)
