@@ -174,25 +174,32 @@ def match_advisories(findings: DataFrame, advisories: DataFrame, mapped: list[st
 
     Different sets of words of findings and of advisories meet by the words that they share. Without a shared word only
     findings of a mapped rule, of which there are few kinds, can reach ``min_score`` above 0.2: their
-    rules and severities, as many as ``mapped`` allows, meet every advisory, as the score asks for.
+    rules and severities, as many as ``mapped`` allows, meet every advisory, as the score asks for. Advisories of the same words
+    and severity score alike: they are scored once, and only the best scores that reach ``min_score`` meet the advisories.
     """
     severity = severity_match(F.col("severity"), F.col("cve_severity"))
     weakness = F.when(F.col("rule_id").isin(mapped), 0.4).otherwise(0.0)
-    kinds = findings.select("rule_id", F.array_sort(word_set(F.concat_ws(" ", "title", "description"))).alias("words"), "severity").distinct()
+    said = findings.select("rule_id", F.concat_ws(" ", "title", "description").alias("text"), "severity").distinct()
+    kinds = said.select("rule_id", F.array_sort(word_set(F.col("text"))).alias("words"), "severity").distinct()
     other = advisories.select("cve_id", F.col("severity").alias("cve_severity"), F.array_sort(word_set(F.col("description"))).alias("cve_words"))
+    alike = ["cve_words", "cve_severity"]
+    classes = other.select(*alike).distinct()
     a = kinds.select("words").distinct().select("words", F.explode("words").alias("word"))
-    b = other.select("cve_words").distinct().select("cve_words", F.explode("cve_words").alias("word"))
+    b = classes.select("cve_words").distinct().select("cve_words", F.explode("cve_words").alias("word"))
     common = a.join(b, "word").groupBy("words", "cve_words").agg(F.count("*").alias("common"))
     union = F.size("words") + F.size("cve_words") - F.col("common")
-    alike = common.select("words", "cve_words", (F.col("common") / union).alias("jaccard"))
-    met = kinds.join(alike, "words").join(other, "cve_words")
-    scored = met.select("rule_id", "cve_id", (0.4 * F.col("jaccard") + weakness + 0.2 * severity).alias("score"))
+    near = common.select("words", "cve_words", (F.col("common") / union).alias("jaccard"))
+    met = kinds.join(near, "words").join(classes, "cve_words")
+    scored = met.select("rule_id", *alike, (0.4 * F.col("jaccard") + weakness + 0.2 * severity).alias("score"))
     if min_score <= 0.2:
         apart = kinds.select("rule_id", "severity").distinct()
     else:
         apart = kinds.where(F.col("rule_id").isin(mapped)).select("rule_id", "severity").distinct()
-    apart = apart.join(other.select("cve_id", "cve_severity")).select("rule_id", "cve_id", (weakness + 0.2 * severity).alias("score"))
-    return scored.unionByName(apart).groupBy("rule_id", "cve_id").agg(F.max("score").alias("score")).where(F.col("score") >= min_score)
+    apart = apart.join(classes).select("rule_id", *alike, (weakness + 0.2 * severity).alias("score"))
+    best = scored.unionByName(apart).groupBy("rule_id", *alike).agg(F.max("score").alias("score")).where(F.col("score") >= min_score)
+    best = best.select("rule_id", F.col("cve_words").alias("_words"), F.col("cve_severity").alias("_severity"), "score")
+    same = F.col("_words").eqNullSafe(F.col("cve_words")) & F.col("_severity").eqNullSafe(F.col("cve_severity"))
+    return best.join(other, same).groupBy("rule_id", "cve_id").agg(F.max("score").alias("score"))
 
 
 #: Names of packages and scopes that others imitate.

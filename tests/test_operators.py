@@ -464,3 +464,33 @@ def test_surface_helpers(spark):
     assert [tuple(r) for r in surfaces.hidden_lines(files).collect()] == [("a.py", 2, "U+200B", "medium"), ("a.py", 3, "U+202E", "high")]
     rows = spark.createDataFrame([("read write file",), ("rewrites",)], "text string")
     assert [r["v"] for r in rows.select(surfaces.has_segment("write").alias("v")).collect()] == [True, False]
+
+
+def test_advisories_alike_are_scored_once(spark):
+    """Thousands of advisories of one text met every kind of finding one by one; equal, null and odd ones keep their scores."""
+    from palisade.operators import crossref
+
+    findings = spark.createDataFrame([(f"R{i % 3}", f"word w{i} x{i % 7}", "", ("low", "high", None)[i % 3]) for i in range(60)], "rule_id string, title string, description string, severity string")
+    advisories = spark.createDataFrame([(f"C{i}", (f"word x{i % 7}", None, "")[i % 3], ("low", "critical", None, "odd")[i % 4]) for i in range(2000)], "cve_id string, description string, severity string")
+    places = {"low": 0, "medium": 1, "high": 2, "critical": 3}
+    kinds = {(r["rule_id"], frozenset(r["title"].split()), r["severity"]) for r in findings.collect()}
+    scores = {}
+    for c in advisories.collect():
+        own = set((c["description"] or "").split())
+        for rule, words, severity in kinds:
+            apart = None if severity not in places or c["severity"] not in places else abs(places[severity] - places[c["severity"]])
+            score = 0.4 * len(words & own) / len(words | own) + (0.4 if rule == "R1" else 0) + 0.2 * {None: 0.5, 0: 1.0, 1: 0.7, 2: 0.3, 3: 0.0}[apart]
+            scores[rule, c["cve_id"]] = max(score, scores.get((rule, c["cve_id"]), 0))
+    want = {k: round(v, 9) for k, v in scores.items() if v >= 0.3}
+    frame = crossref.match_advisories(findings, advisories, ["R1"])
+    assert {(r["rule_id"], r["cve_id"]): round(r["score"], 9) for r in frame.collect()} == want and len(want) > 2000
+
+
+def test_tools_are_tagged_by_part_and_vectors_scored_once(spark, sf_dir):
+    from palisade.plans import registry
+    from palisade.sources import adapters
+
+    assert adapters.tool_kinds(spark, sf_dir).columns == ["ord", "name", "description"]
+    plan = registry.QUERIES["ref220_cvss"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # The rows are counted before a vector is taken apart.
+    assert plan.count("Aggregate [") >= 2 and plan.rindex("str_to_map") < plan.rindex("Aggregate [")
