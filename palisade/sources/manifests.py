@@ -8,7 +8,7 @@ import tomllib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders whose files are not a project's own.
@@ -99,7 +99,8 @@ def _python_lock(text: str) -> Iterator[tuple]:
 def _pnpm_lock(text: str) -> Iterator[tuple]:
     import yaml
 
-    packages = (yaml.safe_load(text) or {}).get("packages")
+    # The safe loader in C where PyYAML has it.
+    packages = (yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or {}).get("packages")
     for key, info in (packages if isinstance(packages, dict) else {}).items():
         m = re.match(r"/?((?:@[^/]+/)?[^@/]+)[@/]([^()]+)", str(key))
         if m and isinstance(info, dict):
@@ -174,8 +175,9 @@ def dependencies(files: DataFrame) -> DataFrame:
         run, f"project {kind}, source string, path string, rank int, lock boolean, nth int, {DEPENDENCY}"
     )
     by = ["project", "ecosystem"]
-    locks = found.where("lock and name is null").groupBy(*by).agg(F.max(F.struct("rank", "path")).alias("locked"))
-    kept = found.where("name is not null").join(locks, by, "left")
+    # One pass over the parsed files: they are not parsed again for their locks. Null projects have no locks.
+    locked = F.max(F.when(F.col("lock") & F.col("name").isNull() & F.col("project").isNotNull(), F.struct("rank", "path")))
+    kept = found.withColumn("locked", locked.over(Window.partitionBy(*by))).where("name is not null")
     kept = kept.where(F.when(F.col("locked").isNull(), ~F.col("lock")).otherwise(F.struct("rank", "path") == F.col("locked")))
     fields = ["source", "name", "direct", "integrity", "license", "requires"]
     first = kept.groupBy(*by, F.lower("name").alias("_name"), "version").agg(F.min_by(F.struct(*fields), F.struct("rank", "path", "nth")).alias("f"))

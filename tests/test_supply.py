@@ -115,3 +115,15 @@ def test_findings_tell_the_fix(spark):
         ("my.pkg@2.0", "my.pkg@2.0 (PyPI) is affected by G-2: G-2", "medium", None, "req.txt"),
     ]
     assert not re.search("Cartesian|NestedLoop", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_manifests_are_parsed_once_and_by_many_tasks(spark, sf_dir):
+    """A file of parts was one task, which parsed every manifest once for its locks and once for its rows."""
+    from palisade.plans import registry
+
+    for name in ("ref015_pnpm_locks", "ref018_pyprojects", "ref019_python_locks", "ref040_sbom", "ref040_sbom_edges"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") == (2 if name == "ref040_sbom_edges" else 1)
+        assert "Repartition" in plan, name
+    for name in ("ref201_schema_nodes", "ref205_schema_severity"):
+        assert "Repartition" in registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
