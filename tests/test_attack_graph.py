@@ -144,3 +144,12 @@ def test_paths_carry_numbers(spark):
     chain = spark.createDataFrame([(f"s{i:02}", "t", "", [str(i)], [str(i + 1)]) for i in range(18)], KIND)
     long = attack_graph.attack_paths(chain, max_nodes=17).collect()
     assert Counter(r["n"] for r in long) == {n: 19 - n for n in range(2, 18)} and all(r["path"] == r["nodes"] for r in long)
+
+
+def test_edges_are_a_query(spark, sf_dir):
+    """The query lists edges, as many as its SQL joins; counts by types are a query beside it."""
+    from palisade.plans import registry
+
+    found = registry.QUERIES["ref079_type_edges"](spark, sf_dir)
+    assert found.columns == ["src", "dst", "shared", "n"] and found.count() > 1000
+    assert registry.QUERIES["ref079_edge_counts"](spark, sf_dir).columns == ["outs", "ins", "shared", "edges"]
