@@ -153,3 +153,17 @@ def test_edges_are_a_query(spark, sf_dir):
     found = registry.QUERIES["ref079_type_edges"](spark, sf_dir)
     assert found.columns == ["src", "dst", "shared", "n"] and found.count() > 1000
     assert registry.QUERIES["ref079_edge_counts"](spark, sf_dir).columns == ["outs", "ins", "shared", "edges"]
+
+
+@pytest.mark.parametrize("operator", [attack_graph.type_edges, attack_graph.edge_counts, attack_graph.degrees])
+def test_tools_are_read_once(spark, operator):
+    """Whatever follows starts from one copy of the tools, not from their source."""
+    nodes = spark.createDataFrame(random_tools(3), KIND)
+    assert "ExistingRDD" not in operator(nodes)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tools_without_a_server_have_no_edges(spark):
+    rows = [(None, "x", "", ["t"], ["t"]), ("a", "y", "", ["t"], ["t"]), ("b", "z", "", ["t"], ["u"]), ("b", "z", "", None, ["t", "u"])]
+    nodes = spark.createDataFrame(rows, KIND)
+    assert {r["name"]: (r["out_degree"], r["in_degree"]) for r in attack_graph.degrees(nodes).collect()} == {"x": (0, 0), "y": (1, 1), "z": (1, 1)}
+    assert sum(r["edges"] for r in attack_graph.edge_counts(nodes).collect()) == attack_graph.type_edges(nodes).count() == 2
