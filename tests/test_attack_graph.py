@@ -167,3 +167,11 @@ def test_tools_without_a_server_have_no_edges(spark):
     nodes = spark.createDataFrame(rows, KIND)
     assert {r["name"]: (r["out_degree"], r["in_degree"]) for r in attack_graph.degrees(nodes).collect()} == {"x": (0, 0), "y": (1, 1), "z": (1, 1)}
     assert sum(r["edges"] for r in attack_graph.edge_counts(nodes).collect()) == attack_graph.type_edges(nodes).count() == 2
+
+
+def test_writing_is_told_by_any_row_of_a_tool(spark):
+    """Rows without types count for tools that have types in another row, and the types start from one copy."""
+    rows = [("a", "get_x", "", None, ["t"]), ("b", "y", "", ["t"], None), ("b", "y", "write all", None, None), ("c", "z", "", ["t"], None), ("d", "w", "write", None, None)]
+    found = attack_graph.escalations(spark.createDataFrame(rows, KIND))
+    assert [(r["start"]["name"], r["end"]["name"], r["steps"]) for r in found.collect()] == [("get_x", "y", 1)]
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
