@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import written_copy
 from ..functions.text import cvss_base_score, cvss_severity
 from ..functions.versions import HIGHEST, LOWEST, version_key
 from ..sources.readers import ADVISORY
 
 PACKAGE = ["ecosystem", "package"]
+VERSION = ["ecosystem", "name", "version"]
 
 
 def package_name(name: Column, ecosystem: Column) -> Column:
@@ -81,11 +83,26 @@ def vulnerable_dependencies(dependencies: DataFrame, ranges: DataFrame) -> DataF
 
     A dependency without a name, or whose version is no version, meets nothing. Repeated dependencies are kept.
     """
+    hits = vulnerable_versions(dependencies, ranges)
+    return dependencies.join(hits, VERSION)
+
+
+def vulnerable_versions(dependencies: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ecosystem, name and version as ``dependencies`` write them, with the id of each advisory that holds the version, and its fix. Each once.
+
+    A version's key is made once, however many packages have the version, and so are the ranges.
+    """
     ecosystem = F.lower(F.col("ecosystem"))
-    own = dependencies.withColumns({"_e": ecosystem, "_p": package_name(F.col("name"), ecosystem), "_k": version_key(F.col("version"), ecosystem)})
+    ranges = written_copy(ranges)
+    own = dependencies.select(*VERSION).distinct()
+    own = own.withColumns({"_e": ecosystem, "_p": package_name(F.col("name"), ecosystem)}).join(
+        ranges.select(F.col("ecosystem").alias("_e"), F.col("package").alias("_p")).distinct(), ["_e", "_p"], "left_semi"
+    )
+    keys = own.select("_e", "version").distinct().withColumn("_k", version_key(F.col("version"), F.col("_e"))).where("_k is not null")
+    own = written_copy(own.join(keys, ["_e", "version"]))
     hits = versions_in_ranges(own.select(F.col("_e").alias("ecosystem"), F.col("_p").alias("package"), F.col("_k").alias("key")), ranges)
     hits = hits.select(F.col("ecosystem").alias("_e"), F.col("package").alias("_p"), F.col("key").alias("_k"), "id", F.col("fixed").alias("fix"))
-    return own.join(hits, ["_e", "_p", "_k"]).drop("_e", "_p", "_k")
+    return own.join(hits, ["_e", "_p", "_k"]).select(*VERSION, "id", "fix")
 
 
 def dependency_findings(hits: DataFrame, advisories: DataFrame) -> DataFrame:

@@ -127,3 +127,14 @@ def test_manifests_are_parsed_once_and_by_many_tasks(spark, sf_dir):
         assert "Repartition" in plan, name
     for name in ("ref201_schema_nodes", "ref205_schema_severity"):
         assert "Repartition" in registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_versions_are_told_once(spark):
+    """However many dependencies have a version, its advisories are found once; all of the dependencies meet them."""
+    from palisade.operators import advisories
+
+    deps = spark.createDataFrame([(i, "npm", "a", "1.0.0") for i in range(5)] + [(9, "npm", "a", "2.0.0"), (10, None, "a", "1.0.0"), (11, "npm", "a", None)], "scan_id long, ecosystem string, name string, version string")
+    text = '{"id":"A","affected":[{"package":{"name":"a","ecosystem":"npm"},"ranges":[{"type":"SEMVER","events":[{"introduced":"0"},{"fixed":"1.5.0"}]}]}]}'
+    ranges = advisories.advisory_ranges(spark.createDataFrame([(text,)], "text string"))
+    assert [tuple(r) for r in advisories.vulnerable_versions(deps, ranges).collect()] == [("npm", "a", "1.0.0", "A", "1.5.0")]
+    assert sorted(r["scan_id"] for r in advisories.vulnerable_dependencies(deps, ranges).collect()) == [0, 1, 2, 3, 4]
