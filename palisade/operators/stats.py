@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import dealt
+
 SEVERITIES = ("low", "medium", "high", "critical")
 
 
@@ -44,6 +46,16 @@ def overview(scans: DataFrame, findings: DataFrame) -> DataFrame:
     return a.crossJoin(findings.agg(F.count("*").alias("findings")))  # one row by one row
 
 
+def findings_by_target(findings: DataFrame, scans: DataFrame, per_task: int = 1_000_000) -> DataFrame:
+    """target, rule_id, n (findings with their scans), scans (different ones). A task takes ``per_task`` rows at about.
+
+    Findings are counted scan by scan before they meet the scans, so that what is left are sums: no scan is told apart again.
+    """
+    each = dealt(findings.select("scan_id", "rule_id").where("scan_id is not null"), "scan_id", per_task=per_task).groupBy("scan_id", "rule_id").agg(F.count("*").alias("a"))
+    known = scans.where("scan_id is not null").groupBy("scan_id", "target").agg(F.count("*").alias("b"))
+    return each.join(known, "scan_id").groupBy("target", "rule_id").agg(F.sum(F.col("a") * F.col("b")).alias("n"), F.count("*").alias("scans"))
+
+
 def top(rows: DataFrame, by: str, n: int = 5) -> DataFrame:
     """The n commonest values; ties go to the lesser value."""
     return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(n)

@@ -239,8 +239,7 @@ def capability_scores(spark, d):
 @query("ref070_findings_with_scans", f"""{with_views("findings", "scans")}
 SELECT target, rule_id, count(*) AS n, count(DISTINCT scan_id) AS scans FROM findings JOIN scans USING (scan_id) GROUP BY 1, 2""")
 def findings_with_scans(spark, d):
-    joined = A.findings(spark, d).join(A.scans(spark, d).select("scan_id", "target"), "scan_id")
-    return joined.groupBy("target", "rule_id").agg(F.count("*").alias("n"), F.count_distinct("scan_id").alias("scans"))
+    return stats.findings_by_target(A.findings(spark, d), A.scans(spark, d))
 
 
 @query("ref071_findings_of_incomplete", f"""{with_views("findings", "scans")}
