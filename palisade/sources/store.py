@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 CHILDREN = ("tools", "prompts", "resources", "resource_templates", "findings")
 BUCKETS = 64
+#: How keys are dealt to buckets, as the manifest says of each table: as Spark deals rows to tasks.
+DEALT = "hash"
 
 
 class Conflict(RuntimeError):
@@ -24,7 +26,16 @@ class Conflict(RuntimeError):
 
 
 def bucket(key: str, buckets: int = BUCKETS):
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    return F.pmod(F.hash(key), F.lit(buckets)).cast("int")
+
+
+def _placed(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt to one task for each bucket; joins by the key and the writing by buckets need no other shuffle."""
+    return rows.repartition(BUCKETS, key)
+
+
+def _touched(ids: DataFrame, key: str) -> set[int]:
+    return {r[0] for r in ids.select(bucket(key)).distinct().collect()}  # BUCKETS of them at most
 
 
 def _folder(spark: SparkSession, path: str):
@@ -77,24 +88,39 @@ def _publish(spark: SparkSession, root: str, held: dict) -> None:
     out.close()
 
 
-def _rewrite(spark: SparkSession, root: str, old: dict, new: dict, name: str, key: str, rows: DataFrame | None, ids: DataFrame, resolve=None) -> None:
-    """Write the buckets of ``ids`` without these ids, and with ``rows``, to the folder of the new version."""
+def _shaped(rows: DataFrame, schema: StructType) -> DataFrame:
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def _rewrite(spark: SparkSession, root: str, old: dict, new: dict, name: str, key: str, rows: DataFrame | None, ids: DataFrame, touched: set[int], resolve=None, parents: DataFrame | None = None) -> None:
+    """Write the ``touched`` buckets, those of ``ids``, without these ids, and with ``rows``, to the folder of the new version; rows whose key no row of ``parents`` has are an error."""
     known = old["tables"].get(name)
     if known is None and rows is None:
         return
-    touched = {r[0] for r in ids.select(bucket(key)).distinct().collect()}  # BUCKETS of them at most
+    if known is not None and known.get("dealt") != DEALT:  # dealt in another way: all of it is dealt anew
+        touched = {*range(BUCKETS), *map(int, known["buckets"])}
     schema = rows.schema if rows is not None else StructType.fromJson(known["schema"])
-    merged = spark.createDataFrame([], schema) if rows is None else rows
+    parts = [] if rows is None else [rows]
     if known is not None:
         here = _table(spark, root, old, name, touched)
-        stay = here if resolve else here.join(ids, key, "left_anti")
-        merged = stay.unionByName(merged, allowMissingColumns=True).select(*(f.name for f in schema), *(c for c in here.columns if c not in schema.names))
-    merged = resolve(merged) if resolve else merged
+        empty = spark.createDataFrame([], schema)
+        both = here.unionByName(empty if rows is None else rows, allowMissingColumns=True).select(*(f.name for f in schema), *(c for c in here.columns if c not in schema.names))
+        schema = both.schema
+        parts = [resolve(both)] if resolve else [*parts, _placed(here, key).join(_placed(ids, key), key, "left_anti")]
+    elif resolve:
+        parts = [resolve(rows)]
     folder = f"{root}/{name}/version={new['version']}"
-    merged.withColumn("bucket", bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    for i, part in enumerate(parts):
+        # What stays is in its tasks already; what is new comes first and is held against its parents as it was written.
+        placed = _placed(_shaped(part, schema), key) if resolve or (i == 0 and rows is not None) else _shaped(part, schema)
+        placed.withColumn("bucket", bucket(key)).write.mode("append" if i else "overwrite").partitionBy("bucket").parquet(folder)
+        if i == 0 and rows is not None and parents is not None:
+            written = spark.read.schema(schema).parquet(folder).select(key).distinct()
+            if not written.join(parents, key, "left_anti").isEmpty():
+                raise ValueError(f"rows of {name} without a scan")
     buckets = {b: v for b, v in (known or {"buckets": {}})["buckets"].items() if int(b) not in touched}
     buckets |= {n.removeprefix("bucket="): new["version"] for n in _names(spark, folder) if n.startswith("bucket=")}
-    new["tables"][name] = {"key": key, "schema": merged.schema.jsonValue(), "buckets": buckets}
+    new["tables"][name] = {"key": key, "schema": schema.jsonValue(), "buckets": buckets, "dealt": DEALT}
 
 
 def commit(spark: SparkSession, root: str, scans: DataFrame | None = None, children: dict[str, DataFrame] | None = None, deleted: DataFrame | None = None) -> int:
@@ -110,15 +136,13 @@ def commit(spark: SparkSession, root: str, scans: DataFrame | None = None, child
     if not parts:
         raise ValueError("nothing to commit")
     ids = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    ids = ids.where("scan_id is not null").distinct()
-    for name, rows in children.items():
-        known = rows.sparkSession.createDataFrame([], "scan_id long") if scans is None else scans.select("scan_id")
-        if not rows.join(known, "scan_id", "left_anti").isEmpty():
-            raise ValueError(f"rows of {name} without a scan")
+    ids = ids.where("scan_id is not null")
+    parents = spark.createDataFrame([], "scan_id long") if scans is None else scans.select("scan_id")
     old = manifest(spark, root)
     new = {"version": old["version"] + 1, "tables": dict(old["tables"])}
+    touched = _touched(ids, "scan_id")
     for name in ("scans", *CHILDREN):
-        _rewrite(spark, root, old, new, name, "scan_id", scans if name == "scans" else children.get(name), ids)
+        _rewrite(spark, root, old, new, name, "scan_id", scans if name == "scans" else children.get(name), ids, touched, parents=None if name == "scans" else parents)
     _publish(spark, root, new)
     return new["version"]
 
@@ -137,11 +161,12 @@ def load_scan(spark: SparkSession, root: str, scan_id, version: int | None = Non
     """One row: the scan with the rows of every child table in order; an error if there is none."""
     held = manifest(spark, root, version)
     at = spark.range(1).select(bucket_of(scan_id)).first()[0]
-    scan = _table(spark, root, held, "scans", {at}).where(F.col("scan_id") == scan_id)
+    only = lambda name: {at} if held["tables"][name].get("dealt") == DEALT else None
+    scan = _table(spark, root, held, "scans", only("scans") if "scans" in held["tables"] else None).where(F.col("scan_id") == scan_id)
     if scan.isEmpty():
         raise LookupError(f"no scan {scan_id}")
     for name in (n for n in CHILDREN if n in held["tables"]):
-        rows = _table(spark, root, held, name, {at}).where(F.col("scan_id") == scan_id)
+        rows = _table(spark, root, held, name, only(name)).where(F.col("scan_id") == scan_id)
         rest = [c for c in rows.columns if c != "scan_id"]
         scan = scan.join(rows.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name)), "scan_id", "left")
     return scan
@@ -149,7 +174,7 @@ def load_scan(spark: SparkSession, root: str, scan_id, version: int | None = Non
 
 def bucket_of(value):
     """The bucket of one long or text key."""
-    return F.pmod(F.xxhash64(F.lit(value).cast("long" if isinstance(value, int) else "string")), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.hash(F.lit(value).cast("long" if isinstance(value, int) else "string")), F.lit(BUCKETS)).cast("int")
 
 
 def newest(rows: DataFrame, key: str, sequence: list[str]) -> DataFrame:
@@ -164,7 +189,8 @@ def merge_fingerprints(spark: SparkSession, root: str, rows: DataFrame, sequence
     rows = rows.where("server_id is not null")
     old = manifest(spark, root)
     new = {"version": old["version"] + 1, "tables": dict(old["tables"])}
-    _rewrite(spark, root, old, new, "fingerprints", "server_id", rows, rows.select("server_id").distinct(), lambda x: newest(x, "server_id", list(sequence)))
+    ids = rows.select("server_id").distinct()
+    _rewrite(spark, root, old, new, "fingerprints", "server_id", rows, ids, _touched(ids, "server_id"), lambda x: newest(x, "server_id", list(sequence)))
     _publish(spark, root, new)
     return new["version"]
 
@@ -181,6 +207,6 @@ def delete_fingerprints(spark: SparkSession, root: str, ids: DataFrame) -> int:
     if n:
         old = manifest(spark, root)
         new = {"version": old["version"] + 1, "tables": dict(old["tables"])}
-        _rewrite(spark, root, old, new, "fingerprints", "server_id", None, ids)
+        _rewrite(spark, root, old, new, "fingerprints", "server_id", None, ids, _touched(ids, "server_id"))
         _publish(spark, root, new)
     return n

@@ -3,7 +3,11 @@
 import random
 import re
 
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
+
 from palisade.operators import surfaces
+from palisade.sources import store
 
 
 def scans(frame) -> int:
@@ -28,3 +32,40 @@ def test_script_findings_read_files_once(spark, tmp_path):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == wanted
     assert {rule for _, _, rule, _ in wanted} == {rule for rule, _, _ in surfaces.SCRIPT_RULES}
+
+
+def test_a_rewritten_table_is_shuffled_once(spark, tmp_path, monkeypatch):
+    """What stays of a table goes to its buckets with the shuffle of the join, and new rows are made once, checks included."""
+    root, made = str(tmp_path / "store"), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        made.add(1)
+        return x
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **k))[1])
+    try:
+        scans = spark.range(40).withColumnRenamed("id", "scan_id")
+        tools = scans.select("scan_id", seen(F.col("scan_id").cast("string")).alias("name")).where("name is not null")
+        store.commit(spark, root, scans, {"tools": tools})
+        assert made.value <= 80  # once in the filter and once in the row at most
+        plans.clear()
+        store.delete_scans(spark, root, scans.where("scan_id < 10"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    # One shuffle for the table and one for the ids.
+    assert len(plans) == 2 and all(p.count("Exchange hashpartitioning") == 2 for p in plans)
+    assert sorted(r["scan_id"] for r in store.read(spark, root, "tools").collect()) == list(range(10, 40))
+    files = [f.parent.name for f in (tmp_path / "store" / "tools" / "version=2").rglob("*.parquet")]
+    assert len(files) == len(set(files))
+    # A table that was dealt to buckets in another way is read and rewritten whole.
+    old = store.manifest(spark, root)
+    other = {**old, "tables": {n: {k: v for k, v in t.items() if k != "dealt"} for n, t in old["tables"].items()}}
+    monkeypatch.setattr(store, "manifest", lambda *_: other)
+    assert store.load_scan(spark, root, 11).first()["tools"][0]["name"] == "11"
+    store.commit(spark, root, scans.where("scan_id = 11"), {})
+    monkeypatch.undo()
+    assert sorted(r["scan_id"] for r in store.read(spark, root, "tools").collect()) == [10, *range(12, 40)]
