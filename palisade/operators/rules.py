@@ -6,6 +6,7 @@ A pattern rule takes rows with a column ``text`` and gives one row per match.
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 
 import pandas as pd
@@ -140,6 +141,56 @@ CAPABILITIES = {
 }
 
 
+#: What every match of these patterns holds: one of the tuples, whole. Injections in text in one case, as ``folded`` gives it.
+SECRET_HOLDS = (
+    ("-", "sk-"), ("-", "key-"), ("-", "secret-"), ("-", "token-"), ("-", "xox"), ("_", "ghp_"), ("_", "gho_"), ("_", "github_pat_"), ("_", "hf_"), ("_", "tpt_"),
+    ("AKIA",), ("AIza",), ("eyJ",), ("://", "mongodb://"), ("://", "postgresql://"), ("://", "mysql://"), ("://", "redis://"),
+)
+INJECTION_HOLDS = (
+    ("ignore",), ("you", "must"), ("you", "are"), ("system", ":"), ("pretend",), ("im_",), ("inst]",), ("sys]",), ("<<sys>>",), ("do", "not", "follow"), ("do", "not", "obey"),
+    ("do", "not", "listen"), ("do", "not", "trust"), ("override",), ("overwrite",), ("replace",), ("disregard",),
+)
+#: The one short injection: its words are in most texts, so it is looked for as it is.
+INJECTION_WORDS = r"(?U)as\s+an?\s+ai"
+#: What matches begin with, as a class that is quick to rule out; where case is ignored, \u0130 and \u0131 are an i, and \u017f is an s.
+SECRET_STARTS = "(?=[sgxAemprhtk][efhiopkyIK])"
+INJECTION_STARTS = "(?=[iI\u0130\u0131yYsS\u017faApPdDoOrR<\\[])"
+
+
+def folded(text: str | Column) -> Column:
+    """The text in lower case, with the letters beyond ASCII that patterns without case take for ASCII ones as these."""
+    c = F.col(text) if isinstance(text, str) else text
+    for x, y in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")):
+        c = F.replace(c, F.lit(x), F.lit(y))
+    return F.lower(c)
+
+
+def holds(text: str | Column, wanted) -> Column:
+    """Whether a text holds all of one of the tuples; what several in a row begin with is looked for once."""
+    c = F.col(text) if isinstance(text, str) else text
+    find = lambda x: F.contains(c, F.lit(x))
+    out = F.lit(False)
+    for first, rest in itertools.groupby(wanted, key=lambda w: w[0]):
+        rest = [w[1:] for w in rest]
+        out = out | (find(first) if () in rest else find(first) & holds(text, rest))
+    return out
+
+
+def has_secret(text: str = "text") -> Column:
+    """Whether a pattern of ``SECRETS`` is in a text."""
+    every = unicode_pattern("|".join(f"(?:{p})" for _, _, p in SECRETS), False)
+    return holds(text, SECRET_HOLDS) & F.col(text).rlike(f"{SECRET_STARTS}(?:{every})")
+
+
+def has_injection(text: str = "text", lowered: str | None = None) -> Column:
+    """Whether a pattern of ``INJECTIONS`` is in a text; ``lowered`` is a column that has it folded, if there is one."""
+    every = unicode_pattern("|".join(f"(?:{p})" for _, _, p in INJECTIONS))
+    may = lambda x: holds(x, INJECTION_HOLDS) | x.rlike(INJECTION_WORDS)
+    # As the element of an array a text is folded once, not for each part that is looked for.
+    held = F.exists(F.array(folded(text)), may) if lowered is None else may(F.col(lowered))
+    return held & F.col(text).rlike(f"{INJECTION_STARTS}(?:{every})")
+
+
 def dangerous_names(tools: DataFrame) -> DataFrame:
     """R001: tools of a dangerous name."""
     return tools.where(F.lower("name").isin(*DANGEROUS_NAMES)).select("server", "name", F.lit("critical").alias("severity"))
@@ -167,7 +218,13 @@ def pattern_matches(texts: DataFrame, keys: list[str], patterns, ignore_case: bo
     every = F.explode(F.flatten(F.array(*[matches(*x) for x in patterns]))).alias("m")
     # One quick look for any of the patterns keeps most texts from being searched ten times over.
     any_of = "|".join(f"(?:{p})" for _, _, p in patterns)
-    return texts.where(F.col("text").rlike(unicode_pattern(any_of, ignore_case))).select(*keys, every).select(*keys, "m.*")
+    if patterns is SECRETS and not ignore_case:
+        some = texts.where(has_secret())
+    elif patterns is INJECTIONS and ignore_case:
+        some = texts.where(has_injection())
+    else:
+        some = texts.where(F.col("text").rlike(unicode_pattern(any_of, ignore_case)))
+    return some.select(*keys, every).select(*keys, "m.*")
 
 
 def injections(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -267,14 +324,14 @@ def traversals(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 def response_flags(texts: DataFrame, keys: list[str]) -> DataFrame:
     """What a captured response holds: URLs, scripts, secrets, injections."""
-    any_secret = "|".join(f"(?:{p})" for _, _, p in SECRETS)
-    any_injection = "|".join(f"(?:{p})" for _, _, p in INJECTIONS)
+    # Most texts hold none of the fixed parts of a pattern, which are found much faster than it.
+    texts = texts.withColumn("_folded", folded("text"))
     return texts.select(
         *keys,
-        F.col("text").rlike(unicode_pattern(r"https?://")).alias("has_url"),
-        F.col("text").rlike(unicode_pattern(r"<script\b|javascript:")).alias("has_script"),
-        F.col("text").rlike(unicode_pattern(any_secret, False)).alias("has_secret"),
-        F.col("text").rlike(unicode_pattern(any_injection)).alias("has_injection"),
+        (F.contains("text", F.lit("://")) & F.col("text").rlike(unicode_pattern(r"https?://"))).alias("has_url"),
+        (holds("_folded", (("<script",), ("javascript:",))) & F.col("text").rlike(unicode_pattern(r"<script\b|javascript:"))).alias("has_script"),
+        has_secret().alias("has_secret"),
+        has_injection(lowered="_folded").alias("has_injection"),
     )
 
 
