@@ -175,3 +175,16 @@ def test_writing_is_told_by_any_row_of_a_tool(spark):
     found = attack_graph.escalations(spark.createDataFrame(rows, KIND))
     assert [(r["start"]["name"], r["end"]["name"], r["steps"]) for r in found.collect()] == [("get_x", "y", 1)]
     assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tools_of_paths_are_looked_up_in_groups(spark):
+    """Every tool of every path was looked up by itself and brought back to its path; now once for the paths that go through one tool, dealt to parts where they are many."""
+    rows = random_tools(3)
+    found, tools = attack_graph._numbered_paths(spark.createDataFrame(rows, KIND), None, 5, 20_000, again=True)
+    want = set(plain_paths(rows, 5).values())
+    for most in (1, 7, 256):
+        named = attack_graph._named(found, tools, most)
+        got = [tuple(tuple(n) for n in r["path"]) for r in named.collect()]
+        assert len(got) == len(want) and set(got) == want
+    plan = attack_graph.attack_paths(spark.createDataFrame(rows, KIND))._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[path#", plan) and "Aggregate [mid#" in plan
